@@ -68,4 +68,20 @@ b as (select *,
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   bits % 4 > 0 as base_failed, bits = 0 as kept, cast(bits as bigint) as fail_bits from b"""
 
-ORACLES = {"op4_url_filter": _OP4, "op8_sharding": _OP8, "op10_quality_rules": _OP10}
+_OP1 = rf"""
+with d as (select doc_id, row_number() over () as r,
+    regexp_extract_all(translate(coalesce(text, ''), {_LOW}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+b as (select coalesce(cast(item_id as varchar), '') as item_id, regexp_extract_all(translate(coalesce(text, ''), {_LOW}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+bw as (select distinct item_id, least(10, len(ws)) as n, array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') as g
+  from (select item_id, ws, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) as i from b where len(ws) > 0) t),
+sizes as (select distinct n from bw),
+dw as (select r, i, n, array_to_string(ws[i:i + n - 1], ' ') as g
+  from (select r, ws, n, unnest(range(1, len(ws) - n + 2)) as i from d, sizes where len(ws) >= n) t),
+hit as (select dw.r, dw.i, dw.n, bw.item_id from dw join bw on dw.g = bw.g and dw.n = bw.n),
+words as (select r, count(distinct p) as n_hit from (select r, unnest(range(i, i + n)) as p from hit) t group by r),
+items as (select r, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct r, item_id from hit) t group by r)
+select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join words using (r) left join items using (r)"""
+
+ORACLES = {"op1_decontaminate": _OP1, "op4_url_filter": _OP4, "op8_sharding": _OP8, "op10_quality_rules": _OP10}

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sharding, urlfilter
+from . import decontaminate, packing, pii, quality, sharding, urlfilter
 
 # The path rules of op4.
 URL_RULES = (
@@ -27,6 +27,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_files() -> tuple[str, str]:
+    """Rank file and split pattern of the public byte-level BPE of 50k ids."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = decontaminate.scan(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), window=10)
+    n_hit = F.aggregate(F.zip_with("hit_end", "hit_start", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
+    return hits.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, *tokenizer_files(), room=1024, end_id=2)
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     listed = spark.range(1).select(F.explode(F.array(*map(F.lit, URL_LIST))).alias("key"))
@@ -46,6 +71,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_pack": op2_pack,
+    "op3_pii": op3_pii,
     "op4_url_filter": op4_url_filter,
     "op8_sharding": op8_sharding,
     "op10_quality_rules": op10_quality_rules,
