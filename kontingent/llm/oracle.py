@@ -84,4 +84,16 @@ select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_hit, 0) as bi
   sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join words using (r) left join items using (r)"""
 
-ORACLES = {"op1_decontaminate": _OP1, "op4_url_filter": _OP4, "op8_sharding": _OP8, "op10_quality_rules": _OP10}
+_OP7 = r"""
+with d as (select doc_id, row_number() over () as r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+g as (select r, doc_id, i, array_to_string(ws[i:i + 12], ' ') as g
+  from (select r, doc_id, ws, unnest(range(1, len(ws) - 11)) as i from d where len(ws) >= 13) t),
+dup as (select r, i from (select r, i, doc_id, min(doc_id) over (partition by g) as least from g) t where doc_id > least),
+gone as (select distinct r, i + o as p from dup, (select unnest(range(13)) as o) t),
+w as (select r, unnest(range(1, len(ws) + 1)) as p, unnest(ws) as w from d),
+kept as (select w.r, string_agg(w.w, ' ' order by w.p) as k from w left join gone on w.r = gone.r and w.p = gone.p where gone.p is null group by w.r),
+n as (select r, count(*) as n from gone group by r)
+select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(k, '')) as kept_sha256
+from d left join kept using (r) left join n using (r)"""
+
+ORACLES = {"op7_substring_dedup": _OP7, "op1_decontaminate": _OP1, "op4_url_filter": _OP4, "op8_sharding": _OP8, "op10_quality_rules": _OP10}

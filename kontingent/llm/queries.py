@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, pii, quality, sharding, urlfilter
+from . import decontaminate, packing, pii, quality, sharding, substring, urlfilter
 
 # The path rules of op4.
 URL_RULES = (
@@ -58,6 +58,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate(table(spark, sf_dir, "documents"), size=13)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id"))
 
@@ -75,6 +79,7 @@ QUERIES = {
     "op2_pack": op2_pack,
     "op3_pii": op3_pii,
     "op4_url_filter": op4_url_filter,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_sharding": op8_sharding,
     "op10_quality_rules": op10_quality_rules,
 }
