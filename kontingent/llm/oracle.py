@@ -96,4 +96,15 @@ n as (select r, count(*) as n from gone group by r)
 select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(k, '')) as kept_sha256
 from d left join kept using (r) left join n using (r)"""
 
-ORACLES = {"op7_substring_dedup": _OP7, "op1_decontaminate": _OP1, "op4_url_filter": _OP4, "op8_sharding": _OP8, "op10_quality_rules": _OP10}
+_OP9 = rf"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOW}), '[^\x20\x09-\x0D]+') as ws from documents),
+sh as (select distinct doc_id, array_to_string(ws[i:i + 2], ' ') as s from (
+  select doc_id, ws, unnest(range(1, greatest(1, len(ws) - 2) + 1)) as i from d where len(ws) > 0) t),
+n as (select doc_id, count(*) as n from sh group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as i from sh a join sh b on a.s = b.s and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+links as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 90 * (x.n + y.n - i)),
+reach(doc_id, r) as (select doc_id, doc_id from d union select reach.doc_id, links.b from reach join links on links.a = reach.r)
+select doc_id, cast(coalesce(any_value(n), 0) as bigint) as n_shingles, min(r) as component_id
+from reach left join n using (doc_id) group by doc_id"""
+
+ORACLES = {"op9_ngram_jaccard_join": _OP9, "op7_substring_dedup": _OP7, "op1_decontaminate": _OP1, "op4_url_filter": _OP4, "op8_sharding": _OP8, "op10_quality_rules": _OP10}

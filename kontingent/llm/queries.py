@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, pii, quality, sharding, substring, urlfilter
+from . import decontaminate, packing, pii, quality, setjoin, sharding, substring, urlfilter
 
 # The path rules of op4.
 URL_RULES = (
@@ -66,6 +66,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.join_documents(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.lit(quality.mask_of(quality.POLICIES["base-1"])).cast("long")
@@ -81,5 +85,6 @@ QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_sharding": op8_sharding,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
 }
