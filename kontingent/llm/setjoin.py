@@ -9,7 +9,8 @@ of n2 pieces: two similar sets differ in at most one element inside some part,
 so they agree on n2 - 1 of its pieces.  Every choice of n2 - 1 pieces of a part
 is a signature, and similar sets share at least one.
 
-Equal sets are folded first (one class each), so copies never meet as pairs.
+Equal sets are one class, named by 64 bits of the set, so copies never meet as
+pairs, and a task sends a class's signatures once.
 Groups of at most ``SMALL`` classes with a common signature give all their pairs
 as candidates; in a larger group each class is paired with the least one only.
 Candidates are checked exactly.  Larger groups that still hold classes of
@@ -110,22 +111,18 @@ def _set_key(e: np.ndarray) -> tuple[int, int]:
     return (int(mix64(e + _MUL[1]).sum(dtype=np.uint64).view(np.int64)), int(mix64(e * _MUL[2] + _MUL[1]).sum(dtype=np.uint64).view(np.int64)))
 
 
-def describe(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(id, n, k1, k2, sigs) of each row of (id, text)."""
+def describe(docs: DataFrame, n: int) -> DataFrame:
+    """(id, n, k1, k2) of each row of (id, text): size and 128 bits of its set."""
 
     def run(batches):
         for b in batches:
             sets = element_sets(arrow_texts(b.column(1)), n)
             keys = [_set_key(e) for e in sets]
-            sigs = [signatures(e, percent) if len(e) else e for e in sets]
-            offsets = np.concatenate(([0], np.cumsum([len(s) for s in sigs]))).astype(np.int32)
-            flat = np.concatenate(sigs).view(np.int64) if sigs else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(e) for e in sets], pa.int64()), pa.array([k for k, _ in keys], pa.int64()),
-                 pa.array([k for _, k in keys], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["id", "n", "k1", "k2", "sigs"])
+                 pa.array([k for _, k in keys], pa.int64())], names=["id", "n", "k1", "k2"])
 
-    return docs.mapInArrow(run, "id long, n long, k1 long, k2 long, sigs array<long>")
+    return docs.mapInArrow(run, "id long, n long, k1 long, k2 long")
 
 
 def _starts(x: np.ndarray) -> np.ndarray:
@@ -133,41 +130,56 @@ def _starts(x: np.ndarray) -> np.ndarray:
 
 
 def _send_chunk(sig: np.ndarray, node: np.ndarray, n_buckets: int) -> pa.RecordBatch:
-    """One row per bucket: signatures with their classes.  A signature of more than SMALL classes of
-    this chunk goes as its least class, a count, and the pairs of that class with the others."""
+    """One row per bucket: each class's signatures, classes in order.  A signature of more than SMALL
+    classes of this chunk goes as its least class, a count, and the pairs of that class with the others."""
     order = np.lexsort((node, sig))
     sig, node = sig[order], node[order]
+    new = np.ones(len(sig), bool)
+    new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])  # copies of a set count once
+    sig, node = sig[new], node[new]
     first = _starts(sig)
     count = np.diff(np.append(first, len(sig)))
     big = np.repeat(count > SMALL, count)
     head = np.zeros(len(sig), bool)
     head[first] = True
     least = np.repeat(node[first], count)
-    bucket = (sig % np.uint64(n_buckets)).astype(np.int64)
     weight = np.where(big, np.repeat(count, count), 1)
-    keep, rest = head | ~big, big & ~head
+    bucket = (sig % np.uint64(n_buckets)).astype(np.int64)
     rows = []
-    for mask, second in ((keep, weight), (rest, least)):
-        at = np.flatnonzero(mask)
-        at = at[np.argsort(bucket[at], kind="stable")]
+    for own, second in ((head | ~big, weight), (big & ~head, least)):
+        at = np.flatnonzero(own)
+        at = at[np.lexsort((node[at], bucket[at]))]
         cuts = np.append(_starts(bucket[at]), len(at)).tolist()
-        rows += [(int(bucket[at[u]]), sig[at[u:v]].tobytes() if mask is keep else None, node[at[u:v]].tobytes(), second[at[u:v]].tobytes())
-                 for u, v in zip(cuts[:-1], cuts[1:])]
-    cols = list(zip(*rows)) if rows else [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]], names=["bucket", "sigs", "nodes", "second"])
-
-
-def candidates(classes: DataFrame, n_buckets: int) -> DataFrame:
+        for u, v in zip(cuts[:-1], cuts[1:]):
+            w = at[u:v]
+            runs = _starts(node[w])
+            signed = second is weight
+            extra = second[w] if not signed or big[w].any() else second[:0]
+            rows.append((int(bucket[w[0]]), sig[w].tobytes() if signed else None, node[w][runs].tobytes(),
+                         np.diff(np.append(runs, len(w))).astype(np.int32).tobytes(), extra.tobytes()))
+    cols = list(zip(*rows)) if rows else [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]],
+                                      names=["bucket", "sigs", "nodes", "runs", "second"])
+
+
+def signed(elements: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, class of each) of some sets; a class is named by the first half of its set's key."""
+    sigs = [signatures(e, percent) for e in elements if len(e)]
+    nodes = [_set_key(e)[0] for e in elements if len(e)]
+    sizes = [len(s) for s in sigs]
+    return np.concatenate([np.zeros(0, np.uint64), *sigs]), np.repeat(np.array(nodes, np.int64), sizes)
+
+
+def candidates(docs: DataFrame, n: int, percent: int, n_buckets: int) -> DataFrame:
     """Rows (large, a, b): candidate pairs a < b (large false), and signatures of more than SMALL
-    classes (large true: a the signature, b its count)."""
+    classes (large true: a the signature, b at least its count)."""
 
     def send(batches):
         sig, node, held = [], [], 0
         for b in batches:
-            col = b.column(1)
-            sig.append(col.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-            node.append(np.repeat(b.column(0).to_numpy(zero_copy_only=False), np.diff(col.offsets.to_numpy())))
-            held += len(sig[-1])
+            s, m = signed(element_sets(arrow_texts(b.column(1)), n), percent)
+            sig.append(s), node.append(m)
+            held += len(s)
             if held >= HELD:
                 yield _send_chunk(np.concatenate(sig), np.concatenate(node), n_buckets)
                 sig, node, held = [], [], 0
@@ -175,14 +187,22 @@ def candidates(classes: DataFrame, n_buckets: int) -> DataFrame:
             yield _send_chunk(np.concatenate(sig), np.concatenate(node), n_buckets)
 
     def meet(t: pa.Table) -> pa.Table:
-        cat = lambda parts, kind: np.concatenate([np.zeros(0, kind), *[np.frombuffer(x, kind) for x in parts]])
-        sigs, nodes, second = t["sigs"].to_pylist(), t["nodes"].to_pylist(), t["second"].to_pylist()
-        own = [k for k, x in enumerate(sigs) if x is not None]
-        told = [k for k, x in enumerate(sigs) if x is None]
-        sig, node, count = cat([sigs[k] for k in own], np.uint64), cat([nodes[k] for k in own], np.int64), cat([second[k] for k in own], np.int64)
-        pairs = [np.stack([cat([second[k] for k in told], np.int64), cat([nodes[k] for k in told], np.int64)], 1)]
-        order = np.lexsort((node, sig))
+        pieces: list[list] = [[np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+        pairs = [np.zeros((0, 2), np.int64)]
+        for s, m, r, x in zip(*[t[c].to_pylist() for c in ("sigs", "nodes", "runs", "second")]):
+            node = np.repeat(np.frombuffer(m, np.int64), np.frombuffer(r, np.int32))
+            x = np.frombuffer(x, np.int64)
+            if s is None:
+                pairs.append(np.stack([x, node], 1))
+            else:
+                for to, part in zip(pieces, (np.frombuffer(s, np.uint64), node, x if len(x) else np.ones(len(node), np.int64))):
+                    to.append(part)
+        sig, node, count = map(np.concatenate, pieces)
+        order = np.lexsort((-count, node, sig))
         sig, node, count = sig[order], node[order], count[order]
+        once = np.ones(len(sig), bool)  # a class that several tasks have counts once
+        once[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+        sig, node, count = sig[once], node[once], count[once]
         first = _starts(sig)
         size = np.diff(np.append(first, len(sig)))
         total = np.add.reduceat(count, first) if len(first) else first
@@ -199,7 +219,7 @@ def candidates(classes: DataFrame, n_buckets: int) -> DataFrame:
         return pa.table({"large": np.concatenate([np.zeros(len(p), bool), np.ones(int(big.sum()), bool)]),
                          "a": np.concatenate([p[:, 0], sig[first][big].view(np.int64)]), "b": np.concatenate([p[:, 1], total[big]])})
 
-    sent = classes.select("node", "sigs").mapInArrow(send, "bucket int, sigs binary, nodes binary, second binary")
+    sent = docs.mapInArrow(send, "bucket int, sigs binary, nodes binary, runs binary, second binary")
     return sent.groupBy("bucket").applyInArrow(meet, "large boolean, a long, b long").distinct()
 
 
@@ -264,9 +284,17 @@ def _check_block(t: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([min(p) for p in out], pa.int64()), "b": pa.array([max(p) for p in out], pa.int64())})
 
 
-def large_group_links(classes: DataFrame, large: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+def large_group_links(large: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """Links inside groups of more than SMALL classes that the first check left in several components."""
-    members = classes.select("node", F.explode("sigs").alias("sig")).join(large.select(F.col("a").alias("sig")), "sig")
+
+    def sign(batches):
+        for b in batches:
+            col = b.column(1)
+            sigs = [signatures(e.values.to_numpy(zero_copy_only=False).view(np.uint64), percent) for e in col]
+            node = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sigs])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate([np.zeros(0, np.uint64), *sigs]).view(np.int64))], names=["node", "sig"])
+
+    members = sets.mapInArrow(sign, "node long, sig long").join(large.select(F.col("a").alias("sig")), "sig")
     members = members.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
     open_ = members.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("c")).where("r0 < r1")
     members = members.join(open_.select("sig", "c"), "sig").withColumn("nb", F.ceil(F.col("c") / block).cast("int"))
@@ -278,22 +306,21 @@ def large_group_links(classes: DataFrame, large: DataFrame, roots: DataFrame, se
 def join_documents(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (least id that links reach, its own included)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    told = materialise(describe(rows, n, percent))
-    folded = told.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("id"), F.first("sigs").alias("sigs"))
-    classes = materialise(folded.withColumn("node", F.monotonically_increasing_id()))
-    total = classes.agg(F.sum(F.size("sigs")).alias("s")).first()["s"] or 0
-    found = materialise(candidates(classes, max(1, -(-total // HELD))))
-    pairs, large = found.where("not large").select("a", "b"), found.where("large")
+    told = materialise(describe(rows, n))
+    classes = told.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("id")).withColumn("node", F.col("k1"))
+    total = told.agg(F.sum("n").alias("s")).first()["s"] or 0
+    total = total * 4 * (100 - percent) // (100 + percent)  # about so many signatures
+    found = materialise(candidates(rows, n, percent, max(1, -(-total // HELD))))
+    pairs, large = found.where("not large").select("a", "b"), found.where("large").select("a").distinct()
     need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = materialise(class_sets(rows, classes.select("node", "id", "k1", "k2").join(need, "node"), n))
     links = materialise(linked(pairs, sets, percent))
     roots = components(links)
     if large.limit(1).count():
-        links = links.union(large_group_links(classes, large, roots, sets, percent, block))
+        links = links.union(large_group_links(large, roots, sets, percent, block))
         roots = components(links)
-    named = classes.select("node", "id", "k1", "k2", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     named = named.join(least, "root").select("k1", "k2", "n", "component_id")
-    whole = told.select("id", "n", "k1", "k2")
-    return whole.join(named, ["k1", "k2", "n"], "left").select(
+    return told.join(named, ["k1", "k2", "n"], "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
