@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, pii, quality, setjoin, sharding, substring, urlfilter
+from . import decontaminate, packing, pii, quality, setjoin, sharding, substring, toxicity, urlfilter
 
 # The path rules of op4.
 URL_RULES = (
@@ -58,6 +58,18 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
+def held_out(doc_id: str, parts: int, part: int):
+    """Rows whose crc32 of the id as text falls into the part."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts == part
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0))
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted", "rejected")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicate(table(spark, sf_dir, "documents"), size=13)
 
@@ -83,6 +95,7 @@ QUERIES = {
     "op2_pack": op2_pack,
     "op3_pii": op3_pii,
     "op4_url_filter": op4_url_filter,
+    "op5_toxicity": op5_toxicity,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_sharding": op8_sharding,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
