@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, pii, quality, setjoin, sharding, substring, toxicity, urlfilter
+from . import decontaminate, packing, pii, pyplm, quality, setjoin, sharding, substring, toxicity, urlfilter
 
 # The path rules of op4.
 URL_RULES = (
@@ -70,6 +70,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted", "rejected")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pyplm.score_documents(table(spark, sf_dir, "documents"), ~held_out("doc_id", 7, 2))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicate(table(spark, sf_dir, "documents"), size=13)
 
@@ -96,6 +100,7 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_url_filter": op4_url_filter,
     "op5_toxicity": op5_toxicity,
+    "op6_lm_score": op6_lm_score,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_sharding": op8_sharding,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
