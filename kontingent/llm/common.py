@@ -2,42 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import pickle
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.storage import materialise, shared_dir
+
+__all__ = ["Words", "arrow_texts", "ascii_lower", "block_rows", "blocks_of", "by_block", "chunks", "materialise", "mix64", "shared_dir", "text_bytes"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The characters that separate words, as a Java/RE2 class body.
 SPACES = r"\x20\x09-\x0D"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests on one machine) a local temporary
-    folder is set and remembered on the session.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.conf.get("kontingent.shared.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="kontingent-")
-        spark.conf.set("kontingent.shared.dir", at)
-    return at.rstrip("/")
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and
-    survives lost executors, as every executor can read the folder."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(df: DataFrame, col: str = "text") -> int:
     """Bytes of all texts: one cheap aggregate that sizes the blocks."""
     return df.agg(F.sum(F.octet_length(col)).alias("b")).first()["b"] or 0
@@ -53,6 +33,36 @@ def blocks_of(df: DataFrame, target: int = 4 << 20, col: str = "text") -> int:
     return max(1, -(-text_bytes(df, col) // target))
 
 
+def by_block(rows: DataFrame, n: int) -> DataFrame:
+    """(block, docs) of rows (id long, flag boolean, text): dealt to n blocks by a hash of the id.
+
+    A task packs what it has of a block, compressed, so that texts are shuffled small.
+    """
+    import pyarrow as pa
+
+    def pack(batches):
+        press = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            block = t["block"].to_numpy()
+            order = np.argsort(block, kind="stable")
+            cuts = np.flatnonzero(np.diff(block[order], prepend=-1, append=-1)).tolist() if len(order) else [0]
+            ids, flags, texts = t["id"].to_pylist(), t["flag"].to_pylist(), arrow_texts(t["text"].combine_chunks())
+            order = order.tolist()
+            parts = [order[u:v] for u, v in zip(cuts[:-1], cuts[1:])]
+            blobs = [press.compress(pickle.dumps([(ids[k], flags[k], texts[k]) for k in part])) for part in parts]
+            yield pa.RecordBatch.from_arrays([pa.array([int(block[p[0]]) for p in parts], pa.int32()), pa.array(blobs, pa.binary())], names=["block", "docs"])
+
+    dealt = rows.select("id", "flag", "text", F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(n)).cast("int").alias("block"))
+    return dealt.mapInArrow(pack, "block int, docs binary")
+
+
+def block_rows(docs: list[bytes]) -> list[tuple]:
+    """(id, flag, text) of a block from its packed parts, in a fixed order (null ids first)."""
+    rows = [r for x in docs for r in pickle.loads(zstandard.ZstdDecompressor().decompress(x))]
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[2], r[1]))
+
+
 _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -98,6 +108,19 @@ class Words:
         return mix64(np.add.reduceat(terms, at) + size.astype(np.uint64))
 
 
+def chunks(texts: list[bytes], limit: int = 2 << 20):
+    """Runs of texts of at most ``limit`` bytes together (a longer text alone): what ``Words`` holds at once."""
+    some, size = [], 0
+    for t in texts:
+        if some and size + len(t) > limit:
+            yield some
+            some, size = [], 0
+        some.append(t)
+        size += len(t)
+    if some:
+        yield some
+
+
 def arrow_texts(column) -> list[bytes]:
     """The texts of an Arrow string column as bytes; a null is empty."""
     import pyarrow as pa

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_texts, materialise, mix64
+from .common import Words, arrow_texts, chunks, materialise, mix64
 from .components import components
 
 #: Up to so many classes with a common signature are paired completely.
@@ -87,6 +87,10 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
 
 def element_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     """Sorted distinct n-gram hashes of each text, A-Z lower-cased."""
+    return [e for some in chunks(texts) for e in _element_sets(some, n)]
+
+
+def _element_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     w = Words([t.lower() for t in texts])
     grams = np.zeros(max(0, len(w.start) - n + 1), np.uint64)
     for j in range(n):
