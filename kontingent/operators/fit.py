@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..algebra import Model, bits
@@ -23,6 +24,8 @@ from .table import VALUE, domain, project
 
 #: States of a dense table on the driver: 8 bytes each, a few copies.
 MAX_DENSE = 1 << 22
+#: A margin of at most so many states may be broadcast.
+MAX_BROADCAST = 100_000
 #: States that a DataFrame fit may enumerate unless told otherwise.
 MAX_STATES = 1 << 28
 
@@ -194,9 +197,14 @@ def margin_error(q: DataFrame, margins) -> float:
 
 
 def fixed_sweeps(p: DataFrame, model: Model, sweeps: int) -> DataFrame:
-    """A fixed number of IPF sweeps as one plan (for small tables and few sweeps)."""
+    """A fixed number of IPF sweeps as one plan.  Each step sums over a window, so the plan grows by one
+    window and one join per step, not by a copy of all steps before."""
     schema, q = model.schema, start_table(p, model)
     for _ in range(sweeps):
         for r in model.relations:
-            q = scale_by_margin(q, project(p, schema, r), schema.names(r))
-    return q
+            names = schema.names(r)
+            want = project(p, schema, r).withColumnRenamed(VALUE, "_want")
+            have = F.sum(VALUE).over(W.partitionBy(*names))
+            q = q.withColumn("_have", have).join(F.broadcast(want) if schema.cells(r) <= MAX_BROADCAST else want, names)
+            q = q.withColumn(VALUE, F.when(F.col("_have") > 0, F.col(VALUE) * F.col("_want") / F.col("_have")).otherwise(F.lit(0.0))).drop("_have", "_want")
+    return q.select(*schema.columns, VALUE)

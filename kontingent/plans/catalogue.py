@@ -1,4 +1,591 @@
-"""Registered queries and their SQL twins."""
+"""Registered queries over the driver's tables, and their SQL twins.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Most queries analyse one data set: lineitem's return flag (A), line status (B),
+quantity in five equal bins (C) and line number (D).  Doubles are rounded on
+both sides, as sums depend on the order of addition.
+"""
+
+from __future__ import annotations
+
+from itertools import combinations, permutations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import algebra
+from ..functions import sequences, special
+from ..operators import binning, fit, predict
+from ..operators import table as tables
+from ..operators.analyzer import Analyzer
+from ..schema import Schema, Variable
+from ..sources import formats
+from ..sources.synthetic import chain_model, sample
+from . import neighbours, search
+
+VALUE = tables.VALUE
+# Labels of the nominal columns, sorted.
+FLAGS, STATUS = ("A", "N", "R"), ("F", "O")
+BREAKS = binning.equal_width_breaks(1.0, 50.0, 5)
+
+
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def line_schema(dependent: str = "") -> Schema:
+    return Schema((Variable("l_returnflag", "A", 3, dependent == "A", FLAGS), Variable("l_linestatus", "B", 2, dependent == "B", STATUS),
+                   Variable("quantity_bin", "C", 5, dependent == "C"), Variable("line_number", "D", 7, dependent == "D")))
+
+
+def line_table(spark: SparkSession, sf: str, dependent: str = "") -> DataFrame:
+    raw = read(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", binning.bin_code(F.col("l_quantity"), BREAKS).alias("quantity_bin"), (F.col("l_linenumber") - 1).alias("line_number"))
+    return tables.encode(raw, line_schema(dependent))
+
+
+def analyzer(spark: SparkSession, sf: str, dependent: str = "") -> Analyzer:
+    return Analyzer(line_table(spark, sf, dependent), line_schema(dependent))
+
+
+def rounded(df: DataFrame, digits: int = 8, *names: str) -> DataFrame:
+    kinds = dict(df.dtypes)
+    return df.select(*[F.round(F.col(c), digits).alias(c) if kinds[c] == "double" and (not names or c in names) else F.col(c) for c in df.columns])
+
+
+def probabilities(spark, sf, dependent=""):
+    t = line_table(spark, sf, dependent)
+    return tables.normalize(t), line_schema(dependent)
+
+
+# SQL pieces ---------------------------------------------------------------------------
+
+_CASE = "case " + " ".join(f"when l_quantity < {b!r} then {k}" for k, b in enumerate(BREAKS[1:-1])) + f" else {len(BREAKS) - 2} end"
+_T = f"""t as (select cast(case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end as integer) as A, cast(case l_linestatus when 'F' then 0 else 1 end as integer) as B,
+  cast({_CASE} as integer) as C, cast(l_linenumber - 1 as integer) as D, cast(count(*) as double) as value from lineitem group by all),
+p as (select A, B, C, D, value / (select sum(value) from t) as value from t)"""
+_N = "(select sum(value) from t)"
+
+
+def _h(cols: str) -> str:
+    """Entropy of a margin of t as a scalar query."""
+    by = ", ".join(cols)
+    return f"(select log2(sum(v)) - sum(v * log2(v)) / sum(v) from (select sum(value) as v from t group by {by}))"
+
+
+def _m(cols: str, src: str = "p") -> str:
+    by = ", ".join(cols)
+    return f"(select {by}, sum(value) as v from {src} group by {by})"
+
+
+def _model_sql(name: str, plus: list[str], minus: list[str], df: int) -> str:
+    h = " + ".join(_h(c) for c in plus) + "".join(f" - {_h(c)}" for c in minus)
+    return f"""with {_T}, s as (select {h} as h, {_h('ABCD')} as hd, {_N} as n)
+select '{name}' as model, round(h, 8) as h, round(hd - h, 8) as t, cast({df} as bigint) as df, cast({209 - df} as bigint) as ddf,
+  round(2 * n * ln(2) * (h - hd), 5) as lr, round(2 * n * ln(2) * (h - hd) - 2 * {df}, 5) as aic,
+  round(2 * n * ln(2) * (h - hd) - {209 - df} * ln(n), 5) as bic from s"""
+
+
+# Queries ----------------------------------------------------------------------------------
+
+def contingency(spark, sf):
+    return line_table(spark, sf)
+
+
+def project_bc(spark, sf):
+    return tables.project(line_table(spark, sf), line_schema(), 0b0110)
+
+
+def normalize(spark, sf):
+    return rounded(probabilities(spark, sf)[0], 10)
+
+
+def coverage(spark, sf):
+    return tables.coverage(line_table(spark, sf), line_schema())
+
+
+def point_lookup(spark, sf):
+    return tables.find(line_table(spark, sf), A=1, B=0)
+
+
+def wildcard_match(spark, sf):
+    """Margins of A, AB and B matched against each other: a summed-out variable matches everything."""
+    s = line_schema()
+    m = tables.project_many(line_table(spark, sf), s, [0b0001, 0b0011, 0b0010])
+    return tables.matching(m, m, s).select("A_a", "B_a", "value_a", "A_b", "B_b", "value_b")
+
+
+def marginal_entropies(spark, sf):
+    s = line_schema()
+    masks = [1 << k for k in range(4)] + [1 << i | 1 << j for i, j in combinations(range(4), 2)]
+    e = tables.entropies(line_table(spark, sf), s, masks)
+    name = F.create_map(*[x for m in masks for x in (F.lit(m).cast("long"), F.lit("".join(s.names(m))))])
+    return rounded(e.select(F.element_at(name, F.col("mask")).alias("relation"), "entropy", "n", "states"))
+
+
+def mutual_information(spark, sf):
+    a = analyzer(spark, sf)
+    rows = [("".join(a.schema.names(1 << i | 1 << j)), round(x, 8) + 0.0) for i, j, x in a.all_mutual_information()]
+    return spark.createDataFrame(rows, "pair string, mi double")
+
+
+def kl_divergence(spark, sf):
+    """Divergence of the data from the independence fit."""
+    p, s = probabilities(spark, sf)
+    return rounded(tables.transmission(p, fit.fit_independence(p, s), s))
+
+
+def max_entropy(spark, sf):
+    s = line_schema()
+    return spark.createDataFrame([("".join(s.names(m)), round(tables.max_entropy(s, m), 10)) for m in (0b1, 0b11, 0b111, 0b1111)], "relation string, h_max double")
+
+
+def _model_row(name):
+    def run(spark, sf):
+        a = analyzer(spark, sf)
+        n = a.model(name)
+        row = (name, round(a.h(n), 8), round(a.t(n), 8) + 0.0, a.df(n), a.ddf(n), round(a.lr(n), 5) + 0.0, round(a.aic(n), 5), round(a.bic(n), 5))
+        return spark.createDataFrame([row], "model string, h double, t double, df long, ddf long, lr double, aic double, bic double")
+
+    return run
+
+
+def model_fit_table(spark, sf):
+    """All statistics of a model with a loop."""
+    return rounded(analyzer(spark, sf).fit_frame("AB:BC:AC:D"), 4)
+
+
+def relation_metrics(spark, sf):
+    a = analyzer(spark, sf)
+    rows = [tuple(round(x, 5) + 0.0 if isinstance(x, float) else x for x in a.relation_metrics(m).values()) for m in (0b0011, 0b0110, 0b1100)]
+    return spark.createDataFrame(rows, "relation string, h double, t double, df long, lr double, p2 double")
+
+
+def _fit(name):
+    def run(spark, sf):
+        p, s = probabilities(spark, sf)
+        return rounded(fit.fit_forest(p, algebra.parse_model(s, name)), 10)
+
+    return run
+
+
+def ipf_triangle(spark, sf):
+    """Three IPF sweeps of AB:BC:AC from the uniform table over A, B, C."""
+    p, s = probabilities(spark, sf)
+    small = s.select(["A", "B", "C"])
+    return rounded(fit.fixed_sweeps(tables.project(p, s, 0b0111), algebra.parse_model(small, "AB:BC:AC"), 3), 10)
+
+
+def residuals(spark, sf):
+    p, s = probabilities(spark, sf)
+    small = s.select(["A", "B", "C"])
+    p = tables.project(p, s, 0b0111)
+    return rounded(tables.residuals(p, fit.fit_forest(p, algebra.parse_model(small, "AB:BC")), small), 10)
+
+
+def pearson_p2(spark, sf):
+    t, s = line_table(spark, sf), line_schema()
+    n = tables.total(t)
+    p = tables.normalize(t, n)
+    return rounded(tables.pearson(p, fit.fit_independence(p, s), s, n), 4)
+
+
+def potential_algebra(spark, sf):
+    """P(AB) P(BC) / P(B) by potential multiplication and division."""
+    p, s = probabilities(spark, sf)
+    product = fit.multiply(tables.project(p, s, 0b0011), tables.project(p, s, 0b0110))
+    return rounded(fit.divide(product, tables.project(p, s, 0b0010)).select("A", "B", "C", VALUE), 10)
+
+
+def junction_marginal(spark, sf):
+    """Margin of A and C of the fit AB:BC, which no clique covers."""
+    p, s = probabilities(spark, sf)
+    small = s.select(["A", "B", "C"])
+    return rounded(fit.calibrate(tables.project(p, s, 0b0111), algebra.parse_model(small, "AB:BC")).marginal(0b101), 10)
+
+
+def cond_entropy(spark, sf):
+    a = analyzer(spark, sf, "A")
+    rows = [(m, round(a.cond_h(m), 8), round(a.cond_dh(m), 8) + 0.0) for m in ("A:BCD", "AB:CD", "ABCD")]
+    return spark.createDataFrame(rows, "model string, cond_h double, cond_dh double")
+
+
+def _conditional(spark, sf):
+    t, s = line_table(spark, sf, "A"), line_schema("A")
+    return t, s, predict.conditional_dv(t, tables.normalize(t), s)
+
+
+def conditional_dv(spark, sf):
+    _, _, c = _conditional(spark, sf)
+    return c.select("B", "C", "D", *[F.round(F.element_at("probabilities", k + 1), 8).alias(f"p{k}") for k in range(3)], "prediction", "correct", "total")
+
+
+def predictions_by_rank(spark, sf):
+    p, s = probabilities(spark, sf, "A")
+    return rounded(predict.predictions_by_rank(p, s), 8)
+
+
+def confusion_matrix(spark, sf):
+    t, s, c = _conditional(spark, sf)
+    return predict.confusion_matrix(predict.confusion(t, c, s), s)
+
+
+def class_scores(spark, sf):
+    t, s, c = _conditional(spark, sf)
+    return rounded(predict.class_scores(predict.confusion(t, c, s), s), 8)
+
+
+def accuracy(spark, sf):
+    t, s, c = _conditional(spark, sf)
+    cells = predict.confusion(t, c, s)
+    return rounded(predict.accuracy(cells).crossJoin(predict.percent_correct(c)), 8)
+
+
+def incremental_alpha(spark, sf):
+    """LR and p-value of the step from independence to AB (two degrees of freedom: a closed form)."""
+    a = analyzer(spark, sf)
+    lr = abs(a.lr("AB:C:D") - a.lr("A:B:C:D"))
+    return spark.createDataFrame([(round(lr, 5), round(a.incremental_alpha("AB:C:D", "A:B:C:D"), 6))], "lr double, alpha double")
+
+
+def _level(filter, direction="up", start=None, names=None):
+    def run(spark, sf):
+        a = analyzer(spark, sf)
+        first = algebra.reference_model(a.schema, start)
+        rows = [(r["model"], round(r["lr"], 5) + 0.0, int(r["df"]), round(r["bic"], 5)) for r in a.evaluate(neighbours.rule(filter, direction)(first), ("lr", "df", "bic"))]
+        return spark.createDataFrame(rows, "model string, lr double, df long, bic double")
+
+    return run
+
+
+def all_chains(spark, sf):
+    a = analyzer(spark, sf)
+    return spark.createDataFrame([(r["model"], round(r["h"], 8)) for r in a.evaluate(neighbours.all_chains(a.schema), ("h",))], "model string, h double")
+
+
+def lattice_partitions(spark, sf):
+    s = line_schema()
+    return spark.createDataFrame([(m.name, loops, level) for m, loops, level in neighbours.lattice(s)], "model string, has_loops boolean, level int")
+
+
+def directed_lattice(spark, sf):
+    s = line_schema("A")
+    return spark.createDataFrame([(m.name, level) for m, _, level in neighbours.lattice(s)], "model string, level int")
+
+
+def beam_search(spark, sf):
+    a = analyzer(spark, sf)
+    return rounded(search.search(a, "loopless", "up", "bic", 3, 3).frame(a), 5)
+
+
+def full_search(spark, sf):
+    a = analyzer(spark, sf)
+    return rounded(search.search(a, "full", "up", "bic", 2, 2).frame(a), 4)
+
+
+def search_down(spark, sf):
+    a = analyzer(spark, sf)
+    return rounded(search.search(a, "loopless", "down", "bic", 3, 2).frame(a), 5)
+
+
+def chow_liu(spark, sf):
+    """The tree over columns that do depend on each other: order priority, and digits of the key."""
+    raw = read(spark, sf, "orders").select(F.pmod("o_orderkey", F.lit(2)).alias("x"), F.pmod("o_orderkey", F.lit(4)).alias("y"), F.pmod("o_orderkey", F.lit(8)).alias("z"))
+    s = Schema((Variable("x", "A", 2), Variable("y", "B", 4), Variable("z", "C", 8)))
+    a = Analyzer(tables.encode(raw, s), s)
+    return spark.createDataFrame([("".join(s.names(1 << i | 1 << j)), round(x, 8)) for i, j, x in search.chow_liu(a)], "edge string, mi double")
+
+
+def search_estimate(spark, sf):
+    e = search.estimate(line_schema(), "full", "bic", 3, 4)
+    return spark.createDataFrame([(r["level"], r["models"], r["loop_probability"], r["seconds"]) for r in e["levels"]], "level int, models int, loop_probability double, seconds double")
+
+
+def power_table(spark, sf):
+    rows = [(df, x, special.chi2_sf(x, df), special.power(df, x)) for df in (1, 2, 5) for x in (1.0, 4.0, 10.0)]
+    return spark.createDataFrame(rows, "df int, x double, alpha double, power double")
+
+
+def state_enumeration(spark, sf):
+    return tables.domain(spark, line_schema())
+
+
+def _binned(spec, table="lineitem", column="l_extendedprice"):
+    def run(spark, sf):
+        df = read(spark, sf, table).select(column)
+        f = binning.fit_column(df, column, spec)
+        return df.select(binning.code_column(column, f).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+
+    return run
+
+
+def bin_topn(spark, sf):
+    out, _ = binning.apply_binning(read(spark, sf, "part").select("p_brand"), {"p_brand": binning.BinSpec("top", top=5)})
+    return out
+
+
+def bin_threshold(spark, sf):
+    out, _ = binning.apply_binning(read(spark, sf, "documents").select("lang"), {"lang": binning.BinSpec("threshold", threshold=0.12)})
+    return out
+
+
+def _missing(rule):
+    def run(spark, sf):
+        df = read(spark, sf, "orders").select(F.when(F.pmod("o_orderkey", F.lit(5)) == 0, "N/A").otherwise(F.col("o_orderpriority")).alias("priority"), F.when(F.pmod("o_orderkey", F.lit(7)) == 0, " ? ").otherwise(F.col("o_totalprice").cast("string")).alias("price"))
+        out, _ = binning.apply_binning(df, {"priority": binning.BinSpec("top", top=2, missing=rule), "price": binning.BinSpec("breaks", breaks=(0.0, 100000.0, 200000.0, 1e6), labels="semantic", missing=rule)})
+        return out
+
+    return run
+
+
+def auto_bin(spark, sf):
+    out, _ = binning.auto_bin(read(spark, sf, "lineitem").select("l_quantity", "l_returnflag", "l_linenumber"), target=3, threshold=10)
+    return out
+
+
+def column_profile(spark, sf):
+    return binning.analyze(read(spark, sf, "lineitem").select("l_quantity", "l_returnflag", "l_discount", "l_linenumber"))
+
+
+def infer_values(spark, sf):
+    v = formats.infer_values(read(spark, sf, "orders").select("o_orderstatus", "o_orderpriority"))
+    return v.select("column", "n_rows", "cardinality", F.array_join("values", "|").alias("labels"))
+
+
+def first_seen_codes(spark, sf):
+    return formats.first_seen(read(spark, sf, "nation").orderBy("n_nationkey").coalesce(1).select("n_name"), "n_name").select("value", F.col("code").cast("long").alias("code"))
+
+
+def preprocess_auto_bin(spark, sf):
+    data = formats.dataset_from_frame(read(spark, sf, "lineitem").select("l_returnflag", F.col("l_linenumber").cast("string").alias("l_linenumber")))
+    return formats.preprocess(data, "*", auto_bin=3)[0]
+
+
+def residues_pairs(spark, sf):
+    """Consecutive naturals, residues of 3 and 5 against the next number's residue of 3."""
+    c = sequences.parse_columns("R3,R5")
+    return sequences.to_table(sequences.pair_dataset(sequences.naturals(spark, 5000), c, c[0]), c, c[0])[0]
+
+
+def prime_residues(spark, sf):
+    c = sequences.parse_columns("R3")
+    return sequences.to_table(sequences.pair_dataset(sequences.primes(spark, 1229), c, c[0]), c, c[0])[0]
+
+
+def digit_sums(spark, sf):
+    return sequences.naturals(spark, 3000).select("n", sequences.digit_sum(F.col("n")).alias("digits"))
+
+
+def collatz(spark, sf):
+    return sequences.naturals(spark, 300).select("n", sequences.collatz_steps("n").alias("steps"))
+
+
+def prime_factor_counts(spark, sf):
+    return sequences.naturals(spark, 2000).select("n", sequences.prime_factors("n").alias("factors"))
+
+
+def synthetic_chain(spark, sf):
+    return sample(spark, chain_model(line_schema(), 0.8), 5000, seed=3)
+
+
+def events_markov(spark, sf):
+    """Each user's event type against the one that follows."""
+    from pyspark.sql import Window as W
+
+    e = read(spark, sf, "events").select("user_id", "event_type", F.lead("event_type").over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("following"))
+    return e.where("following is not null").groupBy("event_type", "following").agg(F.count("*").alias("n"))
+
+
+def quality_by_language(spark, sf):
+    """A directed system over documents and labels: toxicity by language and quality."""
+    d = read(spark, sf, "documents").select("doc_id", "lang").join(read(spark, sf, "labels"), "doc_id")
+    s = Schema((Variable("lang", "L", 4, False, ("de", "en", "es", "fr")), Variable("quality", "Q", 2), Variable("toxic", "T", 2, True)))
+    a = Analyzer(tables.encode(d, s), s)
+    rows = [(m, round(a.cond_dh(m), 8) + 0.0, round(a.lr(m), 5) + 0.0, a.df(m)) for m in ("LQ:T", "LT:Q", "L:QT")]
+    return spark.createDataFrame(rows, "model string, cond_dh double, lr double, df long")
+
+
+QUERIES = {
+    "contingency": contingency, "project": project_bc, "normalize": normalize, "coverage": coverage, "point_lookup": point_lookup, "wildcard_match": wildcard_match,
+    "marginal_entropies": marginal_entropies, "mutual_information_matrix": mutual_information, "kl_divergence": kl_divergence, "max_entropy": max_entropy,
+    "model_independence": _model_row("A:B:C:D"), "model_chain": _model_row("AB:BC:CD"), "model_star": _model_row("AB:AC:AD"), "model_saturated": _model_row("ABCD"),
+    "model_triangle_fit": model_fit_table, "relation_metrics": relation_metrics,
+    "fit_independence": _fit("A:B:C:D"), "fit_chain_AB_BC": _fit("AB:BC:D"), "fit_jt_ABC_BCD": _fit("ABC:BCD"), "fit_forest_AB_CD": _fit("AB:CD"),
+    "ipf_triangle": ipf_triangle, "residuals": residuals, "pearson_p2": pearson_p2, "potential_algebra": potential_algebra, "junction_marginal": junction_marginal,
+    "cond_entropy": cond_entropy, "conditional_dv": conditional_dv, "predictions_by_rank": predictions_by_rank, "confusion_matrix": confusion_matrix,
+    "class_scores": class_scores, "accuracy": accuracy, "incremental_alpha": incremental_alpha,
+    "loopless_up_level1": _level("loopless"), "full_up_level1": _level("full"), "disjoint_up_level1": _level("disjoint"), "disjoint_down_level1": _level("disjoint", "down", "ABCD"),
+    "loopless_down_level1": _level("loopless", "down", "ABCD"), "all_chains": all_chains, "lattice_partitions": lattice_partitions, "directed_lattice": directed_lattice,
+    "beam_search": beam_search, "full_search": full_search, "search_down": search_down, "chow_liu_edges": chow_liu, "search_estimate": search_estimate, "power_table": power_table,
+    "state_enumeration": state_enumeration, "bin_equal_width": _binned(binning.BinSpec("width", bins=5)), "bin_quantile": _binned(binning.BinSpec("quantile", bins=4)),
+    "bin_breaks": _binned(binning.BinSpec("breaks", breaks=(0.0, 10000.0, 50000.0, 200000.0))), "bin_topn": bin_topn, "bin_threshold": bin_threshold,
+    "missing_bin": _missing("separate"), "missing_exclude": _missing("exclude"), "missing_ignore": _missing("ignore"), "auto_bin": auto_bin, "column_profile": column_profile,
+    "infer_values": infer_values, "first_seen_codes": first_seen_codes, "preprocess_auto_bin": preprocess_auto_bin, "residues_pairs": residues_pairs, "prime_residues": prime_residues,
+    "digit_sums": digit_sums, "collatz": collatz, "prime_factors": prime_factor_counts, "synthetic_chain": synthetic_chain, "events_markov": events_markov,
+    "quality_by_language": quality_by_language,
+}
+
+
+# SQL twins ------------------------------------------------------------------------------------
+
+_INDEP = f"(select a.A, b.B, c.C, d.D, a.v * b.v * c.v * d.v as value from {_m('A')} a, {_m('B')} b, {_m('C')} c, {_m('D')} d)"
+_COND = f"""g as (select B, C, D, sum(case when A = 0 then value else 0 end) as n0, sum(case when A = 1 then value else 0 end) as n1,
+  sum(case when A = 2 then value else 0 end) as n2 from t group by B, C, D),
+k as (select *, n0 + n1 + n2 as total, cast(case when n0 >= n1 and n0 >= n2 then 0 when n1 >= n2 then 1 else 2 end as integer) as prediction from g),
+f as (select t.A as actual, k.prediction as predicted, sum(t.value) as value from t join k using (B, C, D) group by all)"""
+
+
+def _level_sql(models: list[tuple[str, list[str], list[str], int]]) -> str:
+    rows = []
+    for name, plus, minus, df in models:
+        h = " + ".join(_h(c) for c in plus) + "".join(f" - {_h(c)}" for c in minus)
+        rows.append(f"select '{name}' as model, {h} as h, cast({df} as bigint) as df")
+    return f"""with {_T}, m as ({' union all '.join(rows)}), s as (select {_h('ABCD')} as hd, {_N} as n)
+select model, round(2 * n * ln(2) * (h - hd), 5) as lr, df, round(2 * n * ln(2) * (h - hd) - (209 - df) * ln(n), 5) as bic from m, s"""
+
+
+_CARD = {"A": 3, "B": 2, "C": 5, "D": 7}
+
+
+def _cells(rel: str) -> int:
+    out = 1
+    for c in rel:
+        out *= _CARD[c]
+    return out - 1
+
+
+def _simple(names: list[str], minus: dict[str, list[str]] | None = None):
+    """Rows of (model, cliques, separators, df) for decomposable models."""
+    minus = minus or {}
+    return [(m, m.split(":"), minus.get(m, []), sum(map(_cells, m.split(":"))) - sum(map(_cells, minus.get(m, [])))) for m in names]
+
+
+_PAIRS = ["AB:C:D", "AC:B:D", "AD:B:C", "A:BC:D", "A:BD:C", "A:B:CD"]
+_SPLITS = {"ABC:ABD": ["AB"], "ABC:ACD": ["AC"], "ABC:BCD": ["BC"], "ABD:ACD": ["AD"], "ABD:BCD": ["BD"], "ACD:BCD": ["CD"]}
+_CHAINS = {}
+for _a, _b, _c, _d in [x for x in permutations("ABCD") if x[0] < x[3]]:
+    _rel = sorted("".join(sorted(x)) for x in (_a + _b, _b + _c, _c + _d))
+    _CHAINS[":".join(_rel)] = (_rel, [_b, _c])
+
+_PARTITIONS = [("A:B:C:D", 0), *[(m, 1) for m in _PAIRS], *[(m, 2) for m in ("AB:CD", "AC:BD", "AD:BC", "ABC:D", "ABD:C", "ACD:B", "A:BCD")], ("ABCD", 3)]
+_BIN_CASE = "case when x < b1 then 0 when x < b2 then 1 when x < b3 then 2 when x < b4 then 3 else 4 end"
+_MISSING_BASE = """b as (select case when o_orderkey % 5 = 0 then null else o_orderpriority end as pr, case when o_orderkey % 7 = 0 then null else o_totalprice end as x from orders),
+top as (select pr from b where pr is not null group by pr order by count(*) desc, pr limit 2),
+l as (select case when pr is null then {p} when pr in (select pr from top) then pr else 'Other' end as priority,
+  case when x is null then {x} when x < 100000 then 'Low' when x < 200000 then 'Medium' else 'High' end as price from b)"""
+
+
+def _missing_sql(p: str, x: str, where: str = "") -> str:
+    return f"with {_MISSING_BASE.format(p=p, x=x)} select priority, price, cast(count(*) as double) as value from l {where} group by all"
+
+
+def _ipf_sql(sweeps: int) -> str:
+    parts = [f"{_T}, q0 as (select A, B, C, 1.0 / 30 as value from (select unnest(range(3))::int as A), (select unnest(range(2))::int as B), (select unnest(range(5))::int as C))"]
+    k = 0
+    for _ in range(sweeps):
+        for r in ("AB", "BC", "AC"):
+            parts.append(f"q{k + 1} as (select q.A, q.B, q.C, q.value * m.v / h.v as value from q{k} q join {_m(r)} m on {' and '.join(f'q.{c} = m.{c}' for c in r)} join {_m(r, f'q{k}')} h on {' and '.join(f'q.{c} = h.{c}' for c in r)})")
+            k += 1
+    return f"with {', '.join(parts)} select A, B, C, round(value, 10) as value from q{k}"
+
+
+def _relation_sql(r: str) -> str:
+    a, b = r
+    df = (_CARD[a] - 1) * (_CARD[b] - 1)
+    return f"""select '{r}' as relation, round({_h(r)}, 5) as h, round({_h(a)} + {_h(b)} - {_h(r)}, 5) as t, cast({df} as bigint) as df,
+  round(2 * {_N} * ln(2) * ({_h(a)} + {_h(b)} - {_h(r)}), 5) as lr,
+  round({_N} * (select sum((x.v - y.v * z.v) * (x.v - y.v * z.v) / (y.v * z.v)) from {_m(r)} x join {_m(a)} y on x.{a} = y.{a} join {_m(b)} z on x.{b} = z.{b}), 5) as p2"""
+
+
+ORACLES = {
+    "contingency": f"with {_T} select * from t",
+    "project": f"with {_T} select B, C, sum(value) as value from t group by B, C",
+    "normalize": f"with {_T} select A, B, C, D, round(value, 10) as value from p",
+    "coverage": f"with {_T} select count(*) as observed_states, 210.0::double as possible_states, count(*) / 210.0::double as coverage from t",
+    "point_lookup": f"with {_T} select * from t where A = 1 and B = 0",
+    "wildcard_match": f"""with {_T}, m as (select A, null::int as B, sum(value) as value from t group by A union all select A, B, sum(value) from t group by A, B union all select null::int, B, sum(value) from t group by B)
+select x.A as A_a, x.B as B_a, x.value as value_a, y.A as A_b, y.B as B_b, y.value as value_b from m x, m y
+where (x.A is null or y.A is null or x.A = y.A) and (x.B is null or y.B is null or x.B = y.B)""",
+    "marginal_entropies": f"with {_T} " + " union all ".join(
+        f"select '{c}' as relation, round(log2(sum(v)) - sum(v * log2(v)) / sum(v), 8) as entropy, sum(v) as n, count(*) as states from (select sum(value) as v from t group by {', '.join(c)})"
+        for c in ["A", "B", "C", "D", "AB", "AC", "AD", "BC", "BD", "CD"]),
+    "mutual_information_matrix": f"with {_T} " + " union all ".join(f"select '{a}{b}' as pair, round(greatest(0, {_h(a)} + {_h(b)} - {_h(a + b)}), 8) as mi" for a, b in combinations("ABCD", 2)),
+    "kl_divergence": f"with {_T} select round(sum(p.value * log2(p.value / q.value)), 8) as kl from p join {_INDEP} q using (A, B, C, D)",
+    "max_entropy": "select * from (values ('A', round(log2(3), 10)), ('AB', round(log2(6), 10)), ('ABC', round(log2(30), 10)), ('ABCD', round(log2(210), 10))) v(relation, h_max)",
+    "model_independence": _model_sql("A:B:C:D", list("ABCD"), [], 13),
+    "model_chain": _model_sql("AB:BC:CD", ["AB", "BC", "CD"], ["B", "C"], 5 + 9 + 34 - 1 - 4),
+    "model_star": _model_sql("AB:AC:AD", ["AB", "AC", "AD"], ["A", "A"], 5 + 14 + 20 - 4),
+    "model_saturated": _model_sql("ABCD", ["ABCD"], [], 209),
+    "relation_metrics": f"with {_T} " + " union all ".join(map(_relation_sql, ("AB", "BC", "CD"))),
+    "fit_independence": f"with {_T} select A, B, C, D, round(value, 10) as value from {_INDEP}",
+    "fit_chain_AB_BC": f"with {_T} select x.A, x.B, y.C, d.D, round(x.v * y.v / s.v * d.v, 10) as value from {_m('AB')} x join {_m('BC')} y on x.B = y.B join {_m('B')} s on s.B = x.B, {_m('D')} d",
+    "fit_jt_ABC_BCD": f"with {_T} select x.A, x.B, x.C, y.D, round(x.v * y.v / s.v, 10) as value from {_m('ABC')} x join {_m('BCD')} y on x.B = y.B and x.C = y.C join {_m('BC')} s on s.B = x.B and s.C = x.C",
+    "fit_forest_AB_CD": f"with {_T} select x.A, x.B, y.C, y.D, round(x.v * y.v, 10) as value from {_m('AB')} x, {_m('CD')} y",
+    "ipf_triangle": _ipf_sql(3),
+    "residuals": f"""with {_T}, o as (select A, B, C, sum(value) as v from p group by A, B, C),
+f as (select x.A, x.B, y.C, x.v * y.v / s.v as v from {_m('AB')} x join {_m('BC')} y on x.B = y.B join {_m('B')} s on s.B = x.B)
+select f.A, f.B, f.C, round(coalesce(o.v, 0), 10) as observed, round(f.v, 10) as fitted, round(coalesce(o.v, 0) - f.v, 10) as residual from f left join o on o.A = f.A and o.B = f.B and o.C = f.C""",
+    "pearson_p2": f"with {_T} select round({_N} * sum((coalesce(p.value, 0) - q.value) * (coalesce(p.value, 0) - q.value) / q.value), 4) as p2 from {_INDEP} q left join p using (A, B, C, D)",
+    "potential_algebra": f"with {_T} select x.A, x.B, y.C, round(x.v * y.v / s.v, 10) as value from {_m('AB')} x join {_m('BC')} y on x.B = y.B join {_m('B')} s on s.B = x.B",
+    "junction_marginal": f"with {_T} select x.A, y.C, round(sum(x.v * y.v / s.v), 10) as value from {_m('AB')} x join {_m('BC')} y on x.B = y.B join {_m('B')} s on s.B = x.B group by x.A, y.C",
+    "cond_entropy": f"""with {_T} select 'A:BCD' as model, round({_h('A')}, 8) as cond_h, 0.0::double as cond_dh
+union all select 'AB:CD', round({_h('AB')} + {_h('CD')} - {_h('BCD')}, 8), round({_h('A')} - ({_h('AB')} + {_h('CD')} - {_h('BCD')}), 8)
+union all select 'ABCD', round({_h('ABCD')} - {_h('BCD')}, 8), round({_h('A')} - {_h('ABCD')} + {_h('BCD')}, 8)""",
+    "conditional_dv": f"with {_T}, {_COND} select B, C, D, round(n0 / total, 8) as p0, round(n1 / total, 8) as p1, round(n2 / total, 8) as p2, prediction, case prediction when 0 then n0 when 1 then n1 else n2 end as correct, total from k",
+    "predictions_by_rank": f"with {_T}, {_COND} select B, C, D, prediction, round(case prediction when 0 then n0 when 1 then n1 else n2 end / total, 8) as probability from k",
+    "confusion_matrix": f"with {_T}, {_COND} select actual, sum(case when predicted = 0 then value else 0 end) as predicted_0, sum(case when predicted = 1 then value else 0 end) as predicted_1, sum(case when predicted = 2 then value else 0 end) as predicted_2 from f group by actual",
+    "class_scores": f"""with {_T}, {_COND} select cast(code as int) as code, round(coalesce((select sum(value) from f where actual = code and predicted = code) / (select sum(value) from f where predicted = code), 0), 8) as precision,
+round(coalesce((select sum(value) from f where actual = code and predicted = code) / (select sum(value) from f where actual = code), 0), 8) as recall from range(3) r(code)""",
+    "accuracy": f"with {_T}, {_COND} select round(sum(case when actual = predicted then value else 0 end) / sum(value), 8) as accuracy, round(100 * sum(case when actual = predicted then value else 0 end) / sum(value), 8) as percent_correct from f",
+    "incremental_alpha": f"with {_T}, s as (select 2 * {_N} * ln(2) * ({_h('A')} + {_h('B')} - {_h('AB')}) as lr) select round(lr, 5) as lr, round(exp(-lr / 2), 6) as alpha from s",
+    "loopless_up_level1": _level_sql(_simple(_PAIRS)),
+    "full_up_level1": _level_sql(_simple(_PAIRS)),
+    "disjoint_up_level1": _level_sql(_simple(_PAIRS)),
+    "disjoint_down_level1": _level_sql(_simple(["A:BCD", "ACD:B", "ABD:C", "ABC:D"])),
+    "loopless_down_level1": _level_sql(_simple(list(_SPLITS), _SPLITS)),
+    "all_chains": f"with {_T} " + " union all ".join(f"select '{m}' as model, round({' + '.join(map(_h, r))} - {' - '.join(map(_h, s))}, 8) as h" for m, (r, s) in _CHAINS.items()),
+    "lattice_partitions": "select * from (values " + ", ".join(f"('{m}', false, {k}::int)" for m, k in _PARTITIONS) + ") v(model, has_loops, level)",
+    "directed_lattice": "select * from (values ('A:BCD', 0), ('AB:CD', 1), ('AC:BD', 1), ('AD:BC', 1), ('ABC:D', 2), ('ABD:C', 2), ('ACD:B', 2), ('ABCD', 3)) v(model, level)",
+    "chow_liu_edges": "select * from (values ('BC', 2.0::double), ('AB', 1.0::double)) v(edge, mi)",
+    "state_enumeration": "select cast(i as bigint) as state, cast(i % 3 as int) as A, cast(i // 3 % 2 as int) as B, cast(i // 6 % 5 as int) as C, cast(i // 30 as int) as D from range(210) r(i)",
+    "bin_equal_width": f"""with x as (select l_extendedprice as x from lineitem), m as (select min(x) as lo, max(x) as hi from x),
+b as (select lo + (hi - lo) / 5 * 1 as b1, lo + (hi - lo) / 5 * 2 as b2, lo + (hi - lo) / 5 * 3 as b3, lo + (hi - lo) / 5 * 4 as b4 from m)
+select cast({_BIN_CASE} as int) as code, count(*) as n from x, b group by 1""",
+    "bin_quantile": """with x as (select l_extendedprice as x from lineitem), b as (select quantile_cont(x, 0.25) as b1, quantile_cont(x, 0.5) as b2, quantile_cont(x, 0.75) as b3 from x)
+select cast(case when x < b1 then 0 when x < b2 then 1 when x < b3 then 2 else 3 end as int) as code, count(*) as n from x, b group by 1""",
+    "bin_breaks": "select cast(case when l_extendedprice < 10000 then 0 when l_extendedprice < 50000 then 1 else 2 end as int) as code, count(*) as n from lineitem group by 1",
+    "bin_topn": """with top as (select p_brand from part group by p_brand order by count(*) desc, p_brand limit 5)
+select case when p_brand in (select p_brand from top) then p_brand else 'Other' end as p_brand, cast(count(*) as double) as value from part group by 1""",
+    "bin_threshold": """with f as (select lang, count(*) as n from documents group by lang)
+select case when n >= 0.12 * (select count(*) from documents) then lang else 'Other' end as lang, cast(sum(n) as double) as value from f group by 1""",
+    "missing_bin": _missing_sql("'Missing'", "'Missing'"),
+    "missing_exclude": _missing_sql("null", "null", "where priority is not null and price is not null"),
+    "missing_ignore": _missing_sql("'Other'", "'Low'"),
+    "auto_bin": """with m as (select min(l_quantity) as lo, max(l_quantity) as hi from lineitem),
+b as (select lo, hi, lo + (hi - lo) / 3 * 1 as b1, lo + (hi - lo) / 3 * 2 as b2 from m)
+select case when l_quantity < b1 then cast(cast(floor(lo) as bigint) as varchar) || '-' || cast(cast(floor(b1) as bigint) as varchar)
+  when l_quantity < b2 then cast(cast(floor(b1) as bigint) as varchar) || '-' || cast(cast(floor(b2) as bigint) as varchar)
+  else cast(cast(floor(b2) as bigint) as varchar) || '-' || cast(cast(floor(hi) as bigint) as varchar) end as l_quantity, l_returnflag, l_linenumber, cast(count(*) as double) as value
+from lineitem, b group by all""",
+    "column_profile": " union all ".join(
+        f"select '{c}' as \"column\", {num} as is_numeric, count(distinct {c}) as unique_count, cast(0 as bigint) as missing_count, count(*) as n_rows, {lo} as min, {hi} as max from lineitem"
+        for c, num, lo, hi in [("l_quantity", "true", "min(l_quantity)", "max(l_quantity)"), ("l_returnflag", "false", "null::double", "null::double"),
+                               ("l_discount", "true", "min(l_discount)", "max(l_discount)"), ("l_linenumber", "true", "min(l_linenumber)::double", "max(l_linenumber)::double")]),
+    "infer_values": " union all ".join(f"select '{c}' as \"column\", count(*) as n_rows, count(distinct {c}) as cardinality, (select string_agg(v, '|' order by v) from (select distinct {c} as v from orders)) as labels from orders" for c in ("o_orderstatus", "o_orderpriority")),
+    "first_seen_codes": "select n_name as value, row_number() over (order by k) - 1 as code from (select n_name, min(n_nationkey) as k from nation group by n_name)",
+    "preprocess_auto_bin": """select cast(case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end as int) as "L", cast(least((l_linenumber - 1) // 3, 2) as int) as "Ll", cast(count(*) as double) as value from lineitem group by 1, 2""",
+    "residues_pairs": "select cast(n % 3 as int) as A, cast(n % 5 as int) as B, cast((n + 1) % 3 as int) as Z, cast(count(*) as double) as value from range(1, 5000) r(n) group by all",
+    "prime_residues": """with n as (select range as n from range(2, 10000)), c as (select distinct p.n * k.k as n from (select range as n from range(2, 101)) p, (select range as k from range(2, 5001)) k where p.n * k.k < 10000 and k.k >= p.n),
+p as (select n.n from n left join c on n.n = c.n where c.n is null), q as (select n, lead(n) over (order by n) as nx from p)
+select cast(n % 3 as int) as A, cast(nx % 3 as int) as Z, cast(count(*) as double) as value from q where nx is not null group by all""",
+    "digit_sums": "select n, cast(n % 10 + n // 10 % 10 + n // 100 % 10 + n // 1000 as int) as digits from range(1, 3001) r(n)",
+    "collatz": """with recursive w(n, x, k) as (select range, range, 0 from range(1, 301) union all select n, case when x % 2 = 0 then x // 2 else 3 * x + 1 end, k + 1 from w where x > 1)
+select n, max(k)::int as steps from w group by n""",
+    "prime_factors": """with recursive w(n, x, p, k) as (select range, range, cast(2 as bigint), 0 from range(1, 2001)
+union all select n, case when x % p = 0 then x // p else x end, case when x % p = 0 then p else p + 1 end, case when x % p = 0 then k + 1 else k end from w where p * p <= x)
+select n, cast(max(k + case when x > 1 and p * p > x then 1 else 0 end) as int) as factors from w where p * p > x group by n""",
+    "events_markov": "select event_type, following, count(*) as n from (select event_type, lead(event_type) over (partition by user_id order by ts, event_id) as following from events) where following is not null group by all",
+    "quality_by_language": """with t as (select lang as L, quality as Q, toxic as T, cast(count(*) as double) as value from documents join labels using (doc_id) group by all),
+h as (select """ + ", ".join(f"(select log2(sum(v)) - sum(v * log2(v)) / sum(v) from (select sum(value) as v from t group by {', '.join(c)})) as h{c}" for c in ["L", "Q", "T", "LQ", "LT", "QT", "LQT"]) + """, (select sum(value) from t) as n)
+select 'LQ:T' as model, 0.0::double as cond_dh, round(2 * n * ln(2) * (hLQ + hT - hLQT), 5) as lr, cast(8 as bigint) as df from h
+union all select 'LT:Q', round(hT - (hLT + hQ - hLQ), 8), round(2 * n * ln(2) * (hLT + hQ - hLQT), 5), 8 from h
+union all select 'L:QT', round(hT - (hL + hQT - hLQ), 8), round(2 * n * ln(2) * (hL + hQT - hLQT), 5), 6 from h""",
+}
