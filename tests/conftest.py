@@ -1,5 +1,8 @@
 import os
 
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # small matrices: threads would only wait for each other
+
+
 import pytest
 from pyspark.sql import SparkSession
 
