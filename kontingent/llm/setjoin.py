@@ -4,19 +4,22 @@ A document is the set of its word n-grams (64-bit hashes of their words).  Sets
 of a similarity of at least t differ in at most k elements, with k from the
 size of the larger one.  Sizes are cut into bands in which sizes differ by at
 most t; similar sets lie in one band or in neighbouring ones, so each set signs
-for its own band and the next.  For a band the hash domain is cut into n1 parts
-of n2 pieces: two similar sets differ in at most one element inside some part,
-so they agree on n2 - 1 of its pieces.  Every choice of n2 - 1 pieces of a part
-is a signature, and similar sets share at least one.
+for its own band and the next.  For a band the hash domain is cut into parts of
+two pieces each, K = k + 1 + e pieces in all; every choice of one piece of a
+part is a signature.  Two similar sets differ in at most k pieces, so they agree
+on at least 1 + e.  Pieces with fewer than m elements say little and would join
+unrelated sets, so a set with at most e such pieces does not sign them: one of
+the pieces it agrees on is then another.  A set with more of them signs them all.
 
 Equal sets are one class, named by 64 bits of the set, so copies never meet as
 pairs, and a task sends a class's signatures once.
 Groups of at most ``SMALL`` classes with a common signature give all their pairs
 as candidates; in a larger group each class is paired with the least one only.
 Candidates are checked exactly.  Larger groups that still hold classes of
-different components are then checked completely: their classes are dealt into
-blocks of about ``BLOCK``, two blocks meet in a task, which intersects their sets
-as a matrix product and emits at most one link per class.  So no link between
+different components are then checked completely: groups that share classes are
+checked together where that is less work, their classes are dealt into blocks of
+about ``BLOCK``, two blocks meet in a task, which intersects their sets as a
+matrix product and emits at most one link per class.  So no link between
 components is lost and no task or table holds all pairs of a group.
 
 Edge cases: null or empty texts have an empty set and link to nothing; fewer
@@ -58,15 +61,32 @@ def bands(percent: int, upto: int = 1 << 40) -> tuple[int, ...]:
 
 @lru_cache(maxsize=4096)
 def plan_of(band: int, percent: int):
-    """Piece edges and keys of a band's instance, (n1, n2); None where only equal sets are similar."""
-    k = 2 * (100 - percent) * bands(percent)[band] // (100 + percent)
+    """(piece edges, keys, e, m) of a band's instance; None where only equal sets are similar.
+
+    e is the least number that exceeds the expected number of pieces with fewer than m elements by
+    2.5 deviations, for the smallest sets that sign here; m is 2, or 1, or 0 (all pieces sign).
+    """
+    tops = bands(percent)
+    k = 2 * (100 - percent) * tops[band] // (100 + percent)
     if k == 0:
         return None
-    n1, n2 = (k + 2) // 2, 2 if k >= 8 else 4
-    m = n1 * n2
-    edges = np.array([(i << 64) // m for i in range(1, m)], np.uint64)
-    keys = mix64(np.arange(m, dtype=np.uint64) + np.uint64((band + 1) << 32)).reshape(n1, n2)
-    return edges, keys, n1, n2
+    least = tops[band - 2] + 1 if band > 1 else 1
+    spare, m = 0, 0
+    for weak in (2, 1):
+        fits = [e for e in range(1, k + 2) if _enough(e, (k + 2 + e) // 2 * 2, least, weak)]
+        if fits:
+            spare, m = fits[0], weak
+            break
+    pieces = (k + 2 + spare) // 2 * 2  # parts of two
+    edges = np.array([(i << 64) // pieces for i in range(1, pieces)], np.uint64)
+    keys = mix64(np.arange(pieces, dtype=np.uint64) + np.uint64((band + 1) << 32))
+    return edges, keys, pieces - 1 - k, m
+
+
+def _enough(spare: int, pieces: int, size: int, weak: int) -> bool:
+    rate = size / pieces
+    p = np.exp(-rate) * (1 + rate * (weak > 1))
+    return spare >= pieces * p + 2.5 * np.sqrt(pieces * p * (1 - p))
 
 
 def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
@@ -78,10 +98,11 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
         plan = plan_of(j, percent)
         if plan is None:
             continue
-        edges, keys, n1, n2 = plan
+        edges, keys, spare, m = plan
         at = np.concatenate(([0], np.searchsorted(elements, edges), [len(elements)]))
-        pieces = np.diff(sums[at]).reshape(n1, n2)
-        out.append(mix64((pieces.sum(1, dtype=np.uint64)[:, None] - pieces) * _MUL[3] + keys).ravel())
+        sig = mix64(np.diff(sums[at]) * _MUL[3] + keys)
+        strong = np.diff(at) >= m
+        out.append(sig[strong] if len(strong) - strong.sum() <= spare else sig)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -300,11 +321,21 @@ def large_group_links(large: DataFrame, roots: DataFrame, sets: DataFrame, perce
 
     members = sets.mapInArrow(sign, "node long, sig long").join(large.select(F.col("a").alias("sig")), "sig")
     members = members.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
-    open_ = members.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("c")).where("r0 < r1")
-    members = members.join(open_.select("sig", "c"), "sig").withColumn("nb", F.ceil(F.col("c") / block).cast("int"))
-    dealt = members.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("sig", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "node", "root")
-    return dealt.join(sets, "node").groupBy("sig", "p", "q").applyInArrow(lambda t: _check_block(t, percent), "a long, b long").distinct()
+    members = materialise(members)
+    open_ = members.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("node").alias("first"), F.count("*").alias("c")).where("r0 < r1")
+    members = materialise(members.join(open_.select("sig", "first", "c"), "sig"))
+    # clusters of groups that share classes; a cluster is checked as one group where its square is less than its groups' squares
+    cluster = components(members.select(F.col("node").alias("a"), F.col("first").alias("b")))
+    cluster = cluster.select("node", F.col("root").alias("cluster"))
+    squares = members.select("sig", "first", "c").distinct().join(cluster.withColumnRenamed("node", "first"), "first")
+    squares = squares.groupBy("cluster").agg(F.sum(F.col("c") * F.col("c")).alias("apart"))
+    whole = cluster.groupBy("cluster").agg(F.count("*").alias("size")).join(squares, "cluster").withColumn("as_one", F.col("size") * F.col("size") <= F.col("apart"))
+    grouped = members.join(cluster, "node").join(whole, "cluster").select(
+        F.when(F.col("as_one"), F.col("cluster")).otherwise(F.col("sig")).alias("group"), "as_one", "node", "root",
+        F.ceil(F.when(F.col("as_one"), F.col("size")).otherwise(F.col("c")) / block).cast("int").alias("nb")).distinct()
+    dealt = grouped.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    dealt = dealt.select("group", "as_one", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "node", "root")
+    return dealt.join(sets, "node").groupBy("group", "as_one", "p", "q").applyInArrow(lambda t: _check_block(t, percent), "a long, b long").distinct()
 
 
 def join_documents(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
