@@ -171,7 +171,7 @@ def ipf_triangle(spark, sf):
     """Three IPF sweeps of AB:BC:AC from the uniform table over A, B, C."""
     p, s = probabilities(spark, sf)
     small = s.select(["A", "B", "C"])
-    return rounded(fit.fixed_sweeps(tables.project(p, s, 0b0111), algebra.parse_model(small, "AB:BC:AC"), 3), 10)
+    return rounded(fit.fixed_sweeps(tables.project(p, s, 0b0111).cache(), algebra.parse_model(small, "AB:BC:AC"), 3), 10)
 
 
 def residuals(spark, sf):
