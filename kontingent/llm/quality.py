@@ -116,6 +116,8 @@ def ledger(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
         case when size(_p) = 0 then 0L else 3L + aggregate(sequence(1, size(_p) - 1), 0L,
             (acc, k) -> acc + case when k < 1 or k >= size(_p) then 0 else least(3, get(_p, k) - get(_p, k - 1)) end) end
         """).alias("n_repeat_words"))
+    # a generator of one row: filters on the ledger stop here instead of copying all expressions below
+    f = f.select(*keep, F.inline(F.array(F.struct(*MEASURES))))
     bits = F.lit(0).cast("long")
     for k, rule in enumerate(rules):
         bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
