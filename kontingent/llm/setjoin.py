@@ -45,7 +45,7 @@ SMALL = 12
 #: Classes in a block of a larger group.
 BLOCK = 512
 #: Signatures that a task holds at once, and that one bucket gets on average.
-HELD = 2_000_000
+HELD = 600_000
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -106,12 +106,8 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def element_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
-    """Sorted distinct n-gram hashes of each text, A-Z lower-cased."""
-    return [e for some in chunks(texts) for e in _element_sets(some, n)]
-
-
 def _element_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
+    """Sorted distinct n-gram hashes of each text, A-Z lower-cased."""
     w = Words([t.lower() for t in texts])
     grams = np.zeros(max(0, len(w.start) - n + 1), np.uint64)
     for j in range(n):
@@ -141,10 +137,12 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            sets = element_sets(arrow_texts(b.column(1)), n)
-            keys = [_set_key(e) for e in sets]
+            sizes, keys = [], []
+            for some in chunks(arrow_texts(b.column(1))):  # sets are dropped as soon as they are described
+                for e in _element_sets(some, n):
+                    sizes.append(len(e)), keys.append(_set_key(e))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(e) for e in sets], pa.int64()), pa.array([k for k, _ in keys], pa.int64()),
+                [b.column(0), pa.array(sizes, pa.int64()), pa.array([k for k, _ in keys], pa.int64()),
                  pa.array([k for _, k in keys], pa.int64())], names=["id", "n", "k1", "k2"])
 
     return docs.mapInArrow(run, "id long, n long, k1 long, k2 long")
@@ -202,12 +200,13 @@ def candidates(docs: DataFrame, n: int, percent: int, n_buckets: int) -> DataFra
     def send(batches):
         sig, node, held = [], [], 0
         for b in batches:
-            s, m = signed(element_sets(arrow_texts(b.column(1)), n), percent)
-            sig.append(s), node.append(m)
-            held += len(s)
-            if held >= HELD:
-                yield _send_chunk(np.concatenate(sig), np.concatenate(node), n_buckets)
-                sig, node, held = [], [], 0
+            for some in chunks(arrow_texts(b.column(1))):
+                s, m = signed(_element_sets(some, n), percent)
+                sig.append(s), node.append(m)
+                held += len(s)
+                if held >= HELD:
+                    yield _send_chunk(np.concatenate(sig), np.concatenate(node), n_buckets)
+                    sig, node, held = [], [], 0
         if held:
             yield _send_chunk(np.concatenate(sig), np.concatenate(node), n_buckets)
 
@@ -253,12 +252,11 @@ def class_sets(docs: DataFrame, need: DataFrame, n: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            sets = element_sets(arrow_texts(b.column(3)), n)
-            keys = [_set_key(e) for e in sets]
-            k1, k2 = b.column(1).to_pylist(), b.column(2).to_pylist()
-            keep = [k for k in range(len(sets)) if keys[k] == (k1[k], k2[k])]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(keep, pa.int64())), pa.array([sets[k].view(np.int64) for k in keep], pa.list_(pa.int64()))], names=["node", "elements"])
+            at, want = 0, list(zip(*[b.column(k).to_pylist() for k in (0, 1, 2)]))
+            for some in chunks(arrow_texts(b.column(3))):
+                own = [(w[0], e.view(np.int64)) for w, e in zip(want[at: at + len(some)], _element_sets(some, n)) if _set_key(e) == w[1:]]
+                at += len(some)
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int64()), pa.array([e for _, e in own], pa.list_(pa.int64()))], names=["node", "elements"])
 
     found = need.withColumnRenamed("id", "_id").join(docs, F.col("_id").eqNullSafe(F.col("id"))).select("node", "k1", "k2", "text")
     return found.mapInArrow(run, "node long, elements array<long>").dropDuplicates(["node"])
