@@ -15,8 +15,10 @@ Equal sets are one class, named by 64 bits of the set, so copies never meet as
 pairs, and a task sends a class's signatures once.
 Groups of at most ``SMALL`` classes with a common signature give all their pairs
 as candidates; in a larger group each class is paired with the least one only.
-Candidates are checked exactly.  Larger groups that still hold classes of
-different components are then checked completely: groups that share classes are
+A candidate whose sketches (counts of the elements by ranges of their hash)
+differ by more than the threshold allows cannot be a link and goes before any
+set is fetched; the others are checked exactly.  Larger groups that still hold
+classes of different components are then checked completely: groups that share classes are
 checked together where that is less work, their classes are dealt into blocks of
 about ``BLOCK``, two blocks meet in a task, which intersects their sets as a
 matrix product and emits at most one link per class.  So no link between
@@ -46,6 +48,10 @@ SMALL = 12
 BLOCK = 512
 #: Signatures that a task holds at once, and that one bucket gets on average.
 HELD = 600_000
+#: Expected elements in a range of a sketch.
+SKETCHED = 4
+#: log2 of the bits of the filter on the rows whose texts are fetched: at most 2^17 words are broadcast.
+FILTER = 23
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -133,28 +139,66 @@ def _set_key(e: np.ndarray) -> tuple[int, int]:
 
 
 def describe(docs: DataFrame, n: int) -> DataFrame:
-    """(id, n, k1, k2) of each row of (id, text): size and 128 bits of its set."""
+    """(id, n, k1, k2, sketch, th) of each row of (id, text, th): size, 128 bits and sketch of its set, hash of its text."""
 
     def run(batches):
         for b in batches:
-            sizes, keys = [], []
+            sizes, keys, sketches = [], [], []
             for some in chunks(arrow_texts(b.column(1))):  # sets are dropped as soon as they are described
                 for e in _element_sets(some, n):
-                    sizes.append(len(e)), keys.append(_set_key(e))
+                    sizes.append(len(e)), keys.append(_set_key(e)), sketches.append(sketch(e).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(sizes, pa.int64()), pa.array([k for k, _ in keys], pa.int64()),
-                 pa.array([k for _, k in keys], pa.int64())], names=["id", "n", "k1", "k2"])
+                 pa.array([k for _, k in keys], pa.int64()), pa.array(sketches, pa.binary()), b.column(2)],
+                names=["id", "n", "k1", "k2", "sketch", "th"])
 
-    return docs.mapInArrow(run, "id long, n long, k1 long, k2 long")
+    return docs.mapInArrow(run, "id long, n long, k1 long, k2 long, sketch binary, th long")
+
+
+def sketch(e: np.ndarray) -> np.ndarray:
+    """Elements in each of equally wide ranges of the hash, a power of two many; counts above 255 stand as 255."""
+    bits = max(0, (len(e) // SKETCHED).bit_length() - 1)
+    place = e >> np.uint64(64 - bits) if bits else np.zeros(len(e), np.uint64)
+    return np.minimum(np.bincount(place.astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> int:
+    """At most the number of elements by which two sets differ, from their sketches."""
+    few = min(len(x), len(y))
+    x, y = (s.reshape(few, -1).sum(1, dtype=np.int64) for s in (x, y))
+    return int(np.abs(x - y).sum())
+
+
+def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches do not rule out a link."""
+
+    def run(batches):
+        for b in batches:
+            na, nb, sa, sb = (b.column(k).to_pylist() for k in (2, 3, 4, 5))
+            keep = [apart(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) * (100 + percent) <= (u + v) * (100 - percent)
+                    for u, v, x, y in zip(na, nb, sa, sb)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = (classes.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("sketch").alias("s" + c)) for c in "ab")
+    # sizes too far apart are no link and need no sketch
+    both = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def _starts(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
 
 
+def _within(sig: np.ndarray, n_buckets: int) -> np.ndarray:
+    """The signature's bucket above 32 bits of it: buckets have about HELD signatures, so by chance few agree in one,
+    and what that adds to the candidates the checks remove."""
+    return (sig % np.uint64(n_buckets)) << np.uint64(32) | sig >> np.uint64(32)
+
+
 def _send_chunk(sig: np.ndarray, node: np.ndarray, n_buckets: int) -> pa.RecordBatch:
     """One row per bucket: each class's signatures, classes in order.  A signature of more than SMALL
     classes of this chunk goes as its least class, a count, and the pairs of that class with the others."""
+    sig = _within(sig, n_buckets)
     order = np.lexsort((node, sig))
     sig, node = sig[order], node[order]
     new = np.ones(len(sig), bool)
@@ -167,7 +211,7 @@ def _send_chunk(sig: np.ndarray, node: np.ndarray, n_buckets: int) -> pa.RecordB
     head[first] = True
     least = np.repeat(node[first], count)
     weight = np.where(big, np.repeat(count, count), 1)
-    bucket = (sig % np.uint64(n_buckets)).astype(np.int64)
+    bucket = (sig >> np.uint64(32)).astype(np.int64)
     rows = []
     for own, second in ((head | ~big, weight), (big & ~head, least)):
         at = np.flatnonzero(own)
@@ -178,7 +222,7 @@ def _send_chunk(sig: np.ndarray, node: np.ndarray, n_buckets: int) -> pa.RecordB
             runs = _starts(node[w])
             signed = second is weight
             extra = second[w] if not signed or big[w].any() else second[:0]
-            rows.append((int(bucket[w[0]]), sig[w].tobytes() if signed else None, node[w][runs].tobytes(),
+            rows.append((int(bucket[w[0]]), sig[w].astype(np.uint32).tobytes() if signed else None, node[w][runs].tobytes(),
                          np.diff(np.append(runs, len(w))).astype(np.int32).tobytes(), extra.tobytes()))
     cols = list(zip(*rows)) if rows else [()] * 5
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]],
@@ -194,8 +238,8 @@ def signed(elements: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
 
 
 def candidates(docs: DataFrame, n: int, percent: int, n_buckets: int) -> DataFrame:
-    """Rows (large, a, b): candidate pairs a < b (large false), and signatures of more than SMALL
-    classes (large true: a the signature, b at least its count)."""
+    """Rows (kind, a, b): pairs a < b of groups of at most SMALL classes (kind 0), of each class of a larger
+    group with another of it (1), and the signatures of larger groups (2: a the signature, b null)."""
 
     def send(batches):
         sig, node, held = [], [], 0
@@ -212,14 +256,15 @@ def candidates(docs: DataFrame, n: int, percent: int, n_buckets: int) -> DataFra
 
     def meet(t: pa.Table) -> pa.Table:
         pieces: list[list] = [[np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
-        pairs = [np.zeros((0, 2), np.int64)]
+        pairs, small = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
+        top = np.uint64(t["bucket"][0].as_py() << 32)
         for s, m, r, x in zip(*[t[c].to_pylist() for c in ("sigs", "nodes", "runs", "second")]):
             node = np.repeat(np.frombuffer(m, np.int64), np.frombuffer(r, np.int32))
             x = np.frombuffer(x, np.int64)
             if s is None:
                 pairs.append(np.stack([x, node], 1))
             else:
-                for to, part in zip(pieces, (np.frombuffer(s, np.uint64), node, x if len(x) else np.ones(len(node), np.int64))):
+                for to, part in zip(pieces, (np.frombuffer(s, np.uint32) | top, node, x if len(x) else np.ones(len(node), np.int64))):
                     to.append(part)
         sig, node, count = map(np.concatenate, pieces)
         order = np.lexsort((-count, node, sig))
@@ -235,31 +280,46 @@ def candidates(docs: DataFrame, n: int, percent: int, n_buckets: int) -> DataFra
         pairs.append(np.stack([least, node], 1)[large])
         for d in range(1, SMALL):
             i = np.flatnonzero((sig[d:] == sig[:-d]) & ~large[d:]) if d < len(sig) else first[:0]
-            pairs.append(np.stack([node[i], node[i + d]], 1))
-        p = np.concatenate(pairs)
-        p = np.unique(p[p[:, 0] != p[:, 1]], axis=0)
-        p.sort(1)
-        big = total > SMALL
-        return pa.table({"large": np.concatenate([np.zeros(len(p), bool), np.ones(int(big.sum()), bool)]),
-                         "a": np.concatenate([p[:, 0], sig[first][big].view(np.int64)]), "b": np.concatenate([p[:, 1], total[big]])})
+            small.append(np.stack([node[i], node[i + d]], 1))
+        big = sig[first][total > SMALL].view(np.int64)
+        few, many = (np.unique(np.sort(p[p[:, 0] != p[:, 1]], 1), axis=0) for p in (np.concatenate(small), np.concatenate(pairs)))
+        return pa.table({"kind": pa.array(np.repeat([0, 1, 2], [len(few), len(many), len(big)]), pa.int32()),
+                         "a": np.concatenate([few[:, 0], many[:, 0], big]), "b": pa.concat_arrays([pa.array(few[:, 1]), pa.array(many[:, 1]), pa.nulls(len(big), pa.int64())])})
 
     sent = docs.mapInArrow(send, "bucket int, sigs binary, nodes binary, runs binary, second binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "large boolean, a long, b long").distinct()
+    return sent.groupBy("bucket").applyInArrow(meet, "kind int, a long, b long").distinct()
+
+
+def _maybe(docs: DataFrame, need: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose (id, th) sets a bit that a row of ``need`` sets, so that few other texts are shuffled.
+
+    The filter is 2^FILTER bits in words of 64; with far more rows in ``need`` than bits it lets all pass.
+    """
+    place = F.pmod(F.xxhash64("id", "th"), F.lit(1 << FILTER))
+    at = {"word": F.shiftright(place, 6), "bit": F.pmod(place, F.lit(64)).cast("int")}
+    words = need.withColumns(at).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    found = docs.withColumns(at).join(F.broadcast(words), "word")
+    return found.where(F.expr("getbit(bits, bit) = 1")).drop("word", "bit", "bits")
 
 
 def class_sets(docs: DataFrame, need: DataFrame, n: int) -> DataFrame:
-    """(node, elements) of the classes in ``need`` (node, id, k1, k2), from a document of each."""
+    """(node, elements, checked, grouped) of the classes in ``need`` (id, th, node, k1, k2, checked, grouped), from a document of each."""
 
     def run(batches):
         for b in batches:
-            at, want = 0, list(zip(*[b.column(k).to_pylist() for k in (0, 1, 2)]))
-            for some in chunks(arrow_texts(b.column(3))):
-                own = [(w[0], e.view(np.int64)) for w, e in zip(want[at: at + len(some)], _element_sets(some, n)) if _set_key(e) == w[1:]]
+            at, want = 0, list(zip(*[b.column(k).to_pylist() for k in range(5)]))
+            for some in chunks(arrow_texts(b.column(5))):
+                own = [(w, e.view(np.int64)) for w, e in zip(want[at: at + len(some)], _element_sets(some, n)) if _set_key(e) == w[1:3]]
                 at += len(some)
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int64()), pa.array([e for _, e in own], pa.list_(pa.int64()))], names=["node", "elements"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([w[0] for w, _ in own], pa.int64()), pa.array([e for _, e in own], pa.list_(pa.int64())),
+                     pa.array([w[3] for w, _ in own], pa.bool_()), pa.array([w[4] for w, _ in own], pa.bool_())],
+                    names=["node", "elements", "checked", "grouped"])
 
-    found = need.withColumnRenamed("id", "_id").join(docs, F.col("_id").eqNullSafe(F.col("id"))).select("node", "k1", "k2", "text")
-    return found.mapInArrow(run, "node long, elements array<long>").dropDuplicates(["node"])
+    docs, need = (t.withColumn("id", F.coalesce("id", F.lit(0))) for t in (docs, need))
+    texts = _maybe(docs, need).groupBy("id", "th").agg(F.first("text").alias("text"))  # repeated rows go before the shuffle
+    found = texts.join(need, ["id", "th"]).select("node", "k1", "k2", "checked", "grouped", "text")
+    return found.mapInArrow(run, "node long, elements array<long>, checked boolean, grouped boolean")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -307,7 +367,7 @@ def _check_block(t: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([min(p) for p in out], pa.int64()), "b": pa.array([max(p) for p in out], pa.int64())})
 
 
-def large_group_links(large: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+def large_group_links(large: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, n_buckets: int, block: int = BLOCK) -> DataFrame:
     """Links inside groups of more than SMALL classes that the first check left in several components."""
 
     def sign(batches):
@@ -315,7 +375,7 @@ def large_group_links(large: DataFrame, roots: DataFrame, sets: DataFrame, perce
             col = b.column(1)
             sigs = [signatures(e.values.to_numpy(zero_copy_only=False).view(np.uint64), percent) for e in col]
             node = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sigs])
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate([np.zeros(0, np.uint64), *sigs]).view(np.int64))], names=["node", "sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(_within(np.concatenate([np.zeros(0, np.uint64), *sigs]), n_buckets).view(np.int64))], names=["node", "sig"])
 
     members = sets.mapInArrow(sign, "node long, sig long").join(large.select(F.col("a").alias("sig")), "sig")
     members = members.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
@@ -338,19 +398,25 @@ def large_group_links(large: DataFrame, roots: DataFrame, sets: DataFrame, perce
 
 def join_documents(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (least id that links reach, its own included)."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("th"))
     told = materialise(describe(rows, n))
-    classes = told.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("id")).withColumn("node", F.col("k1"))
+    classes = told.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct(F.isnull("id").alias("unnamed"), "id", "th")).alias("least"), F.min("sketch").alias("sketch"))
+    classes = materialise(classes.select("k1", "k2", "n", "least.id", "least.th", "sketch", F.col("k1").alias("node")))
     total = told.agg(F.sum("n").alias("s")).first()["s"] or 0
     total = total * 4 * (100 - percent) // (100 + percent)  # about so many signatures
-    found = materialise(candidates(rows, n, percent, max(1, -(-total // HELD))))
-    pairs, large = found.where("not large").select("a", "b"), found.where("large").select("a").distinct()
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = materialise(class_sets(rows, classes.select("node", "id", "k1", "k2").join(need, "node"), n))
-    links = materialise(linked(pairs, sets, percent))
+    n_buckets = max(1, -(-total // HELD))
+    found = materialise(candidates(rows, n, percent, n_buckets))
+    large = materialise(found.where("kind = 2").select("a").distinct())
+    pairs = materialise(plausible(found.where("kind < 2").select("a", "b").distinct(), classes, percent))
+    nodes = [few.select(F.explode(F.array("a", "b")).alias("node"), F.lit(k == 0).alias("checked"), F.lit(k == 1).alias("grouped"))
+             for k, few in enumerate((pairs, found.where("kind = 1")))]
+    need = nodes[0].union(nodes[1]).groupBy("node").agg(F.max("checked").alias("checked"), F.max("grouped").alias("grouped"))
+    need = materialise(classes.select("id", "th", "node", "k1", "k2").join(need, "node"))
+    sets = materialise(class_sets(rows, need, n))
+    links = materialise(linked(pairs, sets.where("checked"), percent))
     roots = components(links)
     if large.limit(1).count():
-        links = links.union(large_group_links(large, roots, sets, percent, block))
+        links = links.union(large_group_links(large, roots, sets.where("grouped"), percent, n_buckets, block))
         roots = components(links)
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
