@@ -108,7 +108,7 @@ class Words:
         return mix64(np.add.reduceat(terms, at) + size.astype(np.uint64))
 
 
-def chunks(texts: list[bytes], limit: int = 2 << 20):
+def chunks(texts: list[bytes], limit: int = 1 << 20):
     """Runs of texts of at most ``limit`` bytes together (a longer text alone): what ``Words`` holds at once."""
     some, size = [], 0
     for t in texts:

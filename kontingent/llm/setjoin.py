@@ -21,7 +21,9 @@ set is fetched; the others are checked exactly.  Larger groups that still hold
 classes of different components are then checked completely: groups that share classes are
 checked together where that is less work, their classes are dealt into blocks of
 about ``BLOCK``, two blocks meet in a task, which intersects their sets as a
-matrix product and emits at most one link per class.  So no link between
+matrix product and emits at most one link per class.  Sketches meet first, in
+blocks of ``WIDE`` blocks, and name the classes of each block that have a
+possible partner in another component and block; only their sets travel.  So no link between
 components is lost and no task or table holds all pairs of a group.
 
 Edge cases: null or empty texts have an empty set and link to nothing; fewer
@@ -46,6 +48,8 @@ from .components import components
 SMALL = 12
 #: Classes in a block of a larger group.
 BLOCK = 512
+#: Blocks whose sketches are compared in one task, on either side.
+WIDE = 8
 #: Signatures that a task holds at once, and that one bucket gets on average.
 HELD = 600_000
 #: Expected elements in a range of a sketch.
@@ -367,7 +371,44 @@ def _check_block(t: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([min(p) for p in out], pa.int64()), "b": pa.array([max(p) for p in out], pa.int64())})
 
 
-def large_group_links(large: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, n_buckets: int, block: int = BLOCK) -> DataFrame:
+def _possible(t: pa.Table, percent: int) -> pa.Table:
+    """(group, p, q, node, root): classes of two wide blocks with a possible link to another component, by the blocks of the two."""
+    t = t.combine_chunks()
+    node, root, mine, size = (t[c].to_numpy() for c in ("node", "root", "mine", "n"))
+    wide = mine // WIDE
+    low, high = t["wp"][0].as_py(), t["wq"][0].as_py()
+    raw = [np.frombuffer(x, np.uint8) for x in t["sketch"].to_pylist()]
+    length = np.array([len(x) for x in raw])
+    found = [np.zeros((0, 2), np.int64)]  # (place of a class, block of its partner)
+
+    def compare(a: np.ndarray, b: np.ndarray) -> None:
+        few = min(length[a[0]], length[b[0]])
+        x, y = (np.stack([raw[k].reshape(few, -1).sum(1, dtype=np.int16) for k in side]) for side in (a, b))
+        step = max(1, (1 << 21) // (len(b) * int(few)))
+        for lo in range(0, len(a), step):
+            some = a[lo: lo + step]
+            far = np.abs(x[lo: lo + step, None] - y[None]).sum(2, dtype=np.int64)
+            ok = (far * (100 + percent) <= (size[some][:, None] + size[b]) * (100 - percent)) & (root[some][:, None] != root[b])
+            i, j = np.nonzero(ok)
+            both = np.concatenate([np.stack([some[i], mine[b[j]]], 1), np.stack([b[j], mine[some[i]]], 1)])
+            found.append(np.unique(both, axis=0))
+
+    for few in np.unique(length).tolist():
+        for more in [m for m in np.unique(length).tolist() if few <= m <= few * 200 // percent]:  # others differ too much in size
+            for left, right in ((few, more), (more, few)):
+                a, b = np.flatnonzero((length == left) & (wide == low)), np.flatnonzero((length == right) & (wide == high))
+                if len(a) and len(b):
+                    compare(a, b)
+                if few == more or low == high:
+                    break
+    hits = np.unique(np.concatenate(found), axis=0)
+    at, other = hits[:, 0], hits[:, 1]
+    return pa.table({"group": t["group"].take(pa.array(at)), "p": pa.array(np.minimum(mine[at], other), pa.int32()),
+                     "q": pa.array(np.maximum(mine[at], other), pa.int32()), "node": pa.array(node[at]), "root": pa.array(root[at]),
+                     "as_one": t["as_one"].take(pa.array(at))})
+
+
+def large_group_links(large: DataFrame, roots: DataFrame, sets: DataFrame, classes: DataFrame, percent: int, n_buckets: int, block: int = BLOCK) -> DataFrame:
     """Links inside groups of more than SMALL classes that the first check left in several components."""
 
     def sign(batches):
@@ -391,8 +432,13 @@ def large_group_links(large: DataFrame, roots: DataFrame, sets: DataFrame, perce
     grouped = members.join(cluster, "node").join(whole, "cluster").select(
         F.when(F.col("as_one"), F.col("cluster")).otherwise(F.col("sig")).alias("group"), "as_one", "node", "root",
         F.ceil(F.when(F.col("as_one"), F.col("size")).otherwise(F.col("c")) / block).cast("int").alias("nb")).distinct()
-    dealt = grouped.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("group", "as_one", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "node", "root")
+    dealt = grouped.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")).withColumn("wide", F.floor(F.col("mine") / WIDE).cast("int"))
+    dealt = dealt.join(classes.select("node", "n", "sketch"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.floor((F.col("nb") - 1) / WIDE).cast("int"))))
+    dealt = dealt.select("group", "as_one", F.least("wide", "other").alias("wp"), F.greatest("wide", "other").alias("wq"), "mine", "node", "root", "n", "sketch")
+    keys = ("group", "as_one", "wp", "wq")  # little data and much work: not for AQE to coalesce
+    dealt = dealt.repartition(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    dealt = dealt.groupBy(*keys).applyInArrow(lambda t: _possible(t, percent), "group long, p int, q int, node long, root long, as_one boolean")
+    dealt = materialise(dealt.distinct())
     return dealt.join(sets, "node").groupBy("group", "as_one", "p", "q").applyInArrow(lambda t: _check_block(t, percent), "a long, b long").distinct()
 
 
@@ -416,7 +462,7 @@ def join_documents(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: str =
     links = materialise(linked(pairs, sets.where("checked"), percent))
     roots = components(links)
     if large.limit(1).count():
-        links = links.union(large_group_links(large, roots, sets.where("grouped"), percent, n_buckets, block))
+        links = links.union(large_group_links(large, roots, sets.where("grouped"), classes, percent, n_buckets, block))
         roots = components(links)
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
