@@ -53,7 +53,7 @@ WIDE = 8
 #: Signatures that a task holds at once, and that one bucket gets on average.
 HELD = 600_000
 #: Expected elements in a range of a sketch.
-SKETCHED = 4
+SKETCHED = 2
 #: log2 of the bits of the filter on the rows whose texts are fetched: at most 2^17 words are broadcast.
 FILTER = 23
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
