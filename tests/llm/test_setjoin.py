@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+
 from kontingent.llm import setjoin
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -63,3 +65,14 @@ def test_edges(spark):
     rows = [(None, "a b c d"), (None, None), (3, ""), (4, "  "), (5, "A b"), (6, "a  B"), (7, "a b c d"), (7, "other words stand here"), (8, "other words stand here"), (9, "Ä b"), (10, "ä b"), (11, "x " * 3000), (12, "x x x x")]
     assert run(spark, rows) == brute(rows)
     assert run(spark, []) == []
+
+
+def test_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 7, 8, 100, 700, 5000):
+        for share in (0.0, 0.5, 0.9, 1.0):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+            b = np.unique(np.concatenate([a[: int(share * n)], rng.integers(0, 1 << 63, n // 3, dtype=np.uint64)]))
+            assert setjoin.apart(setjoin.sketch(a), setjoin.sketch(b)) <= len(np.setxor1d(a, b))
+    many = np.arange(4000, dtype=np.uint64)  # all in one range: counts stand as 255
+    assert setjoin.apart(setjoin.sketch(many), setjoin.sketch(many[:2000])) <= 2000
