@@ -1,23 +1,27 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Every context is a restaurant: here the class of the word before (``CLASSES``
-classes by its last bytes, one of them the start of a text).  Its customers are
-the training tokens after such a word, its dishes the words; each table sends
-one customer to the parent restaurant, which all contexts share and whose base
-is uniform over the vocabulary and one unknown word.  Gibbs sweeps seat the
-customers anew by the Chinese-restaurant rule given the parent's predictive
-probabilities; after ``BURN_IN`` sweeps the predictive probabilities of
-``SAMPLES`` sweeps are averaged.
+Every context is a restaurant, on three levels: one for each word before, its
+parent for the class of that word (``CLASSES`` classes by its last bytes, one of
+them the start of a text), and a root that all classes share and whose base is
+uniform over the vocabulary and one unknown word.  Customers of a word's
+restaurant are the training tokens after it, its dishes the words; each table
+sends one customer to the parent.  Gibbs sweeps seat the customers anew by the
+Chinese-restaurant rule given the parent's predictive probabilities; after
+``BURN_IN`` sweeps the predictive probabilities of ``SAMPLES`` sweeps are averaged.
 
 Data flow: documents are dealt into blocks by a hash of their id.  A block sends
-its distinct (word, class) pairs with their training counts to the words'
-buckets, so a frequent word reaches its bucket once per block.  A bucket is one
-written row that holds all counts of its words and the blocks' pairs.  Only the
-totals per class (a few hundred numbers) pass through the driver after a sweep;
-seating is drawn from seeds, so a task replays the sweeps so far from the counts
-and those totals, and no tables are stored.  A bucket then answers each block
-with one log-probability per pair the block has.  All documents are counted;
-what is gathered grows with the corpus.
+its distinct (word, word before) pairs with their training counts to the words'
+buckets, so a frequent word reaches its bucket once per block.  A bucket holds
+all counts of its words on every level and stays where it is; per sweep only
+sums travel.  The sums of a word's restaurant are spread over the buckets: a
+bucket posts its part for each of its contexts to the context's shard, and the
+shard posts the sum back to the buckets that have the context.  Sums per class
+(a few hundred numbers) pass through the driver.  A bucket then answers each
+block with one log-probability per pair the block has.  All documents are
+counted; restaurants grow with the vocabulary, and what is gathered with the corpus.
+
+A context is named by 48 bits, 6 of its class and 42 of a hash: two words of one
+class share a restaurant with a chance of 2 ** -42.
 
 Within a sweep the other buckets' totals are those of the sweep before, and a
 dish of more than ``EXACT`` customers is seated in steps whose length grows
@@ -36,16 +40,18 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import RDD, StorageLevel
+from pyspark.serializers import BatchedSerializer, CPickleSerializer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_rows, blocks_of, by_block, materialise
+from .common import Words, block_rows, blocks_of, by_block, shared_dir
 
 CLASSES = 64
 BURN_IN, SAMPLES = 1, 2
 #: Customers of a dish that are seated one by one.
 EXACT = 64
-STRENGTH, ROOT_STRENGTH = 5.0, 1.0
+WORD_STRENGTH, STRENGTH, ROOT_STRENGTH = 1.0, 5.0, 1.0
 BLOCK_BYTES = 4 << 20
 END = b""  # no word is empty
 
@@ -55,11 +61,21 @@ def class_of(word: bytes) -> int:
     return 1 + zlib.crc32(word[-2:]) % (CLASSES - 1)
 
 
+def contexts_of(words: list[bytes]) -> np.ndarray:
+    """The 48 bits that name each word as a context, the class lowest; 0 is the start of a text.  The end token is no context."""
+    out = np.zeros(len(words), np.int64)
+    some = np.array([k for k, w in enumerate(words) if w], np.int64)
+    if len(some):
+        hashed = Words([words[k] for k in some.tolist()]).hash >> np.uint64(22)
+        out[some] = hashed.astype(np.int64) * CLASSES + np.array([class_of(words[k]) for k in some.tolist()], np.int64)
+    return out
+
+
 class Tokens:
     """Tokens of some texts: words lower-cased in A-Z, then an end token.
 
-    words: distinct words in order of appearance; ids: of each token; pairs: distinct word * CLASSES + class,
-    sorted; pair: index of each token's pair; starts: first token of each text.
+    words: distinct words, sorted; ids: of each token; pair_word, pair_context: distinct pairs of a word and the context
+    before it, sorted; pair: index of each token's pair; starts: first token of each text.
     """
 
     def __init__(self, texts: list[bytes]):
@@ -70,14 +86,17 @@ class Tokens:
             starts.append(len(ids))
             ids += [known.setdefault(w, len(known)) for w in t.lower().split()]
             ids.append(0)
-        self.words = list(known)
-        self.ids = np.array(ids, np.int64)
+        self.words = sorted(known)
+        rank = np.zeros(len(known), np.int64)
+        rank[[known[w] for w in self.words]] = np.arange(len(known))
+        self.ids = rank[np.array(ids, np.int64)]
         self.starts = np.array(starts, np.int64)
-        classes = np.array([class_of(w) for w in self.words], np.int64)
         before = np.zeros(len(ids), np.int64)
-        before[1:] = classes[self.ids[:-1]]
+        before[1:] = contexts_of(self.words)[self.ids[:-1]]
         before[self.starts] = 0
-        self.pairs, self.pair = np.unique(self.ids * CLASSES + before, return_inverse=True)
+        contexts, at = np.unique(before, return_inverse=True)
+        pairs, self.pair = np.unique(self.ids * len(contexts) + at, return_inverse=True)
+        self.pair_word, self.pair_context = pairs // len(contexts), contexts[pairs % len(contexts)]
 
 
 def _press(x: bytes) -> bytes:
@@ -89,6 +108,28 @@ def _unpress(x: bytes, kind=None):
     return raw if kind is None else np.frombuffer(raw, kind)
 
 
+def _press_ids(x: np.ndarray) -> bytes:
+    """The lower 48 bits of each number, byte by byte."""
+    return _press(np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes())
+
+
+def _unpress_ids(x: bytes) -> np.ndarray:
+    planes = _unpress(x, np.uint8).reshape(6, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :6] = planes.T
+    return out.view("<i8").ravel()
+
+
+def _press_ints(x: np.ndarray) -> bytes:
+    """Whole numbers in the narrowest type that holds them, pressed."""
+    kind = next(k for k in ("u1", "<u2", "<u4", "<i8") if not len(x) or x.max() <= np.iinfo(k).max)
+    return kind[-2:].encode() + _press(x.astype(kind).tobytes())
+
+
+def _unpress_ints(x: bytes) -> np.ndarray:
+    return _unpress(x[2:], x[:2].decode()).astype(np.int64)
+
+
 def _bucket_of(words: list[bytes], n: int) -> np.ndarray:
     return np.array([zlib.crc32(b"bucket" + w) % n for w in words], np.int64)
 
@@ -97,7 +138,7 @@ def _by_bucket(tok: Tokens, n: int):
     """For each bucket of a block: (bucket, indexes of its words, indexes of their pairs), both in order."""
     bucket = _bucket_of(tok.words, n)
     order = np.argsort(bucket, kind="stable")
-    pair_bucket = bucket[tok.pairs // CLASSES]
+    pair_bucket = bucket[tok.pair_word]
     pair_order = np.argsort(pair_bucket, kind="stable")
     names = np.unique(bucket)
     lo, hi = np.searchsorted(bucket[order], names), np.searchsorted(bucket[order], names, side="right")
@@ -110,46 +151,63 @@ def _send(t: pa.Table, n: int) -> pa.Table:
     rows = block_rows(t["docs"].to_pylist())
     tok = Tokens([x for _, _, x in rows])
     train = np.repeat(np.array([r[1] for r in rows], bool), np.diff(np.append(tok.starts, len(tok.ids))))
-    count = np.bincount(tok.pair[train], minlength=len(tok.pairs))
-    out = {c: [] for c in ("block", "bucket", "words", "sizes", "classes", "counts")}
+    count = np.bincount(tok.pair[train], minlength=len(tok.pair_word))
+    out = {c: [] for c in ("block", "bucket", "words", "sizes", "contexts", "counts")}
     block = t["block"][0].as_py()
     for name, w, p in _by_bucket(tok, n):
         out["block"].append(block)
         out["bucket"].append(name)
         out["words"].append(_press(b"\n".join([tok.words[k] for k in w.tolist()])))
-        out["sizes"].append(_press(np.bincount(np.searchsorted(w, tok.pairs[p] // CLASSES), minlength=len(w)).astype(np.uint8).tobytes()))
-        out["classes"].append(_press((tok.pairs[p] % CLASSES).astype(np.uint8).tobytes()))
-        out["counts"].append(_press(count[p].astype(np.int32).tobytes()))
-    return pa.table(out, schema=pa.schema([("block", pa.int32()), ("bucket", pa.int32()), *[(c, pa.binary()) for c in ("words", "sizes", "classes", "counts")]]))
+        out["sizes"].append(_press_ints(np.bincount(np.searchsorted(w, tok.pair_word[p]), minlength=len(w))))
+        out["contexts"].append(_press_ids(tok.pair_context[p]))
+        out["counts"].append(_press_ints(count[p]))
+    return pa.table(out, schema=pa.schema([("block", pa.int32()), ("bucket", pa.int32()), *[(c, pa.binary()) for c in ("words", "sizes", "contexts", "counts")]]))
+
+
+def _gather(rows) -> list[tuple[int, dict]]:
+    """(bucket, its pairs and where each block's pairs are among them) of a partition's (bucket, block's part)."""
+    parts: dict[int, list] = {}
+    for bucket, part in rows:
+        parts.setdefault(bucket, []).append(part)
+    out = []
+    for bucket, some in parts.items():
+        some.sort()
+        lists = [_unpress(x[1]).split(b"\n") for x in some]
+        number = {w: k for k, w in enumerate(sorted(set().union(*lists)))}
+        word = [np.repeat(np.array([number[w] for w in ws], np.int64), _unpress_ints(x[2])) for ws, x in zip(lists, some)]
+        contexts, ctx = np.unique(np.concatenate([_unpress_ids(x[3]) for x in some]), return_inverse=True)
+        pairs, at = np.unique(np.concatenate(word) * len(contexts) + ctx, return_inverse=True)
+        total = np.bincount(at, np.concatenate([_unpress_ints(x[4]) for x in some]), len(pairs)).astype(np.int64)
+        where = np.split(at, np.cumsum([len(w) for w in word])[:-1])  # increasing in each block, as both are sorted
+        out.append((bucket, {
+            "blocks": [x[0] for x in some], "where": [_press_ints(np.diff(x, prepend=0)) for x in where],
+            "sizes": _press_ints(np.bincount(pairs // len(contexts), minlength=len(number))), "ctx": _press_ints(pairs % len(contexts)),
+            "counts": _press_ints(total), "contexts": _press_ids(contexts)}))
+    return out
 
 
-def _bucket_pairs(words, sizes, classes):
-    """Pairs of every block of a bucket, as word number * CLASSES + class; words are numbered in sorted order."""
-    lists = [_unpress(x).split(b"\n") for x in words]
-    number = {w: k for k, w in enumerate(sorted(set().union(*lists)))}
-    keys, word_ids = [], []
-    for ws, size, cls in zip(lists, sizes, classes):
-        ids = np.array([number[w] for w in ws], np.int64)
-        word_ids.append(ids)
-        keys.append(np.repeat(ids, _unpress(size, np.uint8)) * CLASSES + _unpress(cls, np.uint8))
-    return keys, word_ids
+class Pairs:
+    """A bucket's pairs, opened.
 
+    word, ctx: of each pair, as numbers in the bucket; group: index of each pair's word and class among group_word and
+    group_class; contexts: the names of the contexts, sorted.
+    """
 
-_BUCKET = "bucket int, blocks array<int>, words array<binary>, sizes array<binary>, classes array<binary>, pairs binary, counts binary"
+    def __init__(self, row: dict):
+        sizes = _unpress_ints(row["sizes"])
+        self.n_words = len(sizes)
+        self.word, self.ctx, self.counts = np.repeat(np.arange(len(sizes)), sizes), _unpress_ints(row["ctx"]), _unpress_ints(row["counts"])
+        self.contexts = _unpress_ids(row["contexts"])
+        groups, self.group = np.unique(self.word * CLASSES + self.contexts[self.ctx] % CLASSES, return_inverse=True)
+        self.group_word, self.group_class = groups // CLASSES, groups % CLASSES
 
+    def up(self, tables: np.ndarray) -> np.ndarray:
+        """Customers of the classes' restaurants."""
+        return np.bincount(self.group, tables, len(self.group_word)).astype(np.int64)
 
-def _gather(t: pa.Table) -> pa.Table:
-    """A bucket's row: the blocks' pairs, and its pairs seen in training with their counts."""
-    lists = {c: t[c].to_pylist() for c in ("block", "words", "sizes", "classes", "counts")}
-    keys, _ = _bucket_pairs(lists["words"], lists["sizes"], lists["classes"])
-    counts = np.concatenate([_unpress(c, np.int32) for c in lists["counts"]]).astype(np.int64)
-    pairs, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(at, counts, len(pairs)).astype(np.int64)
-    seen = total > 0
-    many = pa.list_(pa.binary())
-    return pa.table({"bucket": pa.array([t["bucket"][0].as_py()], pa.int32()), "blocks": pa.array([lists["block"]], pa.list_(pa.int32())),
-                     "words": pa.array([lists["words"]], many), "sizes": pa.array([lists["sizes"]], many), "classes": pa.array([lists["classes"]], many),
-                     "pairs": [_press(pairs[seen].tobytes())], "counts": [_press(total[seen].tobytes())]})
+    def top(self, tables: np.ndarray) -> np.ndarray:
+        """Customers of the root."""
+        return np.bincount(self.group_word, tables, self.n_words).astype(np.int64)
 
 
 def seat(counts: np.ndarray, weight: np.ndarray, discount: float, rng) -> np.ndarray:
@@ -177,103 +235,221 @@ def root_probability(customers, tables, totals) -> np.ndarray:
     return (customers - d * tables + (strength + d * totals["root_tables"]) * base) / (strength + totals["tables"].sum())
 
 
-def _word_sums(pairs: np.ndarray, x: np.ndarray):
-    """Words of sorted pairs, and the sum of x of each."""
-    word = pairs // CLASSES
-    first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else np.zeros(0, np.int64)
-    return word[first], np.repeat(np.arange(len(first)), np.diff(np.append(first, len(word)))), np.add.reduceat(x, first) if len(first) else x
+def class_probability(pairs: Pairs, state, totals) -> np.ndarray:
+    """Predictive probability of each group's word in its class's restaurant."""
+    tables, seats, root = state
+    d, k = totals["discount"], pairs.group_class
+    parent = root_probability(pairs.top(seats), root, totals)[pairs.group_word]
+    return (pairs.up(tables) - d * seats + (STRENGTH + d * totals["tables"][k]) * parent) / (STRENGTH + totals["customers"][k])
 
 
-def replay(pairs: np.ndarray, counts: np.ndarray, bucket: int, history: list[dict], seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(tables of each pair, root tables of each word) before the first sweep and after each one.
+def word_probability(pairs: Pairs, state, totals, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """Predictive probability of each pair; customers, tables: sums of the restaurant of each context."""
+    d = totals["word_discount"]
+    parent = class_probability(pairs, state, totals)[pairs.group]
+    return (pairs.counts - d * state[0] + (WORD_STRENGTH + d * tables[pairs.ctx]) * parent) / (WORD_STRENGTH + customers[pairs.ctx])
 
-    history: the totals before each sweep.  At first every pair and every word has one table.
-    """
-    word, word_at, _ = _word_sums(pairs, counts)
-    tables, root = np.ones(len(pairs), np.int64), np.ones(len(word), np.int64)
-    out = [(tables, root)]
-    for k, totals in enumerate(history):
-        rng = np.random.default_rng([seed, k, bucket])
-        parent = root_probability(_word_sums(pairs, tables)[2], root, totals)
-        d = totals["discount"]
-        tables = seat(counts, (STRENGTH + d * totals["tables"][pairs % CLASSES]) * parent[word_at], d, rng)
-        customers = _word_sums(pairs, tables)[2]
-        w0 = np.full(len(customers), (ROOT_STRENGTH + totals["root_discount"] * totals["root_tables"]) / (totals["vocabulary"] + 1))
-        root = seat(customers, w0, totals["root_discount"], rng)
-        out.append((tables, root))
+
+def sweep(pairs: Pairs, state, totals, tables: np.ndarray, rng):
+    """The state after seating all customers anew; tables: sums of the restaurant of each context before."""
+    parent = root_probability(pairs.top(state[1]), state[2], totals)[pairs.group_word]
+    d = totals["word_discount"]
+    new = seat(pairs.counts, (WORD_STRENGTH + d * tables[pairs.ctx]) * class_probability(pairs, state, totals)[pairs.group], d, rng)
+    d = totals["discount"]
+    seats = seat(pairs.up(new), (STRENGTH + d * totals["tables"][pairs.group_class]) * parent, d, rng)
+    d = totals["root_discount"]
+    base = np.full(pairs.n_words, (ROOT_STRENGTH + d * totals["root_tables"]) / (totals["vocabulary"] + 1))
+    return new, seats, seat(pairs.top(seats), base, d, rng)
+
+
+def first_state(pairs: Pairs):
+    """Every dish has one table in every restaurant that serves it."""
+    tables = np.minimum(pairs.counts, 1)
+    seats = np.minimum(pairs.up(tables), 1)
+    return tables, seats, np.minimum(pairs.top(seats), 1)
+
+
+def _whole(rdd: RDD) -> RDD:
+    """Each partition as one list, in batches of one: such can be zipped without another Python process."""
+    return rdd.mapPartitions(lambda rows: [list(rows)])._reserialize(BatchedSerializer(CPickleSerializer(), 1))
+
+
+def _beside(first: RDD, *others: RDD) -> RDD:
+    """Whole partitions of equally dealt (key, value) side by side, a tuple of lists per partition; nothing is shuffled."""
+    out, n = first, len(others)
+    for other in others:
+        out = out.zip(other)
+
+    def flat(x):
+        for _ in range(n):
+            x, last = x
+            yield last
+        yield x
+
+    return out.map(lambda x: tuple(flat(x))[::-1])
+
+
+def _keep(rdd: RDD) -> RDD:
+    return _whole(rdd).persist(StorageLevel.DISK_ONLY)
+
+
+def _cuts(contexts: np.ndarray, shards: int) -> np.ndarray:
+    """Where each shard's contexts begin among sorted contexts; shards are ranges of names."""
+    return np.searchsorted((contexts >> 16) * shards >> 32, np.arange(shards + 1))
+
+
+def _post(bucket: int, contexts: np.ndarray, values: list[np.ndarray], shards: int, press):
+    cuts = _cuts(contexts, shards)
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        yield k, (bucket, *[press(x[cuts[k]: cuts[k + 1]]) for x in values])
+
+
+def _shard(rows) -> list[tuple[int, dict]]:
+    """(shard, for each bucket where its contexts are among the shard's) of a partition's posted names."""
+    parts: dict[int, list] = {}
+    for shard, part in rows:
+        parts.setdefault(shard, []).append(part)
+    out = []
+    for shard, some in parts.items():
+        names = [_unpress_ids(x) for _, x in some]
+        every, at = np.unique(np.concatenate(names), return_inverse=True)
+        cuts = np.cumsum([len(x) for x in names])[:-1]
+        out.append((shard, {"size": len(every), "at": {b: _press_ints(np.diff(x, prepend=0)) for (b, _), x in zip(some, np.split(at, cuts))}}))
     return out
 
 
-def totals_after(buckets: DataFrame, history: list[dict], seed: int) -> dict:
-    """Totals over all buckets after the sweeps so far: CLASSES numbers of customers and of tables, and a few scalars."""
-
-    def run(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                pairs, counts = _unpress(row["pairs"], np.int64), _unpress(row["counts"], np.int64)
-                tables, root = replay(pairs, counts, row["bucket"], history, seed)[-1]
-                _, _, customers = _word_sums(pairs, tables)
-                cls = pairs % CLASSES
-                sums = [np.bincount(cls, counts, CLASSES), np.bincount(cls, tables, CLASSES),
-                        [len(root), root.sum(), (counts == 1).sum(), (counts == 2).sum(), (customers == 1).sum(), (customers == 2).sum()]]
-                flat = np.concatenate(sums).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["k", "x"])
-
-    state = buckets.select("bucket", "pairs", "counts")
-    got = {r["k"]: r["x"] for r in state.mapInArrow(run, "k long, x long").groupBy("k").agg(F.sum("x").alias("x")).collect()}
-    x = np.array([got.get(k, 0) for k in range(2 * CLASSES + 6)], np.float64)
-    vocabulary, root_tables, one, two, r_one, r_two = x[2 * CLASSES:]
+def _add(both) -> list[tuple]:
+    """(bucket, (shard, sums of its contexts)) of a partition of shards and what was posted to them."""
+    homes, posted = both
+    homes = {k: (row, np.zeros(row["size"], np.int64)) for k, row in homes}
+    for shard, (bucket, x) in posted:
+        row, sums = homes[shard]
+        sums[np.cumsum(_unpress_ints(row["at"][bucket]))] += _unpress_ints(x)
+    return [(b, (k, _press_ints(sums[np.cumsum(_unpress_ints(at))]))) for k, (row, sums) in homes.items() for b, at in row["at"].items()]
+
+
+def _sums_of(posted) -> dict[int, np.ndarray]:
+    """The sums of each bucket's contexts, in the order of the contexts."""
+    parts: dict[int, list] = {}
+    for bucket, part in posted:
+        parts.setdefault(bucket, []).append(part)
+    return {b: np.concatenate([_unpress_ints(x) for _, x in sorted(some)]) for b, some in parts.items()}
+
+
+def _open_state(x) -> tuple:
+    return tuple(map(_unpress_ints, x))
+
+
+def totals_of(buckets: RDD, state: RDD, history: list[dict]) -> dict:
+    """Totals over all buckets: CLASSES numbers of customers and of tables, and a few scalars."""
+    size = 2 * CLASSES + 9
+
+    def run(both):
+        out, states = np.zeros(size, np.int64), dict(both[1])
+        for bucket, row in both[0]:
+            pairs, (tables, seats, root) = Pairs(row), _open_state(states[bucket])
+            customers, top = pairs.up(tables), pairs.top(seats)
+            out[:CLASSES] += np.bincount(pairs.group_class, customers, CLASSES).astype(np.int64)
+            out[CLASSES: 2 * CLASSES] += np.bincount(pairs.group_class, seats, CLASSES).astype(np.int64)
+            out[2 * CLASSES:] += [pairs.counts.sum(), (root > 0).sum(), root.sum(), *[(x == k).sum() for x in (pairs.counts, customers, top) for k in (1, 2)]]
+        return out
+
+    x = _beside(buckets, state).map(run).fold(np.zeros(size, np.int64), lambda a, b: a + b).astype(np.float64)
+    tokens, vocabulary, root_tables, w_one, w_two, one, two, r_one, r_two = x[2 * CLASSES:]
     guess = lambda a, b: float(np.clip((a + 1) / (a + 2 * b + 2), 0.1, 0.95))
-    out = {"customers": x[:CLASSES], "tables": x[CLASSES: 2 * CLASSES], "vocabulary": vocabulary, "root_tables": root_tables}
-    fixed = {k: history[0][k] for k in ("discount", "root_discount")} if history else {"discount": guess(one, two), "root_discount": guess(r_one, r_two)}
-    return out | fixed
-
-
-def _answers(row: dict, history: list[dict], seed: int) -> list[tuple]:
-    """(block, log10 probabilities of its pairs averaged over the samples, training counts of its words) of a bucket's blocks."""
-    keys, word_ids = _bucket_pairs(row["words"], row["sizes"], row["classes"])
-    n_words = 1 + max(int(w.max()) for w in word_ids)
-    pairs, counts = _unpress(row["pairs"], np.int64), _unpress(row["counts"], np.int64)
-    word, _, freq = _word_sums(pairs, counts)
-    known = np.zeros(n_words, np.int64)
-    known[word] = freq
-    every = np.unique(np.concatenate(keys))
-    at = np.searchsorted(pairs, every)
-    inside = at < len(pairs)
-    inside[inside] = pairs[at[inside]] == every[inside]
-    cls, w = every % CLASSES, every // CLASSES
-    prob = np.zeros(len(every))
-    seatings = replay(pairs, counts, row["bucket"], history[:-1], seed)
-    for total, (tables, seats) in list(zip(history, seatings))[BURN_IN + 1:]:
-        customers, root, own = np.zeros(n_words), np.zeros(n_words), np.zeros(len(every))
-        customers[word], root[word] = _word_sums(pairs, tables)[2], seats
-        own[inside] = (counts - total["discount"] * tables)[at[inside]]
-        parent = root_probability(customers, root, total)[w]
-        prob += (own + (STRENGTH + total["discount"] * total["tables"][cls]) * parent) / (STRENGTH + total["customers"][cls])
-    logp = np.log10(prob / SAMPLES).astype(np.float32)
-    return [(block, _press(logp[np.searchsorted(every, k)].tobytes()), _press(known[i].tobytes())) for block, k, i in zip(row["blocks"], keys, word_ids)]
-
-
-def answers_of(buckets: DataFrame, history: list[dict], seed: int) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                row = b.slice(i, 1).to_pylist()[0]
-                got = list(zip(*_answers(row, history, seed)))
-                yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int32()), pa.array([row["bucket"]] * len(got[0]), pa.int32()), pa.array(got[1], pa.binary()), pa.array(got[2], pa.binary())],
-                                                 names=["block", "bucket", "logp", "known"])
-
-    return buckets.mapInArrow(run, "block int, bucket int, logp binary, known binary")
+    out = {"customers": x[:CLASSES], "tables": x[CLASSES: 2 * CLASSES], "tokens": tokens, "vocabulary": vocabulary, "root_tables": root_tables}
+    names = ("word_discount", "discount", "root_discount")
+    return out | ({k: history[0][k] for k in names} if history else dict(zip(names, (guess(w_one, w_two), guess(one, two), guess(r_one, r_two)))))
+
+
+def _answers(bucket: int, row: dict, customers: np.ndarray, samples: list[tuple]) -> list[tuple]:
+    """(block, bucket, log10 probabilities of its pairs averaged over the samples, training counts of its words) of a bucket's blocks."""
+    pairs = Pairs(row)
+    prob = sum(word_probability(pairs, state, totals, customers, tables) for state, totals, tables in samples)
+    logp = np.log10(prob / len(samples)).astype(np.float32)
+    known = np.bincount(pairs.word, pairs.counts, pairs.n_words).astype(np.int64)
+    out = []
+    for block, x in zip(row["blocks"], row["where"]):
+        at = np.cumsum(_unpress_ints(x))
+        out.append((block, bucket, _press(logp[at].tobytes()), _press_ints(known[np.unique(pairs.word[at])])))
+    return out
+
+
+def answers_of(sent: DataFrame, n: int, seed: int) -> tuple[DataFrame, int, int]:
+    """The buckets' answers to the blocks, the training tokens and the vocabulary."""
+    parts = sent.rdd.map(lambda r: (r["bucket"], (r["block"], bytes(r["words"]), bytes(r["sizes"]), bytes(r["contexts"]), bytes(r["counts"]))))
+    buckets = _keep(parts.partitionBy(n).mapPartitions(_gather))
+    spark = sent.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    buckets.checkpoint()  # safe against lost executors, and lets go of the blocks' shuffles
+    buckets.count()
+    buckets.unpersist()
+    buckets = RDD(buckets._jrdd, spark.sparkContext, buckets._jrdd_deserializer)
+    del parts, sent
+    spark._jvm.System.gc()
+    shards = max(1, n // 4)
+
+    def names(x):
+        contexts = _unpress_ids(x[1]["contexts"])
+        yield from _post(x[0], contexts, [contexts], shards, _press_ids)
+
+    homes = _keep(buckets.flatMap(lambda rows: (y for x in rows for y in names(x))).partitionBy(shards).mapPartitions(_shard))
+
+    def summed(state: RDD, customers: bool = False) -> RDD:
+        """Sums of the restaurant of each bucket's contexts: of its tables, or of its customers."""
+
+        def run(both):
+            states = dict(both[1])
+            for bucket, row in both[0]:
+                pairs = Pairs(row)
+                x = pairs.counts if customers else _unpress_ints(states[bucket][0])
+                yield from _post(bucket, pairs.contexts, [np.bincount(pairs.ctx, x, len(pairs.contexts)).astype(np.int64)], shards, _press_ints)
+
+        posted = _whole(_beside(buckets, state).flatMap(run).partitionBy(shards))
+        return _whole(_beside(homes, posted).flatMap(_add).partitionBy(n))
+
+    def stepped(state: RDD, sums: RDD, totals: dict, k: int) -> RDD:
+        def run(three):
+            states, tables = dict(three[1]), _sums_of(three[2])
+            for bucket, row in three[0]:
+                rng = np.random.default_rng([seed, k, bucket])
+                new = sweep(Pairs(row), _open_state(states[bucket]), totals, tables[bucket], rng)
+                yield bucket, tuple(map(_press_ints, new))
+
+        return _keep(_beside(buckets, state, sums).flatMap(run))
+
+    state = _keep(buckets.flatMap(lambda rows: [(b, tuple(map(_press_ints, first_state(Pairs(row))))) for b, row in rows]))
+    customers = summed(state, True)
+    history, samples = [], []
+    for k in range(1 + BURN_IN + SAMPLES):
+        history.append(totals_of(buckets, state, history))
+        sums = summed(state)
+        if k > BURN_IN:
+            samples.append((state, sums))
+        if k < BURN_IN + SAMPLES:
+            state = stepped(state, sums, history[-1], k)
+    kept = history[BURN_IN + 1:]
+
+    def run(sides):
+        seated, sums = [dict(x) for x in sides[2::2]], [_sums_of(x) for x in sides[3::2]]
+        counts = _sums_of(sides[1])
+        for bucket, row in sides[0]:
+            yield from _answers(bucket, row, counts[bucket], [(_open_state(s[bucket]), t, x[bucket]) for s, t, x in zip(seated, kept, sums)])
+
+    told = _beside(buckets, customers, *[x for pair in samples for x in pair]).flatMap(run)
+    answers = spark.createDataFrame(told, "block int, bucket int, logp binary, known binary", verifySchema=False)
+    return answers, int(history[0]["tokens"]), int(history[0]["vocabulary"])
 
 
 def _score(docs: pa.Table, answers: pa.Table, n: int, tokens: int, vocabulary: int) -> pa.Table:
     rows = block_rows(docs["docs"].to_pylist())
     tok = Tokens([x for _, _, x in rows])
-    logp, known = np.zeros(len(tok.pairs)), np.zeros(len(tok.words), np.int64)
+    logp, known = np.zeros(len(tok.pair_word)), np.zeros(len(tok.words), np.int64)
     told = {b: (p, k) for b, p, k in zip(*[answers[c].to_pylist() for c in ("bucket", "logp", "known")])}
     for name, w, p in _by_bucket(tok, n):
         logp[p] = _unpress(told[name][0], np.float32)
-        known[w] = _unpress(told[name][1], np.int64)
+        known[w] = _unpress_ints(told[name][1])
     base = np.log10((known + 1) / (tokens + vocabulary + 1))
     ends = np.append(tok.starts, len(tok.ids))
     add = lambda x: np.add.reduceat(x, tok.starts)
@@ -291,13 +467,8 @@ def score_documents(docs: DataFrame, train, doc_id: str = "doc_id", text: str =
     n = blocks_of(docs, block_bytes, text)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(train, F.lit(False)).alias("flag"), F.col(text).alias("text"))
     blocks = by_block(rows, n)
-    sent = blocks.groupBy("block").applyInArrow(
-        lambda t: _send(t, n), "block int, bucket int, words binary, sizes binary, classes binary, counts binary")
-    buckets = materialise(sent.groupBy("bucket").applyInArrow(_gather, _BUCKET))
-    history: list[dict] = []
-    for _ in range(1 + BURN_IN + SAMPLES):
-        history.append(totals_after(buckets, history, seed))
-    tokens, vocabulary = int(history[0]["customers"].sum()), int(history[0]["vocabulary"])
-    return blocks.groupBy("block").cogroup(answers_of(buckets, history, seed).groupBy("block")).applyInArrow(
+    answers, tokens, vocabulary = answers_of(blocks.groupBy("block").applyInArrow(
+        lambda t: _send(t, n), "block int, bucket int, words binary, sizes binary, contexts binary, counts binary"), n, seed)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         lambda a, b: _score(a, b, n, tokens, vocabulary),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -78,3 +78,14 @@ def test_edges(spark):
     assert pyplm.score_documents(docs, F.lit(True)).count() == 5
     assert pyplm.score_documents(docs, F.lit(False)).where("n_known = 0 and abs(score) < 1e-6").count() == 5
     assert pyplm.score_documents(docs.limit(0), F.lit(True)).count() == 0
+
+
+def test_every_word_before_has_its_own_restaurant(spark):
+    from pyspark.sql import functions as F
+
+    # two words of one class (the same last two bytes) with different followers
+    rows = [(k, "blahen rot " * 20 if k % 2 else "flehen blau " * 20) for k in range(40)] + [(1000, "blahen rot"), (1001, "blahen blau"), (1002, "flehen blau"), (1003, "flehen rot")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for size in (200, 1 << 20):
+        got = {r["doc_id"]: r["score"] for r in pyplm.score_documents(docs, F.col("doc_id") < 1000, block_bytes=size).collect()}
+        assert got[1000] - got[1001] > 1 and got[1002] - got[1003] > 1
