@@ -1,6 +1,7 @@
 """Personal data by candidate gradient boosting.
 
-High-recall generators propose overlapping spans.  Spans of the strict base
+High-recall generators propose overlapping spans, numbers at every border of
+digit groups.  Spans of the strict base
 rules (four kinds) are certain and always kept.  Every other proposal gets
 format features (digits, groups, separators, checksum) and context features
 (cue words and characters around it); boosted trees score it, and a threshold
@@ -105,6 +106,9 @@ _PROPOSE = (
     ("card", re.compile(r"[0-9](?:[\x20-]?[0-9]){12,18}")),
     ("phone", re.compile(r"[(0-9][0-9]{1,4}\)?(?:[\x20./-]{1,2}[0-9]{2,4}){2,4}")),
 )
+_GROUP = re.compile("[0-9]+")
+_PHONE_START = re.compile(r"(?<![0-9])\+?\(?(?=[0-9])")
+_PHONES = tuple(re.compile(r"(?:\+[0-9]{1,3}[\x20.-]?)?\(?[0-9]{2,5}\)?(?:[\x20./-]{1,2}[0-9]{2,4}){%d}(?![0-9])" % k) for k in (2, 3, 4))
 _AT = re.compile(r"[\[({]\x20?(?:at|AT|@)\x20?[\])}]")
 
 # Words that often stand before personal data, and before numbers that are none.
@@ -128,6 +132,18 @@ def proposals(text: str) -> list[Span]:
         out += [("ip", *m.span()) for m in _PROPOSE[1][1].finditer(text)]
     for kind, pattern in _PROPOSE[2:]:
         out += [(kind, *m.span()) for m in pattern.finditer(text)]
+    for m in _CARD.finditer(text):  # numbers may stand next to each other: every run of whole groups
+        groups = [g.span() for g in _GROUP.finditer(text, *m.span())]
+        for i, (a, _) in enumerate(groups):
+            size = 0
+            for u, v in groups[i:]:
+                size += v - u
+                if size > 19:
+                    break
+                if size >= 13:
+                    out.append(("card", a, v))
+    for m in _PHONE_START.finditer(text):
+        out += [("phone", m.start(), got.end()) for pattern in _PHONES if (got := pattern.match(text, m.start()))]
     return list(dict.fromkeys(out))
 
 
@@ -146,6 +162,9 @@ def features(text: str, span: Span) -> list[float]:
         float(bool(d) and luhn(d)), float(len(d) in (13, 14, 15)), float(d[:2] in ("34", "37") or d[:1] in ("4", "5")),
         float(len(set(d))), float(prev.isalnum() or prev in ("-", ".", "#", "/")), float(nxt.isalnum() or nxt in ("-", "/", "%", "€", "$")),
         *[float(any(c in words for c in cues)) for words in _CUES.values()],
+        float(any("0" <= ch <= "9" for ch in text[max(0, a - 2): a])), float(any("0" <= ch <= "9" for ch in after[:2])),
+        float(s.count("(") - s.count(")")), float(s.startswith("+")), float(prev in ("+", "(")), float(prev == "+" or text[max(0, a - 4): a].startswith("+")),
+        float(len(d) == 16), float(all(len(g) == 4 for g in groups)),
         float(any(ch in after for ch in "=€$%")), float(s.count(":")), float("@" in s or "at" in s.lower()),
     ]
 
@@ -171,17 +190,30 @@ def examples(n: int = TRAIN_EXAMPLES, seed: int = 7) -> tuple[np.ndarray, np.nda
                 (f"{rng.randint(1900, 2030)}-{num(2)}-{num(2)}", f"{num(2)}.{num(2)}.{num(4)}", f"{num(3)} {num(3)} {num(3)}", f"{num(2)}/{num(2)}/{num(4)}", f"{num(2)}-{num(4)}-{num(4)}-{num(2)}", f"{num(4)} {num(4)} {num(4)} {num(4)}"))
         elif kind == "card":
             good = label or rng.random() < 0.1
-            d = _fake_luhn(rng, rng.choice((13, 14, 15)) if label else rng.randint(13, 19), good)
+            d = _fake_luhn(rng, rng.choice((13, 14, 15, 16, 16, 16, 17, 18, 19)) if label else rng.randint(13, 19), good)
             s = d if rng.random() < 0.6 else " ".join(d[i: i + 4] for i in range(0, len(d), 4))
         elif kind == "email":
             s = f"{word()}{rng.choice(('', '.', '_'))}{word()} {rng.choice(('(at)', '[at]', '{at}'))} {word()}{rng.choice(('.', ' (dot) ', ' [dot] '))}{rng.choice(('com', 'org', 'net', 'de'))}" if label else f"{word()} ({rng.choice(('at', 'AT'))}) {word()}.{word()}"
         else:
             s = ":".join("".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(1, 4) if label else 2)) for _ in range(8))
         before = " ".join([word(), word(), cue]) + rng.choice((" ", ": ", " "))
-        text = before + s + rng.choice((" ", ". ", ", ")) + word()
+        text, true = before + s, {(kind, len(before), len(before) + len(s))} if label else set()
+        if kind in ("card", "phone") and rng.random() < 0.5:  # a number of another owner next to it
+            other = rng.choice(("card", "phone", "ip", "plain"))
+            more = {"card": _fake_luhn(rng, 16, True), "phone": f"+1 ({num(3)}) 555-{num(4)}", "ip": ".".join(str(rng.randint(1, 255)) for _ in range(4)), "plain": num(rng.randint(1, 4))}[other]
+            if label and kind == "phone" and rng.random() < 0.7:
+                s = f"+1 ({num(3)}) 555-{num(4)}"
+            first, second = (s, more) if rng.random() < 0.5 else (more, s)
+            text, at = f"{before}{first} {second}", len(before) + (0 if first == s else len(more) + 1)
+            true = {(kind, at, at + len(s))} if label else set()
+            at = len(before) + (len(s) + 1 if first == s else 0)
+            true |= {(other, at, at + len(more))} if other in KINDS else set()
+        end = len(text)
+        text += rng.choice((" ", ". ", ", ")) + word()
+        base = base_spans(text)
         for span in proposals(text):
-            if span[1] <= len(before) + 1 and span[2] >= len(before) + len(s) - 1:
-                x.append(features(text, span)), y.append(float(label and span[0] == kind)), kinds.append(KINDS.index(span[0]))
+            if span[1] < end and span[2] > len(before) and not any(a < span[2] and span[1] < b for _, a, b in base):
+                x.append(features(text, span)), y.append(float(span in true)), kinds.append(KINDS.index(span[0]))
     return np.array(x), np.array(y), np.array(kinds)
 
 
@@ -206,7 +238,8 @@ def all_spans(texts: list[str], trees: Boosted, thresholds) -> list[tuple[list[S
                 rows.append(features(text, span)), where.append((k, span))
     if rows:
         score = trees.predict(np.array(rows))
-        for i in np.argsort(-score, kind="stable").tolist():
+        size = np.array([b - a for _, (_, a, b) in where])
+        for i in np.lexsort((-size, -score)).tolist():  # the longer one of equals
             k, span = where[i]
             if score[i] >= thresholds[KINDS.index(span[0])] and not any(a < span[2] and span[1] < b for _, a, b in found[k][1]):
                 found[k][1].append(span)

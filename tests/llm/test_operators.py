@@ -81,6 +81,13 @@ def test_pii_model_is_precise():
     assert [s[0] for s in found[0][1]] == ["phone"] and not found[1][1]
 
 
+def test_pii_numbers_next_to_each_other():
+    texts = ["see 7536784127813050 4845168114407329 there", "reach +1 (826) 555-4081 190.137.223.204 now", "+1 (988) 555-2485 4041894974608795 ok"]
+    found = [set(spans) for _, spans in pii.all_spans(texts, *pii.model())]
+    assert found == [{("card", 4, 20), ("card", 21, 37)}, {("ip", 24, 39), ("phone", 6, 23)}, {("phone", 0, 17), ("card", 18, 34)}]
+    assert ("card", 8, 25) in pii.proposals("1 22 33 4111 1111 1111 11 5") and not pii.all_spans(["1 " * 50], *pii.model())[0][1]
+
+
 def test_boosting_learns():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 4))
