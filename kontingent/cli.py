@@ -90,8 +90,8 @@ def run(args: argparse.Namespace, spark, out=print) -> None:
     if c == "preprocess":
         return emit(formats.write_aggregated_json(*formats.preprocess(data, args.columns, args.auto_bin or None)))
     if c == "bin":
-        rows = data.rows.drop("value")
-        t, fitted = binning.auto_bin(rows) if args.auto or not args.spec else binning.apply_binning(rows, dict([binning.parse_spec(x) for x in args.spec.split(";")]))
+        rows, count = data.rows, "value" if "value" in data.rows.columns else None
+        t, fitted = binning.auto_bin(rows, count=count) if args.auto or not args.spec else binning.apply_binning(rows, dict([binning.parse_spec(x) for x in args.spec.split(";")]), count)
         return emit(json.dumps([r.asDict() for r in t.collect()]))
     a = Analyzer(data.table(), data.schema)
     if c == "search":
@@ -106,11 +106,11 @@ def run(args: argparse.Namespace, spark, out=print) -> None:
     if args.compare:
         out(json.dumps({"alpha": a.incremental_alpha(m, args.compare)}))
     if args.residuals:
-        [out(json.dumps(r.asDict())) for r in a.residuals(m).orderBy(*a.schema.columns).limit(1000).collect()]
+        [out(json.dumps(r.asDict())) for r in a.residuals(m).orderBy(*a.schema.columns).toLocalIterator()]
     if args.conditional_dv or args.confusion_matrix:
         cond = predict.conditional_dv(a.table, a.fit_table(m), a.schema)
         shown = cond if args.conditional_dv else predict.confusion_matrix(predict.confusion(a.table, cond, a.schema), a.schema)
-        [out(json.dumps(r.asDict())) for r in shown.limit(1000).collect()]
+        [out(json.dumps(r.asDict())) for r in shown.toLocalIterator()]
     return None
 
 

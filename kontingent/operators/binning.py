@@ -209,10 +209,10 @@ def apply_binning(df: DataFrame, specs: dict[str, BinSpec], count: str | None =
     return out.groupBy(*names).agg(F.sum("value").alias("value")), fitted
 
 
-def auto_bin(df: DataFrame, target: int = 5, threshold: int = 10) -> tuple[DataFrame, dict[str, Fitted]]:
+def auto_bin(df: DataFrame, target: int = 5, threshold: int = 10, count: str | None = None) -> tuple[DataFrame, dict[str, Fitted]]:
     """Bins every column with more than ``threshold`` distinct values as suggested."""
-    specs = {r["column"]: suggest(r["is_numeric"], r["unique_count"], target) for r in analyze(df).collect() if r["unique_count"] > threshold}
-    return apply_binning(df, specs)
+    specs = {r["column"]: suggest(r["is_numeric"], r["unique_count"], target) for r in analyze(df.drop(count) if count else df).collect() if r["unique_count"] > threshold}
+    return apply_binning(df, specs, count)
 
 
 def merge_codes(code: Column, cardinality: int, target: int) -> Column:

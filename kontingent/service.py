@@ -44,7 +44,8 @@ class Service:
         m = algebra.parse_model(a.schema, request["model"])
         out = asdict(a.fit(m))
         if request.get("residuals"):
-            out["residuals"] = [r.asDict() for r in a.residuals(m).orderBy(*a.schema.columns).limit(int(request.get("limit", 1000))).collect()]
+            rows = a.residuals(m).orderBy(*a.schema.columns)
+            out["residuals"] = [r.asDict() for r in (rows.limit(int(request["limit"])) if "limit" in request else rows).collect()]
         return out
 
     def search(self, request: dict, progress=None) -> dict:

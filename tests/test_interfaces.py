@@ -110,6 +110,20 @@ def test_cli(spark, tmp_path):
         assert len(out) > before, argv
 
 
+def test_cli_bin_keeps_counts_and_residuals_are_whole(spark, tmp_path):
+    f = tmp_path / "d.json"
+    f.write_text(json.dumps(DATA))
+    for argv in (["bin", str(f)], ["bin", str(f), "--spec", "a:top:1"]):
+        out = []
+        cli.run(cli.parser().parse_args(argv), spark, out.append)
+        assert sum(r["value"] for r in json.loads(out[0])) == 60
+    wide = {"name": "w", "variables": [{"name": n, "abbrev": n.upper(), "cardinality": 1200 if n == "a" else 2} for n in "ab"], "data": [[str(k), str(k % 2)] for k in range(1200)]}
+    f.write_text(json.dumps(wide))
+    out = []
+    cli.run(cli.parser().parse_args(["fit", str(f), "--model", "A:B", "--residuals"]), spark, out.append)
+    assert len(out) > 1200
+
+
 def test_stream(spark, tmp_path):
     d = formats.read_json(spark, json.dumps(DATA))
     rows = d.rows.select(F.when(F.col("a") == "x", 0).otherwise(1).alias("A"), F.col("b").cast("int").alias("B"), F.col("c").cast("int").alias("C"))
