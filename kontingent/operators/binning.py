@@ -16,7 +16,7 @@ from ..errors import ValidationError
 from ..schema import Schema, Variable, unique_abbrevs
 
 # Texts that mean a missing value, compared after trimming, in any case.
-MISSING = ("", "na", "n/a", "nan", "null", "none", ".", "?", "-", "--", "missing", "unknown", "#n/a", "#na", "<na>", "undefined")
+MISSING = ("", "na", "n/a", "nan", "null", "nil", "none", ".", "?", "-", "--", "missing", "unknown", "#n/a", "#na", "#null!", "<na>", "undefined")
 # Names of two to seven ordered bins.
 SEMANTIC = {
     1: ("Single",), 2: ("Low", "High"), 3: ("Low", "Medium", "High"), 4: ("Low", "MediumLow", "MediumHigh", "High"),

@@ -124,6 +124,13 @@ def test_cli_bin_keeps_counts_and_residuals_are_whole(spark, tmp_path):
     assert len(out) > 1200
 
 
+def test_missing_values_of_the_reference(spark):
+    cells = ["", "NA", "na", "N/A", "n/a", "NaN", "nan", "null", "NULL", "Null", "nil", "NIL", ".", "-", "?", "None", "none", "NONE", "#N/A", "#NA", "#NULL!", "nile"]
+    df = spark.createDataFrame([(c,) for c in cells], "a string")
+    got, _ = binning.apply_binning(df, {"a": binning.BinSpec("top", top=2, missing="exclude")})
+    assert [tuple(r) for r in got.collect()] == [("nile", 1.0)]
+
+
 def test_stream(spark, tmp_path):
     d = formats.read_json(spark, json.dumps(DATA))
     rows = d.rows.select(F.when(F.col("a") == "x", 0).otherwise(1).alias("A"), F.col("b").cast("int").alias("B"), F.col("c").cast("int").alias("C"))
