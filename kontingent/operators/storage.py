@@ -7,11 +7,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import ValidationError
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a local temporary folder only where the session names none."""
+    """``spark.checkpoint.dir``; where a local session names none, a temporary folder of this machine."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("kontingent.shared.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValidationError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="kontingent-")
         spark.conf.set("kontingent.shared.dir", at)
     return at.rstrip("/")
@@ -21,4 +25,16 @@ def materialise(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: short lineage, safe against lost executors."""
     path = f"{shared_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialise`` wrote and nothing reads any more; others are left alone."""
+    for t in tables:
+        path = getattr(t, "_stored_at", None)
+        if path:
+            at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+            t._stored_at = None
