@@ -9,9 +9,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.storage import materialise, shared_dir
+from ..operators.storage import drop, materialise, shared_dir
 
-__all__ = ["Words", "arrow_texts", "ascii_lower", "block_rows", "blocks_of", "by_block", "chunks", "materialise", "mix64", "shared_dir", "text_bytes"]
+__all__ = ["Words", "arrow_texts", "ascii_lower", "block_rows", "blocks_of", "by_block", "chunks", "drop", "materialise", "mix64", "shared_dir", "slices", "text_bytes"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The characters that separate words, as a Java/RE2 class body.
@@ -121,6 +121,13 @@ def chunks(texts: list[bytes], limit: int = 1 << 20):
         yield some
 
 
+def slices(batches, rows: int = 1000):
+    """Arrow batches in pieces of at most so many rows, so that little of a batch is held as Python objects."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def arrow_texts(column) -> list[bytes]:
     """The texts of an Arrow string column as bytes; a null is empty."""
     import pyarrow as pa

@@ -11,8 +11,10 @@ on at least 1 + e.  Pieces with fewer than m elements say little and would join
 unrelated sets, so a set with at most e such pieces does not sign them: one of
 the pieces it agrees on is then another.  A set with more of them signs them all.
 
-Equal sets are one class, named by 64 bits of the set, so copies never meet as
-pairs, and a task sends a class's signatures once.
+Equal sets are one class, so copies never meet as pairs, and a task sends a
+class's signatures once.  Signatures travel with 64 bits of the set; candidates
+then stand for all classes of that name, each of which has a number of its own
+(``node``), so classes that share a name are told apart before anything is linked.
 Groups of at most ``SMALL`` classes with a common signature give all their pairs
 as candidates; in a larger group each class is paired with the least one only.
 A candidate whose sketches (counts of the elements by ranges of their hash)
@@ -22,9 +24,11 @@ classes of different components are then checked completely: groups that share c
 checked together where that is less work, their classes are dealt into blocks of
 about ``BLOCK``, two blocks meet in a task, which intersects their sets as a
 matrix product and emits at most one link per class.  Sketches meet first, in
-blocks of ``WIDE`` blocks, and name the classes of each block that have a
-possible partner in another component and block; only their sets travel.  So no link between
-components is lost and no task or table holds all pairs of a group.
+blocks of ``WIDE`` blocks.  Where they leave at most ``FEW`` possible links per
+class between components, these go as pairs, and a pair that many groups share is
+checked once; otherwise they name the classes of each block that have a possible
+partner, and only their sets travel.  So no link between components is lost and
+no task or table holds all pairs of a group.
 
 Edge cases: null or empty texts have an empty set and link to nothing; fewer
 words than n make one element of all words; equal rows fall into one class; a
@@ -41,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_texts, chunks, materialise, mix64
+from .common import Words, arrow_texts, chunks, drop, materialise, mix64, slices
 from .components import components
 
 #: Up to so many classes with a common signature are paired completely.
@@ -50,6 +54,10 @@ SMALL = 12
 BLOCK = 512
 #: Blocks whose sketches are compared in one task, on either side.
 WIDE = 8
+#: Possible links per class up to which sketches name pairs instead of blocks.
+FEW = 8
+#: Parts into which the rows of one cluster of groups are dealt.
+SALTS = 64
 #: Signatures that a task holds at once, and that one bucket gets on average.
 HELD = 600_000
 #: Expected elements in a range of a sketch.
@@ -146,7 +154,7 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
     """(id, n, k1, k2, sketch, th) of each row of (id, text, th): size, 128 bits and sketch of its set, hash of its text."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             sizes, keys, sketches = [], [], []
             for some in chunks(arrow_texts(b.column(1))):  # sets are dropped as soon as they are described
                 for e in _element_sets(some, n):
@@ -174,7 +182,7 @@ def apart(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sketches do not rule out a link."""
+    """The pairs of nodes, from pairs of names, whose sketches do not rule out a link."""
 
     def run(batches):
         for b in batches:
@@ -183,10 +191,10 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                     for u, v, x, y in zip(na, nb, sa, sb)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left, right = (classes.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("sketch").alias("s" + c)) for c in "ab")
+    left, right = (classes.select(F.col("name").alias(c), F.col("node").alias("v" + c), F.col("n").alias("n" + c), F.col("sketch").alias("s" + c)) for c in "ab")
     # sizes too far apart are no link and need no sketch
     both = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    return both.select("va", "vb", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def _starts(x: np.ndarray) -> np.ndarray:
@@ -234,7 +242,7 @@ def _send_chunk(sig: np.ndarray, node: np.ndarray, n_buckets: int) -> pa.RecordB
 
 
 def signed(elements: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signatures, class of each) of some sets; a class is named by the first half of its set's key."""
+    """(signatures, name of each one's class) of some sets; the name is the first half of the set's key."""
     sigs = [signatures(e, percent) for e in elements if len(e)]
     nodes = [_set_key(e)[0] for e in elements if len(e)]
     sizes = [len(s) for s in sigs]
@@ -247,7 +255,7 @@ def candidates(docs: DataFrame, n: int, percent: int, n_buckets: int) -> DataFra
 
     def send(batches):
         sig, node, held = [], [], 0
-        for b in batches:
+        for b in slices(batches):
             for some in chunks(arrow_texts(b.column(1))):
                 s, m = signed(_element_sets(some, n), percent)
                 sig.append(s), node.append(m)
@@ -294,23 +302,23 @@ def candidates(docs: DataFrame, n: int, percent: int, n_buckets: int) -> DataFra
     return sent.groupBy("bucket").applyInArrow(meet, "kind int, a long, b long").distinct()
 
 
-def _maybe(docs: DataFrame, need: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose (id, th) sets a bit that a row of ``need`` sets, so that few other texts are shuffled.
+def split_by_bits(docs: DataFrame, need: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` whose (id, th) sets a bit that a row of ``need`` sets, and all others, so that only the first need a shuffle.
 
-    The filter is 2^FILTER bits in words of 64; with far more rows in ``need`` than bits it lets all pass.
+    The filter is 2^FILTER bits in words of 64; with far more rows in ``need`` than bits all rows are among the first.
     """
     place = F.pmod(F.xxhash64("id", "th"), F.lit(1 << FILTER))
     at = {"word": F.shiftright(place, 6), "bit": F.pmod(place, F.lit(64)).cast("int")}
     words = need.withColumns(at).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
-    found = docs.withColumns(at).join(F.broadcast(words), "word")
-    return found.where(F.expr("getbit(bits, bit) = 1")).drop("word", "bit", "bits")
+    marked = docs.withColumns(at).join(F.broadcast(words), "word", "left").withColumn("hit", F.expr("coalesce(getbit(bits, bit) = 1, false)"))
+    return tuple(marked.where(c).drop("word", "bit", "bits", "hit") for c in ("hit", "not hit"))
 
 
 def class_sets(docs: DataFrame, need: DataFrame, n: int) -> DataFrame:
     """(node, elements, checked, grouped) of the classes in ``need`` (id, th, node, k1, k2, checked, grouped), from a document of each."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             at, want = 0, list(zip(*[b.column(k).to_pylist() for k in range(5)]))
             for some in chunks(arrow_texts(b.column(5))):
                 own = [(w, e.view(np.int64)) for w, e in zip(want[at: at + len(some)], _element_sets(some, n)) if _set_key(e) == w[1:3]]
@@ -321,7 +329,7 @@ def class_sets(docs: DataFrame, need: DataFrame, n: int) -> DataFrame:
                     names=["node", "elements", "checked", "grouped"])
 
     docs, need = (t.withColumn("id", F.coalesce("id", F.lit(0))) for t in (docs, need))
-    texts = _maybe(docs, need).groupBy("id", "th").agg(F.first("text").alias("text"))  # repeated rows go before the shuffle
+    texts = split_by_bits(docs, need)[0].groupBy("id", "th").agg(F.first("text").alias("text"))  # repeated rows go before the shuffle
     found = texts.join(need, ["id", "th"]).select("node", "k1", "k2", "checked", "grouped", "text")
     return found.mapInArrow(run, "node long, elements array<long>, checked boolean, grouped boolean")
 
@@ -371,8 +379,9 @@ def _check_block(t: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([min(p) for p in out], pa.int64()), "b": pa.array([max(p) for p in out], pa.int64())})
 
 
-def _possible(t: pa.Table, percent: int) -> pa.Table:
-    """(group, p, q, node, root): classes of two wide blocks with a possible link to another component, by the blocks of the two."""
+def _possible(t: pa.Table, percent: int, few: int) -> pa.Table:
+    """Possible links between components among the classes of two wide blocks: pairs (node, other) if they are at most ``few``
+    per class, else (group, p, q, node, root, as_one) of each class that has one, by the blocks of the two."""
     t = t.combine_chunks()
     node, root, mine, size = (t[c].to_numpy() for c in ("node", "root", "mine", "n"))
     wide = mine // WIDE
@@ -380,39 +389,54 @@ def _possible(t: pa.Table, percent: int) -> pa.Table:
     raw = [np.frombuffer(x, np.uint8) for x in t["sketch"].to_pylist()]
     length = np.array([len(x) for x in raw])
     found = [np.zeros((0, 2), np.int64)]  # (place of a class, block of its partner)
+    pairs, room = [np.zeros((0, 2), np.int64)], [few * len(node)]
 
     def compare(a: np.ndarray, b: np.ndarray) -> None:
-        few = min(length[a[0]], length[b[0]])
-        x, y = (np.stack([raw[k].reshape(few, -1).sum(1, dtype=np.int16) for k in side]) for side in (a, b))
-        step = max(1, (1 << 21) // (len(b) * int(few)))
+        ranges = min(length[a[0]], length[b[0]])
+        x, y = (np.stack([raw[k].reshape(ranges, -1).sum(1, dtype=np.int16) for k in side]) for side in (a, b))
+        step = max(1, (1 << 21) // (len(b) * int(ranges)))
         for lo in range(0, len(a), step):
             some = a[lo: lo + step]
             far = np.abs(x[lo: lo + step, None] - y[None]).sum(2, dtype=np.int64)
             ok = (far * (100 + percent) <= (size[some][:, None] + size[b]) * (100 - percent)) & (root[some][:, None] != root[b])
             i, j = np.nonzero(ok)
+            room[0] -= len(i)
+            if room[0] >= 0:
+                pairs.append(np.stack([some[i], b[j]], 1))
             both = np.concatenate([np.stack([some[i], mine[b[j]]], 1), np.stack([b[j], mine[some[i]]], 1)])
             found.append(np.unique(both, axis=0))
 
-    for few in np.unique(length).tolist():
-        for more in [m for m in np.unique(length).tolist() if few <= m <= few * 200 // percent]:  # others differ too much in size
-            for left, right in ((few, more), (more, few)):
+    for less in np.unique(length).tolist():
+        for more in [m for m in np.unique(length).tolist() if less <= m <= less * 200 // percent]:  # others differ too much in size
+            for left, right in ((less, more), (more, less)):
                 a, b = np.flatnonzero((length == left) & (wide == low)), np.flatnonzero((length == right) & (wide == high))
                 if len(a) and len(b):
                     compare(a, b)
-                if few == more or low == high:
+                if less == more or low == high:
                     break
+    if room[0] >= 0:
+        ends = np.unique(np.sort(node[np.concatenate(pairs)], axis=1), axis=0)
+        nothing = lambda kind: pa.nulls(len(ends), kind)
+        return pa.table({"group": nothing(pa.int64()), "p": nothing(pa.int32()), "q": nothing(pa.int32()), "node": ends[:, 0],
+                         "root": nothing(pa.int64()), "as_one": nothing(pa.bool_()), "other": ends[:, 1]})
     hits = np.unique(np.concatenate(found), axis=0)
     at, other = hits[:, 0], hits[:, 1]
     return pa.table({"group": t["group"].take(pa.array(at)), "p": pa.array(np.minimum(mine[at], other), pa.int32()),
                      "q": pa.array(np.maximum(mine[at], other), pa.int32()), "node": pa.array(node[at]), "root": pa.array(root[at]),
-                     "as_one": t["as_one"].take(pa.array(at))})
+                     "as_one": t["as_one"].take(pa.array(at)), "other": pa.nulls(len(at), pa.int64())})
+
 
+def _with_cluster(rows: DataFrame, whole: DataFrame) -> DataFrame:
+    """``rows`` joined to the one row of their cluster, which SALTS tasks share."""
+    some = whole.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node", "sig"), F.lit(SALTS)).cast("int")).join(some, ["cluster", "salt"]).drop("salt")
 
-def large_group_links(large: DataFrame, roots: DataFrame, sets: DataFrame, classes: DataFrame, percent: int, n_buckets: int, block: int = BLOCK) -> DataFrame:
+
+def large_group_links(large: DataFrame, roots: DataFrame, sets: DataFrame, classes: DataFrame, percent: int, n_buckets: int, block: int = BLOCK, few: int = FEW) -> DataFrame:
     """Links inside groups of more than SMALL classes that the first check left in several components."""
 
     def sign(batches):
-        for b in batches:
+        for b in slices(batches):
             col = b.column(1)
             sigs = [signatures(e.values.to_numpy(zero_copy_only=False).view(np.uint64), percent) for e in col]
             node = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(s) for s in sigs])
@@ -420,16 +444,16 @@ def large_group_links(large: DataFrame, roots: DataFrame, sets: DataFrame, class
 
     members = sets.mapInArrow(sign, "node long, sig long").join(large.select(F.col("a").alias("sig")), "sig")
     members = members.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
-    members = materialise(members)
+    signed_ = members = materialise(members)
     open_ = members.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("node").alias("first"), F.count("*").alias("c")).where("r0 < r1")
     members = materialise(members.join(open_.select("sig", "first", "c"), "sig"))
     # clusters of groups that share classes; a cluster is checked as one group where its square is less than its groups' squares
-    cluster = components(members.select(F.col("node").alias("a"), F.col("first").alias("b")))
-    cluster = cluster.select("node", F.col("root").alias("cluster"))
+    named = components(members.select(F.col("node").alias("a"), F.col("first").alias("b")))
+    cluster = named.select("node", F.col("root").alias("cluster"))
     squares = members.select("sig", "first", "c").distinct().join(cluster.withColumnRenamed("node", "first"), "first")
     squares = squares.groupBy("cluster").agg(F.sum(F.col("c") * F.col("c")).alias("apart"))
     whole = cluster.groupBy("cluster").agg(F.count("*").alias("size")).join(squares, "cluster").withColumn("as_one", F.col("size") * F.col("size") <= F.col("apart"))
-    grouped = members.join(cluster, "node").join(whole, "cluster").select(
+    grouped = _with_cluster(members.join(cluster, "node"), whole).select(
         F.when(F.col("as_one"), F.col("cluster")).otherwise(F.col("sig")).alias("group"), "as_one", "node", "root",
         F.ceil(F.when(F.col("as_one"), F.col("size")).otherwise(F.col("c")) / block).cast("int").alias("nb")).distinct()
     dealt = grouped.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")).withColumn("wide", F.floor(F.col("mine") / WIDE).cast("int"))
@@ -437,35 +461,47 @@ def large_group_links(large: DataFrame, roots: DataFrame, sets: DataFrame, class
     dealt = dealt.select("group", "as_one", F.least("wide", "other").alias("wp"), F.greatest("wide", "other").alias("wq"), "mine", "node", "root", "n", "sketch")
     keys = ("group", "as_one", "wp", "wq")  # little data and much work: not for AQE to coalesce
     dealt = dealt.repartition(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-    dealt = dealt.groupBy(*keys).applyInArrow(lambda t: _possible(t, percent), "group long, p int, q int, node long, root long, as_one boolean")
+    dealt = dealt.groupBy(*keys).applyInArrow(lambda t: _possible(t, percent, few), "group long, p int, q int, node long, root long, as_one boolean, other long")
     dealt = materialise(dealt.distinct())
-    return dealt.join(sets, "node").groupBy("group", "as_one", "p", "q").applyInArrow(lambda t: _check_block(t, percent), "a long, b long").distinct()
+    drop(signed_)
+    pairs = linked(dealt.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")), sets, percent)
+    out = materialise(pairs.union(dealt.where("other is null").join(sets, "node").groupBy("group", "as_one", "p", "q").applyInArrow(lambda t: _check_block(t, percent), "a long, b long")).distinct())
+    drop(members, named, dealt)
+    return out
 
 
-def join_documents(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id (least id that links reach, its own included)."""
+def join_documents(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, few: int = FEW) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id (least id that links reach, its own included), text_hash (64 bits of
+    the text) and leads: whether the row has the least (id, text_hash) of its component, null ids last."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("th"))
     told = materialise(describe(rows, n))
     classes = told.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct(F.isnull("id").alias("unnamed"), "id", "th")).alias("least"), F.min("sketch").alias("sketch"))
-    classes = materialise(classes.select("k1", "k2", "n", "least.id", "least.th", "sketch", F.col("k1").alias("node")))
+    classes = materialise(classes.select("k1", "k2", "n", "least", "least.id", "least.th", "sketch", F.col("k1").alias("name"), F.monotonically_increasing_id().alias("node")))
     total = told.agg(F.sum("n").alias("s")).first()["s"] or 0
     total = total * 4 * (100 - percent) // (100 + percent)  # about so many signatures
     n_buckets = max(1, -(-total // HELD))
     found = materialise(candidates(rows, n, percent, n_buckets))
     large = materialise(found.where("kind = 2").select("a").distinct())
     pairs = materialise(plausible(found.where("kind < 2").select("a", "b").distinct(), classes, percent))
-    nodes = [few.select(F.explode(F.array("a", "b")).alias("node"), F.lit(k == 0).alias("checked"), F.lit(k == 1).alias("grouped"))
-             for k, few in enumerate((pairs, found.where("kind = 1")))]
-    need = nodes[0].union(nodes[1]).groupBy("node").agg(F.max("checked").alias("checked"), F.max("grouped").alias("grouped"))
+    checked = pairs.select(F.explode(F.array("a", "b")).alias("node"), F.lit(True).alias("checked"), F.lit(False).alias("grouped"))
+    grouped = found.where("kind = 1").select(F.explode(F.array("a", "b")).alias("name")).distinct().join(classes.select("name", "node"), "name")
+    need = checked.union(grouped.select("node", F.lit(False), F.lit(True))).groupBy("node").agg(F.max("checked").alias("checked"), F.max("grouped").alias("grouped"))
     need = materialise(classes.select("id", "th", "node", "k1", "k2").join(need, "node"))
+    drop(found)
     sets = materialise(class_sets(rows, need, n))
     links = materialise(linked(pairs, sets.where("checked"), percent))
     roots = components(links)
     if large.limit(1).count():
-        links = links.union(large_group_links(large, roots, sets.where("grouped"), classes, percent, n_buckets, block))
-        roots = components(links)
+        more = materialise(links.union(large_group_links(large, roots, sets.where("grouped"), classes, percent, n_buckets, block, few)))
+        drop(roots)
+        roots = components(more)
+        drop(more)
+    drop(large, pairs, need, sets, links)
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = named.join(least, "root").select("k1", "k2", "n", "component_id")
-    return told.join(named, ["k1", "k2", "n"], "left").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    least = named.groupBy("root").agg(F.min("least").alias("first"))
+    named = named.join(least, "root").select("k1", "k2", "n", "first")
+    out = told.join(named, ["k1", "k2", "n"], "left")
+    alone = F.col("n") == 0
+    return out.select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("first.id")).alias("component_id"),
+        F.col("th").alias("text_hash"), (alone | (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")))).alias("leads"))

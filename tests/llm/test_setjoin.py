@@ -37,7 +37,14 @@ def brute(rows, n=3, percent=90):
 
 def run(spark, rows, **how):
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, node int").repartition(4)
-    return sorted((tuple(r) for r in setjoin.join_documents(docs, **how).collect()), key=str)
+    out = setjoin.join_documents(docs, **how).collect()
+    groups = {}
+    for r in out:  # every component has one leading (id, text)
+        if r["n_shingles"]:
+            groups.setdefault(r["component_id"], set()).add((r["doc_id"], r["text_hash"]) if r["leads"] else None)
+    ids = [r[0] for r in rows]
+    assert len(set(ids)) < len(ids) or all(len(g - {None}) == 1 for g in groups.values())
+    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out), key=str)
 
 
 def edited(rng, words, k):
@@ -58,7 +65,9 @@ def test_near_copies(spark, sf_dir):
         rows.append((2000 - k, " ".join(chain)))
     for size in (2, 9, 10, 12, 19, 21, 33):
         rows += [(3000 + 10 * size + k, edited(rng, base[:size], min(k, 2) if k % 2 else 0)) for k in range(6)]
-    assert run(spark, rows, block=16) == brute(rows)
+    expected = brute(rows)
+    assert run(spark, rows, block=16) == expected
+    assert run(spark, rows, block=16, few=0) == expected  # all groups in blocks
 
 
 def test_edges(spark):
