@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
+
 #: Text of the items in one automaton; about 40 times as much memory in a worker.
 PART_BYTES = 4 << 20
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -185,7 +187,7 @@ def scan(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text"
         fields = [df.schema[c] for c in outs] + list(_MADE)
 
         def run(batches, shared=shared, outs=outs, first=k == 0):
-            for b in batches:
+            for b in slices(batches):
                 texts = b.column(b.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
                 rows = []
                 for i, t in enumerate(texts):
@@ -227,7 +229,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_span:
     schema = T.StructType([hits.schema[c] for c in kept])
 
     def cut(batches):
-        for b in batches:
+        for b in slices(batches):
             at = b.schema.get_field_index
             texts = b.column(at(text)).cast(pa.binary()).to_pylist()
             starts, ends = b.column(at("hit_start")).to_pylist(), b.column(at("hit_end")).to_pylist()

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import slices
+
 from .boosting import Boosted, calibrated_threshold
 
 KINDS = ("email", "ip", "card", "phone")
@@ -273,7 +275,7 @@ def detect(docs: DataFrame, text: str = "text", precision: float = PRECISION, re
     shared = docs.sparkSession.sparkContext.broadcast(model(precision))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             at = b.schema.get_field_index
             raw = b.column(at(text)).to_pylist()
             both = all_spans([t or "" for t in raw], *shared.value)
