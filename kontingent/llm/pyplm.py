@@ -1,40 +1,53 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Every context is a restaurant, on three levels: one for each word before, its
-parent for the class of that word (``CLASSES`` classes by its last bytes, one of
-them the start of a text), and a root that all classes share and whose base is
-uniform over the vocabulary and one unknown word.  Customers of a word's
-restaurant are the training tokens after it, its dishes the words; each table
-sends one customer to the parent.  Gibbs sweeps seat the customers anew by the
-Chinese-restaurant rule given the parent's predictive probabilities; after
-``BURN_IN`` sweeps the predictive probabilities of ``SAMPLES`` sweeps are averaged.
-
-Data flow: documents are dealt into blocks by a hash of their id.  A block sends
-its distinct (word, word before) pairs with their training counts to the words'
-buckets, so a frequent word reaches its bucket once per block.  A bucket holds
-all counts of its words on every level and stays where it is; per sweep only
-sums travel.  The sums of a word's restaurant are spread over the buckets: a
+Every word is a context with a restaurant of its own (and so is the start of a
+text); all of them share one parent, the restaurant of words without context,
+whose base is uniform over the vocabulary and one unknown word.  Customers of a
+context's restaurant are the training tokens after it, its dishes the words;
+each table sends one customer to the parent.  A Gibbs sweep draws the tables of
+every dish from their exact conditional given the tables of all other dishes
+before the sweep and the parent's predictive probabilities (``seating``), then
+those of the parent.  After each sweep the discount and the strength of either
+level are drawn on a grid around their last values, in proportion to the
+likelihood of all seatings.  After ``BURN_IN`` sweeps the predictive
+probabilities of ``SAMPLES`` sweeps are averaged.
+
+Data flow: a partition of the table is read in blocks of a bounded size.  A
+block's distinct (word, context) pairs with their training counts go to the
+words' buckets, so a frequent word reaches its bucket once per block; a task
+sends all its blocks' pairs for a bucket in one piece.  A bucket holds the
+counts and tables of its words' pairs and stays where it is; per sweep only sums
+travel.  The sums of a context's restaurant are spread over the buckets: a
 bucket posts its part for each of its contexts to the context's shard, and the
-shard posts the sum back to the buckets that have the context.  Sums per class
-(a few hundred numbers) pass through the driver.  A bucket then answers each
-block with one log-probability per pair the block has.  All documents are
-counted; restaurants grow with the vocabulary, and what is gathered with the corpus.
+shard posts the sum back to the buckets that have the context.  A bucket then
+answers each block with one log-probability per pair the block has, and the
+task that reads the block's partition again adds them up.  No text is shuffled.
+All documents are counted; restaurants grow with the vocabulary, and what is
+gathered with the corpus.
 
-A context is named by 48 bits, 6 of its class and 42 of a hash: two words of one
-class share a restaurant with a chance of 2 ** -42.
+Hot words: the pairs of words that have over 1 / ``HOT`` of the tokens in the
+first ``PROBED`` bytes of a partition, and of the end token, are dealt over all
+buckets by their context; the parent's numbers for these (at most ``HOT`` per
+partition probed, and in all at most ``HOT``) pass through the driver with the
+other totals.  Which words are hot decides only where their pairs lie.
 
-Within a sweep the other buckets' totals are those of the sweep before, and a
-dish of more than ``EXACT`` customers is seated in steps whose length grows
-with the customers already seated (one binomial draw a step).
+A context is named by 48 bits of its word's hash: two words share a restaurant
+with a chance of 2 ** -48.  Log-probabilities of pairs are sent as 32-bit floats.
+
+The table must give its rows in the same order when a partition is read again,
+as stored tables do; a block whose texts differ on second reading is an error.
 
 Edge cases: a null or empty text is the end token alone; unknown words share the
-unknown word's probability; without training documents every token is the unknown word, of probability one;
-rows are scored one by one, so repeated rows and null ids need no care (a null
-id counts as the empty text for the split).
+unknown word's probability; without training documents every token is the
+unknown word, of probability one; an empty table gives an empty result; a text
+longer than a block is a block of its own; rows are scored one by one, so
+repeated rows and null ids need no care (a null id counts as the empty text for
+the split); other columns of the table are not looked at.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 
 import numpy as np
@@ -45,37 +58,66 @@ from pyspark.serializers import BatchedSerializer, CPickleSerializer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, block_rows, blocks_of, by_block, shared_dir
+from ..errors import ComputationError
+from . import seating
+from .common import Words, arrow_texts, mix64, shared_dir, text_bytes
 
-CLASSES = 64
-BURN_IN, SAMPLES = 1, 2
-#: Customers of a dish that are seated one by one.
-EXACT = 64
-WORD_STRENGTH, STRENGTH, ROOT_STRENGTH = 1.0, 5.0, 1.0
+BURN_IN, SAMPLES = 2, 2
 BLOCK_BYTES = 4 << 20
+#: Bytes of pairs that a task holds before it sends them.
+HELD = 48 << 20
+HOT, PROBED = 500, 1 << 20
 END = b""  # no word is empty
+#: Steps around the last discount, and factors of the last strength, among which new ones are drawn.
+D_STEPS = np.array([-0.12, -0.05, -0.02, 0.0, 0.02, 0.05, 0.12])
+S_STEPS = np.array([0.5, 0.75, 1.0, 1.33, 2.0])
+_SALT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
-def class_of(word: bytes) -> int:
-    """Class of a word as a context; class 0 is the start of a text."""
-    return 1 + zlib.crc32(word[-2:]) % (CLASSES - 1)
+def _press(x: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x)
 
 
-def contexts_of(words: list[bytes]) -> np.ndarray:
-    """The 48 bits that name each word as a context, the class lowest; 0 is the start of a text.  The end token is no context."""
-    out = np.zeros(len(words), np.int64)
-    some = np.array([k for k, w in enumerate(words) if w], np.int64)
-    if len(some):
-        hashed = Words([words[k] for k in some.tolist()]).hash >> np.uint64(22)
-        out[some] = hashed.astype(np.int64) * CLASSES + np.array([class_of(words[k]) for k in some.tolist()], np.int64)
-    return out
+def _unpress(x: bytes, kind=None):
+    raw = zstandard.ZstdDecompressor().decompress(x)
+    return raw if kind is None else np.frombuffer(raw, kind)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The lower 48 bits of each number, byte by byte."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
+
+
+def _from_planes(x: bytes) -> np.ndarray:
+    planes = np.frombuffer(x, np.uint8).reshape(6, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :6] = planes.T
+    return out.view("<i8").ravel()
+
+
+def _ints(x: np.ndarray) -> bytes:
+    """Whole numbers in the narrowest type that holds them."""
+    kind = next(k for k in ("u1", "<u2", "<u4", "<i8") if not len(x) or x.max() <= np.iinfo(k).max)
+    return kind[-2:].encode() + x.astype(kind).tobytes()
+
+
+def _from_ints(x: bytes) -> np.ndarray:
+    return np.frombuffer(x[2:], x[:2].decode()).astype(np.int64)
+
+
+def _press_ints(x: np.ndarray) -> bytes:
+    return _press(_ints(x))
+
+
+def _unpress_ints(x: bytes) -> np.ndarray:
+    return _from_ints(_unpress(x))
 
 
 class Tokens:
     """Tokens of some texts: words lower-cased in A-Z, then an end token.
 
     words: distinct words, sorted; ids: of each token; pair_word, pair_context: distinct pairs of a word and the context
-    before it, sorted; pair: index of each token's pair; starts: first token of each text.
+    before it, sorted; pair: index of each token's pair; starts: first token of each text; home: 64 bits of each word.
     """
 
     def __init__(self, texts: list[bytes]):
@@ -86,187 +128,194 @@ class Tokens:
             starts.append(len(ids))
             ids += [known.setdefault(w, len(known)) for w in t.lower().split()]
             ids.append(0)
-        self.words = sorted(known)
+        self.words = sorted(known)  # the end token is the least
         rank = np.zeros(len(known), np.int64)
         rank[[known[w] for w in self.words]] = np.arange(len(known))
         self.ids = rank[np.array(ids, np.int64)]
         self.starts = np.array(starts, np.int64)
-        before = np.zeros(len(ids), np.int64)
-        before[1:] = contexts_of(self.words)[self.ids[:-1]]
+        self.home = np.concatenate((np.zeros(1, np.uint64), Words(self.words[1:]).hash))
+        name = np.maximum(self.home >> np.uint64(16), np.uint64(1)).astype(np.int64)
+        before = np.zeros(len(ids), np.int64)  # 0 names the start of a text; the end token is no context
+        before[1:] = name[self.ids[:-1]]
         before[self.starts] = 0
         contexts, at = np.unique(before, return_inverse=True)
         pairs, self.pair = np.unique(self.ids * len(contexts) + at, return_inverse=True)
         self.pair_word, self.pair_context = pairs // len(contexts), contexts[pairs % len(contexts)]
 
+    def mark(self) -> int:
+        """32 bits of the pairs, to tell whether a block is read again as it was."""
+        return zlib.crc32(self.pair_context.tobytes(), zlib.crc32(self.home[self.pair_word].tobytes()))
 
-def _press(x: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x)
-
-
-def _unpress(x: bytes, kind=None):
-    raw = zstandard.ZstdDecompressor().decompress(x)
-    return raw if kind is None else np.frombuffer(raw, kind)
-
-
-def _press_ids(x: np.ndarray) -> bytes:
-    """The lower 48 bits of each number, byte by byte."""
-    return _press(np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes())
-
-
-def _unpress_ids(x: bytes) -> np.ndarray:
-    planes = _unpress(x, np.uint8).reshape(6, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :6] = planes.T
-    return out.view("<i8").ravel()
-
-
-def _press_ints(x: np.ndarray) -> bytes:
-    """Whole numbers in the narrowest type that holds them, pressed."""
-    kind = next(k for k in ("u1", "<u2", "<u4", "<i8") if not len(x) or x.max() <= np.iinfo(k).max)
-    return kind[-2:].encode() + _press(x.astype(kind).tobytes())
-
-
-def _unpress_ints(x: bytes) -> np.ndarray:
-    return _unpress(x[2:], x[:2].decode()).astype(np.int64)
-
-
-def _bucket_of(words: list[bytes], n: int) -> np.ndarray:
-    return np.array([zlib.crc32(b"bucket" + w) % n for w in words], np.int64)
 
-
-def _by_bucket(tok: Tokens, n: int):
-    """For each bucket of a block: (bucket, indexes of its words, indexes of their pairs), both in order."""
-    bucket = _bucket_of(tok.words, n)
+def _by_bucket(tok: Tokens, n: int, hot: dict[bytes, int]):
+    """(bucket, indexes of the block's words there, indexes of their pairs), all in order."""
+    spread = np.array([w in hot for w in tok.words], bool)[tok.pair_word]
+    place = mix64(tok.home + _SALT[0])[tok.pair_word] + np.where(spread, mix64(tok.pair_context.astype(np.uint64) + _SALT[1]), np.uint64(0))
+    bucket = (place % np.uint64(n)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    pair_bucket = bucket[tok.pair_word]
-    pair_order = np.argsort(pair_bucket, kind="stable")
-    names = np.unique(bucket)
-    lo, hi = np.searchsorted(bucket[order], names), np.searchsorted(bucket[order], names, side="right")
-    plo, phi = np.searchsorted(pair_bucket[pair_order], names), np.searchsorted(pair_bucket[pair_order], names, side="right")
-    for k, name in enumerate(names.tolist()):
-        yield name, order[lo[k]: hi[k]], pair_order[plo[k]: phi[k]]
-
-
-def _send(t: pa.Table, n: int) -> pa.Table:
-    rows = block_rows(t["docs"].to_pylist())
-    tok = Tokens([x for _, _, x in rows])
-    train = np.repeat(np.array([r[1] for r in rows], bool), np.diff(np.append(tok.starts, len(tok.ids))))
-    count = np.bincount(tok.pair[train], minlength=len(tok.pair_word))
-    out = {c: [] for c in ("block", "bucket", "words", "sizes", "contexts", "counts")}
-    block = t["block"][0].as_py()
-    for name, w, p in _by_bucket(tok, n):
-        out["block"].append(block)
-        out["bucket"].append(name)
-        out["words"].append(_press(b"\n".join([tok.words[k] for k in w.tolist()])))
-        out["sizes"].append(_press_ints(np.bincount(np.searchsorted(w, tok.pair_word[p]), minlength=len(w))))
-        out["contexts"].append(_press_ids(tok.pair_context[p]))
-        out["counts"].append(_press_ints(count[p]))
-    return pa.table(out, schema=pa.schema([("block", pa.int32()), ("bucket", pa.int32()), *[(c, pa.binary()) for c in ("words", "sizes", "contexts", "counts")]]))
-
-
-def _gather(rows) -> list[tuple[int, dict]]:
-    """(bucket, its pairs and where each block's pairs are among them) of a partition's (bucket, block's part)."""
+    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1)) if len(order) else []
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        p = order[lo:hi]
+        yield int(bucket[p[0]]), np.unique(tok.pair_word[p]), p
+
+
+def packed_blocks(rows: DataFrame, block_bytes: int) -> RDD:
+    """Blocks of rows (id long, flag boolean, text) as pressed bytes, in the partitions and the order of the table."""
+
+    def pack(batches):
+        some, size = [], 0
+        for b in batches:
+            for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), arrow_texts(b.column(2))):
+                if some and size + len(row[2]) > block_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([_press(pickle.dumps(some))], pa.binary())], names=["block"])
+                    some, size = [], 0
+                some.append(row)
+                size += len(row[2])
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([_press(pickle.dumps(some))], pa.binary())], names=["block"])
+
+    return rows.select("id", "flag", "text").mapInArrow(pack, "block binary").rdd.map(lambda r: bytes(r["block"]))
+
+
+def hot_words(rows: DataFrame) -> dict[bytes, int]:
+    """The end token and words with a large share of the tokens at the beginning of some partition, numbered."""
+
+    def count(batches):
+        seen: dict[bytes, int] = {}
+        size = 0
+        for b in batches:
+            for t in arrow_texts(b.column(0)):
+                for w in t.lower().split():
+                    seen[w] = seen.get(w, 0) + 1
+                size += len(t)
+                if size >= PROBED:
+                    break
+            if size >= PROBED:
+                break
+        least = sum(seen.values()) / HOT
+        some = [(w, k) for w, k in seen.items() if k >= least]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in some], pa.binary()), pa.array([k for _, k in some], pa.int64())], names=["word", "n"])
+
+    found = rows.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    best = found.orderBy(F.desc("n"), "word").limit(HOT).collect()
+    return {w: k for k, w in enumerate([END, *[bytes(r["word"]) for r in best]])}
+
+
+def _send(part: int, blobs, n: int, hot: dict[bytes, int]):
+    """(bucket, pressed pieces) of the pairs of a partition's blocks."""
+    held: dict[int, list] = {}
+    size = 0
+    for number, blob in enumerate(blobs):
+        rows = pickle.loads(_unpress(blob))
+        tok = Tokens([x for _, _, x in rows])
+        train = np.repeat(np.array([r[1] for r in rows], bool), np.diff(np.append(tok.starts, len(tok.ids))))
+        count = np.bincount(tok.pair[train], minlength=len(tok.pair_word))
+        block = number << 32 | tok.mark()
+        for bucket, w, p in _by_bucket(tok, n, hot):
+            sizes = np.bincount(np.searchsorted(w, tok.pair_word[p]), minlength=len(w))
+            piece = (block, b"\n".join([tok.words[k] for k in w.tolist()]), _ints(sizes), _planes(tok.pair_context[p]), _ints(count[p]))
+            held.setdefault(bucket, []).append(piece)
+            size += sum(map(len, piece[1:]))
+        if size >= HELD:
+            yield from ((b, (part, _press(pickle.dumps(x)))) for b, x in held.items())
+            held, size = {}, 0
+    yield from ((b, (part, _press(pickle.dumps(x)))) for b, x in held.items())
+
+
+def _gather(rows, hot: dict[bytes, int]) -> list[tuple[int, dict]]:
+    """(bucket, its pairs and where each block's pairs are among them) of a partition's (bucket, pieces)."""
     parts: dict[int, list] = {}
-    for bucket, part in rows:
-        parts.setdefault(bucket, []).append(part)
+    for bucket, (part, x) in rows:
+        parts.setdefault(bucket, []).extend(((part, p[0]), *p[1:]) for p in pickle.loads(_unpress(x)))
     out = []
     for bucket, some in parts.items():
-        some.sort()
-        lists = [_unpress(x[1]).split(b"\n") for x in some]
-        number = {w: k for k, w in enumerate(sorted(set().union(*lists)))}
-        word = [np.repeat(np.array([number[w] for w in ws], np.int64), _unpress_ints(x[2])) for ws, x in zip(lists, some)]
-        contexts, ctx = np.unique(np.concatenate([_unpress_ids(x[3]) for x in some]), return_inverse=True)
+        some.sort(key=lambda x: x[0])
+        lists = [x[1].split(b"\n") for x in some]
+        words = sorted(set().union(*lists))
+        number = {w: k for k, w in enumerate(words)}
+        word = [np.repeat(np.array([number[w] for w in ws], np.int64), _from_ints(x[2])) for ws, x in zip(lists, some)]
+        contexts, ctx = np.unique(np.concatenate([_from_planes(x[3]) for x in some]), return_inverse=True)
         pairs, at = np.unique(np.concatenate(word) * len(contexts) + ctx, return_inverse=True)
-        total = np.bincount(at, np.concatenate([_unpress_ints(x[4]) for x in some]), len(pairs)).astype(np.int64)
+        total = np.bincount(at, np.concatenate([_from_ints(x[4]) for x in some]), len(pairs)).astype(np.int64)
         where = np.split(at, np.cumsum([len(w) for w in word])[:-1])  # increasing in each block, as both are sorted
         out.append((bucket, {
             "blocks": [x[0] for x in some], "where": [_press_ints(np.diff(x, prepend=0)) for x in where],
-            "sizes": _press_ints(np.bincount(pairs // len(contexts), minlength=len(number))), "ctx": _press_ints(pairs % len(contexts)),
-            "counts": _press_ints(total), "contexts": _press_ids(contexts)}))
+            "sizes": _press_ints(np.bincount(pairs // len(contexts), minlength=len(words))), "ctx": _press_ints(pairs % len(contexts)),
+            "counts": _press_ints(total), "contexts": _press(_planes(contexts)), "hot": _press_ints(np.array([hot.get(w, -1) + 1 for w in words]))}))
     return out
 
 
 class Pairs:
-    """A bucket's pairs, opened.
-
-    word, ctx: of each pair, as numbers in the bucket; group: index of each pair's word and class among group_word and
-    group_class; contexts: the names of the contexts, sorted.
-    """
+    """A bucket's pairs, opened: word, ctx: of each pair, as numbers in the bucket; contexts: the names of the contexts,
+    sorted; hot: number of each hot word, else -1."""
 
     def __init__(self, row: dict):
         sizes = _unpress_ints(row["sizes"])
         self.n_words = len(sizes)
         self.word, self.ctx, self.counts = np.repeat(np.arange(len(sizes)), sizes), _unpress_ints(row["ctx"]), _unpress_ints(row["counts"])
-        self.contexts = _unpress_ids(row["contexts"])
-        groups, self.group = np.unique(self.word * CLASSES + self.contexts[self.ctx] % CLASSES, return_inverse=True)
-        self.group_word, self.group_class = groups // CLASSES, groups % CLASSES
+        self.contexts = _from_planes(_unpress(row["contexts"]))
+        self.hot = _unpress_ints(row["hot"]) - 1
 
-    def up(self, tables: np.ndarray) -> np.ndarray:
-        """Customers of the classes' restaurants."""
-        return np.bincount(self.group, tables, len(self.group_word)).astype(np.int64)
+    def of_words(self, x: np.ndarray) -> np.ndarray:
+        """Sums over each word's pairs."""
+        return np.bincount(self.word, x, self.n_words).astype(np.int64)
 
-    def top(self, tables: np.ndarray) -> np.ndarray:
-        """Customers of the root."""
-        return np.bincount(self.group_word, tables, self.n_words).astype(np.int64)
+    def of_contexts(self, x: np.ndarray) -> np.ndarray:
+        """Sums over each context's pairs."""
+        return np.bincount(self.ctx, x, len(self.contexts)).astype(np.int64)
 
 
-def seat(counts: np.ndarray, weight: np.ndarray, discount: float, rng) -> np.ndarray:
-    """Tables of each dish after seating its customers anew.
+class State:
+    """Tables of a bucket's pairs, and of its words in the parent (of hot words zero: the driver has them)."""
 
-    weight: (strength + discount * tables of the restaurant) * parent's probability of the dish.
-    """
-    tables = np.minimum(counts, 1).astype(np.float64)
-    live = np.flatnonzero(counts > 1)
-    seated = 1
-    while len(live):
-        step = 1 if seated < EXACT else max(1, seated // 16)
-        n = np.minimum(counts[live] - seated, step)
-        p = weight[live] / (weight[live] + seated - discount * tables[live])
-        tables[live] += (rng.random(len(live)) < p) if step == 1 else rng.binomial(n, np.clip(p, 0, 1))
-        seated += step
-        live = live[counts[live] > seated]
-    return tables.astype(np.int64)
-
-
-def root_probability(customers, tables, totals) -> np.ndarray:
-    """The parent's predictive probability of words with these customers and tables; zeros: an unknown word."""
-    d, strength = totals["root_discount"], ROOT_STRENGTH
-    base = 1.0 / (totals["vocabulary"] + 1)
-    return (customers - d * tables + (strength + d * totals["root_tables"]) * base) / (strength + totals["tables"].sum())
+    def __init__(self, tables: np.ndarray, seats: np.ndarray):
+        self.tables, self.seats = tables, seats
 
+    def pressed(self) -> tuple:
+        return _press_ints(self.tables), _press_ints(self.seats)
 
-def class_probability(pairs: Pairs, state, totals) -> np.ndarray:
-    """Predictive probability of each group's word in its class's restaurant."""
-    tables, seats, root = state
-    d, k = totals["discount"], pairs.group_class
-    parent = root_probability(pairs.top(seats), root, totals)[pairs.group_word]
-    return (pairs.up(tables) - d * seats + (STRENGTH + d * totals["tables"][k]) * parent) / (STRENGTH + totals["customers"][k])
+    @classmethod
+    def opened(cls, x: tuple) -> "State":
+        return cls(*map(_unpress_ints, x))
 
 
-def word_probability(pairs: Pairs, state, totals, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
-    """Predictive probability of each pair; customers, tables: sums of the restaurant of each context."""
-    d = totals["word_discount"]
-    parent = class_probability(pairs, state, totals)[pairs.group]
-    return (pairs.counts - d * state[0] + (WORD_STRENGTH + d * tables[pairs.ctx]) * parent) / (WORD_STRENGTH + customers[pairs.ctx])
+def parent_probability(pairs: Pairs, state: State, totals: dict) -> np.ndarray:
+    """The parent's predictive probability of each word of a bucket."""
+    customers, seats = pairs.of_words(state.tables), state.seats.astype(np.float64)
+    some = pairs.hot >= 0
+    customers[some], seats[some] = totals["hot_customers"][pairs.hot[some]], totals["hot_seats"][pairs.hot[some]]
+    return word_probability(customers, seats, totals)
+
+
+def word_probability(customers, seats, totals: dict):
+    """The parent's predictive probability of words with these customers and tables; zeros: an unknown word."""
+    d, strength = totals["root"]
+    base = 1.0 / (totals["vocabulary"] + 1)
+    return (customers - d * seats + (strength + d * totals["seats"]) * base) / (strength + totals["tables"])
 
 
-def sweep(pairs: Pairs, state, totals, tables: np.ndarray, rng):
-    """The state after seating all customers anew; tables: sums of the restaurant of each context before."""
-    parent = root_probability(pairs.top(state[1]), state[2], totals)[pairs.group_word]
-    d = totals["word_discount"]
-    new = seat(pairs.counts, (WORD_STRENGTH + d * tables[pairs.ctx]) * class_probability(pairs, state, totals)[pairs.group], d, rng)
-    d = totals["discount"]
-    seats = seat(pairs.up(new), (STRENGTH + d * totals["tables"][pairs.group_class]) * parent, d, rng)
-    d = totals["root_discount"]
-    base = np.full(pairs.n_words, (ROOT_STRENGTH + d * totals["root_tables"]) / (totals["vocabulary"] + 1))
-    return new, seats, seat(pairs.top(seats), base, d, rng)
+def pair_probability(pairs: Pairs, state: State, totals: dict, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """Predictive probability of each pair; customers, tables: sums of the restaurant of each context."""
+    d, strength = totals["word"]
+    parent = parent_probability(pairs, state, totals)[pairs.word]
+    return (pairs.counts - d * state.tables + (strength + d * tables[pairs.ctx]) * parent) / (strength + customers[pairs.ctx])
 
 
-def first_state(pairs: Pairs):
+def first_state(pairs: Pairs) -> State:
     """Every dish has one table in every restaurant that serves it."""
     tables = np.minimum(pairs.counts, 1)
-    seats = np.minimum(pairs.up(tables), 1)
-    return tables, seats, np.minimum(pairs.top(seats), 1)
+    return State(tables, np.where(pairs.hot < 0, np.minimum(pairs.of_words(tables), 1), 0))
+
+
+def sweep(pairs: Pairs, state: State, totals: dict, tables: np.ndarray, rng) -> State:
+    """The state after drawing all tables anew; tables: sums of the restaurant of each context before."""
+    d, strength = totals["word"]
+    room = strength + d * np.maximum(tables[pairs.ctx] - state.tables, 0)
+    new = seating.draw_tables(pairs.counts, parent_probability(pairs, state, totals)[pairs.word], room, d, rng)
+    d, strength = totals["root"]
+    customers = np.where(pairs.hot < 0, pairs.of_words(new), 0)
+    room = strength + d * np.maximum(totals["seats"] - state.seats, 0)
+    return State(new, seating.draw_tables(customers, np.full(pairs.n_words, 1 / (totals["vocabulary"] + 1)), room, d, rng))
 
 
 def _whole(rdd: RDD) -> RDD:
@@ -298,10 +347,10 @@ def _cuts(contexts: np.ndarray, shards: int) -> np.ndarray:
     return np.searchsorted((contexts >> 16) * shards >> 32, np.arange(shards + 1))
 
 
-def _post(bucket: int, contexts: np.ndarray, values: list[np.ndarray], shards: int, press):
+def _post(bucket: int, contexts: np.ndarray, values: np.ndarray, shards: int, pack):
     cuts = _cuts(contexts, shards)
     for k in np.flatnonzero(np.diff(cuts)).tolist():
-        yield k, (bucket, *[press(x[cuts[k]: cuts[k + 1]]) for x in values])
+        yield k, (bucket, _press(pack(values[cuts[k]: cuts[k + 1]])))
 
 
 def _shard(rows) -> list[tuple[int, dict]]:
@@ -311,21 +360,25 @@ def _shard(rows) -> list[tuple[int, dict]]:
         parts.setdefault(shard, []).append(part)
     out = []
     for shard, some in parts.items():
-        names = [_unpress_ids(x) for _, x in some]
+        names = [_from_planes(_unpress(x)) for _, x in some]
         every, at = np.unique(np.concatenate(names), return_inverse=True)
         cuts = np.cumsum([len(x) for x in names])[:-1]
         out.append((shard, {"size": len(every), "at": {b: _press_ints(np.diff(x, prepend=0)) for (b, _), x in zip(some, np.split(at, cuts))}}))
     return out
 
 
-def _add(both) -> list[tuple]:
-    """(bucket, (shard, sums of its contexts)) of a partition of shards and what was posted to them."""
-    homes, posted = both
-    homes = {k: (row, np.zeros(row["size"], np.int64)) for k, row in homes}
+def _added(homes: list, posted: list) -> list[tuple[int, dict, np.ndarray]]:
+    """(shard, home, sums of its contexts) of a partition of shards and what was posted to them."""
+    sums = {k: np.zeros(row["size"], np.int64) for k, row in homes}
+    at = {k: row["at"] for k, row in homes}
     for shard, (bucket, x) in posted:
-        row, sums = homes[shard]
-        sums[np.cumsum(_unpress_ints(row["at"][bucket]))] += _unpress_ints(x)
-    return [(b, (k, _press_ints(sums[np.cumsum(_unpress_ints(at))]))) for k, (row, sums) in homes.items() for b, at in row["at"].items()]
+        sums[shard][np.cumsum(_unpress_ints(at[shard][bucket]))] += _unpress_ints(x)
+    return [(k, row, sums[k]) for k, row in homes]
+
+
+def _replies(both) -> list[tuple]:
+    """(bucket, (shard, sums of its contexts)) of a partition of shards and what was posted to them."""
+    return [(b, (k, _press_ints(x[np.cumsum(_unpress_ints(at))]))) for k, row, x in _added(*both) for b, at in row["at"].items()]
 
 
 def _sums_of(posted) -> dict[int, np.ndarray]:
@@ -336,127 +389,189 @@ def _sums_of(posted) -> dict[int, np.ndarray]:
     return {b: np.concatenate([_unpress_ints(x) for _, x in sorted(some)]) for b, some in parts.items()}
 
 
-def _open_state(x) -> tuple:
-    return tuple(map(_unpress_ints, x))
+def log_rooms(tables, customers, d: float, strength: float) -> float:
+    """Sum over restaurants of log [strength (strength + d) ... ] / [strength (strength + 1) ...], a factor per table and per customer."""
+    t, n_t = np.unique(np.asarray(tables), return_counts=True)
+    c, n_c = np.unique(np.asarray(customers), return_counts=True)
+    g = lambda x: seating.lgamma(np.asarray(x, np.float64))
+    up = t * np.log(d) + g(strength / d + t) - g(strength / d)
+    return float((n_t * up).sum() - (n_c * (g(strength + c) - g(strength))).sum())
+
 
+def _discounts(d: float) -> np.ndarray:
+    return np.unique(np.round(np.clip(d + D_STEPS, 0.02, 0.97), 4))
 
-def totals_of(buckets: RDD, state: RDD, history: list[dict]) -> dict:
-    """Totals over all buckets: CLASSES numbers of customers and of tables, and a few scalars."""
-    size = 2 * CLASSES + 9
+
+def _likelihood_of_tables(counts: np.ndarray, tables: np.ndarray, discounts: np.ndarray) -> np.ndarray:
+    """Sum over dishes of log S_d(customers, tables) for each discount."""
+    some = counts > 1
+    key, n = np.unique(counts[some] << 31 | tables[some], return_counts=True)
+    return np.array([(n * seating.log_stirling(key >> 31, key & (1 << 31) - 1, float(d))).sum() for d in discounts])
+
+
+def _pick(likelihood: np.ndarray, rng) -> tuple:
+    p = np.exp(likelihood - likelihood.max())
+    return np.unravel_index(rng.choice(p.size, p=(p / p.sum()).ravel()), p.shape)
+
+
+def totals_of(buckets: RDD, state: RDD, last: dict | None, n_hot: int, rng) -> dict:
+    """Totals over all buckets: a few scalars and the numbers of hot words; seats of hot words and the parent's discount and
+    strength are drawn anew."""
+    grids = [] if last is None else [_discounts(last["word"][0]), _discounts(last["root"][0])]
 
     def run(both):
-        out, states = np.zeros(size, np.int64), dict(both[1])
+        out, states = [np.zeros(9), np.zeros(n_hot), np.zeros(n_hot), *[np.zeros(len(g)) for g in grids]], dict(both[1])
         for bucket, row in both[0]:
-            pairs, (tables, seats, root) = Pairs(row), _open_state(states[bucket])
-            customers, top = pairs.up(tables), pairs.top(seats)
-            out[:CLASSES] += np.bincount(pairs.group_class, customers, CLASSES).astype(np.int64)
-            out[CLASSES: 2 * CLASSES] += np.bincount(pairs.group_class, seats, CLASSES).astype(np.int64)
-            out[2 * CLASSES:] += [pairs.counts.sum(), (root > 0).sum(), root.sum(), *[(x == k).sum() for x in (pairs.counts, customers, top) for k in (1, 2)]]
+            pairs, s = Pairs(row), State.opened(states[bucket])
+            customers, known, own = pairs.of_words(s.tables), pairs.of_words(pairs.counts), pairs.hot < 0
+            top = customers[own]
+            out[0] += [pairs.counts.sum(), (known[own] > 0).sum(), s.seats.sum(), s.tables.sum(), (pairs.counts > 0).sum(),
+                       *[(x == k).sum() for x in (pairs.counts, top) for k in (1, 2)]]
+            np.add.at(out[1], pairs.hot[~own], known[~own])
+            np.add.at(out[2], pairs.hot[~own], customers[~own])
+            if grids:
+                out[3] += _likelihood_of_tables(pairs.counts, s.tables, grids[0])
+                out[4] += _likelihood_of_tables(top, s.seats[own], grids[1])
         return out
 
-    x = _beside(buckets, state).map(run).fold(np.zeros(size, np.int64), lambda a, b: a + b).astype(np.float64)
-    tokens, vocabulary, root_tables, w_one, w_two, one, two, r_one, r_two = x[2 * CLASSES:]
-    guess = lambda a, b: float(np.clip((a + 1) / (a + 2 * b + 2), 0.1, 0.95))
-    out = {"customers": x[:CLASSES], "tables": x[CLASSES: 2 * CLASSES], "tokens": tokens, "vocabulary": vocabulary, "root_tables": root_tables}
-    names = ("word_discount", "discount", "root_discount")
-    return out | ({k: history[0][k] for k in names} if history else dict(zip(names, (guess(w_one, w_two), guess(one, two), guess(r_one, r_two)))))
+    # a few hundred numbers per partition, added up in a tree
+    x = _beside(buckets, state).map(run).treeReduce(lambda a, b: [u + v for u, v in zip(a, b)])
+    tokens, vocabulary, seats, tables, _, one, two, r_one, r_two = x[0]
+    hot_known, hot_customers = x[1], x[2].astype(np.int64)
+    guess = lambda a, b: float(np.clip((a + 1) / (a + 2 * b + 2), 0.1, 0.9))
+    out = {"tokens": tokens, "vocabulary": vocabulary + (hot_known > 0).sum(), "tables": tables, "hot_customers": hot_customers, "hot_known": hot_known}
+    if last is None:
+        out["hot_seats"] = np.minimum(hot_customers, 1)
+        out |= {"word": (guess(one, two), 1.0), "root": (guess(r_one, r_two), 1.0)}
+    else:
+        d, strength = last["root"]
+        rooms = strength + d * np.maximum(last["seats"] - last["hot_seats"], 0)
+        out["hot_seats"] = seating.draw_tables(hot_customers, np.full(n_hot, 1 / (last["vocabulary"] + 1)), rooms, d, rng)
+        all_seats = seats + out["hot_seats"].sum()
+        strengths = np.clip(strength * S_STEPS, 1e-2, 1e6)
+        tabled = x[4] + _likelihood_of_tables(hot_customers, out["hot_seats"], grids[1])
+        chance = np.array([[log_rooms([all_seats], [tables], float(a), float(b)) for b in strengths] for a in grids[1]]) + tabled[:, None]
+        i, j = _pick(chance, rng)
+        out |= {"word": last["word"], "root": (float(grids[1][i]), float(strengths[j])), "tabled": x[3], "grid": grids[0]}
+    out["seats"] = seats + out["hot_seats"].sum()
+    return out
 
 
 def _answers(bucket: int, row: dict, customers: np.ndarray, samples: list[tuple]) -> list[tuple]:
-    """(block, bucket, log10 probabilities of its pairs averaged over the samples, training counts of its words) of a bucket's blocks."""
+    """(partition, (block, bucket, pressed log10 probabilities of its pairs averaged over the samples, training counts of its
+    words)) of a bucket's blocks."""
     pairs = Pairs(row)
-    prob = sum(word_probability(pairs, state, totals, customers, tables) for state, totals, tables in samples)
-    logp = np.log10(prob / len(samples)).astype(np.float32)
-    known = np.bincount(pairs.word, pairs.counts, pairs.n_words).astype(np.int64)
-    out = []
-    for block, x in zip(row["blocks"], row["where"]):
+    prob = sum(pair_probability(pairs, state, totals, customers, tables) for state, totals, tables in samples)
+    logp = np.log10(prob / len(samples)).astype("<f4")
+    known = pairs.of_words(pairs.counts)
+    some = pairs.hot >= 0
+    known[some] = samples[0][1]["hot_known"][pairs.hot[some]]
+    out: dict[int, list] = {}
+    for (part, block), x in zip(row["blocks"], row["where"]):
         at = np.cumsum(_unpress_ints(x))
-        out.append((block, bucket, _press(logp[at].tobytes()), _press_ints(known[np.unique(pairs.word[at])])))
-    return out
+        out.setdefault(part, []).append((block, logp[at].tobytes(), _ints(known[np.unique(pairs.word[at])])))
+    return [(part, (bucket, _press(pickle.dumps(x)))) for part, x in out.items()]
 
 
-def answers_of(sent: DataFrame, n: int, seed: int) -> tuple[DataFrame, int, int]:
-    """The buckets' answers to the blocks, the training tokens and the vocabulary."""
-    parts = sent.rdd.map(lambda r: (r["bucket"], (r["block"], bytes(r["words"]), bytes(r["sizes"]), bytes(r["contexts"]), bytes(r["counts"]))))
-    buckets = _keep(parts.partitionBy(n).mapPartitions(_gather))
-    spark = sent.sparkSession
+def answers_of(packed: RDD, spark, n: int, hot: dict[bytes, int], seed: int) -> tuple[RDD, int, int]:
+    """The buckets' answers, dealt to the partitions of the blocks; the training tokens and the vocabulary."""
+    parts = packed.getNumPartitions()
+    sent = packed.mapPartitionsWithIndex(lambda k, blobs: _send(k, blobs, n, hot))
+    buckets = _keep(sent.partitionBy(n, int).mapPartitions(lambda rows: _gather(rows, hot)))
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    buckets.checkpoint()  # safe against lost executors, and lets go of the blocks' shuffles
+    buckets.checkpoint()  # safe against lost executors, and lets go of the blocks' shuffle
     buckets.count()
     buckets.unpersist()
     buckets = RDD(buckets._jrdd, spark.sparkContext, buckets._jrdd_deserializer)
-    del parts, sent
+    del sent
     spark._jvm.System.gc()
     shards = max(1, n // 4)
 
     def names(x):
-        contexts = _unpress_ids(x[1]["contexts"])
-        yield from _post(x[0], contexts, [contexts], shards, _press_ids)
+        contexts = _from_planes(_unpress(x[1]["contexts"]))
+        yield from _post(x[0], contexts, contexts, shards, _planes)
 
-    homes = _keep(buckets.flatMap(lambda rows: (y for x in rows for y in names(x))).partitionBy(shards).mapPartitions(_shard))
+    homes = _keep(buckets.flatMap(lambda rows: (y for x in rows for y in names(x))).partitionBy(shards, int).mapPartitions(_shard))
 
-    def summed(state: RDD, customers: bool = False) -> RDD:
-        """Sums of the restaurant of each bucket's contexts: of its tables, or of its customers."""
+    def posted(state: RDD, customers: bool = False) -> RDD:
+        """What the buckets post to the shards: their part of each context's tables, or of its customers."""
 
         def run(both):
             states = dict(both[1])
             for bucket, row in both[0]:
                 pairs = Pairs(row)
                 x = pairs.counts if customers else _unpress_ints(states[bucket][0])
-                yield from _post(bucket, pairs.contexts, [np.bincount(pairs.ctx, x, len(pairs.contexts)).astype(np.int64)], shards, _press_ints)
+                yield from _post(bucket, pairs.contexts, pairs.of_contexts(x), shards, _ints)
 
-        posted = _whole(_beside(buckets, state).flatMap(run).partitionBy(shards))
-        return _whole(_beside(homes, posted).flatMap(_add).partitionBy(n))
+        return _whole(_beside(buckets, state).flatMap(run).partitionBy(shards, int))
 
     def stepped(state: RDD, sums: RDD, totals: dict, k: int) -> RDD:
         def run(three):
             states, tables = dict(three[1]), _sums_of(three[2])
             for bucket, row in three[0]:
-                rng = np.random.default_rng([seed, k, bucket])
-                new = sweep(Pairs(row), _open_state(states[bucket]), totals, tables[bucket], rng)
-                yield bucket, tuple(map(_press_ints, new))
+                new = sweep(Pairs(row), State.opened(states[bucket]), totals, tables[bucket], np.random.default_rng([seed, k, bucket]))
+                yield bucket, new.pressed()
 
         return _keep(_beside(buckets, state, sums).flatMap(run))
 
-    state = _keep(buckets.flatMap(lambda rows: [(b, tuple(map(_press_ints, first_state(Pairs(row))))) for b, row in rows]))
-    customers = summed(state, True)
-    history, samples = [], []
+    def rooms(both) -> np.ndarray:
+        """Likelihood of the restaurants of a partition of shards, by discount and strength."""
+        out = np.zeros((len(grid), len(strengths)))
+        for (_, _, c), (_, _, t) in zip(_added(both[0], both[1]), _added(both[0], both[2])):
+            out += [[log_rooms(t[c > 0], c[c > 0], float(d), float(s)) for s in strengths] for d in grid]
+        return out
+
+    state = _keep(buckets.flatMap(lambda rows: [(b, first_state(Pairs(row)).pressed()) for b, row in rows]))
+    counted = posted(state, True)
+    customers = _whole(_beside(homes, counted).flatMap(_replies).partitionBy(n, int))
+    rng = np.random.default_rng([seed, 1 << 20])
+    samples, totals = [], None
     for k in range(1 + BURN_IN + SAMPLES):
-        history.append(totals_of(buckets, state, history))
-        sums = summed(state)
+        totals = totals_of(buckets, state, totals, len(hot), rng)
+        to_shards = posted(state)
+        if "grid" in totals:
+            grid, strengths = totals["grid"], np.clip(totals["word"][1] * S_STEPS, 1e-2, 1e6)
+            chance = _beside(homes, counted, to_shards).map(rooms).treeReduce(lambda a, b: a + b) + totals["tabled"][:, None]
+            i, j = _pick(chance, rng)
+            totals["word"] = (float(grid[i]), float(strengths[j]))
+        sums = _whole(_beside(homes, to_shards).flatMap(_replies).partitionBy(n, int))
         if k > BURN_IN:
-            samples.append((state, sums))
+            samples.append((state, totals, sums))
         if k < BURN_IN + SAMPLES:
-            state = stepped(state, sums, history[-1], k)
-    kept = history[BURN_IN + 1:]
+            state = stepped(state, sums, totals, k)
+    kept = [t for _, t, _ in samples]
 
     def run(sides):
-        seated, sums = [dict(x) for x in sides[2::2]], [_sums_of(x) for x in sides[3::2]]
+        seated, tables = [dict(x) for x in sides[2::2]], [_sums_of(x) for x in sides[3::2]]
         counts = _sums_of(sides[1])
         for bucket, row in sides[0]:
-            yield from _answers(bucket, row, counts[bucket], [(_open_state(s[bucket]), t, x[bucket]) for s, t, x in zip(seated, kept, sums)])
-
-    told = _beside(buckets, customers, *[x for pair in samples for x in pair]).flatMap(run)
-    answers = spark.createDataFrame(told, "block int, bucket int, logp binary, known binary", verifySchema=False)
-    return answers, int(history[0]["tokens"]), int(history[0]["vocabulary"])
-
-
-def _score(docs: pa.Table, answers: pa.Table, n: int, tokens: int, vocabulary: int) -> pa.Table:
-    rows = block_rows(docs["docs"].to_pylist())
-    tok = Tokens([x for _, _, x in rows])
-    logp, known = np.zeros(len(tok.pair_word)), np.zeros(len(tok.words), np.int64)
-    told = {b: (p, k) for b, p, k in zip(*[answers[c].to_pylist() for c in ("bucket", "logp", "known")])}
-    for name, w, p in _by_bucket(tok, n):
-        logp[p] = _unpress(told[name][0], np.float32)
-        known[w] = _unpress_ints(told[name][1])
-    base = np.log10((known + 1) / (tokens + vocabulary + 1))
-    ends = np.append(tok.starts, len(tok.ids))
-    add = lambda x: np.add.reduceat(x, tok.starts)
-    return pa.table({
-        "doc_id": pa.array([i for i, _, _ in rows], pa.int64()), "held_out": pa.array([not r[1] for r in rows], pa.bool_()),
-        "n_tokens": np.diff(ends), "n_known": add((known[tok.ids] > 0).astype(np.int64)),
-        "train_tokens": np.full(len(rows), tokens, np.int64), "base_score": add(base[tok.ids]), "score": add(logp[tok.pair])})
+            yield from _answers(bucket, row, counts[bucket], [(State.opened(s[bucket]), t, x[bucket]) for s, t, x in zip(seated, kept, tables)])
+
+    told = _beside(buckets, customers, *[x for s, _, t in samples for x in (s, t)]).flatMap(run)
+    return told.partitionBy(parts, int), int(totals["tokens"]), int(totals["vocabulary"])
+
+
+def _score(blobs, answers, n: int, hot: dict[bytes, int], tokens: int, vocabulary: int):
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of the rows of a partition's blocks."""
+    told: dict[tuple, tuple] = {}
+    for _, (bucket, x) in answers:
+        told |= {(block, bucket): (p, k) for block, p, k in pickle.loads(_unpress(x))}
+    for number, blob in enumerate(blobs):
+        rows = pickle.loads(_unpress(blob))
+        tok = Tokens([x for _, _, x in rows])
+        logp, known = np.zeros(len(tok.pair_word)), np.zeros(len(tok.words), np.int64)
+        block = number << 32 | tok.mark()
+        for bucket, w, p in _by_bucket(tok, n, hot):
+            if (block, bucket) not in told:
+                raise ComputationError("the table gave other rows when it was read again: store it before scoring")
+            x, k = told.pop((block, bucket))
+            logp[p], known[w] = np.frombuffer(x, "<f4"), _from_ints(k)
+        base = np.log10((known + 1) / (tokens + vocabulary + 1))
+        ends = np.append(tok.starts, len(tok.ids))
+        add = lambda x: np.add.reduceat(x, tok.starts).tolist()
+        yield from zip([r[0] for r in rows], [not r[1] for r in rows], np.diff(ends).tolist(), add((known[tok.ids] > 0).astype(np.int64)),
+                       [tokens] * len(rows), add(base[tok.ids]), add(logp[tok.pair]))
 
 
 def score_documents(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, seed: int = 5) -> DataFrame:
@@ -464,11 +579,14 @@ def score_documents(docs: DataFrame, train, doc_id: str = "doc_id", text: str =
 
     train: boolean column, the rows to learn from.  Perplexity is 10 ** (-score / n_tokens).
     """
-    n = blocks_of(docs, block_bytes, text)
+    spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(train, F.lit(False)).alias("flag"), F.col(text).alias("text"))
-    blocks = by_block(rows, n)
-    answers, tokens, vocabulary = answers_of(blocks.groupBy("block").applyInArrow(
-        lambda t: _send(t, n), "block int, bucket int, words binary, sizes binary, contexts binary, counts binary"), n, seed)
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        lambda a, b: _score(a, b, n, tokens, vocabulary),
-        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    n = max(1, -(-text_bytes(docs, text) // block_bytes))
+    hot = hot_words(rows)
+    packed = packed_blocks(rows, block_bytes)
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    if not packed.getNumPartitions():
+        return spark.createDataFrame([], schema)
+    answers, tokens, vocabulary = answers_of(packed, spark, n, hot, seed)
+    scored = _beside(_whole(packed), _whole(answers)).flatMap(lambda both: _score(both[0], both[1], n, hot, tokens, vocabulary))
+    return spark.createDataFrame(scored, schema, verifySchema=False)
