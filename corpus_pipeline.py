@@ -6,7 +6,7 @@ stages but the last return the columns of ``documents`` with ``n_chars``
 brought up to date; the last returns the packed pieces.
 
 Nulls: a null text passes every stage and is packed as an empty document.  A
-null id passes the duplicate stage unchanged, as it cannot name a group.
+null id comes after all others when a group's document to keep is chosen.
 """
 
 from __future__ import annotations
@@ -35,15 +35,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by a word-5-gram similarity of 0.8 or more, the one of the least id stays.
+    """Of each group of documents linked by a word-5-gram similarity of 0.8 or more one stays, the one of the least id.
 
-    Documents without words have no partners and stay; repeated rows (equal id and text) become one.
+    Documents without words have no partners and stay; repeated rows (equal id and text) become one.  Only rows that go or
+    are repeated, and a few others, are shuffled with their texts.
     """
     docs = docs.select(*COLUMNS)
-    groups = setjoin.join_documents(docs, n=5, percent=80)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.select(*COLUMNS).union(docs.where("doc_id is null"))
+    told = setjoin.join_documents(docs, n=5, percent=80).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("th"), "leads")
+    doubted = materialise(told.groupBy("id", "th").agg(F.min("leads").alias("stays"), F.count("*").alias("copies")).where("not stays or copies > 1"))
+    some, others = setjoin.split_by_bits(docs.withColumns({"id": F.col("doc_id"), "th": F.xxhash64("text")}), doubted)
+    same = lambda c: F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    judged = some.alias("l").join(doubted.alias("r"), same("id") & same("th"), "left").where("stays or stays is null").select("l.*", "copies")
+    repeated = judged.where("copies > 1").dropDuplicates(["id", "text"])
+    return judged.where("copies is null").union(repeated).select(*COLUMNS).union(others.select(*COLUMNS))
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
