@@ -65,7 +65,7 @@ from .common import Words, arrow_texts, mix64, shared_dir, text_bytes
 BURN_IN, SAMPLES = 2, 2
 BLOCK_BYTES = 4 << 20
 #: Bytes of pairs that a task holds before it sends them.
-HELD = 48 << 20
+HELD = 16 << 20
 HOT, PROBED = 500, 1 << 20
 END = b""  # no word is empty
 #: Steps around the last discount, and factors of the last strength, among which new ones are drawn.
@@ -113,34 +113,55 @@ def _unpress_ints(x: bytes) -> np.ndarray:
     return _from_ints(_unpress(x))
 
 
+def homes_of(words: list[bytes]) -> np.ndarray:
+    """64 bits of each word, 0 of the end token and of no other."""
+    out = np.zeros(len(words), np.uint64)
+    some = np.array([bool(w) for w in words])
+    out[some] = np.maximum(Words([w for w in words if w]).hash, np.uint64(1 << 16))
+    return out
+
+
+def in_order(words: list[bytes], homes: np.ndarray) -> np.ndarray:
+    """The order of words by their 64 bits, and by their bytes where these are equal: the same in blocks and buckets."""
+    order = np.argsort(homes, kind="stable")
+    if (np.diff(homes[order]) == 0).any():
+        order = np.array(sorted(range(len(words)), key=lambda k: (int(homes[k]), words[k])), np.int64)
+    return order
+
+
 class Tokens:
     """Tokens of some texts: words lower-cased in A-Z, then an end token.
 
-    words: distinct words, sorted; ids: of each token; pair_word, pair_context: distinct pairs of a word and the context
-    before it, sorted; pair: index of each token's pair; starts: first token of each text; home: 64 bits of each word.
+    words: distinct words, in order; home: 64 bits of each; ids: of each token; pair_word, pair_context: distinct pairs of a
+    word and the context before it, in order; pair: index of each token's pair; starts: first token of each text.
     """
 
     def __init__(self, texts: list[bytes]):
         known: dict[bytes, int] = {END: 0}
         ids: list[int] = []
         starts = []
+        number = known.setdefault
         for t in texts:
             starts.append(len(ids))
-            ids += [known.setdefault(w, len(known)) for w in t.lower().split()]
+            ids += [number(w, len(known)) for w in t.lower().split()]
             ids.append(0)
-        self.words = sorted(known)  # the end token is the least
-        rank = np.zeros(len(known), np.int64)
-        rank[[known[w] for w in self.words]] = np.arange(len(known))
+        words = list(known)
+        homes = homes_of(words)
+        order = in_order(words, homes)  # the end token is first
+        self.words, self.home = [words[k] for k in order.tolist()], homes[order]
+        rank = np.empty(len(words), np.int64)
+        rank[order] = np.arange(len(words))
         self.ids = rank[np.array(ids, np.int64)]
         self.starts = np.array(starts, np.int64)
-        self.home = np.concatenate((np.zeros(1, np.uint64), Words(self.words[1:]).hash))
-        name = np.maximum(self.home >> np.uint64(16), np.uint64(1)).astype(np.int64)
-        before = np.zeros(len(ids), np.int64)  # 0 names the start of a text; the end token is no context
-        before[1:] = name[self.ids[:-1]]
-        before[self.starts] = 0
-        contexts, at = np.unique(before, return_inverse=True)
-        pairs, self.pair = np.unique(self.ids * len(contexts) + at, return_inverse=True)
-        self.pair_word, self.pair_context = pairs // len(contexts), contexts[pairs % len(contexts)]
+        before = np.empty(len(ids), np.int64)
+        before[1:] = self.ids[:-1]
+        before[self.starts] = 0  # the start of a text; the end token itself is no context
+        pairs, self.pair = np.unique(self.ids * len(words) + before, return_inverse=True)
+        name = (self.home >> np.uint64(16)).astype(np.int64)  # in the order of the words, too
+        self.pair_word, self.pair_context = pairs // len(words), name[pairs % len(words)]
+        if ((np.diff(self.pair_context) == 0) & (np.diff(self.pair_word) == 0)).any():  # two words of one name are one context
+            pairs, at = np.unique(np.stack([self.pair_word, self.pair_context], 1), axis=0, return_inverse=True)
+            self.pair_word, self.pair_context, self.pair = pairs[:, 0], pairs[:, 1], at.ravel()[self.pair]
 
     def mark(self) -> int:
         """32 bits of the pairs, to tell whether a block is read again as it was."""
@@ -159,22 +180,18 @@ def _by_bucket(tok: Tokens, n: int, hot: dict[bytes, int]):
         yield int(bucket[p[0]]), np.unique(tok.pair_word[p]), p
 
 
-def packed_blocks(rows: DataFrame, block_bytes: int) -> RDD:
-    """Blocks of rows (id long, flag boolean, text) as pressed bytes, in the partitions and the order of the table."""
-
-    def pack(batches):
-        some, size = [], 0
-        for b in batches:
-            for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), arrow_texts(b.column(2))):
-                if some and size + len(row[2]) > block_bytes:
-                    yield pa.RecordBatch.from_arrays([pa.array([_press(pickle.dumps(some))], pa.binary())], names=["block"])
-                    some, size = [], 0
-                some.append(row)
-                size += len(row[2])
-        if some:
-            yield pa.RecordBatch.from_arrays([pa.array([_press(pickle.dumps(some))], pa.binary())], names=["block"])
-
-    return rows.select("id", "flag", "text").mapInArrow(pack, "block binary").rdd.map(lambda r: bytes(r["block"]))
+def blocks_of_partition(rows, block_bytes: int):
+    """Blocks of rows (id, flag, text), a longer text alone, in the order of the partition."""
+    some, size = [], 0
+    for i, flag, text in rows:
+        text = bytes(text or b"")
+        if some and size + len(text) > block_bytes:
+            yield some
+            some, size = [], 0
+        some.append((i, flag, text))
+        size += len(text)
+    if some:
+        yield some
 
 
 def hot_words(rows: DataFrame) -> dict[bytes, int]:
@@ -201,12 +218,11 @@ def hot_words(rows: DataFrame) -> dict[bytes, int]:
     return {w: k for k, w in enumerate([END, *[bytes(r["word"]) for r in best]])}
 
 
-def _send(part: int, blobs, n: int, hot: dict[bytes, int]):
+def _send(part: int, blocks, n: int, hot: dict[bytes, int]):
     """(bucket, pressed pieces) of the pairs of a partition's blocks."""
     held: dict[int, list] = {}
     size = 0
-    for number, blob in enumerate(blobs):
-        rows = pickle.loads(_unpress(blob))
+    for number, rows in enumerate(blocks):
         tok = Tokens([x for _, _, x in rows])
         train = np.repeat(np.array([r[1] for r in rows], bool), np.diff(np.append(tok.starts, len(tok.ids))))
         count = np.bincount(tok.pair[train], minlength=len(tok.pair_word))
@@ -231,7 +247,8 @@ def _gather(rows, hot: dict[bytes, int]) -> list[tuple[int, dict]]:
     for bucket, some in parts.items():
         some.sort(key=lambda x: x[0])
         lists = [x[1].split(b"\n") for x in some]
-        words = sorted(set().union(*lists))
+        words = list(set().union(*lists))
+        words = [words[k] for k in in_order(words, homes_of(words)).tolist()]
         number = {w: k for k, w in enumerate(words)}
         word = [np.repeat(np.array([number[w] for w in ws], np.int64), _from_ints(x[2])) for ws, x in zip(lists, some)]
         contexts, ctx = np.unique(np.concatenate([_from_planes(x[3]) for x in some]), return_inverse=True)
@@ -399,7 +416,7 @@ def log_rooms(tables, customers, d: float, strength: float) -> float:
 
 
 def _discounts(d: float) -> np.ndarray:
-    return np.unique(np.round(np.clip(d + D_STEPS, 0.02, 0.97), 4))
+    return np.unique(np.round(np.clip(d + D_STEPS, 0.02, 0.95), 4))
 
 
 def _likelihood_of_tables(counts: np.ndarray, tables: np.ndarray, discounts: np.ndarray) -> np.ndarray:
@@ -473,10 +490,10 @@ def _answers(bucket: int, row: dict, customers: np.ndarray, samples: list[tuple]
     return [(part, (bucket, _press(pickle.dumps(x)))) for part, x in out.items()]
 
 
-def answers_of(packed: RDD, spark, n: int, hot: dict[bytes, int], seed: int) -> tuple[RDD, int, int]:
+def answers_of(table: RDD, spark, n: int, hot: dict[bytes, int], block_bytes: int, seed: int) -> tuple[RDD, int, int]:
     """The buckets' answers, dealt to the partitions of the blocks; the training tokens and the vocabulary."""
-    parts = packed.getNumPartitions()
-    sent = packed.mapPartitionsWithIndex(lambda k, blobs: _send(k, blobs, n, hot))
+    parts = table.getNumPartitions()
+    sent = table.mapPartitionsWithIndex(lambda k, rows: _send(k, blocks_of_partition(rows, block_bytes), n, hot))
     buckets = _keep(sent.partitionBy(n, int).mapPartitions(lambda rows: _gather(rows, hot)))
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
@@ -552,13 +569,12 @@ def answers_of(packed: RDD, spark, n: int, hot: dict[bytes, int], seed: int) ->
     return told.partitionBy(parts, int), int(totals["tokens"]), int(totals["vocabulary"])
 
 
-def _score(blobs, answers, n: int, hot: dict[bytes, int], tokens: int, vocabulary: int):
+def _score(blocks, answers, n: int, hot: dict[bytes, int], tokens: int, vocabulary: int):
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of the rows of a partition's blocks."""
     told: dict[tuple, tuple] = {}
     for _, (bucket, x) in answers:
         told |= {(block, bucket): (p, k) for block, p, k in pickle.loads(_unpress(x))}
-    for number, blob in enumerate(blobs):
-        rows = pickle.loads(_unpress(blob))
+    for number, rows in enumerate(blocks):
         tok = Tokens([x for _, _, x in rows])
         logp, known = np.zeros(len(tok.pair_word)), np.zeros(len(tok.words), np.int64)
         block = number << 32 | tok.mark()
@@ -583,10 +599,11 @@ def score_documents(docs: DataFrame, train, doc_id: str = "doc_id", text: str =
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(train, F.lit(False)).alias("flag"), F.col(text).alias("text"))
     n = max(1, -(-text_bytes(docs, text) // block_bytes))
     hot = hot_words(rows)
-    packed = packed_blocks(rows, block_bytes)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    if not packed.getNumPartitions():
+    held = rows.select("id", "flag", F.col("text").cast("binary").alias("text")).rdd
+    if not held.getNumPartitions():
         return spark.createDataFrame([], schema)
-    answers, tokens, vocabulary = answers_of(packed, spark, n, hot, seed)
-    scored = _beside(_whole(packed), _whole(answers)).flatMap(lambda both: _score(both[0], both[1], n, hot, tokens, vocabulary))
+    answers, tokens, vocabulary = answers_of(held, spark, n, hot, block_bytes, seed)
+    blocks = _whole(held.mapPartitions(lambda rows: (_press(pickle.dumps(x)) for x in blocks_of_partition(rows, block_bytes))))
+    scored = _beside(blocks, _whole(answers)).flatMap(lambda x: _score((pickle.loads(_unpress(y)) for y in x[0]), x[1], n, hot, tokens, vocabulary))
     return spark.createDataFrame(scored, schema, verifySchema=False)

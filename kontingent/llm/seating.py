@@ -16,6 +16,7 @@ window around the mode is computed, however many customers there are.
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +26,7 @@ TABLE = 64
 #: Terms of the alternating series at most; it is tried for up to 40 or ``REACH`` * c ** d tables.
 SERIES, REACH = 120, 4.0
 #: Half-width of the window around the mode, in deviations, and at least so many tables.
-WIDTH, LEAST = 8.0, 10
+WIDTH, LEAST = 7.0, 6
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -36,8 +37,8 @@ def lgamma(x: np.ndarray) -> np.ndarray:
         low = x < 8
         if not low.any():
             break
-        down = np.where(low, down + np.log(np.where(low, x, 1.0)), down)
-        x = np.where(low, x + 1, x)
+        down[low] += np.log(x[low])
+        x[low] += 1
     inv = 1 / x
     return (x - 0.5) * np.log(x) - x + 0.9189385332046727 + inv * (1 / 12 - inv**2 * (1 / 360 - inv**2 * (1 / 1260 - inv**2 / 1680))) - down
 
@@ -57,13 +58,38 @@ def stirling_table(d: float) -> np.ndarray:
 def _solve(f, size: int) -> np.ndarray:
     """log u in which the increasing function f of log(-log u) changes its sign, by bisection."""
     lo, hi = np.full(size, np.log(1e-13)), np.full(size, np.log(2000.0))
-    for _ in range(44):
+    for _ in range(26):
         mid = (lo + hi) / 2
         below = f(-np.exp(mid)) < 0
         lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
     return -np.exp((lo + hi) / 2)
 
 
+def _mean(y: np.ndarray, d: float) -> np.ndarray:
+    """Mean of a Sibuya variable tilted by x = 1 - exp(y)."""
+    return d * -np.expm1(y) * np.exp((d - 1) * y) / -np.expm1(d * y)
+
+
+@lru_cache(maxsize=64)
+def _tilts(d: float) -> tuple[np.ndarray, np.ndarray]:
+    """log of the mean, and log(-y), on a grid."""
+    v = np.linspace(np.log(1e-13), np.log(700.0 / max(1 - d, 0.02)), 4096)
+    with np.errstate(over="ignore"):
+        return np.log(_mean(-np.exp(v), d)), v
+
+
+def _tilt(m: np.ndarray, d: float) -> np.ndarray:
+    """y of the tilt that gives the mean m: from the grid, then two Newton steps."""
+    grid, v = _tilts(d)
+    z = np.interp(np.log(m), grid, v)
+    for _ in range(2):
+        y = -np.exp(z)
+        now = _mean(y, d)
+        slope = (1 + (1 - d) * -np.expm1(y) * np.exp(-y) - now) * np.exp(y) / np.expm1(y) * y
+        z = z - np.clip((np.log(now) - np.log(m)) / np.where(slope > 1e-12, slope, 1.0), -0.1, 0.1) * (slope > 1e-12)
+    return -np.exp(z)
+
+
 def log_sum_probability(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     """log P(X_1 + ... + X_t = c) of Sibuya variables of parameter d, 1 <= t <= c, c > TABLE."""
     c, t = np.asarray(c, np.float64), np.asarray(t, np.float64)
@@ -73,12 +99,14 @@ def log_sum_probability(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     if len(few):
         cc, tt = c[few], t[few]
         total, size, last = np.zeros(len(few)), np.zeros(len(few)), np.ones(len(few))
-        lc, lt, on = lgamma(cc + 1), lgamma(tt + 1), np.arange(len(few))
+        lc, on = lgamma(cc + 1), np.arange(len(few))
+        ways = np.zeros(len(few))  # log of the binomial coefficient t over j
         for j in range(1, SERIES + 1):
             on = on[(tt[on] >= j) & (last[on] > 1e-10 * np.abs(total[on])) & (cc[on] > j * d)]
             if not len(on):
                 break
-            log = lt[on] - lgamma(np.float64(j + 1)) - lgamma(tt[on] - j + 1) + lgamma(np.float64(1 + j * d)) + lgamma(cc[on] - j * d) - lc[on]
+            ways[on] += np.log((tt[on] - j + 1) / j)
+            log = ways[on] + math.lgamma(1 + j * d) + lgamma(cc[on] - j * d) - lc[on]
             with np.errstate(over="ignore"):
                 term = np.exp(log)
             total[on] += (-1) ** (j + 1) * np.sin(np.pi * j * d) / np.pi * term
@@ -90,8 +118,7 @@ def log_sum_probability(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     rest = np.flatnonzero(~done & (t < c))
     if len(rest):
         m, n, tt = c[rest] / t[rest], c[rest] - t[rest], t[rest]
-        mean = lambda y: d * -np.expm1(y) * np.exp((d - 1) * y) / -np.expm1(d * y)
-        y = _solve(lambda v: np.log(mean(v)) - np.log(m), len(m))
+        y = _tilt(m, d)
         x, f = -np.expm1(y), -np.expm1(d * y)
         k2 = m * (1 + (1 - d) * x * np.exp(-y) - m)
         lattice = n * np.log(n) - n + 0.5 * np.log(2 * np.pi * n) - lgamma(n + 1)  # near t = c the sum is all but Poisson
@@ -129,7 +156,7 @@ def mode_and_deviation(c: np.ndarray, base: np.ndarray, room: np.ndarray, d: flo
     y = _solve(lambda v: np.log(weight) + np.log(-np.expm1(v)) + (d - 1) * v - np.log(share(v)) - np.log(c), len(c))
     x, f = -np.expm1(y), -np.expm1(d * y)
     t = np.clip(room / d * base * f / share(y), 1, c)
-    mean = d * x * np.exp((d - 1) * y) / f
+    mean = _mean(y, d)
     own = mean * (1 + (1 - d) * x * np.exp(-y) - mean)
     spread = t / share(y)
     return t, np.sqrt(np.maximum(spread * t * own / (t * own + mean**2 * spread), 0))

@@ -36,38 +36,131 @@ def test_query_against_brute_force(spark, sf_dir):
     assert gain / size > 0.02
 
 
-def test_blocks_do_not_matter_for_counts_and_probabilities_sum_to_one(spark):
+def test_blocks_do_not_matter_for_counts(spark):
     words = ["aa", "ab", "ba", "bb", "cc"]
     rng = np.random.default_rng(1)
     rows = [(k, " ".join(rng.choice(words, 30))) for k in range(60)]
     # probe texts of one word each, after the start of a text: all words, an unknown one and the end
-    rows += [(1000 + k, w) for k, w in enumerate([*words, "unknown"])] + [(2000, None), (2001, "")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    probes = {1000 + k: w for k, w in enumerate([*words, "unknown"])}
+    probes |= {2000: None, 2001: ""}
+    docs = spark.createDataFrame(rows + list(probes.items()), "doc_id long, text string").repartition(3)
     from pyspark.sql import functions as F
 
+    path = pyplm.shared_dir(spark) + "/probes"
+    docs.write.mode("overwrite").parquet(path)
+    docs = spark.read.parquet(path)
+    scores = []
     for size in (200, 1 << 20):
         got = {r["doc_id"]: r for r in pyplm.score_documents(docs, F.col("doc_id") < 1000, block_bytes=size).collect()}
         assert got[2000]["score"] == got[2001]["score"] and got[0]["train_tokens"] == 60 * 31
         assert got[0]["n_tokens"] == 31 and got[1005]["n_known"] == 1
+        scores.append(got)
+    for column in ("n_tokens", "n_known", "base_score"):
+        assert {k: r[column] for k, r in scores[0].items()} == pytest.approx({k: r[column] for k, r in scores[1].items()})
+    assert all(abs(scores[0][k]["score"] - scores[1][k]["score"]) < 0.05 * scores[0][k]["n_tokens"] for k in range(60))
 
 
-def test_predictive_probabilities_are_a_distribution():
-    rng = np.random.default_rng(2)
-    total = {"vocabulary": 50.0, "root_discount": 0.6}
-    tables = rng.integers(1, 9, 50)
-    seats = np.minimum(tables, rng.integers(1, 3, 50))
-    total |= {"root_tables": float(seats.sum()), "tables": np.array([float(tables.sum())])}
-    known = pyplm.root_probability(tables, seats, total)
-    assert known.sum() + pyplm.root_probability(0, 0, total) == pytest.approx(1)
+def opened(counts, contexts, hot=None):
+    """Pairs of a bucket from a matrix of counts (words x contexts)."""
+    pairs = pyplm.Pairs.__new__(pyplm.Pairs)
+    word, ctx = np.nonzero(counts)
+    pairs.word, pairs.ctx, pairs.counts, pairs.n_words, pairs.contexts = word, ctx, counts[word, ctx], len(counts), np.array(contexts)
+    pairs.hot = np.full(len(counts), -1) if hot is None else np.array(hot)
+    return pairs
+
 
+def numbers(pairs, state, **more):
+    return {"vocabulary": float(pairs.n_words), "tables": float(state.tables.sum()), "seats": float(state.seats.sum()),
+            "word": (0.7, 0.5), "root": (0.6, 2.0), "hot_customers": np.zeros(0), "hot_seats": np.zeros(0), **more}
 
-def test_seating():
+
+def test_probabilities_of_each_context_sum_to_one():
+    rng = np.random.default_rng(2)
+    counts = rng.poisson(0.8, (40, 12))
+    counts[:, 0] = 0  # a context never seen in training
+    counts[:, 1:][counts[:, 1:].sum(1) == 0, 0] = 1
+    every = counts + (counts == 0)  # pairs that occur in no training text stand in the bucket too, with no customers
+    pairs = opened(every, range(12))
+    pairs.counts = counts[pairs.word, pairs.ctx]
+    state = pyplm.first_state(pairs)
+    for k in range(4):
+        totals = numbers(pairs, state)
+        tables, customers = pairs.of_contexts(state.tables), pairs.of_contexts(pairs.counts)
+        p = pyplm.pair_probability(pairs, state, totals, customers, tables)
+        unknown = (0.5 + 0.7 * tables) * pyplm.word_probability(0, 0, totals) / (0.5 + customers)
+        assert np.bincount(pairs.ctx, p) + unknown == pytest.approx(1)
+        assert (p > 0).all()
+        state = pyplm.sweep(pairs, state, totals, tables, np.random.default_rng(k))
+        assert ((state.tables >= (pairs.counts > 0)) & (state.tables <= pairs.counts)).all()
+
+
+def test_scores_against_a_brute_force_model():
+    """One restaurant by enumeration: the chance of each word under all seatings of a tiny corpus."""
+    d, strength, base = 0.5, 1.0, 0.25
+    counts = (3, 1)
+    rng = np.random.default_rng(4)
+    # P(t) of each dish given the other's tables, by enumeration of both
+    from itertools import product
+    from math import prod
+
+    def stirling(c, t):
+        if c == t:
+            return 1.0
+        return 0.0 if t < 1 or t > c else stirling(c - 1, t - 1) + (c - 1 - t * d) * stirling(c - 1, t)
+
+    joint = {}
+    for t in product(*[range(1, c + 1) for c in counts]):
+        n = sum(t)
+        joint[t] = base**n * prod(strength + d * i for i in range(n)) * prod(stirling(c, k) for c, k in zip(counts, t))
+    whole = sum(joint.values())
+    expected = sum(v * t[0] for t, v in joint.items()) / whole
+    t = [1, 1]
+    seen = []
+    for _ in range(6000):
+        for k in (0, 1):
+            t[k] = int(pyplm.seating.draw_tables(np.array([counts[k]]), np.array([base]), np.array([strength + d * t[1 - k]]), d, rng)[0])
+        seen.append(t[0])
+    assert np.mean(seen) == pytest.approx(expected, rel=0.02)
+
+
+@pytest.mark.parametrize("d", [0.2, 0.5, 0.8, 0.95])
+def test_seating_is_exact(d):
+    """Means of drawn tables against the recursion of the Stirling numbers, below and beyond the table."""
     rng = np.random.default_rng(3)
-    counts = np.array([0, 1, 2, 50, 100_000])
-    got = pyplm.seat(counts, np.full(5, 2.0), 0.5, rng)
-    assert got[0] == 0 and got[1] == 1 and (got <= np.maximum(counts, 1)).all() and got[4] > got[3] >= 1
-    many = pyplm.seat(np.full(4000, 200), np.full(4000, 3.0), 0.0, rng)  # expected tables: 1 + sum of 3 / (3 + j)
-    assert many.mean() == pytest.approx(1 + sum(3 / (3 + j) for j in range(1, 200)), rel=0.03)
+    for c in (2, 9, 64, 65, 400):
+        log = np.full(c + 2, -np.inf)
+        log[0] = 0.0
+        t = np.arange(1, c + 2)
+        for k in range(c):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                log = np.concatenate(([-np.inf], np.logaddexp(log[:-1], np.log(np.maximum(k - d * t, 0)) + log[1:])))
+        t = np.arange(1, c + 1)
+        for weight in (0.05, 1.0, 20.0, 500.0):
+            for base in (1e-9, 0.05):  # at 1e-9 the conditional is weight ** t * S_d(c, t)
+                room = weight / base
+                p = log[1: c + 1] + t * np.log(base) + np.cumsum(np.log(room + d * np.arange(c)))
+                p = np.exp(p - p.max())
+                p /= p.sum()
+                mean, dev = (p * t).sum(), np.sqrt((p * t**2).sum() - (p * t).sum() ** 2)
+                got = pyplm.seating.draw_tables(np.full(4000, c), np.full(4000, base), np.full(4000, room), d, rng)
+                assert abs(got.mean() - mean) < max(0.005 * mean, 4.5 * dev / 4000**0.5), (c, weight, base)
+    none = pyplm.seating.draw_tables(np.array([0, 1, 0]), np.full(3, 0.1), np.full(3, 1.0), d, rng)
+    assert none.tolist() == [0, 1, 0]
+
+
+def test_large_dishes_take_a_window_only():
+    got = pyplm.seating.draw_tables(np.array([10**9, 10**7]), np.array([1e-4, 0.05]), np.array([1e6, 1e5]), 0.8, np.random.default_rng(1))
+    assert (got > 0).all() and (got <= [10**9, 10**7]).all()
+
+
+def test_hot_words_are_dealt_over_buckets(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    hot = pyplm.hot_words(rows)
+    assert hot[b""] == 0 and 1 < len(hot) <= pyplm.HOT + 1
+    tok = pyplm.Tokens([b"a b a c a d", b"a", b""])
+    for words in ({b"": 0}, {b"": 0, b"a": 1}):
+        seen = np.concatenate([p for _, _, p in pyplm._by_bucket(tok, 7, words)])
+        assert sorted(seen.tolist()) == list(range(len(tok.pair_word)))
 
 
 def test_edges(spark):
@@ -83,7 +176,7 @@ def test_edges(spark):
 def test_every_word_before_has_its_own_restaurant(spark):
     from pyspark.sql import functions as F
 
-    # two words of one class (the same last two bytes) with different followers
+    # two words with different followers
     rows = [(k, "blahen rot " * 20 if k % 2 else "flehen blau " * 20) for k in range(40)] + [(1000, "blahen rot"), (1001, "blahen blau"), (1002, "flehen blau"), (1003, "flehen rot")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     for size in (200, 1 << 20):
