@@ -51,7 +51,6 @@ import pickle
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import zstandard
 from pyspark import RDD, StorageLevel
 from pyspark.serializers import BatchedSerializer, CPickleSerializer
@@ -60,12 +59,13 @@ from pyspark.sql import functions as F
 
 from ..errors import ComputationError
 from . import seating
-from .common import Words, arrow_texts, mix64, shared_dir, text_bytes
+from .common import Words, mix64, shared_dir, text_bytes
 
 BURN_IN, SAMPLES = 2, 2
-BLOCK_BYTES = 4 << 20
+#: Bytes of text in a block, and behind a bucket's pairs.
+BLOCK_BYTES, BUCKET_BYTES = 2 << 20, 4 << 20
 #: Bytes of pairs that a task holds before it sends them.
-HELD = 16 << 20
+HELD = 8 << 20
 HOT, PROBED = 500, 1 << 20
 END = b""  # no word is empty
 #: Steps around the last discount, and factors of the last strength, among which new ones are drawn.
@@ -194,28 +194,23 @@ def blocks_of_partition(rows, block_bytes: int):
         yield some
 
 
-def hot_words(rows: DataFrame) -> dict[bytes, int]:
+def hot_words(table: RDD) -> dict[bytes, int]:
     """The end token and words with a large share of the tokens at the beginning of some partition, numbered."""
 
-    def count(batches):
+    def count(rows):
         seen: dict[bytes, int] = {}
         size = 0
-        for b in batches:
-            for t in arrow_texts(b.column(0)):
-                for w in t.lower().split():
-                    seen[w] = seen.get(w, 0) + 1
-                size += len(t)
-                if size >= PROBED:
-                    break
+        for _, _, text in rows:
+            for w in bytes(text or b"").lower().split():
+                seen[w] = seen.get(w, 0) + 1
+            size += len(text or b"")
             if size >= PROBED:
                 break
         least = sum(seen.values()) / HOT
-        some = [(w, k) for w, k in seen.items() if k >= least]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in some], pa.binary()), pa.array([k for _, k in some], pa.int64())], names=["word", "n"])
+        return [(w, k) for w, k in seen.items() if k >= least]
 
-    found = rows.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    best = found.orderBy(F.desc("n"), "word").limit(HOT).collect()
-    return {w: k for k, w in enumerate([END, *[bytes(r["word"]) for r in best]])}
+    best = table.mapPartitions(count).reduceByKey(lambda a, b: a + b).takeOrdered(HOT, key=lambda x: (-x[1], x[0]))
+    return {w: k for k, w in enumerate([END, *[w for w, _ in best]])}
 
 
 def _send(part: int, blocks, n: int, hot: dict[bytes, int]):
@@ -590,19 +585,18 @@ def _score(blocks, answers, n: int, hot: dict[bytes, int], tokens: int, vocabula
                        [tokens] * len(rows), add(base[tok.ids]), add(logp[tok.pair]))
 
 
-def score_documents(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, seed: int = 5) -> DataFrame:
+def score_documents(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, seed: int = 5) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score.
 
     train: boolean column, the rows to learn from.  Perplexity is 10 ** (-score / n_tokens).
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(train, F.lit(False)).alias("flag"), F.col(text).alias("text"))
-    n = max(1, -(-text_bytes(docs, text) // block_bytes))
-    hot = hot_words(rows)
+    held = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(train, F.lit(False)).alias("flag"), F.col(text).cast("binary").alias("text")).rdd
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    held = rows.select("id", "flag", F.col("text").cast("binary").alias("text")).rdd
     if not held.getNumPartitions():
         return spark.createDataFrame([], schema)
+    n = max(1, -(-text_bytes(docs, text) // bucket_bytes))
+    hot = hot_words(held)
     answers, tokens, vocabulary = answers_of(held, spark, n, hot, block_bytes, seed)
     blocks = _whole(held.mapPartitions(lambda rows: (_press(pickle.dumps(x)) for x in blocks_of_partition(rows, block_bytes))))
     scored = _beside(blocks, _whole(answers)).flatMap(lambda x: _score((pickle.loads(_unpress(y)) for y in x[0]), x[1], n, hot, tokens, vocabulary))

@@ -51,7 +51,7 @@ def test_blocks_do_not_matter_for_counts(spark):
     docs = spark.read.parquet(path)
     scores = []
     for size in (200, 1 << 20):
-        got = {r["doc_id"]: r for r in pyplm.score_documents(docs, F.col("doc_id") < 1000, block_bytes=size).collect()}
+        got = {r["doc_id"]: r for r in pyplm.score_documents(docs, F.col("doc_id") < 1000, block_bytes=size, bucket_bytes=size).collect()}
         assert got[2000]["score"] == got[2001]["score"] and got[0]["train_tokens"] == 60 * 31
         assert got[0]["n_tokens"] == 31 and got[1005]["n_known"] == 1
         scores.append(got)
@@ -154,8 +154,8 @@ def test_large_dishes_take_a_window_only():
 
 
 def test_hot_words_are_dealt_over_buckets(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    hot = pyplm.hot_words(rows)
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "true", "cast(text as binary)")
+    hot = pyplm.hot_words(rows.rdd)
     assert hot[b""] == 0 and 1 < len(hot) <= pyplm.HOT + 1
     tok = pyplm.Tokens([b"a b a c a d", b"a", b""])
     for words in ({b"": 0}, {b"": 0, b"a": 1}):
@@ -180,5 +180,5 @@ def test_every_word_before_has_its_own_restaurant(spark):
     rows = [(k, "blahen rot " * 20 if k % 2 else "flehen blau " * 20) for k in range(40)] + [(1000, "blahen rot"), (1001, "blahen blau"), (1002, "flehen blau"), (1003, "flehen rot")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     for size in (200, 1 << 20):
-        got = {r["doc_id"]: r["score"] for r in pyplm.score_documents(docs, F.col("doc_id") < 1000, block_bytes=size).collect()}
+        got = {r["doc_id"]: r["score"] for r in pyplm.score_documents(docs, F.col("doc_id") < 1000, block_bytes=size, bucket_bytes=size).collect()}
         assert got[1000] - got[1001] > 1 and got[1002] - got[1003] > 1
