@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -159,6 +160,25 @@ def to_table(data: DataFrame, columns: list[SequenceColumn], target: SequenceCol
     return data.groupBy(*[F.col(n).cast("int").alias(a) for n, a in zip(names, abbrevs)]).agg(F.count("*").cast("double").alias("value")), schema
 
 
+# Sinks ---------------------------------------------------------------------------
+
+def write_csv(data: DataFrame, path: str, header: bool = True) -> None:
+    """A sequence data set as a folder of CSV files, columns and target Z."""
+    data.write.option("header", header).csv(path)
+
+
+def generic_json(data: DataFrame, columns: list[SequenceColumn], target: SequenceColumn, name: str = "", limit: int = 1_000_000) -> str:
+    """A sequence data set as JSON: its columns, target, cardinalities and rows; larger ones belong into CSV or Parquet."""
+    rows = data.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValidationError(f"more than {limit} rows; write CSV or Parquet instead")
+    _, schema = to_table(data, columns, target)
+    about = [{"name": c.title, "abbrev": v.abbrev, "kind": c.kind} for c, v in zip([*columns, target], schema)]
+    about[-1]["name"] = "Z"
+    return json.dumps({"name": name, "columns": about[:-1], "targetColumn": about[-1], "columnCardinalities": [v.cardinality for v in schema][:-1],
+                       "dvCardinality": schema[len(columns)].cardinality, "data": [list(r) for r in rows]})
+
+
 # Sample size -----------------------------------------------------------------------
 
 def state_space(cardinalities) -> int:

@@ -32,6 +32,16 @@ from .table import VALUE
 LOCAL_STATES = 200_000
 
 
+#: Models with loops from which on they are fitted side by side on the executors.
+TOGETHER = 4
+
+
+def dense_entropy(q: np.ndarray) -> float:
+    """Entropy in bits of a dense table of probabilities."""
+    q = q[q > PROB_MIN]
+    return float(-(q * np.log2(q)).sum())
+
+
 @dataclass(frozen=True)
 class Compat:
     """How inexact conventions are resolved; the defaults are exact.
@@ -117,6 +127,10 @@ class Analyzer:
 
     # the data -----------------------------------------------------------------
 
+    def release(self) -> None:
+        """Let go of the cached table; statistics computed so far stay."""
+        self.table.unpersist()
+
     @cached_property
     def summary(self) -> tuple[float, int]:
         """Sum of counts and number of observed states, of the aggregated table (cached for the jobs to come)."""
@@ -219,8 +233,28 @@ class Analyzer:
         return [*forest.cliques, *(s for s in forest.separators if s)]
 
     def prefetch(self, models) -> None:
-        """Margins of all these models in as few jobs as there are batches."""
+        """Margins of all these models in as few jobs as there are batches, and the fits of those with loops in one job."""
         self.entropies([x for m in models for x in self.needed_masks(m)] + [self.schema.full])
+        self._fit_loops([m for m in dict.fromkeys(models) if m.has_loops and m.relations not in self._fits])
+
+    def _fit_loops(self, models: list[Model]) -> None:
+        """Fits of models with loops side by side on the executors, over the broadcast dense table (at most MAX_DENSE states);
+        fewer than ``TOGETHER`` models, and larger tables, are fitted one by one when they are asked for."""
+        if len(models) < TOGETHER or not self.is_local or self.schema.cells() > fitting.MAX_DENSE:
+            return
+        began = time.perf_counter()
+        shared = self.spark.sparkContext.broadcast(self.dense())
+
+        def run(batches):
+            for b in batches:
+                b["h"] = [dense_entropy(fitting.dense_ipf(shared.value, list(r))[0]) for r in b["relations"]]
+                yield b[["place", "h"]]
+
+        rows = self.spark.createDataFrame([(k, list(m.relations)) for k, m in enumerate(models)], "place int, relations array<long>")
+        for r in rows.repartition(len(models), "place").mapInPandas(run, "place int, h double").collect():  # one number per model
+            self._fits[models[r["place"]].relations] = r["h"], "ipf"
+        shared.unpersist()
+        self.profile.record("ipf", time.perf_counter() - began)
 
     def h(self, m: Model | str) -> float:
         """Entropy of the fitted model, in bits."""
@@ -244,8 +278,7 @@ class Analyzer:
         began = time.perf_counter()
         if self.is_local and self.schema.cells() <= fitting.MAX_DENSE:
             q, _ = fitting.dense_ipf(self.dense(), m.relations)
-            q = q[q > PROB_MIN]
-            h, how = float(-(q * np.log2(q)).sum()), "ipf"
+            h, how = dense_entropy(q), "ipf"
         else:
             q, _ = fitting.frame_ipf(self.probabilities, m)
             h, how = tables.entropy(q), "ipf"
@@ -330,7 +363,7 @@ class Analyzer:
         if m.is_saturated:
             return self.probabilities.where(F.col(VALUE) > PROB_MIN)
         if not m.has_loops:
-            if self.schema.cells() > fitting.MAX_STATES and m.is_independence:
+            if self.schema.cells() > fitting.MAX_STATES and sum(not sep for sep in junction_forest(m.relations).separators) > 1:
                 raise ComputationError(f"a product over {self.schema.cells()} states is beyond the limit")
             return fitting.fit_forest(self.probabilities, m, self.compat.sparse)
         if self.is_local and self.schema.cells() <= fitting.MAX_DENSE:

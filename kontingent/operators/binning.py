@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ..errors import ValidationError
 from ..schema import Schema, Variable, unique_abbrevs
 
-# Texts that mean a missing value, compared after trimming, in any case.
-MISSING = ("", "na", "n/a", "nan", "null", "nil", "none", ".", "?", "-", "--", "missing", "unknown", "#n/a", "#na", "#null!", "<na>", "undefined")
+# Texts that mean a missing value, compared exactly after trimming.
+MISSING = ("", "NA", "na", "N/A", "n/a", "NaN", "nan", "null", "NULL", "Null", "nil", "NIL", ".", "-", "?", "None", "none", "NONE", "#N/A", "#NA", "#NULL!")
 # Names of two to seven ordered bins.
 SEMANTIC = {
     1: ("Single",), 2: ("Low", "High"), 3: ("Low", "Medium", "High"), 4: ("Low", "MediumLow", "MediumHigh", "High"),
@@ -64,7 +64,7 @@ class Fitted:
 
 
 def is_missing(c: Column) -> Column:
-    return F.coalesce(F.lower(F.trim(c.cast("string"))).isin(*MISSING), F.lit(True))
+    return F.coalesce(F.trim(c.cast("string")).isin(*MISSING), F.lit(True))
 
 
 def number(name: str) -> Column:
@@ -118,15 +118,69 @@ def bin_code(value: Column, breaks) -> Column:
 # Fitting ------------------------------------------------------------------------------
 
 def analyze(df: DataFrame, names=None) -> DataFrame:
-    """One row per column: is_numeric, unique_count, missing_count, n_rows, min, max (over present values), in one pass."""
-    names = list(names or df.columns)
-    parts = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v"), number(c).alias("x"), is_missing(F.col(c)).alias("m")) for c in names]
-    long = df.select(F.explode(F.array(*parts)).alias("r")).select("r.*")
-    present = ~F.col("m")
-    return long.groupBy("column").agg(
-        F.coalesce(F.bool_and(F.when(present, F.col("x").isNotNull())), F.lit(False)).alias("is_numeric"),
-        F.count_distinct(F.when(present, F.trim("v"))).alias("unique_count"), F.sum(F.col("m").cast("long")).alias("missing_count"),
-        F.count("*").alias("n_rows"), F.min(F.when(present, F.col("x"))).alias("min"), F.max(F.when(present, F.col("x"))).alias("max"))
+    """One row per column: is_numeric, unique_count, missing_count, n_rows, min, max (over present values).
+
+    Each column is grouped by its values first, in a scan of its own that reads nothing else; texts are looked at once per
+    distinct value.
+    """
+    out = None
+    for c in names or df.columns:
+        seen = df.select(F.col(c).alias("_value")).groupBy("_value").agg(F.count("*").alias("k"))
+        seen = seen.select(F.trim(F.col("_value").cast("string")).alias("v"), number("_value").alias("x"), is_missing(F.col("_value")).alias("m"), "k")
+        present = ~F.col("m")
+        one = seen.agg(
+            F.coalesce(F.bool_and(F.when(present, F.col("x").isNotNull())), F.lit(False)).alias("is_numeric"),
+            F.count_distinct(F.when(present, F.col("v"))).alias("unique_count"), F.coalesce(F.sum(F.when(F.col("m"), F.col("k"))), F.lit(0)).cast("long").alias("missing_count"),
+            F.coalesce(F.sum("k"), F.lit(0)).cast("long").alias("n_rows"), F.min(F.when(present, F.col("x"))).alias("min"), F.max(F.when(present, F.col("x"))).alias("max"))
+        one = one.select(F.lit(c).alias("column"), "*")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def exact_quantiles(x: DataFrame, at: list[float], most: int = MAX_VALUES) -> list[float]:
+    """Quantiles of the column ``x`` (no nulls), interpolated between neighbours; [] without rows.
+
+    A sketch brackets each quantile; then rows below each bracket are counted and the distinct values inside are fetched.
+    A bracket with more than ``most`` distinct values is narrowed by another sketch of what it holds, so nothing but
+    bounded lists reaches the driver and every pass adds up partially.
+    """
+    error = 1e-4
+    n, lows, highs = x.agg(F.count("*"), *[F.percentile_approx("x", [min(1.0, max(0.0, p + e)) for p in at], int(1 / error)) for e in (-2 * error, 2 * error)]).first()
+    if not n:
+        return []
+    spans = [[lo, hi] for lo, hi in zip(lows, highs)]
+    while True:
+        below = x.agg(*[F.count(F.when(F.col("x") < F.lit(lo), 1)) for lo, _ in spans]).first()
+        inside = F.lit(False)
+        for lo, hi in spans:
+            inside = inside | F.col("x").between(lo, hi)
+        values = x.where(inside).groupBy("x").agg(F.count("*").alias("k")).limit(most * len(at) + 1).collect()
+        if len(values) <= most * len(at):
+            break
+        for k, p in enumerate(at):  # narrow around the rank among what the bracket holds
+            lo, hi = spans[k]
+            part = x.where(F.col("x").between(lo, hi))
+            size = part.count()
+            share = (p * (n - 1) - below[k]) / max(1, size)
+            spans[k] = list(part.agg(F.percentile_approx("x", [min(1.0, max(0.0, share + e)) for e in (-2 * error, 2 * error)], int(1 / error))).first()[0])
+    values = sorted((r["x"], r["k"]) for r in values)
+    out = []
+    for p, (lo, hi), under in zip(at, spans, below):
+        own = [(v, k) for v, k in values if lo <= v <= hi]
+
+        def ranked(rank):
+            have = under
+            for v, k in own:
+                have += k
+                if have > rank:
+                    return v
+            return x.where(F.col("x") > hi).agg(F.min("x")).first()[0]  # the neighbour just above the bracket
+
+        rank = p * (n - 1)
+        a = ranked(int(rank))
+        b = a if rank == int(rank) else ranked(int(rank) + 1)
+        out.append(a if a == b else (1 - (rank - int(rank))) * a + (rank - int(rank)) * b)
+    return out
 
 
 def frequencies(df: DataFrame, name: str) -> DataFrame:
@@ -137,25 +191,24 @@ def frequencies(df: DataFrame, name: str) -> DataFrame:
 
 def fit_column(df: DataFrame, name: str, spec: BinSpec, approximate: bool = False) -> Fitted:
     """Breaks or kept values of a column.  ``approximate``: quantiles from a sketch instead of exactly."""
-    missing = bool(df.where(is_missing(F.col(name))).limit(1).count())
-    separate = missing and spec.missing == "separate"
     if spec.strategy in ("width", "quantile", "breaks"):
-        x = df.select(number(name).alias("x")).where("x is not null")
-        bad = spec.missing == "separate" and bool(df.where(number(name).isNull()).limit(1).count())
+        x = df.select(number(name).alias("x"))
+        missing, bad, low, high = df.select(number(name).alias("x"), is_missing(F.col(name)).alias("m")).agg(F.bool_or("m"), F.bool_or(F.isnull("x")), F.min("x"), F.max("x")).first()
         if spec.strategy == "width":
-            row = x.agg(F.min("x").alias("a"), F.max("x").alias("b")).first()
-            breaks = equal_width_breaks(row["a"], row["b"], spec.bins)
+            breaks = equal_width_breaks(low, high, spec.bins)
         elif spec.strategy == "quantile":
             at = [k / spec.bins for k in range(spec.bins + 1)]
-            f = F.percentile_approx("x", at, 100_000) if approximate else F.percentile("x", F.array(*map(F.lit, at)))
-            breaks = tuple(dict.fromkeys(x.agg(f.alias("q")).first()["q"] or (0.0, 1.0)))
+            x = x.where("x is not null")
+            found = x.agg(F.percentile_approx("x", at, 100_000)).first()[0] if approximate else exact_quantiles(x, at)
+            breaks = tuple(dict.fromkeys(found or (0.0, 1.0)))
             breaks = breaks if len(breaks) > 1 else (breaks[0] - 0.5, breaks[0] + 0.5)
         else:
             breaks = tuple(spec.breaks)
             if len(breaks) < 2 or list(breaks) != sorted(set(breaks)):
                 raise ValidationError("breaks must ascend, two at least")
-        labels = bin_labels(spec, breaks)
-        return Fitted(spec, labels + ((spec.missing_label,) if separate or bad else ()), breaks=breaks, has_missing=separate or bad)
+        separate = spec.missing == "separate" and bool(missing or bad)
+        return Fitted(spec, bin_labels(spec, breaks) + ((spec.missing_label,) if separate else ()), breaks=breaks, has_missing=separate)
+    separate = spec.missing == "separate" and bool(df.where(is_missing(F.col(name))).limit(1).count())
     freq = frequencies(df, name)
     if spec.strategy == "top":
         kept = [r["value"] for r in freq.limit(spec.top).collect()]

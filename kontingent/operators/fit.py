@@ -12,14 +12,13 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..algebra import Model, bits
 from ..errors import ComputationError, ConvergenceError
 from ..graph import JunctionForest, junction_forest
 from ..schema import PROB_MIN, Schema
-from .storage import materialise
+from .storage import drop, materialise
 from .table import VALUE, domain, project
 
 #: States of a dense table on the driver: 8 bytes each, a few copies.
@@ -158,12 +157,23 @@ def start_table(p: DataFrame, model: Model, max_states: int = MAX_STATES) -> Dat
     return out.withColumn(VALUE, F.lit(1.0 / schema.cells()))
 
 
-def scale_by_margin(q: DataFrame, margin: DataFrame, names: list[str]) -> DataFrame:
-    """One IPF step: q scaled so that its margin over ``names`` is the given one."""
+def scale_by_margin(q: DataFrame, margin: DataFrame, names: list[str], small: bool = False) -> DataFrame:
+    """One IPF step: q scaled so that its margin over ``names`` is the given one.  ``small``: the margin has few enough states to be broadcast."""
     have = q.groupBy(*names).agg(F.sum(VALUE).alias("_have"))
     factor = have.join(margin.withColumnRenamed(VALUE, "_want"), names, "left").select(
         *names, F.when(F.col("_have") > 0, F.coalesce("_want", F.lit(0.0)) / F.col("_have")).otherwise(F.lit(0.0)).alias("_f"))
-    return q.join(factor, names).withColumn(VALUE, F.col(VALUE) * F.col("_f")).drop("_f")
+    return q.join(F.broadcast(factor) if small else factor, names).withColumn(VALUE, F.col(VALUE) * F.col("_f")).drop("_f")
+
+
+def _sweep(q: DataFrame, margins, schema: Schema) -> DataFrame:
+    """One step per margin, each written, as a step reads what it starts from twice; ``q`` is given up."""
+    small = schema.cells() <= MAX_BROADCAST
+    for names, m in margins:
+        new = scale_by_margin(q, m, names, schema.cells(sum(1 << schema.columns.index(c) for c in names)) <= MAX_BROADCAST)
+        new = materialise(new.coalesce(1) if small else new)
+        drop(q)
+        q = new
+    return q
 
 
 def frame_ipf(p: DataFrame, model: Model, config: IPFConfig = IPFConfig(), max_states: int = MAX_STATES) -> tuple[DataFrame, FitInfo]:
@@ -173,9 +183,7 @@ def frame_ipf(p: DataFrame, model: Model, config: IPFConfig = IPFConfig(), max_s
     margins = [(schema.names(r), materialise(project(p, schema, r))) for r in model.relations]
     info, before = FitInfo("ipf", converged=False), float("inf")
     for info.iterations in range(1, config.max_iterations + 1):
-        for names, m in margins:
-            q = scale_by_margin(q, m, names)
-        q = materialise(q)
+        q = _sweep(q, margins, schema)
         info.error = margin_error(q, margins)
         if info.error < config.tolerance or abs(before - info.error) < config.tolerance * 0.1:
             info.converged = True
@@ -197,14 +205,9 @@ def margin_error(q: DataFrame, margins) -> float:
 
 
 def fixed_sweeps(p: DataFrame, model: Model, sweeps: int) -> DataFrame:
-    """A fixed number of IPF sweeps as one plan.  Each step sums over a window, so the plan grows by one
-    window and one join per step, not by a copy of all steps before."""
+    """A fixed number of IPF sweeps."""
     schema, q = model.schema, start_table(p, model)
+    margins = [(schema.names(r), materialise(project(p, schema, r))) for r in model.relations]
     for _ in range(sweeps):
-        for r in model.relations:
-            names = schema.names(r)
-            want = project(p, schema, r).withColumnRenamed(VALUE, "_want")
-            have = F.sum(VALUE).over(W.partitionBy(*names))
-            q = q.withColumn("_have", have).join(F.broadcast(want) if schema.cells(r) <= MAX_BROADCAST else want, names)
-            q = q.withColumn(VALUE, F.when(F.col("_have") > 0, F.col(VALUE) * F.col("_want") / F.col("_have")).otherwise(F.lit(0.0))).drop("_have", "_want")
+        q = _sweep(q, margins, schema)
     return q.select(*schema.columns, VALUE)

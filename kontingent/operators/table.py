@@ -7,6 +7,8 @@ Null stands for a variable that was summed out, as GROUPING SETS leaves it.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -145,14 +147,28 @@ def find(t: DataFrame, **codes: int) -> DataFrame:
 
 
 def matching(a: DataFrame, b: DataFrame, schema: Schema, names=None) -> DataFrame:
-    """Pairs of rows that agree where both have a code; a null code matches every code.  Values come as value_a and value_b."""
+    """Pairs of rows that agree where both have a code; a null code matches every code.  Values come as value_a and value_b.
+
+    Rows with codes in the same columns are joined on the codes that both sides have, one equi-join per pair of such sets.
+    """
     names = names or schema.columns
     left = a.select(*[F.col(c).alias(f"{c}_a") for c in schema.columns], F.col(VALUE).alias("value_a"))
     right = b.select(*[F.col(c).alias(f"{c}_b") for c in schema.columns], F.col(VALUE).alias("value_b"))
-    on = F.lit(True)
-    for c in names:
-        on = on & (F.col(f"{c}_a").isNull() | F.col(f"{c}_b").isNull() | (F.col(f"{c}_a") == F.col(f"{c}_b")))
-    return left.join(F.broadcast(right), on)
+    out = None
+    for have_a in _present(left, names, "_a"):
+        for have_b in _present(right, names, "_b"):
+            x, y = (t.where(reduce(and_, [F.col(f"{c}{side}").isNotNull() if c in have else F.col(f"{c}{side}").isNull() for c in names], F.lit(True)))
+                    for t, have, side in ((left, have_a, "_a"), (right, have_b, "_b")))
+            both = [F.col(f"{c}_a") == F.col(f"{c}_b") for c in names if c in have_a and c in have_b]
+            some = x.join(y, reduce(and_, both)) if both else x.crossJoin(y)  # without a common code every pair matches
+            out = some if out is None else out.union(some)
+    return left.crossJoin(right).limit(0) if out is None else out
+
+
+def _present(t: DataFrame, names, side: str) -> list[set[str]]:
+    """The sets of columns that rows have codes in: one per projection that the table holds."""
+    rows = t.select(*[F.col(f"{c}{side}").isNotNull().alias(c) for c in names]).distinct().collect()
+    return [{c for c in names if r[c]} for r in rows]
 
 
 def decode(t: DataFrame, schema: Schema) -> DataFrame:

@@ -14,17 +14,21 @@ from pyspark.sql import functions as F
 
 from .. import algebra
 from ..functions import sequences, special
-from ..operators import binning, fit, predict
+from ..graph import junction_forest
+from ..operators import binning, chain, fit, predict
 from ..operators import table as tables
 from ..operators.analyzer import Analyzer
 from ..schema import Schema, Variable
 from ..sources import formats
-from ..sources.synthetic import chain_model, sample
+from ..sources.synthetic import chain_model, sample, sample_table
 from . import neighbours, search
 
 VALUE = tables.VALUE
 # Labels of the nominal columns, sorted.
 FLAGS, STATUS = ("A", "N", "R"), ("F", "O")
+# Texts that are looked at as missing values, padded ones and words that are none among them.
+MISSING_PROBES = ("", "NA", "na", "N/A", "n/a", "NaN", "nan", "null", "NULL", "Null", "nil", "NIL", ".", "-", "?", "None", "none", "NONE", "#N/A", "#NA", "#NULL!",
+                  " NA ", "Unknown", "missing", "--", "Nan", "Nil", "0", "undefined")
 BREAKS = binning.equal_width_breaks(1.0, 50.0, 5)
 
 
@@ -246,11 +250,11 @@ def incremental_alpha(spark, sf):
     return spark.createDataFrame([(round(lr, 5), round(a.incremental_alpha("AB:C:D", "A:B:C:D"), 6))], "lr double, alpha double")
 
 
-def _level(filter, direction="up", start=None, names=None):
+def _level(filter, direction="up", start=None, dependent="", digits=5):
     def run(spark, sf):
-        a = analyzer(spark, sf)
+        a = analyzer(spark, sf, dependent)
         first = algebra.reference_model(a.schema, start)
-        rows = [(r["model"], round(r["lr"], 5) + 0.0, int(r["df"]), round(r["bic"], 5)) for r in a.evaluate(neighbours.rule(filter, direction)(first), ("lr", "df", "bic"))]
+        rows = [(r["model"], round(r["lr"], digits) + 0.0, int(r["df"]), round(r["bic"], digits)) for r in a.evaluate(neighbours.rule(filter, direction)(first), ("lr", "df", "bic"))]
         return spark.createDataFrame(rows, "model string, lr double, df long, bic double")
 
     return run
@@ -287,23 +291,66 @@ def search_down(spark, sf):
 
 
 def chow_liu(spark, sf):
-    """The tree over columns that do depend on each other: order priority, and digits of the key."""
-    raw = read(spark, sf, "orders").select(F.pmod("o_orderkey", F.lit(2)).alias("x"), F.pmod("o_orderkey", F.lit(4)).alias("y"), F.pmod("o_orderkey", F.lit(8)).alias("z"))
-    s = Schema((Variable("x", "A", 2), Variable("y", "B", 4), Variable("z", "C", 8)))
-    a = Analyzer(tables.encode(raw, s), s)
-    return spark.createDataFrame([("".join(s.names(1 << i | 1 << j)), round(x, 8)) for i, j, x in search.chow_liu(a)], "edge string, mi double")
+    """The tree of greatest mutual information over lineitem's variables."""
+    a = analyzer(spark, sf)
+    return spark.createDataFrame([("".join(a.schema.names(1 << i | 1 << j)), round(x, 10)) for i, j, x in search.chow_liu(a)], "edge string, mi double")
 
 
 def search_estimate(spark, sf):
-    e = search.estimate(line_schema(), "full", "bic", 3, 4)
-    return spark.createDataFrame([(r["level"], r["models"], r["loop_probability"], r["seconds"]) for r in e["levels"]], "level int, models int, loop_probability double, seconds double")
+    """Cost of searches in both directions: a row per level, and level 0 for the whole."""
+    rows = []
+    for filter, direction in (("full", "up"), ("full", "down"), ("loopless", "up")):
+        e = search.estimate(line_schema(), filter, "bic", 3, 5, 200, direction, 8)
+        kind = f"{filter} {direction}"
+        rows += [(kind, r["level"], r["models"], round(r["loop_probability"], 10), round(r["seconds"], 8)) for r in e["levels"]]
+        rows.append((kind, 0, e["models"], round(e["seconds_low"], 8), round(e["seconds_high"], 8)))
+    return spark.createDataFrame(rows, "search string, level int, models int, loop_probability double, seconds double")
 
 
 def power_table(spark, sf):
-    rows = [(df, x, special.chi2_sf(x, df), special.power(df, x)) for df in (1, 2, 5) for x in (1.0, 4.0, 10.0)]
+    rows = [(df, x, round(special.chi2_sf(x, df), 9), round(special.power(df, x), 7)) for df in (1, 2, 5) for x in (1.0, 4.0, 10.0)]
     return spark.createDataFrame(rows, "df int, x double, alpha double, power double")
 
 
+def chain_messages(spark, sf):
+    """Forward and backward messages and margins along A, B, C, D."""
+    p, s = probabilities(spark, sf)
+    return rounded(chain.messages(p, s, "ABCD"), 10)
+
+
+def table_samples(spark, sf):
+    """3000 samples of the table of A, B, C, D."""
+    return sample_table(line_table(spark, sf), line_schema(), 3000, seed=7)
+
+
+def missing_values(spark, sf):
+    """Which texts mean a missing value: all indicators, some in other letters, and some words that are none."""
+    texts = F.array(*map(F.lit, MISSING_PROBES))
+    v = read(spark, sf, "orders").select(F.element_at(texts, (F.pmod("o_orderkey", F.lit(len(MISSING_PROBES))) + 1).cast("int")).alias("text"))
+    return v.groupBy("text", binning.is_missing(F.col("text")).alias("missing")).agg(F.count("*").alias("n"))
+
+
+def ipf_converged(spark, sf):
+    """The fit of AB:BC:AC:D, until it converges, by the analyzer's dispatcher."""
+    return rounded(analyzer(spark, sf).fit_table("AB:BC:AC:D"), 6)
+
+
+def frame_ipf_converged(spark, sf):
+    """The same fit over A, B, C as DataFrame sweeps."""
+    p, s = probabilities(spark, sf)
+    small = s.select(["A", "B", "C"])
+    return rounded(fit.frame_ipf(tables.project(p, s, 0b0111), algebra.parse_model(small, "AB:BC:AC"))[0], 6)
+
+
+def scale_step(spark, sf):
+    """One step of proportional fitting: the uniform table over A, B, C scaled to the margin AB."""
+    p, s = probabilities(spark, sf)
+    small = s.select(["A", "B", "C"])
+    model = algebra.parse_model(small, "AB:BC:AC")
+    q = fit.start_table(tables.project(p, s, 0b0111), model)
+    return rounded(fit.scale_by_margin(q, tables.project(p, s, 0b0011), ["A", "B"]), 10)
+
+
 def state_enumeration(spark, sf):
     return tables.domain(spark, line_schema())
 
@@ -420,7 +467,12 @@ QUERIES = {
     "missing_bin": _missing("separate"), "missing_exclude": _missing("exclude"), "missing_ignore": _missing("ignore"), "auto_bin": auto_bin, "column_profile": column_profile,
     "infer_values": infer_values, "first_seen_codes": first_seen_codes, "preprocess_auto_bin": preprocess_auto_bin, "residues_pairs": residues_pairs, "prime_residues": prime_residues,
     "digit_sums": digit_sums, "collatz": collatz, "prime_factors": prime_factor_counts, "synthetic_chain": synthetic_chain, "events_markov": events_markov,
-    "quality_by_language": quality_by_language,
+    "quality_by_language": quality_by_language, "chain_messages": chain_messages, "table_samples": table_samples, "missing_values": missing_values,
+    "ipf_converged": ipf_converged, "frame_ipf_converged": frame_ipf_converged, "scale_step": scale_step,
+    "loopless_up_directed": _level("loopless", "up", "bottom", "A"), "loopless_down_directed": _level("loopless", "down", "top", "A"),
+    "full_up_directed": _level("full", "up", "AB:CD", "A"), "full_up_level2": _level("full", "up", "AB:BC:D", digits=2), "full_down_level": _level("full", "down", "ABC:BCD", digits=2),
+    "pairs_up_level": _level("pairs", "up", "AB:C:D"), "pairs_down_level": _level("pairs", "down", "ABC:D"),
+    "lattice_parents": _level(neighbours.parents, "up", "AB:CD"), "lattice_children": _level(neighbours.children, "down", "ABC:CD", digits=2),
 }
 
 
@@ -487,6 +539,140 @@ def _ipf_sql(sweeps: int) -> str:
     return f"with {', '.join(parts)} select A, B, C, round(value, 10) as value from q{k}"
 
 
+def _fit_ctes(relations: tuple[str, ...], over: str, sweeps: int, name: str) -> tuple[list[str], str]:
+    """CTEs that fit a model by so many sweeps from the uniform table over the variables; the last one's name."""
+    sides = ", ".join(f"(select unnest(range({_CARD[c]}))::int as {c})" for c in over)
+    cells = _cells(over) + 1
+    cols = ", ".join(f"q.{c}" for c in over)
+    parts, k = [f"{name}0 as materialized (select {', '.join(over)}, 1.0::double / {cells} as value from {sides})"], 0
+    for _ in range(sweeps):
+        for r in relations:
+            on = [" and ".join(f"q.{c} = {x}.{c}" for c in r) for x in "mh"]
+            parts.append(f"{name}{k + 1} as materialized (select {cols}, q.value * m.v / h.v as value from {name}{k} q join {_m(r)} m on {on[0]} join {_m(r, f'{name}{k}')} h on {on[1]})")
+            k += 1
+    return parts, f"{name}{k}"
+
+
+def _gamma_p(a: str, y: str, terms: int = 400) -> str:
+    """The regularised lower incomplete gamma function as a sum."""
+    return f"list_sum(list_transform(range({terms}), lambda n: exp(({a} + n) * ln({y}) - ({y}) - lgamma({a} + n + 1))))"
+
+
+_PROBES = ", ".join(f"({k}, '{v}')" for k, v in enumerate(MISSING_PROBES))
+
+
+def _line_model(name: str) -> algebra.Model:
+    return algebra.parse_model(line_schema(), name)
+
+
+def _entropy_sql(m: algebra.Model, ctes: list[str]) -> str:
+    """The entropy of a model: from margins, or by fitting one with loops (its CTEs are added)."""
+    if not m.has_loops:
+        forest, names = junction_forest(m.relations), m.schema.names
+        plus, minus = ["".join(names(c)) for c in forest.cliques], ["".join(names(e)) for e in forest.separators if e]
+        rest = "".join(f" + log2({_CARD[c]})" for c in names(m.uncovered))
+        return " + ".join(map(_h, plus)) + "".join(f" - {_h(c)}" for c in minus) + rest
+    relations = tuple("".join(m.schema.names(r)) for r in m.relations)
+    parts, last = _fit_ctes(relations, "ABCD", 12, f"f{len(ctes)}_")
+    ctes += parts
+    return f"(select -sum(value * log2(value)) from {last} where value > 0)"
+
+
+def _models_sql(models: list[algebra.Model], digits: int = 5) -> str:
+    """LR, degrees of freedom and BIC of models, as a level's query gives them."""
+    ctes: list[str] = []
+    rows = [f"select '{m.name}' as model, {_entropy_sql(m, ctes)} as h, cast({_df_of(m)} as bigint) as df" for m in models]
+    more = "".join(f", {c}" for c in ctes)
+    return f"""with {_T}{more}, m as ({' union all '.join(rows)}), s as (select {_h('ABCD')} as hd, {_N} as n)
+select model, round(2 * n * ln(2) * (h - hd), {digits}) as lr, df, round(2 * n * ln(2) * (h - hd) - (209 - df) * ln(n), {digits}) as bic from m, s"""
+
+
+def _df_of(m: algebra.Model) -> int:
+    """Free parameters: (cardinality - 1) multiplied over each set of variables that some relation holds."""
+    held = {frozenset(c) for r in m.relations for k in range(1, len(m.schema.names(r)) + 1) for c in combinations(m.schema.names(r), k)}
+    out = 0
+    for part in held:
+        n = 1
+        for c in part:
+            n *= _CARD[c] - 1
+        out += n
+    return out
+
+
+def _beam_sql(filter: str, direction: str, start: str, width: int, levels: int, digits: int) -> str:
+    """A beam search by BIC: statistics of all models in reach and the steps between them; the choice is made here."""
+    step, first = neighbours.rule(filter, direction), algebra.reference_model(line_schema(), start)
+    edges, reach, now = [], [first], [first]
+    for _ in range(levels):
+        steps = [(m, x) for m in now for x in step(m)]
+        edges += steps
+        now = [x for x in dict.fromkeys(x for _, x in steps) if x not in reach]
+        reach += now
+    ctes: list[str] = []
+    rows = [f"select '{m.name}' as model, {_entropy_sql(m, ctes)} as h, {_df_of(m)} as df, {str(m.has_loops).lower()} as has_loops" for m in reach]
+    parts = [_T, *ctes, f"m as materialized ({' union all '.join(rows)})", f"s as (select {_h('ABCD')} as hd, {_N} as n)",
+             "stats as materialized (select model, 2 * n * ln(2) * (h - hd) - (209 - df) * ln(n) as stat, has_loops from m, s)",
+             "steps as (select * from (values " + ", ".join(f"('{a.name}', '{b.name}')" for a, b in dict.fromkeys(edges)) + ") v(parent, child))",
+             f"k0 as (select '{first.name}' as model)"]
+    for k in range(1, levels + 1):
+        parts.append(f"k{k} as materialized (select model from stats where model in (select child from steps where parent in (select model from k{k - 1})) order by stat, model limit {width})")
+    every = " union all ".join(f"select model, {k} as level from k{k}" for k in range(levels + 1))
+    return f"""with {', '.join(parts)}, kept as (select model, min(level) as level from ({every}) group by model)
+select cast(row_number() over (order by stat, model) as int) as rank, model, round(stat, {digits}) as statistic, level, has_loops from kept join stats using (model)"""
+
+
+_TRIANGLE, _TRIANGLE_LAST = _fit_ctes(("AB", "BC", "AC"), "ABC", 12, "q")
+_TRIANGLE_FIT = f"""with {_T}, {', '.join(_TRIANGLE)}, f as (select q.A, q.B, q.C, d.D, q.value * d.v as value from {_TRIANGLE_LAST} q, {_m('D')} d),
+s as (select {_h('ABCD')} as hd, {_N} as n, (select -sum(value * log2(value)) from f) as h, (select count(*) from t) / 210.0 as coverage,
+  (select sum((coalesce(p.value, 0) - f.value) * (coalesce(p.value, 0) - f.value) / f.value) from f left join p using (A, B, C, D)) as gap),
+g as (select *, 2 * n * ln(2) * (h - hd) as lr, 27 as df, 182 as ddf from s),
+c as (with recursive b(lo, hi, k) as (select 100.0::double, 400.0::double, 0 union all
+  select case when below then mid else lo end, case when below then hi else mid end, k + 1 from
+    (select lo, hi, k, (lo + hi) / 2 as mid, {_gamma_p('91', '((lo + hi) / 4)')} < 0.95 as below from b where k < 60)) select (lo + hi) / 2 as crit from b where k = 60)
+select 'AB:AC:BC:D' as model, round(h, 4) as h, round(hd - h, 4) as t, cast(df as bigint) as df, cast(ddf as bigint) as ddf, round(lr, 4) as lr, round(n * gap, 4) as p2,
+  round(1 - {_gamma_p('91', '(lr / 2)')}, 4) as alpha,
+  round(1 - list_sum(list_transform(range(700), lambda k: exp(k * ln(lr / 2) - lr / 2 - lgamma(k + 1)) * {_gamma_p('(91 + k)', '(crit / 2)')})), 4) as beta,
+  round(lr - 2 * df, 4) as aic, round(lr - ddf * ln(n), 4) as bic, 0.0::double as cond_h, 0.0::double as cond_dh, 0.0::double as percent_dh, round(coverage, 4) as coverage,
+  true as has_loops, 'ipf' as method from g, c"""
+_PAIR_NAMES = ["".join(x) for x in combinations("ABCD", 2)]
+_TREES = [x for x in combinations(_PAIR_NAMES, 3) if len(set("".join(x))) == 4]  # three edges that touch all four variables are a tree
+_CHAIN = "ABCD"
+
+
+def _messages_sql() -> str:
+    parts = [_T, f"a0 as (select A as code, v as value from {_m('A')})", "b3 as (select unnest(range(7))::int as code, 1.0::double / 7 as value)"]
+    for i in (1, 2, 3):
+        x, y = _CHAIN[i - 1], _CHAIN[i]
+        parts.append(f"a{i} as (select code, value / sum(value) over () as value from (select m.{y} as code, sum(m.v * a.value) as value from {_m(x + y)} m join a{i - 1} a on a.code = m.{x} group by m.{y}))")
+    for i in (2, 1, 0):
+        x, y = _CHAIN[i], _CHAIN[i + 1]
+        parts.append(f"b{i} as (select code, value / sum(value) over () as value from (select m.{x} as code, sum(m.v * b.value) as value from {_m(x + y)} m join b{i + 1} b on b.code = m.{y} group by m.{x}))")
+    rows = [f"select '{name}' as pass, {i} as place, '{c}' as variable, code, round(value, 10) as value from {t}{i}" for name, t in (("forward", "a"), ("backward", "b")) for i, c in enumerate(_CHAIN)]
+    rows += [f"select 'marginal', {i}, '{c}', {c}, round(v, 10) from {_m(c)}" for i, c in enumerate(_CHAIN)]
+    return f"with {', '.join(parts)} {' union all '.join(rows)}"
+
+
+def _uniform_sql(number: str, stream: str) -> str:
+    return f"(('0x' || substr(md5('{stream}:' || cast({number} as varchar)), 1, 13))::bigint / 4503599627370496.0::double)"
+
+
+def _chain_sample_sql() -> str:
+    """The chain model of synthetic_chain by itself: each variable keeps the one before with strength 0.8, else it is uniform."""
+    cols, inner = ["i"], "select i from range(5000) r(i)"
+    for k, c in enumerate("ABCD"):
+        card, u = _CARD[c], _uniform_sql("i", f"3:{k}")
+        if not k:
+            code = f"least(floor({u} * {card}), {card - 1})::int"
+        else:
+            before = f"({'ABCD'[k - 1]} % {card})"
+            # the running sum before the favoured code grows by 0.2 / card a code, at it by 0.8 more
+            code = f"""(case when {u} < {before} * 0.2 / {card} then least(floor({u} * {card} / 0.2), {before} - 1)
+              when {u} < ({before} + 1) * 0.2 / {card} + 0.8 then {before} else least({before} + 1 + floor(({u} - ({before} + 1) * 0.2 / {card} - 0.8) * {card} / 0.2), {card - 1}) end)::int"""
+        inner = f"select *, {code} as {c} from ({inner})"
+        cols.append(c)
+    return f"select A, B, C, D, cast(count(*) as double) as value from ({inner}) group by all"
+
+
 def _relation_sql(r: str) -> str:
     a, b = r
     df = (_CARD[a] - 1) * (_CARD[b] - 1)
@@ -544,7 +730,39 @@ round(coalesce((select sum(value) from f where actual = code and predicted = cod
     "all_chains": f"with {_T} " + " union all ".join(f"select '{m}' as model, round({' + '.join(map(_h, r))} - {' - '.join(map(_h, s))}, 8) as h" for m, (r, s) in _CHAINS.items()),
     "lattice_partitions": "select * from (values " + ", ".join(f"('{m}', false, {k}::int)" for m, k in _PARTITIONS) + ") v(model, has_loops, level)",
     "directed_lattice": "select * from (values ('A:BCD', 0), ('AB:CD', 1), ('AC:BD', 1), ('AD:BC', 1), ('ABC:D', 2), ('ABD:C', 2), ('ACD:B', 2), ('ABCD', 3)) v(model, level)",
-    "chow_liu_edges": "select * from (values ('BC', 2.0::double), ('AB', 1.0::double)) v(edge, mi)",
+    "chow_liu_edges": f"with {_T}, e as materialized (" + " union all ".join(f"select '{r}' as edge, {_h(r[0])} + {_h(r[1])} - {_h(r)} as mi" for r in _PAIR_NAMES)
+        + "), tree as (select names from (" + " union all ".join(f"select '{':'.join(x)}' as names, (select sum(mi) from e where edge in {x!r}) as total" for x in _TREES)
+        + ") order by total desc limit 1) select edge, round(mi, 10) as mi from e, tree where contains(names, edge)",
+    "search_estimate": """with k as (select * from (values ('full up', false, true), ('full down', true, true), ('loopless up', false, false)) v(search, down, isfull)),
+l as (select search, isfull, level, case when level = 1 then case when down then 4 else 6 end else 3 * greatest(4, case when down then 6 - 3 * level else 6 - level end) end as models,
+  case when isfull and level > 2 then least(0.95, 1 - exp(-10 * 4.0 * level * level * level * 2 / (3.0 * 16 * 9))) else 0.0 end as p,
+  (1 + 200 / 1000.0 + 4 / 10.0) / (1 + 7 * 0.7) / 1000 as scale from k, range(1, 6) r(level))
+select search, cast(level as int) as level, cast(models as int) as models, round(p::double, 10) as loop_probability, round((models * (1 - p) * 5 + models * p * 500) * scale, 8)::double as seconds from l
+union all select search, 0, cast(sum(models) as int), round(sum((models * (1 - p) * 2.5 + models * p * 150) * scale), 8)::double, round(sum((models * (1 - p) * 20 + models * p * 2000) * scale), 8)::double from l group by search""",
+    "power_table": f"""with d as (select * from (values (1, 3.841458820694124::double), (2, 5.991464547107979), (5, 11.070497693516351)) v(df, crit)), x as (select unnest([1.0::double, 4.0, 10.0]) as x)
+select df, x, round(1 - {_gamma_p('df / 2', 'x / 2')}, 9) as alpha,
+  round(1 - list_sum(list_transform(range(120), lambda k: exp(k * ln(x / 2) - x / 2 - lgamma(k + 1)) * {_gamma_p('(df / 2 + k)', '(crit / 2)', 120)})), 7) as power from d, x""",
+    "chain_messages": _messages_sql(),
+    "table_samples": f"""with {_T}, c as (select A, B, C, D, sum(value) over (order by A, B, C, D) / {_N} as hi from t), b as (select *, lag(hi, 1, 0) over (order by hi) as lo from c),
+u as (select {_uniform_sql('i', '7')} as u from range(3000) r(i))
+select A, B, C, D, cast(count(*) as double) as value from u join b on u.u >= b.lo and u.u < b.hi group by all""",
+    "missing_values": f"""with v as (select * from (values {_PROBES}) v(k, text)) select text, trim(text) in ({', '.join(repr(x) for x in MISSING_PROBES[:21])}) as missing, count(*) as n
+from orders join v on v.k = o_orderkey % {len(MISSING_PROBES)} group by text""",
+    "ipf_converged": f"with {_T}, {', '.join(_TRIANGLE)} select q.A, q.B, q.C, d.D, round(q.value * d.v, 6) as value from {_TRIANGLE_LAST} q, {_m('D')} d where q.value * d.v > 0",
+    "frame_ipf_converged": f"with {_T}, {', '.join(_TRIANGLE)} select A, B, C, round(value, 6) as value from {_TRIANGLE_LAST} where value > 0",
+    "scale_step": f"with {_T} select m.A, m.B, c.C, round(m.v / 5, 10) as value from {_m('AB')} m, (select unnest(range(5))::int as C) c",
+    "synthetic_chain": _chain_sample_sql(),
+    "model_triangle_fit": _TRIANGLE_FIT,
+    "beam_search": _beam_sql("loopless", "up", "bottom", 3, 3, 5), "full_search": _beam_sql("full", "up", "bottom", 2, 2, 4), "search_down": _beam_sql("loopless", "down", "top", 3, 2, 5),
+    "loopless_up_directed": _level_sql(_simple(["AB:CD", "AC:BD", "AD:BC"])),
+    "loopless_down_directed": _models_sql([_line_model(x) for x in ("ABC", "ABD", "ACD")]),
+    "full_up_directed": _models_sql([_line_model(x) for x in ("ABC:D", "ABD:C")]),
+    "full_up_level2": _models_sql([_line_model(x) for x in ("ABC:D", "AB:BCD", "ABD:BC", "AB:AC:BC:D", "AB:AD:BC", "AB:BC:BD", "AB:BC:CD")], 2),
+    "full_down_level": _models_sql([_line_model(x) for x in ("AC:BCD", "AB:BCD", "AB:AC:BCD", "ABC:CD", "ABC:BD", "ABC:BD:CD")], 2),
+    "pairs_up_level": _models_sql([_line_model(x) for x in ("ABC:D", "ABD:C", "AB:CD")]),
+    "pairs_down_level": _models_sql([_line_model(x) for x in ("A:BC:D", "AC:B:D", "AB:C:D")]),
+    "lattice_parents": _models_sql([_line_model(x) for x in ("ABCD",)]),
+    "lattice_children": _models_sql([_line_model(x) for x in ("AC:BC:CD", "AB:BC:CD", "AB:AC:CD", "ABC:D")], 2),
     "state_enumeration": "select cast(i as bigint) as state, cast(i % 3 as int) as A, cast(i // 3 % 2 as int) as B, cast(i // 6 % 5 as int) as C, cast(i // 30 as int) as D from range(210) r(i)",
     "bin_equal_width": f"""with x as (select l_extendedprice as x from lineitem), m as (select min(x) as lo, max(x) as hi from x),
 b as (select lo + (hi - lo) / 5 * 1 as b1, lo + (hi - lo) / 5 * 2 as b2, lo + (hi - lo) / 5 * 3 as b3, lo + (hi - lo) / 5 * 4 as b4 from m)

@@ -156,6 +156,22 @@ def rule(name, direction):
     return RULES[key]
 
 
+def parents(m: Model) -> list[Model]:
+    """One step up the lattice: two variables that no relation holds together are joined, and their relations merged."""
+    return _distinct(_merge_pairs(m))
+
+
+def children(m: Model) -> list[Model]:
+    """One step down the lattice: a relation loses each of two of its variables in turn, both rests stay."""
+
+    def split():
+        for r in m.relations:
+            for i, j in combinations(bits(r), 2):
+                yield _swap(m, {r: [r & ~(1 << i), r & ~(1 << j)]})
+
+    return _distinct(split())
+
+
 # Whole families -----------------------------------------------------------------
 
 def all_chains(schema, mask: int | None = None, most: int = 9) -> list[Model]:

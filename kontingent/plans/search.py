@@ -43,6 +43,7 @@ class LevelStats:
     kept: int
     with_loops: int
     seconds: float
+    left_out: int = 0  # models with loops whose relations are too large
 
 
 @dataclass
@@ -94,7 +95,8 @@ def search(analyzer: Analyzer, filter="loopless", direction="up", statistic: str
     for level in range(1, levels + 1):
         t = time.perf_counter()
         generated = [x for m in beam for x in step(m)]
-        fresh = [m for m in dict.fromkeys(generated) if usable(m)]
+        distinct = list(dict.fromkeys(generated))
+        fresh = [m for m in distinct if usable(m)]
         if not fresh:
             break
         analyzer.prefetch(fresh)
@@ -103,7 +105,7 @@ def search(analyzer: Analyzer, filter="loopless", direction="up", statistic: str
         for c in best:
             kept.setdefault(c.model, c)
         beam = [c.model for c in best]
-        stats.append(LevelStats(level, len(generated), len(fresh), len(best), sum(m.has_loops for m in fresh), time.perf_counter() - t))
+        stats.append(LevelStats(level, len(generated), len(fresh), len(best), sum(m.has_loops for m in fresh), time.perf_counter() - t, len(distinct) - len(fresh)))
         tell(Event("level_complete", {"level": level, "evaluated": len(fresh), "best": best[0].name, "value": best[0].value}))
     out = SearchResult(sorted(kept.values(), key=sort_key(statistic)), stats, time.perf_counter() - began)
     tell(Event("search_complete", {"models": len(out.candidates), "best": out.best.name}))
@@ -116,43 +118,75 @@ def top_k(candidates, k: int, statistic: str) -> list[Candidate]:
 
 # Estimate of a search's cost ------------------------------------------------------
 
+# Fixed values of the cost model: pull of a statistic towards loops, cap of the chance of a loop, milliseconds per model
+# (likely, high) without loops, with loops, and with loops downwards among many variables; share of the likely time in the
+# low estimate; use of further cores; upper seconds of the classes of cost.
+PULL, PULL_ELSE, MOST_LOOPS = {"ddf": 0.5, "aic": 5.0}, 10.0, 0.95
+LOOPLESS_MS, LOOP_MS, LOOP_DOWN_MS, MANY_VARIABLES = (5.0, 20.0), (500.0, 2000.0), (2000.0, 10000.0), 12
+LOW_LOOPLESS, LOW_LOOP, CORE_USE = 0.5, 0.3, 0.7
+CLASSES = (("fast", 5), ("moderate", 30), ("slow", 300), ("very_slow", 3600))
+
+
 def expected_triangles(n: int, links: int) -> float:
     """Expected triangles among n variables joined by so many random links."""
-    return 4.0 * links**3 * (n - 2) / (3.0 * n**2 * (n - 1) ** 2) if n > 2 else 0.0
+    return 4.0 * links**3 * (n - 2) / (3.0 * n**2 * (n - 1) ** 2) if n > 2 and links > 2 else 0.0
 
 
 def loop_probability(n: int, links: int, statistic: str) -> float:
-    """Chance that a model of so many links has a loop, by the statistic that picks the models."""
-    pull = {"ddf": 0.5, "aic": 5.0, "bic": 10.0}.get(statistic, 5.0)
-    return min(0.95, 1 - math.exp(-pull * expected_triangles(n, links)))
+    """Chance that a model of so many links has a loop, by the statistic that picks the models; a loop takes three links."""
+    return min(MOST_LOOPS, 1 - math.exp(-PULL.get(statistic, PULL_ELSE) * expected_triangles(n, links)))
 
 
-def models_at_level(n: int, level: int, width: int) -> int:
-    """Neighbours to evaluate at a level: pairs not joined yet, for each seed."""
-    seeds = 1 if level == 1 else width
-    return seeds * max(0, n * (n - 1) // 2 - (level - 1))
+def models_at_level(n: int, level: int, width: int, down: bool = False) -> int:
+    """Models to evaluate at a level: the start's neighbours, then those of each seed kept, which get fewer from level to level."""
+    pairs = n * (n - 1) // 2
+    if level == 1:
+        return n if down else pairs
+    return width * max(n, pairs - level * width if down else pairs - level)
 
 
-def estimate(schema: Schema, filter: str = "loopless", statistic: str = "ddf", width: int = 3, levels: int = 7, states: int | None = None,
-             loopless_ms: float = 5.0, loop_ms: float = 500.0) -> dict:
-    """Models, seconds and a class of cost for a search, with warnings."""
-    n, cells = len(schema), schema.cells()
-    scale = max(1.0, math.log10(max(10, states or cells)) / 3)
-    per_level, models, loops, seconds = [], 0, 0.0, 0.0
+def estimate(schema: Schema, filter: str = "loopless", statistic: str = "bic", width: int = 3, levels: int = 7, rows: int = 0, direction: str = "up",
+             cores: int = 1) -> dict:
+    """Models and seconds (likely, low, high) of a search, a class of cost, warnings and advice.
+
+    rows: rows of the frequency table; cores: how many models are evaluated side by side.
+    """
+    n, cells, down, full = len(schema), schema.cells(), direction == "down", filter == "full"
+    scale = (1.0 + rows / 1000.0 + n / 10.0) / (1.0 + (cores - 1) * CORE_USE) / 1000.0
+    loop_ms = LOOP_DOWN_MS if down and n > MANY_VARIABLES else LOOP_MS
+    per_level, models, loops, seconds = [], 0, 0.0, [0.0, 0.0, 0.0]
     for level in range(1, levels + 1):
-        count = models_at_level(n, level, width)
-        p = loop_probability(n, level, statistic) if filter == "full" else 0.0
-        t = count * ((1 - p) * loopless_ms + p * loop_ms) * scale / 1000 / 0.7
-        per_level.append({"level": level, "models": count, "loop_probability": p, "seconds": t})
-        models, loops, seconds = models + count, loops + count * p, seconds + t
-    bands = [(5, "fast"), (30, "moderate"), (300, "slow"), (3600, "very slow")]
-    warnings = []
-    if loops > 100:
-        warnings.append(f"about {loops:.0f} models with loops need iterative fits")
-    if cells > 1_000_000:
-        warnings.append(f"{cells} states: models with loops may not be fitted")
-    return {"models": models, "loop_models": loops, "seconds": seconds, "complexity": next((name for top, name in bands if seconds < top), "extreme"),
-            "levels": per_level, "warnings": warnings}
+        count = models_at_level(n, level, width, down)
+        p = loop_probability(n, level, statistic) if full else 0.0
+        plain, looped = count * (1 - p), count * p
+        likely = (plain * LOOPLESS_MS[0] + looped * loop_ms[0]) * scale
+        low = (plain * LOOPLESS_MS[0] * LOW_LOOPLESS + looped * loop_ms[0] * LOW_LOOP) * scale
+        high = (plain * LOOPLESS_MS[1] + looped * loop_ms[1]) * scale
+        per_level.append({"level": level, "models": count, "loop_probability": p, "seconds": likely})
+        models, loops = models + count, loops + looped
+        seconds = [x + y for x, y in zip(seconds, (likely, low, high))]
+    cost = next((name for name, top in CLASSES if seconds[0] < top), "infeasible")
+    warnings, advice = [], []
+    if n > 20:
+        warnings.append(f"{n} variables make many candidate models")
+    if full and cells > 1e9:
+        warnings.append(f"{cells} states: fits of models with loops may run out of memory")
+        advice.append("take the loopless filter")
+        cost = "infeasible"
+    elif full and cells > 1e6:
+        warnings.append(f"{cells} states: a full search will be slow")
+        advice.append("take the loopless filter")
+    if full and down and n > 15:
+        warnings += ["going down, models with loops have large relations", f"models with loops and relations of over {MAX_LOOP_VARIABLES} variables are left out"]
+        advice += ["take the loopless filter", "search upwards"]
+    if full and down and n > 10:
+        advice.append("choose 10 to 12 variables")
+    if cost in ("very_slow", "infeasible"):
+        advice += [f"reduce the width to {max(width - 1, 2)}", f"reduce the levels to {max(levels - 2, 3)}"]
+    if down and filter in ("loopless", "disjoint"):
+        warnings.append("a downward search ends early where no simpler loopless model exists")
+    return {"models": models, "loop_models": loops, "neighbours": n if down else n * (n - 1) // 2, "states": cells, "seconds": seconds[0], "seconds_low": seconds[1],
+            "seconds_high": seconds[2], "complexity": cost, "levels": per_level, "warnings": warnings, "advice": list(dict.fromkeys(advice))}
 
 
 # Trees ------------------------------------------------------------------------------

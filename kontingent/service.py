@@ -17,6 +17,9 @@ from .sources import formats
 # Defaults of a search request.
 DEFAULTS = {"direction": "up", "filter": "loopless", "width": 3, "levels": 7, "sortBy": "bic"}
 
+#: The job group of a search conversation, which search_cancel ends.
+SEARCH_GROUP = "kontingent-search"
+
 
 class Service:
     def __init__(self, spark: SparkSession):
@@ -58,15 +61,21 @@ class Service:
 
     def estimate(self, request: dict) -> dict:
         r = DEFAULTS | request
-        return searching.estimate(self._data(r).schema, r["filter"], r["sortBy"], int(r["width"]), int(r["levels"]))
+        data = self._data(r)
+        return searching.estimate(data.schema, r["filter"], r["sortBy"], int(r["width"]), int(r["levels"]), data.rows.count(), r["direction"],
+                                  self.spark.sparkContext.defaultParallelism)
 
     def stream(self, message: dict, send) -> None:
         """One message of a search conversation; events and the result go to ``send``."""
         if message.get("type") == "search_start":
+            self.spark.sparkContext.setJobGroup(SEARCH_GROUP, "search", interruptOnCancel=True)
             try:
                 send({"type": "result", "payload": self.search(message.get("payload", {}), lambda e: send({"type": "progress", "payload": {"kind": e.kind} | e.data}))})
             except (KontingentError, KeyError, ValueError) as e:
                 send({"type": "error", "payload": {"message": str(e)}})
+        elif message.get("type") == "search_cancel":
+            self.spark.sparkContext.cancelJobGroup(SEARCH_GROUP)
+            send({"type": "cancelled", "payload": {}})
         else:
             send({"type": "error", "payload": {"message": f"unknown message {message.get('type')!r}"}})
 

@@ -70,13 +70,19 @@ def read_json(spark: SparkSession, text: str) -> DataSet:
 def read_json_frame(spark: SparkSession, path: str) -> DataSet:
     """The same layout, its rows exploded by Spark (for files too large for the driver to hold as objects)."""
     raw = spark.read.option("multiLine", True).json(path)
-    head = raw.select("variables").first()["variables"]
-    schema = schema_from_json([{k: v for k, v in r.asDict().items() if v is not None} for r in head])
+    extra = [c for c in ("format", "name") if c in raw.columns]
+    first = raw.select("variables", *extra).first()
+    schema = schema_from_json([{k: v for k, v in r.asDict().items() if v is not None} for r in first["variables"]])
+    aggregated = "format" in extra and first["format"] == "aggregated"
     has_counts = "counts" in raw.columns
     zipped = raw.select(F.posexplode("data").alias("at", "r"), *(["counts"] if has_counts else []))
     weight = F.element_at("counts", F.col("at") + 1).cast("double") if has_counts else F.lit(1.0)
-    cells = [F.element_at("r", k + 1).cast("string").alias(v.name) for k, v in enumerate(schema)]
-    return DataSet("", schema, zipped.select(*cells, weight.alias(VALUE)))
+    def cell(k: int, v: Variable):
+        text = F.element_at("r", k + 1).cast("string")
+        return F.element_at(F.array(*map(F.lit, v.labels())), text.cast("int") + 1) if aggregated else text
+
+    cells = [cell(k, v).alias(v.name) for k, v in enumerate(schema)]
+    return DataSet((first["name"] if "name" in extra else "") or "", schema, zipped.select(*cells, weight.alias(VALUE)))
 
 
 def variables_json(schema: Schema) -> list[dict]:
@@ -102,6 +108,16 @@ def write_aggregated_json(t: DataFrame, schema: Schema, name: str = "", limit: i
                        "variables": variables_json(schema), "data": [[r[c] for c in schema.columns] for r in rows], "counts": [r[VALUE] for r in rows]}, ensure_ascii=False)
 
 
+def metadata_json(df: DataFrame, columns=None, dependent: str | None = None, abbrevs=None, names=None, name: str = "Converted from CSV") -> str:
+    """The variables of a table as JSON, without its rows: data and counts are empty."""
+    columns = list(columns or df.columns)
+    found = {r["column"]: r["values"] for r in infer_values(df, columns).collect()}
+    shown = [n or c for n, c in zip([*(names or ()), *[None] * len(columns)], columns)]
+    short = [a or b for a, b in zip([*(abbrevs or ()), *[None] * len(columns)], unique_abbrevs(shown))]
+    schema = Schema(tuple(Variable(n, a, len(found[c]), dependent in (c, n, a) and dependent is not None, tuple(found[c])) for c, n, a in zip(columns, shown, short)))
+    return json.dumps({"name": name, "variables": variables_json(schema), "data": [], "counts": []}, ensure_ascii=False)
+
+
 def read_cells(spark: SparkSession, text: str) -> tuple[DataFrame, Schema, str | None]:
     """Compact JSON: variables, and cells as [{"key": codes, "count": n}] or {"codes": n}; an optional model name."""
     root = json.loads(text)
@@ -182,11 +198,23 @@ def infer_values(df: DataFrame, names=None, most: int = 10_000) -> DataFrame:
 
 
 def first_seen(df: DataFrame, name: str) -> DataFrame:
-    """(value, code): labels numbered by their first appearance in the table's order."""
+    """(value, code): labels numbered by their first appearance in the table's order.
+
+    Labels are dealt by ranges of their first place; each range is numbered by itself and shifted by the sizes of the
+    ranges before, so no task sees all labels.  The order is that in which the table's files are read.
+    """
     from pyspark.sql import Window as W
 
+    from ..operators.storage import materialise
+
     seen = df.select(F.col(name).cast("string").alias("value"), F.monotonically_increasing_id().alias("at")).groupBy("value").agg(F.min("at").alias("at"))
-    return seen.select("value", (F.row_number().over(W.orderBy("at")) - 1).alias("code"))
+    dealt = materialise(seen.repartitionByRange("at").withColumn("part", F.spark_partition_id()))
+    before, shifts = 0, [F.lit(0).cast("long")]
+    for r in dealt.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():
+        shifts += [F.lit(r["part"]), F.lit(before).cast("long")]
+        before += r["n"]
+    shift = F.element_at(F.create_map(*shifts[1:]), F.col("part")) if len(shifts) > 1 else shifts[0]
+    return dealt.select("value", (F.row_number().over(W.partitionBy("part").orderBy("at")) - 1 + shift).cast("int").alias("code"))
 
 
 def dataset_from_frame(df: DataFrame, columns=None, dependent: str | None = None, abbrevs=None, names=None, count: str | None = None, name: str = "") -> DataSet:
@@ -247,10 +275,20 @@ def read_text(spark: SparkSession, path: str) -> str:
     return spark.read.option("wholetext", True).text(path).first()[0]
 
 
+#: JSON files of more bytes are exploded by Spark.
+LARGE_JSON = 1 << 20
+
+
+def bytes_of(spark: SparkSession, path: str) -> int:
+    """Bytes of a file, in any store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getLen()
+
+
 def load(spark: SparkSession, path: str, **how) -> DataSet:
     kind = detect(path)
     if kind == "json":
-        return read_json(spark, read_text(spark, path))
+        return read_json(spark, read_text(spark, path)) if bytes_of(spark, path) <= LARGE_JSON else read_json_frame(spark, path)
     if kind == "sections":
         return read_sections(spark, read_text(spark, path))
     if kind == "csv":

@@ -7,12 +7,14 @@ import re
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..algebra import Model, bits, parse_model
 from ..errors import ModelError, ValidationError
 from ..graph import junction_forest
+from ..operators.storage import materialise
 from ..schema import Schema, Variable
 
 
@@ -49,13 +51,22 @@ class GraphicalModel:
         return out
 
 
+def uniform(number: Column, stream: str) -> Column:
+    """A number in [0, 1) for each number of a stream: 52 bits of an MD5."""
+    digest = F.md5(F.concat(F.lit(f"{stream}:"), number.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
 def sample(spark: SparkSession, g: GraphicalModel, n: int, seed: int = 0, aggregated: bool = True) -> DataFrame:
-    """n samples (as counts, or row by row): one uniform number per variable, compared with the running sums."""
+    """n samples (as counts, or row by row): one uniform number per variable, compared with the running sums.
+
+    The numbers are hashes of the seed, the variable and the sample's number, so they do not depend on partitions.
+    """
     df = spark.range(n)
     for k in g.order():
         v = g.schema[k]
         u, parents = F.col(f"_u{k}"), g.parents.get(k, ())
-        df = df.withColumn(f"_u{k}", F.rand(seed * 1000 + k))
+        df = df.withColumn(f"_u{k}", uniform(F.col("id"), f"{seed}:{k}"))
 
         def pick(p):
             out = F.lit(v.cardinality - 1)
@@ -74,6 +85,47 @@ def sample(spark: SparkSession, g: GraphicalModel, n: int, seed: int = 0, aggreg
     return df.groupBy(*g.schema.columns).agg(F.count("*").cast("double").alias("value")) if aggregated else df
 
 
+def sample_table(p: DataFrame, schema: Schema, n: int, seed: int = 0, aggregated: bool = True) -> DataFrame:
+    """n samples of a table of probabilities (of counts: in proportion), in the order of its states.
+
+    Running sums are taken in ranges of states and shifted by the ranges before; samples meet the states of their slice of
+    the unit interval in an equi-join, so neither side is held whole by a task or broadcast.
+    """
+    dealt = materialise(p.where(F.col("value") > 0).repartitionByRange(*schema.columns).withColumn("_part", F.spark_partition_id()))
+    sums = dealt.groupBy("_part").agg(F.sum("value").alias("s"), F.count("*").alias("k")).orderBy("_part").collect()
+    if not sums:
+        raise ValidationError("an empty table has no samples")
+    whole, states = sum(r["s"] for r in sums), sum(r["k"] for r in sums)
+    before, shifts = 0.0, []
+    for r in sums:
+        shifts += [F.lit(r["_part"]), F.lit(before)]
+        before += r["s"]
+    slices = max(1, min(states, 1 << 20))
+    upper = (F.sum("value").over(W.partitionBy("_part").orderBy(*schema.columns)) + F.element_at(F.create_map(*shifts), F.col("_part"))) / F.lit(whole)
+    own = dealt.withColumn("_hi", upper).withColumn("_lo", F.col("_hi") - F.col("value") / F.lit(whole))
+    # a sample belongs to the first state whose sum exceeds it; the last state takes what rounding leaves
+    slice_of = lambda c: F.least(F.greatest(F.floor(c * F.lit(slices)), F.lit(0)), F.lit(slices - 1))
+    own = own.withColumn("_slice", F.explode(F.sequence(slice_of(F.col("_lo") - 1e-9), slice_of(F.col("_hi") + 1e-9)))).select(*schema.columns, "_hi", "_slice")
+    u = p.sparkSession.range(n).withColumn("_u", uniform(F.col("id"), str(seed))).withColumn("_slice", slice_of(F.col("_u")))
+    met = u.join(own, "_slice").where(F.col("_hi") > F.col("_u"))
+    out = met.groupBy("id").agg(F.min(F.struct("_hi", *schema.columns)).alias("s")).select(*[F.col(f"s.{c}").alias(c) for c in schema.columns])
+    return out.groupBy(*schema.columns).agg(F.count("*").cast("double").alias("value")) if aggregated else out
+
+
+@dataclass
+class TableModel:
+    """A model that is its table of probabilities."""
+
+    schema: Schema
+    table: DataFrame
+
+    def samples(self, n: int, seed: int = 0) -> DataFrame:
+        return sample_table(self.table, self.schema, n, seed, aggregated=False)
+
+    def sampled_table(self, n: int, seed: int = 0) -> DataFrame:
+        return sample_table(self.table, self.schema, n, seed)
+
+
 def _pull(card: int, target: int, strength: float) -> np.ndarray:
     p = np.full(card, (1 - strength) / card)
     p[target % card] += strength
