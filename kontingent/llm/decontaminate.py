@@ -6,13 +6,17 @@ in some item.  Where that length reaches the window, the window's words are hit
 and the state names the items.  Items shorter than a window count as a whole.
 
 The automaton is broadcast, so its size is bounded: items are dealt into parts
-of at most ``PART_BYTES`` of text and the documents pass through one automaton
-after the other inside the same tasks, each pass adding to the row's spans.
-Nothing is shuffled and no row needs a key.
+of about ``PART_BYTES`` of text.  With more than one part, each is built,
+broadcast, used in one pass over the documents and let go before the next, the
+pass adding to the row's spans and being written.  So the driver holds one
+automaton at a time.  Nothing is shuffled and no row needs a key.
 
 Edge cases: a null text has no words; a null item id counts as the empty
 string; repeated items are folded; an item without words never occurs; an
-empty item table hits nothing; columns with the names of outputs are replaced.
+empty item table hits nothing, an empty document table gives none back;
+columns with the names of outputs are replaced.  Documents are scanned one by
+one and whole, however long, so repeated documents need no care; items that
+share windows (ties) are all named.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import drop, materialise, slices
 
 #: Text of the items in one automaton; about 40 times as much memory in a worker.
 PART_BYTES = 4 << 20
@@ -159,16 +163,17 @@ _MADE = T.StructType([
 _ARROW = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string())]
 
 
-def automata(items: DataFrame, window: int, item_id: str = "item_id", text: str = "text") -> list[Automaton]:
-    """One automaton per part of at most about PART_BYTES of item text."""
+def item_parts(items: DataFrame, item_id: str = "item_id", text: str = "text") -> tuple[DataFrame, int]:
+    """Distinct (id, text) of the items, and into how many parts of about PART_BYTES they are dealt."""
     rows = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.col(text).alias("text")).where("text is not null").distinct()
     size = rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    parts = max(1, -(-size // PART_BYTES))
-    out = []
-    for k in range(parts):
-        got = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k).collect()
-        out.append(Automaton([(r["id"], words_of(r["text"].encode())) for r in got], window))
-    return out
+    return rows, max(1, -(-size // PART_BYTES))
+
+
+def automaton_of(rows: DataFrame, parts: int, k: int, window: int) -> Automaton:
+    """The automaton of one part; its text, about PART_BYTES, is all that reaches the driver."""
+    got = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k).collect()
+    return Automaton([(r["id"], words_of(r["text"].encode())) for r in got], window)
 
 
 def scan(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text", keep_text: bool = False) -> DataFrame:
@@ -176,14 +181,13 @@ def scan(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text"
 
     The text is dropped unless ``keep_text``.
     """
-    spark = docs.sparkSession
     made = [f.name for f in _MADE]
-    parts = automata(items, window)
+    rows, parts = item_parts(items)
     kept = [c for c in docs.columns if c not in made]
     df = docs.select(*kept)
-    for k, built in enumerate(parts):
-        shared = spark.sparkContext.broadcast(built)
-        outs = [c for c in kept if c != text or keep_text or k + 1 < len(parts)]
+    for k in range(parts):
+        shared = docs.sparkSession.sparkContext.broadcast(automaton_of(rows, parts, k, window))
+        outs = [c for c in kept if c != text or keep_text or k + 1 < parts]
         fields = [df.schema[c] for c in outs] + list(_MADE)
 
         def run(batches, shared=shared, outs=outs, first=k == 0):
@@ -201,7 +205,12 @@ def scan(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text"
                 cols = [pa.array([r[j] for r in rows], kind) for j, kind in enumerate(_ARROW)]
                 yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in outs] + cols, names=[*outs, *made])
 
-        df = df.mapInArrow(run, T.StructType(fields))
+        new = df.mapInArrow(run, T.StructType(fields))
+        if parts > 1:
+            new = materialise(new)
+            drop(df)
+            shared.unpersist()
+        df = new
     return df
 
 
@@ -219,23 +228,54 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_span:
                   text: str = "text") -> DataFrame:
     """Documents without the hit spans longer than ``max_span`` words.
 
-    A document of whose words more than ``max_coverage`` are hit is dropped as a
-    whole; documents without hits come back unchanged.
+    A document of whose words more than ``max_coverage`` are hit is dropped as a whole; documents without hits come back
+    unchanged.  Where a cut brings words together that make a window of an item, that goes too, until none is left; the
+    coverage is that of the text as it came.
     """
-    hits = scan(docs, items, window, text, keep_text=True)
-    covered = F.aggregate(F.zip_with("hit_end", "hit_start", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
-    hits = hits.where((covered == 0) | (covered <= F.col("n_words") * F.lit(max_coverage)))
-    kept = docs.columns
-    schema = T.StructType([hits.schema[c] for c in kept])
+    rows, parts = item_parts(items)
+    if parts > 1:
+        return _in_passes(docs, items, window, max_span, max_coverage, text)
+    shared = docs.sparkSession.sparkContext.broadcast(automaton_of(rows, 1, 0, window))
 
-    def cut(batches):
+    def run(batches):
         for b in slices(batches):
-            at = b.schema.get_field_index
-            texts = b.column(at(text)).cast(pa.binary()).to_pylist()
-            starts, ends = b.column(at("hit_start")).to_pylist(), b.column(at("hit_end")).to_pylist()
-            new = [t if t is None else cut_spans(t, [(x, y) for x, y in zip(s, e) if y - x > max_span]) if s else t
-                   for t, s, e in zip(texts, starts, ends)]
-            col = pa.array(new, pa.binary()).cast(b.column(at(text)).type)
-            yield pa.RecordBatch.from_arrays([col if c == text else b.column(at(c)) for c in kept], names=list(kept))
-
-    return hits.mapInArrow(cut, schema)
+            at = b.schema.get_field_index(text)
+            keep, new = [], []
+            for t in b.column(at).cast(pa.binary()).to_pylist():
+                words = words_of(t or b"")
+                spans, _ = shared.value.scan(words)
+                keep.append(sum(e - s for s, e in spans) <= len(words) * max_coverage)
+                while keep[-1] and any(e - s > max_span for s, e in spans):
+                    t = cut_spans(t, [(s, e) for s, e in spans if e - s > max_span])
+                    spans, _ = shared.value.scan(words_of(t))
+                new.append(t)
+            cols = [pa.array(new, pa.binary()).cast(c.type) if k == at else c for k, c in enumerate(b.columns)]
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names).filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _in_passes(docs: DataFrame, items: DataFrame, window: int, max_span: int, max_coverage: float, text: str) -> DataFrame:
+    """The same with several automata: documents that a pass cut go through another one, until none is cut."""
+    kept, out, todo = docs.columns, None, docs
+    while True:
+        hits = scan(todo, items, window, text, keep_text=True)
+        if todo is docs:
+            covered = F.aggregate(F.zip_with("hit_end", "hit_start", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
+            hits = hits.where(covered <= F.col("n_words") * F.lit(max_coverage))
+        schema = T.StructType([*[hits.schema[c] for c in kept], T.StructField("_cut", T.BooleanType())])
+
+        def cut(batches):
+            for b in slices(batches):
+                at = b.schema.get_field_index
+                spans = [[(s, e) for s, e in zip(x, y) if e - s > max_span] for x, y in zip(b.column(at("hit_start")).to_pylist(), b.column(at("hit_end")).to_pylist())]
+                new = [cut_spans(t, own) if own else t for t, own in zip(b.column(at(text)).cast(pa.binary()).to_pylist(), spans)]
+                col = pa.array(new, pa.binary()).cast(b.column(at(text)).type)
+                yield pa.RecordBatch.from_arrays([*[col if c == text else b.column(at(c)) for c in kept], pa.array([bool(x) for x in spans], pa.bool_())], names=[*kept, "_cut"])
+
+        done = materialise(hits.mapInArrow(cut, schema))
+        part = done.where("not _cut").select(*kept)
+        out = part if out is None else out.union(part)
+        todo = done.where("_cut").select(*kept)
+        if not todo.limit(1).count():
+            return out

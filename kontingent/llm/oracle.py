@@ -23,9 +23,9 @@ r as (
 select page_id, host, path, rule, case
     when rule in ('example.com/en/7', 'net/de/') then 'allow'
     when rule is not null then 'block'
-    when ('.' || host) like '%.ads-track.example.com' or ('.' || host) like '%.adult-x.example.com'
-      or ('.' || host) like '%.casino-win.example.net' or ('.' || host) like '%.cheap-pills.example.net'
-      or ('.' || host) like '%.free-bets.example.net' or ('.' || host) like '%.spam-farm.example.org' then 'block'
+    when regexp_matches('.' || host, '[.](ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)[.]example[.](com|net|org)$')
+      or regexp_matches(regexp_replace(host, '^www[.]', '') || regexp_replace(path, '(/|[.]html?)$', ''),
+        '^(|blog[.]|m[.])(ththan|ththen|ththin|ththon|thther|ththed|ththly|ththth|therin)[.]example[.](com|net|org)/(en|fr|es)/([1-9][0-9]?)?3$') then 'block'
     else 'allow' end as verdict
 from r"""
 

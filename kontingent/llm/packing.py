@@ -11,7 +11,9 @@ bins over half full never fit together.  That one bin is dissolved into its
 items again, so that the next level can fill gaps with each of them.  The rounds
 end when one node has seen all items or no two bins went together any more.
 
-Edge cases: a null or empty text is one piece that holds only the end token;
+Edge cases: a null or empty text is one piece that holds only the end token; a
+text longer than a sequence is cut, its first piece taking the rest of the
+division; pieces of equal size (ties) are packed in the order of their rows;
 repeated rows and null ids are packed like any other; an empty table gives an
 empty result; other columns are not carried.
 """

@@ -1,8 +1,7 @@
 """Personal data by candidate gradient boosting.
 
 High-recall generators propose overlapping spans, numbers at every border of
-digit groups.  Spans of the strict base
-rules (four kinds) are certain and always kept.  Every other proposal gets
+digit groups.  Spans of the strict base rules (four kinds) are certain and always kept.  Every other proposal gets
 format features (digits, groups, separators, checksum) and context features
 (cue words and characters around it); boosted trees score it, and a threshold
 per kind, calibrated for precision on held-out examples, decides.
@@ -14,9 +13,10 @@ thresholds are a few kilobytes.
 All scans are linear in the text, also in very long runs of one character
 class.  Offsets are code points, ends exclusive.  Edge cases: a null or empty
 text has no spans; a span proposed twice counts once; proposals that overlap a
-base span or a higher-scored proposal are dropped; rows are judged one by one,
-so repeated rows and null ids need no care; columns with the names of outputs
-are replaced.
+base span or a higher-scored proposal are dropped, the longer one of equal
+scores (ties) stays; rows are judged one by one, so repeated rows and null ids
+need no care; an empty table gives an empty result; columns with the names of
+outputs are replaced.
 """
 
 from __future__ import annotations
@@ -31,9 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices
-
 from .boosting import Boosted, calibrated_threshold
+from .common import slices
 
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_EXAMPLES = 6000

@@ -16,11 +16,21 @@ URL_RULES = (
     urlfilter.PathRule("example.net", "/de/8", "block"),
     urlfilter.PathRule("org", "/es/", "block"),
 )
-# Canonical forms of the hosts that are listed as a whole.
-URL_LIST = (
-    "ads-track.example.com/", "adult-x.example.com/", "casino-win.example.net/",
-    "cheap-pills.example.net/", "free-bets.example.net/", "spam-farm.example.org/",
-)
+# The list of op4, by rule: each of these names under each top domain as a whole host, and of these first parts and names under
+# each top domain the pages of these languages whose number ends in 3.
+BAD_HOSTS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+PAGE_PARTS, PAGE_NAMES, PAGE_LANGS, TOPS = ("", "blog.", "m."), ("ththan", "ththen", "ththin", "ththon", "thther", "ththed", "ththly", "ththth", "therin"), ("en", "fr", "es"), ("com", "net", "org")
+PAGE_NUMBERS = 1000
+
+
+def url_list(spark: SparkSession) -> DataFrame:
+    """The canonical URLs that op4 lists, one column ``key``."""
+    each = lambda values: F.explode(F.array(*map(F.lit, values)))
+    one = spark.range(1)
+    hosts = one.select(each(BAD_HOSTS).alias("h")).select("h", each(TOPS).alias("t")).select(F.concat("h", F.lit(".example."), "t", F.lit("/")).alias("key"))
+    pages = one.select(each(PAGE_PARTS).alias("p")).select("p", each(PAGE_NAMES).alias("n")).select("p", "n", each(TOPS).alias("t")).select("p", "n", "t", each(PAGE_LANGS).alias("l"))
+    pages = pages.select("p", "n", "t", "l", F.explode(F.sequence(F.lit(3), F.lit(PAGE_NUMBERS - 1), F.lit(10))).alias("k"))
+    return hosts.union(pages.select(F.concat("p", "n", F.lit(".example."), "t", F.lit("/"), "l", F.lit("/"), F.col("k").cast("string")).alias("key")))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,8 +64,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    listed = spark.range(1).select(F.explode(F.array(*map(F.lit, URL_LIST))).alias("key"))
-    return urlfilter.judge(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")
+    return urlfilter.judge(pages, URL_RULES, url_list(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def held_out(doc_id: str, parts: int, part: int):

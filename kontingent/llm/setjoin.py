@@ -32,8 +32,11 @@ no task or table holds all pairs of a group.
 
 Edge cases: null or empty texts have an empty set and link to nothing; fewer
 words than n make one element of all words; equal rows fall into one class; a
-null id never becomes a component id unless its class has no other; rows of
-equal id but different texts are classes of their own.
+null id never becomes a component id unless its component has no other; rows of
+equal id but different texts are classes of their own; of equal least ids (ties)
+the least hash of the text leads; texts are taken whole, a long one in a chunk
+of its own; an empty table gives an empty result; columns other than id and text
+are not looked at, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,8 +8,9 @@ Adding or removing a shard moves few slots besides the shard's own share.
 
 The table has ``slots`` rows, a parameter, so the broadcast is bounded however
 large the data are.  A hot key is spread as the row id, not the source, is the
-key.  A null key counts as the empty string; equal keys share a shard; columns
-named like the outputs are replaced.
+key.  A null key counts as the empty string; equal keys (repeated rows, ties)
+share a shard; texts are not looked at; an empty table gives an empty result;
+columns named like the outputs are replaced.
 """
 
 from __future__ import annotations

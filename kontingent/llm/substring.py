@@ -20,7 +20,9 @@ Hashes are 64 bits of the words' bytes and only order and group; equality of
 windows is decided on the words.  Edge cases: a null text has no words; fewer
 words than a window lose nothing; documents with a null id sort before all
 others, and rows with equal ids are one document to each other, so neither
-removes the other's words; an empty table gives an empty result.
+removes the other's words; a text longer than a block is in a block by itself or
+with others, whole; an empty table gives an empty result; columns other than id
+and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations

@@ -2,9 +2,12 @@
 
 Listed canonical URLs are hashed into a Bloom filter whose every key sets eight
 bits inside one 256-bit block (one bit in each of eight words).  The filter is a
-table of blocks with a bounded number of rows and is broadcast; distinct URLs
-that it lets pass are joined exactly with the list, so a false positive costs
-one row in that join and never a verdict.  DataFrame functions only.
+table of blocks with a bounded number of rows and is broadcast; every row is
+looked up where it is read, and what the filter lets pass is joined exactly with
+the list, so a false positive costs one row in that join and never a verdict.
+The listed URLs found are written and counted: up to ``BROADCAST_LIST`` of them
+are broadcast to the table, more are joined by a shuffle, in which adaptive
+execution splits a popular URL.  DataFrame functions only.
 
 A list entry is a canonical URL: lower-case host without a leading www., then
 the path without a trailing slash or .html.  ``host/`` lists a whole host with
@@ -13,8 +16,9 @@ host's and parent domains' ``host/`` forms.
 
 Edge cases: null URLs or such without ``://`` have empty host and path and are
 looked up under nothing; repeated URLs and list entries are folded before the
-joins; an empty list lets everything pass; columns of the table with the names
-of outputs are replaced.
+joins; an empty list lets everything pass, an empty table gives an empty one;
+of rules of equal length that fit, the one given last decides; URLs are taken
+whole, however long; columns of the table with the names of outputs are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, materialise
 
 #: Upper bound of the filter's blocks (32 bytes of bits each): what is broadcast
 #: stays below about 20 MB; longer lists raise only the false-positive rate.
@@ -106,13 +110,16 @@ def may_be_listed(keys: DataFrame, blocks: DataFrame, n_blocks: int, key: str =
 
 
 def listed_urls(urls: DataFrame, listed: DataFrame, url: str = "url", key: str = "key") -> DataFrame:
-    """Distinct URLs of ``urls`` that a list entry covers, one column ``url``."""
+    """Distinct URLs of ``urls`` that a list entry covers, one column ``url``.
+
+    Every row is looked up in the broadcast filter where it is read; only possible hits are shuffled.
+    """
     listed = listed.select(F.col(key).alias("key")).where("key is not null").distinct()
     n = listed.count()
     n_blocks = min(MAX_BLOCKS, max(1, -(-n * BITS_PER_KEY // 256)))
-    keys = urls.select(F.col(url).alias("url")).where("url is not null").distinct()
+    keys = urls.select(F.col(url).alias("url")).where("url is not null")
     keys = keys.select("url", F.explode(lookup_keys(host_of(F.col("url")), path_of(F.col("url")))).alias("key"))
-    hits = may_be_listed(keys, bloom_blocks(listed, n_blocks), n_blocks)
+    hits = may_be_listed(keys, bloom_blocks(listed, n_blocks), n_blocks).distinct()
     exact = F.broadcast(listed) if n <= BROADCAST_LIST else listed.hint("shuffle_hash")
     return hits.join(exact, "key").select("url").distinct()
 
@@ -128,7 +135,8 @@ def judge(pages: DataFrame, rules, listed: DataFrame, url: str = "url") -> DataF
     split = pages.select(*kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     name, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     ruled = split.withColumns({"rule": name, "rule_verdict": verdict})
-    hits = listed_urls(ruled.where("rule is null"), listed, url).select(F.col("url").alias("_hit"))
-    return ruled.join(hits, F.col(url) == F.col("_hit"), "left").select(
+    hits = materialise(listed_urls(ruled.where("rule is null"), listed, url).select(F.col("url").alias("_hit")))
+    few = hits.limit(BROADCAST_LIST + 1).count() <= BROADCAST_LIST  # then the table itself is not shuffled
+    return ruled.join(F.broadcast(hits) if few else hits, F.col(url) == F.col("_hit"), "left").select(
         *kept, "host", "path", "rule", F.col("_hit").isNotNull().alias("listed"),
         F.coalesce("rule_verdict", F.when(F.col("_hit").isNotNull(), "block").otherwise("allow")).alias("verdict"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kontingent.llm import boosting, decontaminate, pii, quality, queries, sharding, toxicity, urlfilter
+from kontingent.llm import boosting, decontaminate, pii, quality, queries, setjoin, sharding, toxicity, urlfilter
 
 W1 = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -44,6 +44,17 @@ def test_decontaminate_against_brute_force(spark, monkeypatch):
     assert decontaminate.scan(d, b.limit(0), window=4).where("size(hit_items) > 0").count() == 0
     kept = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(spark.createDataFrame([(1, "one two; x y z w three"), (2, "x y z w"), (3, "clean  text")], "doc_id long, text string"), spark.createDataFrame([(1, "X y z W")], "item_id long, text string"), window=4, max_coverage=0.7).collect()}
     assert kept == {1: "one two;  three", 3: "clean  text"}
+    # a cut may bring the words of another window together: nothing is left, with one automaton or several
+    nested = "p q r a b c d s t u v w " + "z " * 40
+    texts = spark.createDataFrame([(1, nested), (1, nested), (2, "A b! c d " + "y " * 5000), (3, None), (None, "a b c d k l m n o p q")], "doc_id long, text string")
+    two = spark.createDataFrame([("x", "a b c d"), ("y", "q r s t"), ("z", "p u v w")], "item_id string, text string")
+    for part in (1 << 20, 8):
+        monkeypatch.setattr(decontaminate, "PART_BYTES", part)
+        out = decontaminate.decontaminate(texts, two, window=4)
+        assert decontaminate.scan(out, two, window=4).where("size(hit_items) > 0").count() == 0
+        got = sorted(((r["doc_id"], r["text"].split()) for r in out.where("text is not null").collect()), key=str)
+        assert got == sorted([(1, ["z"] * 40), (1, ["z"] * 40), (2, ["y"] * 5000), (None, list("klmnopq"))], key=str) and out.count() == 5
+        assert decontaminate.decontaminate(texts.limit(0), two, window=4).count() == 0
 
 
 def naive_base(text):
@@ -108,6 +119,44 @@ def test_url_filter_has_no_false_positives(spark, monkeypatch):
         got = urlfilter.judge(pages, [], listed)
         assert {r["page_id"] for r in got.collect() if r["verdict"] == "block"} == want and got.count() == pages.count()
     assert urlfilter.judge(pages, queries.URL_RULES, listed.limit(0)).where("listed").count() == 0
+    assert urlfilter.judge(pages.limit(0), queries.URL_RULES, listed).count() == 0
+    monkeypatch.setattr(urlfilter, "BROADCAST_LIST", 3)  # then nothing is broadcast but the filter
+    got = urlfilter.judge(pages, [], listed)
+    assert {r["page_id"] for r in got.collect() if r["verdict"] == "block"} == want and got.count() == pages.count()
+    tie = [urlfilter.PathRule("com", "/ab", "allow"), urlfilter.PathRule("b.com", "/", "block"), urlfilter.PathRule("com", "/a", "allow")]
+    long = spark.createDataFrame([(1, "http://b.com/ab" + "x" * 50_000)], "page_id long, url string")
+    assert [r["rule"] for r in urlfilter.judge(long, tie[:2], listed).collect()] == ["b.com/"]  # of rules of one length the last
+    assert [r["rule"] for r in urlfilter.judge(long, tie[1::-1], listed).collect()] == ["com/ab"]
+
+
+def test_url_list_of_the_query(spark):
+    assert queries.url_list(spark).count() == queries.url_list(spark).distinct().count() == 18 + 3 * 9 * 3 * 3 * 100
+
+
+def brute_forward(net, text):
+    """The classifier's logit of one text, word by word and window by window."""
+    words = [w for w in toxicity._SPLIT.split(text.lower()) if w]
+    pad = max(toxicity.WIDTHS) - 1
+    vec = [sum(net.emb[k] for k in toxicity.word_features(w)) for w in words] + [np.zeros(toxicity.DIM)] * max(pad, pad + 1 - len(words))
+    pools = []
+    for f in net.filters:
+        outs = [sum(vec[i + j] @ f[j] for j in range(len(f))) for i in range(len(vec) - len(f) + 1)]
+        pools.append(np.max(outs, axis=0))
+    return float(np.maximum(np.concatenate(pools) + net.bias, 0) @ net.out + net.out_bias)
+
+
+def test_toxicity_scores_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", F.lit(1.0).alias("score"))
+    net = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    odd = spark.createDataFrame([(-1, "", "en", 0.0), (-2, None, None, 0.0), (-3, "one", "xx", 0.0), (-4, "bad words " * 20_000, "en", 0.0), (-4, "bad words " * 20_000, "en", 0.0)], docs.schema)
+    every = docs.limit(60).union(odd)
+    texts = {r["doc_id"]: r["text"] for r in every.collect()}
+    got = toxicity.score(every, net).collect()
+    assert len(got) == 65 and toxicity.score(docs.limit(0), net).count() == 0
+    a, b = net.scale
+    for r in got:
+        want = 1 / (1 + np.exp(-np.clip(a * brute_forward(net, texts[r["doc_id"]] or "") + b, -30, 30)))
+        assert abs(r["score"] - want) < 1e-4 and r["predicted"] == int(r["score"] >= 0.5)
 
 
 def test_sharding(spark):
@@ -158,14 +207,72 @@ def test_toxicity(spark):
     assert toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).where("score != 0").count() == 0
 
 
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_near_duplicates_of_the_pipeline(spark):
+    import corpus_pipeline as p
+
+    base = " ".join(f"w{k}" for k in range(200))
+    near = base.replace("w100 ", "x100 ")
+    rows = [(3, base), (7, base), (7, "another text that shares nothing with it"), (9, near), (None, base), (5, "short"), (5, "short"), (5, "other short one"),
+            (6, None), (6, None), (8, ""), (None, None), (4, "v " * 30_000), (2, "v " * 30_000 + "v")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).repartition(3).withColumn("copies", F.lit(1))
+    got = Counter((r["doc_id"], r["text"]) for r in p.drop_near_duplicates(spark, docs, "").collect())
+    assert got == Counter({(3, base): 1, (7, rows[2][1]): 1, (5, "short"): 1, (5, "other short one"): 1, (6, None): 1, (8, ""): 1, (None, None): 1, (2, rows[13][1]): 1})
+    assert p.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as p
+    from tests.llm.test_packing import check
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     assert [n for n, _ in p.STAGES] == ["toxicity", "ngram_jaccard_join", "benchmark_decontamination", "pii", "best_fit_packing"]
-    extra = docs.withColumn("spans", F.lit(1)).union(docs.limit(1).select(F.lit(None), F.lit(None), F.lit(None), F.lit(None), F.lit(None), F.lit(1)))
-    for name, stage in p.STAGES[1:4]:
-        out = stage(spark, extra, sf_dir)
-        assert out.columns == list(p.COLUMNS) and out.count() > 0.5 * docs.count(), name
-    clean = p.drop_benchmark_text(spark, docs, sf_dir)
-    assert decontaminate.scan(clean, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("size(hit_items) > 0").count() <= 1
+    # each stage against its own definition, on what the stage before kept
+    rows = docs.count()
+    now = setjoin.materialise(p.drop_toxic(spark, docs, sf_dir))
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    kept = {r["doc_id"] for r in now.collect()}
+    clean = [k for k, v in labels.items() if not v]
+    assert now.columns == list(p.COLUMNS) and sum(k in kept for k in clean) >= 0.97 * len(clean) and now.count() > 0.5 * rows
+    before = [(r["doc_id"], r["text"]) for r in now.collect()]
+    now = setjoin.materialise(p.drop_near_duplicates(spark, now, sf_dir))
+    first = {}
+    for (i, _), (_, _, group) in zip(sorted(before, key=str), sorted(brute_groups(before), key=str)):
+        first[group] = min(i, first.get(group, i))
+    assert {r["doc_id"] for r in now.collect()} == set(first.values())
+    now = setjoin.materialise(p.drop_benchmark_text(spark, now, sf_dir))
+    assert decontaminate.scan(now, benchmark).where("size(hit_items) > 0").count() == 0
+    now = setjoin.materialise(p.redact_personal_data(spark, now, sf_dir))
+    assert all(not naive_base(r["text"] or "") for r in now.collect())
+    texts = {r["doc_id"]: r["text"] for r in now.collect()}
+    packed = p.pack_sequences(spark, now, sf_dir)
+    check([tuple(r)[:7] for r in packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset").collect()], texts)
+    whole = p.run(spark, sf_dir)
+    assert whole.columns == packed.columns and whole.count() == packed.count()
+
+
+def brute_groups(rows):
+    from tests.llm.test_setjoin import brute
+
+    return brute(rows, n=5, percent=80)
+
+
+def test_pipeline_on_odd_tables(spark, sf_dir, tmp_path):
+    import corpus_pipeline as p
+
+    texts = [None, "", " ", "word", "tie tie tie", "tie tie tie", "long text of many words " * 20_000, "mail me: a.b@example.com or +1 (222) 555-0100"]
+    some = spark.createDataFrame([(k if k else None, t, "en", None, None) for k, t in enumerate(texts)], DOCS)
+    for docs in (some, some.limit(0)):
+        folder = tmp_path / f"t{docs.count()}"
+        for name, table in (("documents", docs.union(docs.limit(1))), ("labels", spark.createDataFrame([], "doc_id long, quality int, toxic int")),
+                            ("benchmark", spark.createDataFrame([("a", None), (None, "word")], "item_id string, text string").limit(2 if docs is some else 0))):
+            table.write.parquet(f"{folder}/{name}.parquet")
+        out = p.run(spark, f"file://{folder}")
+        ids = {r["doc_id"] for r in out.collect()}
+        assert ids <= {None, *range(1, 8)} and (6 in ids) == (docs is some)
+    extra = some.withColumn("spans", F.lit(1)).withColumn("score", F.lit(1)).withColumn("hit_start", F.lit(1))
+    for name, stage in p.STAGES[:4]:
+        assert stage(spark, extra, sf_dir).columns == list(p.COLUMNS), name

@@ -78,3 +78,14 @@ def test_merge_rounds_join_small_bins(spark):
     assert check(rows, {k: "word " * 40 for k in range(400)})[0] <= 18
     rows = [tuple(r) for r in packing.pack(docs, *queries.tokenizer_files(), node_items=30).collect()]
     assert check(rows, {k: "word " * 40 for k in range(400)})[0] <= 26
+
+
+def test_tree_of_many_nodes_is_nearly_as_full_as_one(spark):
+    sizes = np.random.default_rng(8).integers(3, 900, 1500)
+    docs = spark.createDataFrame([(k, "word " * int(n)) for k, n in enumerate(sizes)], "doc_id long, text string").repartition(12)
+    used = []
+    for nodes in (100_000, 150):
+        got = packing.pack(docs, *queries.tokenizer_files(), node_items=nodes)
+        used.append(got.select("sequence_id").distinct().count())
+        least = -(-got.groupBy().sum("length").first()[0] // 1024)
+    assert used[0] <= 1.02 * least and used[1] <= 1.03 * least, (used, least)
