@@ -5,8 +5,12 @@ kept; between stages the documents are written as Parquet and read again.  All
 stages but the last return the columns of ``documents`` with ``n_chars``
 brought up to date; the last returns the packed pieces.
 
-Nulls: a null text passes every stage and is packed as an empty document.  A
-null id comes after all others when a group's document to keep is chosen.
+Edge cases: a null text passes every stage and is packed as an empty document; a
+null id comes after all others when a group's document to keep is chosen; of
+equal least ids (ties) the text with the least hash stays, repeated rows become
+one; texts are taken whole by every stage, however long; without documents the
+result is empty, without labels nothing is toxic, without benchmark items nothing
+is cut; columns that documents do not have are dropped first, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kontingent.llm import decontaminate, packing, pii, queries, setjoin, toxicity
-from kontingent.llm.common import materialise
+from kontingent.llm.common import drop, materialise
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -51,7 +55,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words inside 10-word windows of benchmark items go; documents that are mostly such words go as a whole."""
+    """Words inside 10-word windows of benchmark items go, also where a cut made the window; documents that are mostly such
+    words go as a whole."""
     items = queries.table(spark, sf_dir, "benchmark").select("item_id", "text")
     return _sized(decontaminate.decontaminate(docs.select(*COLUMNS), items, window=10, max_span=0, max_coverage=0.5))
 
@@ -73,7 +78,7 @@ STAGES = [
     ("pii", redact_personal_data),
     ("best_fit_packing", pack_sequences),
 ]
-#: SQL cannot express the classifier or the tokenizer; tests hold the stages against brute force.
+#: SQL cannot express the classifier or the tokenizer; tests hold each stage against its definition, by brute force.
 ORACLE_SQL = None
 
 
@@ -81,5 +86,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = queries.table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        before, docs = docs, materialise(stage(spark, docs, sf_dir))
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
