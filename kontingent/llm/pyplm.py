@@ -47,7 +47,9 @@ the split); other columns of the table are not looked at.
 
 from __future__ import annotations
 
+import gc
 import pickle
+import time
 import zlib
 
 import numpy as np
@@ -64,6 +66,8 @@ from .common import Words, mix64, shared_dir, text_bytes
 BURN_IN, SAMPLES = 2, 2
 #: Bytes of text in a block, and behind a bucket's pairs.
 BLOCK_BYTES, BUCKET_BYTES = 2 << 20, 4 << 20
+#: Buckets in a task, which opens one at a time.
+TOGETHER = 4
 #: Bytes of pairs that a task holds before it sends them.
 HELD = 8 << 20
 HOT, PROBED = 500, 1 << 20
@@ -401,13 +405,14 @@ def _sums_of(posted) -> dict[int, np.ndarray]:
     return {b: np.concatenate([_unpress_ints(x) for _, x in sorted(some)]) for b, some in parts.items()}
 
 
-def log_rooms(tables, customers, d: float, strength: float) -> float:
-    """Sum over restaurants of log [strength (strength + d) ... ] / [strength (strength + 1) ...], a factor per table and per customer."""
+def log_rooms(tables, customers, discounts, strengths) -> np.ndarray:
+    """For each discount and strength the sum over restaurants of log [strength (strength + d) ...] / [strength (strength + 1) ...],
+    a factor per table and per customer."""
     t, n_t = np.unique(np.asarray(tables), return_counts=True)
     c, n_c = np.unique(np.asarray(customers), return_counts=True)
     g = lambda x: seating.lgamma(np.asarray(x, np.float64))
-    up = t * np.log(d) + g(strength / d + t) - g(strength / d)
-    return float((n_t * up).sum() - (n_c * (g(strength + c) - g(strength))).sum())
+    down = [(n_c * (g(s + c) - g(s))).sum() for s in strengths]
+    return np.array([[(n_t * (t * np.log(d) + g(s / d + t) - g(s / d))).sum() - x for s, x in zip(strengths, down)] for d in discounts])
 
 
 def _discounts(d: float) -> np.ndarray:
@@ -462,7 +467,7 @@ def totals_of(buckets: RDD, state: RDD, last: dict | None, n_hot: int, rng) -> d
         all_seats = seats + out["hot_seats"].sum()
         strengths = np.clip(strength * S_STEPS, 1e-2, 1e6)
         tabled = x[4] + _likelihood_of_tables(hot_customers, out["hot_seats"], grids[1])
-        chance = np.array([[log_rooms([all_seats], [tables], float(a), float(b)) for b in strengths] for a in grids[1]]) + tabled[:, None]
+        chance = log_rooms([all_seats], [tables], grids[1], strengths) + tabled[:, None]
         i, j = _pick(chance, rng)
         out |= {"word": last["word"], "root": (float(grids[1][i]), float(strengths[j])), "tabled": x[3], "grid": grids[0]}
     out["seats"] = seats + out["hot_seats"].sum()
@@ -489,7 +494,8 @@ def answers_of(table: RDD, spark, n: int, hot: dict[bytes, int], block_bytes: in
     """The buckets' answers, dealt to the partitions of the blocks; the training tokens and the vocabulary."""
     parts = table.getNumPartitions()
     sent = table.mapPartitionsWithIndex(lambda k, rows: _send(k, blocks_of_partition(rows, block_bytes), n, hot))
-    buckets = _keep(sent.partitionBy(n, int).mapPartitions(lambda rows: _gather(rows, hot)))
+    tasks = max(1, n // TOGETHER)
+    buckets = _keep(sent.partitionBy(tasks, int).mapPartitions(lambda rows: _gather(rows, hot)))
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     buckets.checkpoint()  # safe against lost executors, and lets go of the blocks' shuffle
@@ -497,7 +503,10 @@ def answers_of(table: RDD, spark, n: int, hot: dict[bytes, int], block_bytes: in
     buckets.unpersist()
     buckets = RDD(buckets._jrdd, spark.sparkContext, buckets._jrdd_deserializer)
     del sent
-    spark._jvm.System.gc()
+    for _ in range(2):  # Spark's cleaner lets go of the shuffle once the references held here are known to be gone
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
     shards = max(1, n // 4)
 
     def names(x):
@@ -531,12 +540,12 @@ def answers_of(table: RDD, spark, n: int, hot: dict[bytes, int], block_bytes: in
         """Likelihood of the restaurants of a partition of shards, by discount and strength."""
         out = np.zeros((len(grid), len(strengths)))
         for (_, _, c), (_, _, t) in zip(_added(both[0], both[1]), _added(both[0], both[2])):
-            out += [[log_rooms(t[c > 0], c[c > 0], float(d), float(s)) for s in strengths] for d in grid]
+            out += log_rooms(t[c > 0], c[c > 0], grid, strengths)
         return out
 
     state = _keep(buckets.flatMap(lambda rows: [(b, first_state(Pairs(row)).pressed()) for b, row in rows]))
     counted = posted(state, True)
-    customers = _whole(_beside(homes, counted).flatMap(_replies).partitionBy(n, int))
+    customers = _whole(_beside(homes, counted).flatMap(_replies).partitionBy(tasks, int))
     rng = np.random.default_rng([seed, 1 << 20])
     samples, totals = [], None
     for k in range(1 + BURN_IN + SAMPLES):
@@ -547,7 +556,7 @@ def answers_of(table: RDD, spark, n: int, hot: dict[bytes, int], block_bytes: in
             chance = _beside(homes, counted, to_shards).map(rooms).treeReduce(lambda a, b: a + b) + totals["tabled"][:, None]
             i, j = _pick(chance, rng)
             totals["word"] = (float(grid[i]), float(strengths[j]))
-        sums = _whole(_beside(homes, to_shards).flatMap(_replies).partitionBy(n, int))
+        sums = _whole(_beside(homes, to_shards).flatMap(_replies).partitionBy(tasks, int))
         if k > BURN_IN:
             samples.append((state, totals, sums))
         if k < BURN_IN + SAMPLES:
@@ -561,7 +570,7 @@ def answers_of(table: RDD, spark, n: int, hot: dict[bytes, int], block_bytes: in
             yield from _answers(bucket, row, counts[bucket], [(State.opened(s[bucket]), t, x[bucket]) for s, t, x in zip(seated, kept, tables)])
 
     told = _beside(buckets, customers, *[x for s, _, t in samples for x in (s, t)]).flatMap(run)
-    return told.partitionBy(parts, int), int(totals["tokens"]), int(totals["vocabulary"])
+    return told.partitionBy(parts, int), int(totals["tokens"]), int(totals["vocabulary"])  # parts or more partitions
 
 
 def _score(blocks, answers, n: int, hot: dict[bytes, int], tokens: int, vocabulary: int):
@@ -598,6 +607,8 @@ def score_documents(docs: DataFrame, train, doc_id: str = "doc_id", text: str =
     n = max(1, -(-text_bytes(docs, text) // bucket_bytes))
     hot = hot_words(held)
     answers, tokens, vocabulary = answers_of(held, spark, n, hot, block_bytes, seed)
-    blocks = _whole(held.mapPartitions(lambda rows: (_press(pickle.dumps(x)) for x in blocks_of_partition(rows, block_bytes))))
+    more = answers.getNumPartitions() - held.getNumPartitions()
+    same = held.union(spark.sparkContext.parallelize([], more)) if more > 0 else held
+    blocks = _whole(same.mapPartitions(lambda rows: (_press(pickle.dumps(x)) for x in blocks_of_partition(rows, block_bytes))))
     scored = _beside(blocks, _whole(answers)).flatMap(lambda x: _score((pickle.loads(_unpress(y)) for y in x[0]), x[1], n, hot, tokens, vocabulary))
     return spark.createDataFrame(scored, schema, verifySchema=False)
