@@ -19,7 +19,7 @@ from ..errors import ComputationError, ConvergenceError
 from ..graph import JunctionForest, junction_forest
 from ..schema import PROB_MIN, Schema
 from .storage import drop, materialise
-from .table import VALUE, domain, project
+from .table import VALUE, domain, normalize, project
 
 #: States of a dense table on the driver: 8 bytes each, a few copies.
 MAX_DENSE = 1 << 22
@@ -36,6 +36,14 @@ class IPFConfig:
     raise_on_failure: bool = False
 
 
+@dataclass(frozen=True)
+class CalibrationConfig:
+    """normalize: margins are divided by the table's sum; check: values that are no finite, non-negative numbers are an error."""
+
+    normalize: bool = False
+    check: bool = False
+
+
 @dataclass
 class FitInfo:
     """How a fit was made."""
@@ -116,8 +124,12 @@ class Calibrated:
         return project(source, self.schema, mask)
 
 
-def calibrate(p: DataFrame, model: Model) -> Calibrated:
+def calibrate(p: DataFrame, model: Model, config: CalibrationConfig = CalibrationConfig()) -> Calibrated:
     """Data margins are calibrated already, so no message passing is needed."""
+    if config.check and p.where(F.isnan(VALUE) | (F.col(VALUE) < 0) | (F.col(VALUE) == float("inf")) | F.isnull(VALUE)).limit(1).count():
+        raise ComputationError("the table holds values that are no finite, non-negative numbers")
+    if config.normalize:
+        p = normalize(p)
     schema, forest = model.schema, junction_forest(model.relations)
     return Calibrated(schema, forest, [project(p, schema, c) for c in forest.cliques],
                       {k: project(p, schema, s) for k, s in enumerate(forest.separators) if s}, fit_forest(p, model))
@@ -204,9 +216,17 @@ def margin_error(q: DataFrame, margins) -> float:
     return float(gaps.agg(F.max("gap").alias("m")).first()["m"] or 0.0)
 
 
-def fixed_sweeps(p: DataFrame, model: Model, sweeps: int) -> DataFrame:
-    """A fixed number of IPF sweeps."""
-    schema, q = model.schema, start_table(p, model)
+def fixed_sweeps(p: DataFrame, model: Model, sweeps: int, dense_cells: int = MAX_BROADCAST) -> DataFrame:
+    """A fixed number of IPF sweeps; on the driver where the variables have at most ``dense_cells`` states."""
+    schema = model.schema
+    if schema.cells() <= dense_cells:
+        q = np.zeros([v.cardinality for v in schema])
+        for r in p.select(*schema.columns, VALUE).collect():
+            q[tuple(r[c] for c in schema.columns)] = r[VALUE]
+        q, _ = dense_ipf(q, model.relations, IPFConfig(sweeps, -1.0))
+        rows = [(*map(int, c), float(q[tuple(c)])) for c in np.argwhere(q > 0)]
+        return p.sparkSession.createDataFrame(rows, ", ".join(f"{c} int" for c in schema.columns) + f", {VALUE} double")
+    q = start_table(p, model)
     margins = [(schema.names(r), materialise(project(p, schema, r))) for r in model.relations]
     for _ in range(sweeps):
         q = _sweep(q, margins, schema)

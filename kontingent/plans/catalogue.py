@@ -175,7 +175,7 @@ def ipf_triangle(spark, sf):
     """Three IPF sweeps of AB:BC:AC from the uniform table over A, B, C."""
     p, s = probabilities(spark, sf)
     small = s.select(["A", "B", "C"])
-    return rounded(fit.fixed_sweeps(tables.project(p, s, 0b0111).cache(), algebra.parse_model(small, "AB:BC:AC"), 3), 10)
+    return rounded(fit.fixed_sweeps(tables.project(p, s, 0b0111), algebra.parse_model(small, "AB:BC:AC"), 3), 10)
 
 
 def residuals(spark, sf):
@@ -206,6 +206,20 @@ def junction_marginal(spark, sf):
     return rounded(fit.calibrate(tables.project(p, s, 0b0111), algebra.parse_model(small, "AB:BC")).marginal(0b101), 10)
 
 
+def calibrated_cliques(spark, sf):
+    """Margins of the cliques and the separator of the calibrated tree AB:BC, from counts."""
+    s = line_schema()
+    small = s.select(["A", "B", "C"])
+    t = tables.project(line_table(spark, sf), s, 0b0111)
+    c = fit.calibrate(t, algebra.parse_model(small, "AB:BC"), fit.CalibrationConfig(normalize=True, check=True))
+    parts = [*c.cliques, *c.separators.values()]
+    out = None
+    for part in parts:
+        rows = part.select(F.lit("".join(x for x in part.columns if x != VALUE)).alias("part"), *[(F.col(x) if x in part.columns else F.lit(None).cast("int")).alias(x) for x in "ABC"], VALUE)
+        out = rows if out is None else out.union(rows)
+    return rounded(out, 10)
+
+
 def cond_entropy(spark, sf):
     a = analyzer(spark, sf, "A")
     rows = [(m, round(a.cond_h(m), 8), round(a.cond_dh(m), 8) + 0.0) for m in ("A:BCD", "AB:CD", "ABCD")]
@@ -456,7 +470,7 @@ QUERIES = {
     "model_independence": _model_row("A:B:C:D"), "model_chain": _model_row("AB:BC:CD"), "model_star": _model_row("AB:AC:AD"), "model_saturated": _model_row("ABCD"),
     "model_triangle_fit": model_fit_table, "relation_metrics": relation_metrics,
     "fit_independence": _fit("A:B:C:D"), "fit_chain_AB_BC": _fit("AB:BC:D"), "fit_jt_ABC_BCD": _fit("ABC:BCD"), "fit_forest_AB_CD": _fit("AB:CD"),
-    "ipf_triangle": ipf_triangle, "residuals": residuals, "pearson_p2": pearson_p2, "potential_algebra": potential_algebra, "junction_marginal": junction_marginal,
+    "ipf_triangle": ipf_triangle, "residuals": residuals, "pearson_p2": pearson_p2, "potential_algebra": potential_algebra, "junction_marginal": junction_marginal, "calibrated_cliques": calibrated_cliques,
     "cond_entropy": cond_entropy, "conditional_dv": conditional_dv, "predictions_by_rank": predictions_by_rank, "confusion_matrix": confusion_matrix,
     "class_scores": class_scores, "accuracy": accuracy, "incremental_alpha": incremental_alpha,
     "loopless_up_level1": _level("loopless"), "full_up_level1": _level("full"), "disjoint_up_level1": _level("disjoint"), "disjoint_down_level1": _level("disjoint", "down", "ABCD"),
@@ -712,6 +726,7 @@ select f.A, f.B, f.C, round(coalesce(o.v, 0), 10) as observed, round(f.v, 10) as
     "pearson_p2": f"with {_T} select round({_N} * sum((coalesce(p.value, 0) - q.value) * (coalesce(p.value, 0) - q.value) / q.value), 4) as p2 from {_INDEP} q left join p using (A, B, C, D)",
     "potential_algebra": f"with {_T} select x.A, x.B, y.C, round(x.v * y.v / s.v, 10) as value from {_m('AB')} x join {_m('BC')} y on x.B = y.B join {_m('B')} s on s.B = x.B",
     "junction_marginal": f"with {_T} select x.A, y.C, round(sum(x.v * y.v / s.v), 10) as value from {_m('AB')} x join {_m('BC')} y on x.B = y.B join {_m('B')} s on s.B = x.B group by x.A, y.C",
+    "calibrated_cliques": f"with {_T} select 'AB' as part, A, B, null::int as C, round(v, 10) as value from {_m('AB')} union all select 'BC', null, B, C, round(v, 10) from {_m('BC')} union all select 'B', null, B, null, round(v, 10) from {_m('B')}",
     "cond_entropy": f"""with {_T} select 'A:BCD' as model, round({_h('A')}, 8) as cond_h, 0.0::double as cond_dh
 union all select 'AB:CD', round({_h('AB')} + {_h('CD')} - {_h('BCD')}, 8), round({_h('A')} - ({_h('AB')} + {_h('CD')} - {_h('BCD')}), 8)
 union all select 'ABCD', round({_h('ABCD')} - {_h('BCD')}, 8), round({_h('A')} - {_h('ABCD')} + {_h('BCD')}, 8)""",

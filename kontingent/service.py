@@ -5,11 +5,15 @@ from __future__ import annotations
 import json
 from dataclasses import asdict
 
+import numpy as np
 from pyspark.sql import SparkSession
 
 from . import algebra
 from .errors import KontingentError, ValidationError
-from .operators.analyzer import Analyzer
+from .operators import binning
+from .operators import fit as fitting
+from .operators import table as tables
+from .operators.analyzer import Analyzer, dense_entropy
 from .plans import search as searching
 from .progress import Event
 from .sources import formats
@@ -17,6 +21,8 @@ from .sources import formats
 # Defaults of a search request.
 DEFAULTS = {"direction": "up", "filter": "loopless", "width": 3, "levels": 7, "sortBy": "bic"}
 
+# Names of binning strategies in requests.
+STRATEGY_NAMES = {"none": "none", "width": "equalWidth", "quantile": "equalFrequency", "breaks": "customBreaks", "top": "topN", "threshold": "frequencyThreshold"}
 #: The job group of a search conversation, which search_cancel ends.
 SEARCH_GROUP = "kontingent-search"
 
@@ -65,6 +71,86 @@ class Service:
         return searching.estimate(data.schema, r["filter"], r["sortBy"], int(r["width"]), int(r["levels"]), data.rows.count(), r["direction"],
                                   self.spark.sparkContext.defaultParallelism)
 
+    # Compact forms: small tables in, small tables out ------------------------------------
+
+    def fit_compact(self, text: str) -> dict:
+        """A model fitted by proportional fitting to cells {"variables", "data": [{"key", "count"}], "model"}; counts keep their sum."""
+
+        def run():
+            cells, schema, name = formats.read_cells(self.spark, text)
+            a, m = Analyzer(cells, schema), algebra.parse_model(schema, name or "")
+            q, info = fitting.dense_ipf(a.dense() * a.n, m.relations)
+            keys = [c for c in np.argwhere(q > 0).tolist()]
+            data = [{"key": k, "count": float(q[tuple(k)])} for k in keys]
+            return {"data": data, "entropy": dense_entropy(q / q.sum()), "iterations": info.iterations, "converged": info.converged, "model": m.name}
+
+        return self._told(run)
+
+    def entropy_compact(self, text: str) -> dict:
+        """The entropy of cells, in bits."""
+        return self._told(lambda: {"entropy": tables.entropy(formats.read_cells(self.spark, text)[0])})
+
+    def _columns(self, request: dict):
+        names = list(map(str, request["columns"]))
+        rows = [[str(x) for x in r[: len(names)]] + [""] * (len(names) - len(r)) for r in request["data"]]
+        return names, self.spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names))
+
+    def analyze_columns(self, request: dict, threshold: int = 10) -> dict:
+        """A profile of each column of {"columns", "data"}, its most frequent values, and how it might be binned."""
+
+        def run():
+            names, df = self._columns(request)
+            out = []
+            for k, r in enumerate(sorted(binning.analyze(df).collect(), key=lambda r: names.index(r["column"]))):
+                spec = binning.suggest(r["is_numeric"], r["unique_count"]) if r["unique_count"] > threshold else binning.BinSpec("none")
+                top = [{"value": t["value"], "count": t["n"]} for t in binning.frequencies(df, r["column"]).limit(10).collect()]
+                out.append({"name": r["column"], "index": k, "isNumeric": r["is_numeric"], "uniqueCount": r["unique_count"], "totalCount": r["n_rows"], "missingCount": r["missing_count"],
+                            "minVal": r["min"] if r["is_numeric"] else None, "maxVal": r["max"] if r["is_numeric"] else None, "needsBinning": r["unique_count"] > threshold,
+                            "suggestedStrategy": STRATEGY_NAMES[spec.strategy], "topValues": top})
+            return {"columns": out}
+
+        return self._told(run)
+
+    def suggest_bins(self, request: dict, threshold: int = 10) -> dict:
+        """A configuration for each profiled column."""
+
+        def one(c: dict) -> dict:
+            common = {"otherLabel": "Other", "missingHandling": "separateBin", "missingLabel": "Missing"}
+            spec = binning.suggest(c["isNumeric"], c["uniqueCount"]) if c["uniqueCount"] > threshold else binning.BinSpec("none", bins=c["uniqueCount"])
+            size = {"topN": spec.top} if spec.strategy == "top" else {"numBins": spec.bins}
+            style = {} if spec.strategy == "none" else {"labelStyle": "range" if spec.strategy == "width" else "index"}
+            return {"strategy": STRATEGY_NAMES[spec.strategy]} | size | style | common
+
+        return self._told(lambda: {"configs": {c["name"]: one(c) for c in request["columns"]}})
+
+    def apply_bins(self, request: dict, configs: dict) -> dict:
+        """Columns binned as configured (range labels with one decimal), equal rows merged: variables, codes and counts."""
+
+        def run():
+            names, df = self._columns(request)
+            specs = {}
+            for n in names:
+                c = configs["configs"].get(n, {})
+                strategy = next((k for k, v in STRATEGY_NAMES.items() if v == c.get("strategy", "none")), "none")
+                missing = "separate" if c.get("missingHandling", "separateBin") == "separateBin" else "exclude"
+                specs[n] = binning.BinSpec(strategy, bins=int(c.get("numBins", 5)), top=int(c.get("topN", 5)), labels=c.get("labelStyle", "range") if strategy == "width" else "index",
+                                           precision=1, missing=missing, missing_label=c.get("missingLabel", "Missing"), other_label=c.get("otherLabel", "Other"))
+            binned, fitted = binning.apply_binning(df, specs)
+            schema = binning.schema_of(fitted)
+            place = {v.name: {label: k for k, label in enumerate(v.values)} for v in schema}
+            rows = sorted(([place[n][r[n]] for n in names], r["value"]) for r in binned.collect())
+            return {"variables": formats.variables_json(schema), "data": [k for k, _ in rows], "counts": [n for _, n in rows]}
+
+        return self._told(run)
+
+    @staticmethod
+    def _told(run) -> dict:
+        """What ``run`` returns with success, or its error as a message."""
+        try:
+            return run() | {"success": True}
+        except (KontingentError, KeyError, ValueError, TypeError) as e:
+            return {"success": False, "error": str(e)}
+
     def stream(self, message: dict, send) -> None:
         """One message of a search conversation; events and the result go to ``send``."""
         if message.get("type") == "search_start":

@@ -121,6 +121,8 @@ def test_frame_fit_follows_the_dense_one(spark):
     for r in got.collect():
         assert r["value"] == pytest.approx(dense[r["A"], r["B"], r["C"]], abs=1e-9)
     assert how.iterations == info.iterations and how.converged
+    planes = [{(r["A"], r["B"], r["C"]): round(r["value"], 12) for r in fitting.fixed_sweeps(p, m, 2, cells).where("value > 0").collect()} for cells in (100, 0)]
+    assert planes[0] == pytest.approx(planes[1])
 
 
 def test_matching_joins_by_what_both_have(spark):
@@ -190,3 +192,30 @@ def test_written_tables_can_be_dropped(spark):
     storage.drop(t, spark.range(1))
     with pytest.raises(Exception, match="(?i)path|exist"):
         spark.read.parquet(path).count()
+
+
+def test_compact_forms(spark):
+    svc = service.Service(spark)
+    cells = {"variables": [{"name": c, "abbrev": c, "cardinality": 2} for c in "AB"], "data": [{"key": [0, 0], "count": 30}, {"key": [0, 1], "count": 10}, {"key": [1, 1], "count": 60}], "model": "A:B"}
+    got = svc.fit_compact(json.dumps(cells))
+    assert got["success"] and got["converged"] and {tuple(c["key"]): round(c["count"], 6) for c in got["data"]} == {(0, 0): 12, (0, 1): 28, (1, 0): 18, (1, 1): 42}
+    h = -(0.3 * np.log2(0.3) + 0.1 * np.log2(0.1) + 0.6 * np.log2(0.6))
+    assert svc.entropy_compact(json.dumps(cells))["entropy"] == pytest.approx(h)
+    assert not svc.fit_compact(json.dumps(cells | {"model": "A:X"}))["success"]
+    request = {"columns": ["age", "city"], "data": [[str(k), "abc"[k % 3]] for k in range(30)] + [["NA"], ["7", "nil"]]}
+    found = svc.analyze_columns(request)
+    assert found["success"] and [c["suggestedStrategy"] for c in found["columns"]] == ["equalWidth", "none"] and found["columns"][1]["missingCount"] == 2
+    configs = svc.suggest_bins(found)
+    assert configs["configs"]["age"]["numBins"] == 5 and configs["configs"]["city"] == {"strategy": "none", "numBins": 3, "otherLabel": "Other", "missingHandling": "separateBin", "missingLabel": "Missing"}
+    out = svc.apply_bins(request, configs)
+    assert out["success"] and sum(out["counts"]) == 32 and [v["cardinality"] for v in out["variables"]] == [6, 4] and out["variables"][0]["values"][0] == "0.0-5.8"
+    assert not svc.apply_bins({"columns": ["a"]}, configs)["success"]
+
+
+def test_calibration_checks(spark):
+    p, q = a_table(spark)
+    m = algebra.parse_model(SCHEMA, "AB:BC")
+    c = fitting.calibrate(p.withColumn("value", F.col("value") * 7), m, fitting.CalibrationConfig(normalize=True, check=True))
+    assert tables.total(c.marginal(0b001)) == pytest.approx(1) and vector(c.marginal(0b010), "B", 3) == pytest.approx(q.sum((0, 2)))
+    with pytest.raises(Exception, match="finite"):
+        fitting.calibrate(p.withColumn("value", -F.col("value")), m, fitting.CalibrationConfig(check=True))
