@@ -51,6 +51,8 @@ import gc
 import pickle
 import time
 import zlib
+from collections import defaultdict
+from itertools import count
 
 import numpy as np
 import zstandard
@@ -141,14 +143,15 @@ class Tokens:
     """
 
     def __init__(self, texts: list[bytes]):
-        known: dict[bytes, int] = {END: 0}
+        known: dict[bytes, int] = defaultdict(count().__next__)  # a new word gets the next number
+        number = known.__getitem__
         ids: list[int] = []
         starts = []
-        number = known.setdefault
+        end = number(END)
         for t in texts:
             starts.append(len(ids))
-            ids += [number(w, len(known)) for w in t.lower().split()]
-            ids.append(0)
+            ids.extend(map(number, t.lower().split()))
+            ids.append(end)
         words = list(known)
         homes = homes_of(words)
         order = in_order(words, homes)  # the end token is first
@@ -201,7 +204,7 @@ def blocks_of_partition(rows, block_bytes: int):
 def hot_words(table: RDD) -> dict[bytes, int]:
     """The end token and words with a large share of the tokens at the beginning of some partition, numbered."""
 
-    def count(rows):
+    def often(rows):
         seen: dict[bytes, int] = {}
         size = 0
         for _, _, text in rows:
@@ -213,7 +216,7 @@ def hot_words(table: RDD) -> dict[bytes, int]:
         least = sum(seen.values()) / HOT
         return [(w, k) for w, k in seen.items() if k >= least]
 
-    best = table.mapPartitions(count).reduceByKey(lambda a, b: a + b).takeOrdered(HOT, key=lambda x: (-x[1], x[0]))
+    best = table.mapPartitions(often).reduceByKey(lambda a, b: a + b).takeOrdered(HOT, key=lambda x: (-x[1], x[0]))
     return {w: k for k, w in enumerate([END, *[w for w, _ in best]])}
 
 
@@ -224,11 +227,11 @@ def _send(part: int, blocks, n: int, hot: dict[bytes, int]):
     for number, rows in enumerate(blocks):
         tok = Tokens([x for _, _, x in rows])
         train = np.repeat(np.array([r[1] for r in rows], bool), np.diff(np.append(tok.starts, len(tok.ids))))
-        count = np.bincount(tok.pair[train], minlength=len(tok.pair_word))
+        seen = np.bincount(tok.pair[train], minlength=len(tok.pair_word))
         block = number << 32 | tok.mark()
         for bucket, w, p in _by_bucket(tok, n, hot):
             sizes = np.bincount(np.searchsorted(w, tok.pair_word[p]), minlength=len(w))
-            piece = (block, b"\n".join([tok.words[k] for k in w.tolist()]), _ints(sizes), _planes(tok.pair_context[p]), _ints(count[p]))
+            piece = (block, b"\n".join([tok.words[k] for k in w.tolist()]), _ints(sizes), _planes(tok.pair_context[p]), _ints(seen[p]))
             held.setdefault(bucket, []).append(piece)
             size += sum(map(len, piece[1:]))
         if size >= HELD:
