@@ -107,6 +107,60 @@ reach(doc_id, r) as (select doc_id, doc_id from d union select reach.doc_id, lin
 select doc_id, cast(coalesce(any_value(n), 0) as bigint) as n_shingles, min(r) as component_id
 from reach left join n using (doc_id) group by doc_id"""
 
+# crc32 in SQL: the table by its rule, then byte by byte over the hexadecimal digits of the text.
+_CRC_TABLE = "(select list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by n) from (select unnest(range(256)) as n) q)"
+
+
+def _crc32(text: str) -> str:
+    """crc32 of an expression's bytes, given the table as a column ``tab``."""
+    codes = f"list_transform(range(1, strlen({text}) + 1), lambda i: ('0x' || substr(hex(encode({text})), 2 * i - 1, 2))::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {codes}), lambda c, b: xor(c >> 8, tab[xor(c, b) % 256 + 1])), 4294967295)"
+
+
+# The layers as strings: nine digits of cost, then the edits; e, s, u, a are the states.  Least strings are least costs, then least edits.
+_WAY = lambda w, cost, letter: f"(lpad((substr({w}, 1, 9)::int + {cost})::varchar, 9, '0') || substr({w}, 10) || '{letter}')"
+
+_OP12 = rf"""
+with recursive tabs as (select {_CRC_TABLE} as tab),
+k as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+  {_crc32("(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '))")} % 20 as k from conversations, tabs),
+rows as (select conv_id, turn, case when k = 4 then 'user' else role end as role,
+    case k when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from k, (select unnest([0, 1]) as copy) c where k <> 0 and (copy = 0 or k = 3)),
+o as (select *, row_number() over w as i, lag(role) over w as role_before,
+    row_number() over (partition by conv_id, role, text order by turn nulls first) as nth from rows
+  window w as (partition by conv_id order by turn nulls first, role, text)),
+f as (select *, case when not regexp_matches(text, '[^ 	-
+]') then 'blank' when nth > 1 then 'duplicate'
+    when not regexp_matches(text, '[.!?][ 	-
+]*$') then 'truncated' end as fault from o),
+s as (select conv_id, i, left(role, 1) as c, coalesce(fault, '') in ('', 'truncated') as may, case when fault = 'truncated' then 5 else 0 end as x from f),
+dp(conv_id, i, e, s, u, a) as (
+  select distinct conv_id, 0, '000000000', null::varchar, '000000005I', '000000010II' from conversations
+  union all
+  select conv_id, i, e, s, least(u, {_WAY('e', 5, 'I')}, {_WAY('s', 5, 'I')}, {_WAY('a', 5, 'I')}),
+    least(a, {_WAY('u', 5, 'I')}, {_WAY('e', 10, 'II')}, {_WAY('s', 10, 'II')}) from (
+    select dp.conv_id, dp.i + 1 as i, {_WAY('e', 2, 'D')} as e,
+      least({_WAY('s', 2, 'D')}, case when may and c = 's' then {_WAY('e', 'x', 'K')} end) as s,
+      least({_WAY('u', 2, 'D')}, case when may and c = 'u' then least({_WAY('e', 'x', 'K')}, {_WAY('s', 'x', 'K')}, {_WAY('a', 'x', 'K')}) end,
+        case when may then least({_WAY('e', '1 + x', 'R')}, {_WAY('s', '1 + x', 'R')}, {_WAY('a', '1 + x', 'R')}) end) as u,
+      least({_WAY('a', 2, 'D')}, case when may and c = 'a' then {_WAY('u', 'x', 'K')} end, case when may then {_WAY('u', '1 + x', 'R')} end) as a
+    from dp join s r on r.conv_id is not distinct from dp.conv_id and r.i = dp.i + 1) q),
+best as (select conv_id, substr(w, 1, 9)::bigint as cost, substr(w, 10) as audit from (
+  select conv_id, least(e, a) as w, row_number() over (partition by conv_id order by i desc) as last from dp) t where last = 1),
+ed as (select conv_id, audit, j, substr(audit, j, 1) as edit, length(replace(substr(audit, 1, j), 'I', '')) as i, length(replace(substr(audit, 1, j), 'D', '')) as p
+  from (select conv_id, audit, unnest(range(1, length(audit) + 1)) as j from best) t),
+ps as (select ed.*, f.role, f.text, max(case when p = 1 and edit = 'K' and left(f.role, 1) = 's' then 1 else 0 end) over (partition by ed.conv_id) as sys
+  from ed left join f on f.conv_id is not distinct from ed.conv_id and f.i = ed.i),
+rep as (select conv_id, sha256(string_agg(case when edit = 'K' then role when (p - sys) % 2 = 1 then 'user' else 'assistant' end || ':' ||
+    case when edit = 'I' then '' else text end, chr(10) order by j)) as h from ps where edit <> 'D' group by conv_id),
+n as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+    count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+    count(*) filter (role_before is not null and left(role_before, 1) || left(role, 1) not in ('su', 'ua', 'au')) as illegal from f group by conv_id)
+select best.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+  coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, best.cost, audit, coalesce(h, sha256('')) as repaired_sha256
+from best left join n on n.conv_id is not distinct from best.conv_id left join rep on rep.conv_id is not distinct from best.conv_id"""
+
 _OP13 = r"""
 with r as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -1, k, case when k = 0 then 'user' else 'assistant' end, '<|im_end|><|im_start|>assistant ok' from range(2) t(k)),
@@ -119,4 +173,4 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
   cast(sum(nt + case when opens then 12 + nr + 10 + 10 else 11 end) as bigint) as formatted_chars
 from e group by conv_id"""
 
-ORACLES = {"op13_chat_format": _OP13, "op9_ngram_jaccard_join": _OP9, "op7_substring_dedup": _OP7, "op1_decontaminate": _OP1, "op4_url_filter": _OP4, "op8_sharding": _OP8, "op10_quality_rules": _OP10}
+ORACLES = {"op12_conversation_repair": _OP12, "op13_chat_format": _OP13, "op9_ngram_jaccard_join": _OP9, "op7_substring_dedup": _OP7, "op1_decontaminate": _OP1, "op4_url_filter": _OP4, "op8_sharding": _OP8, "op10_quality_rules": _OP10}
