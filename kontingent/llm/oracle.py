@@ -127,13 +127,10 @@ k as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as
 rows as (select conv_id, turn, case when k = 4 then 'user' else role end as role,
     case k when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
   from k, (select unnest([0, 1]) as copy) c where k <> 0 and (copy = 0 or k = 3)),
-o as (select *, row_number() over w as i, lag(role) over w as role_before,
-    row_number() over (partition by conv_id, role, text order by turn nulls first) as nth from rows
-  window w as (partition by conv_id order by turn nulls first, role, text)),
-f as (select *, case when not regexp_matches(text, '[^ 	-
-]') then 'blank' when nth > 1 then 'duplicate'
-    when not regexp_matches(text, '[.!?][ 	-
-]*$') then 'truncated' end as fault from o),
+o as materialized (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from rows),
+f as materialized (select *, lag(role) over (partition by conv_id order by i) as role_before,
+    case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank' when i > min(i) over (partition by conv_id, role, text) then 'duplicate'
+    when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') then 'truncated' end as fault from o),
 s as (select conv_id, i, left(role, 1) as c, coalesce(fault, '') in ('', 'truncated') as may, case when fault = 'truncated' then 5 else 0 end as x from f),
 dp(conv_id, i, e, s, u, a) as (
   select distinct conv_id, 0, '000000000', null::varchar, '000000005I', '000000010II' from conversations
@@ -161,6 +158,26 @@ select best.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigi
   coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, best.cost, audit, coalesce(h, sha256('')) as repaired_sha256
 from best left join n on n.conv_id is not distinct from best.conv_id left join rep on rep.conv_id is not distinct from best.conv_id"""
 
+_GRAMS = lambda source: f"select r, array_to_string(ws[i:i + n - 1], ' ') as g from (select r, ws, n, unnest(range(1, len(ws) - n + 2)) as i from {source}, (select unnest([1, 2, 3]) as n) k where len(ws) >= n) q"
+
+_OP11 = rf"""
+with tabs as (select {_CRC_TABLE} as tab),
+d as materialized (select doc_id, row_number() over () as r, regexp_extract_all(translate(coalesce(text, ''), {_LOW}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+b as (select 0 as r, regexp_extract_all(translate(coalesce(text, ''), {_LOW}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+dg as materialized (select r, g, count(*) as n from ({_GRAMS('d')}) t group by r, g),
+bg as materialized (select g, count(*) as n from ({_GRAMS('b')}) t group by g),
+names as materialized (select g, {_crc32('g')} % 10000 as bucket from (select g from dg union select g from bg) x, tabs),
+s as (select bucket, sum(n)::bigint as s from dg join names using (g) group by bucket),
+t as (select bucket, sum(n)::bigint as t from bg join names using (g) group by bucket),
+a as (select (select coalesce(sum(s), 0)::bigint from s) as sa, (select coalesce(sum(t), 0)::bigint from t) as ta),
+gain as (select s.bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * (sa + 10000))::double / ((s + 1) * (ta + 10000))::double))::bigint as gain from s left join t using (bucket), a),
+w as (select r, sum(n)::bigint as n_features, sum(n * gain)::bigint as weight from dg join names using (g) join gain using (bucket) group by r),
+sc as (select d.r, doc_id, len(ws) >= 20 as able, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as score
+  from d left join w on d.r = w.r),
+rk as (select r, row_number() over (order by score desc, doc_id nulls last) as k, count(*) over () as n from sc where able)
+select doc_id, n_features, weight, score, case when k <= 5 * n // 100 then k end as rank from sc left join rk on sc.r = rk.r"""
+
 _OP13 = r"""
 with r as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -1, k, case when k = 0 then 'user' else 'assistant' end, '<|im_end|><|im_start|>assistant ok' from range(2) t(k)),
@@ -173,4 +190,4 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
   cast(sum(nt + case when opens then 12 + nr + 10 + 10 else 11 end) as bigint) as formatted_chars
 from e group by conv_id"""
 
-ORACLES = {"op12_conversation_repair": _OP12, "op13_chat_format": _OP13, "op9_ngram_jaccard_join": _OP9, "op7_substring_dedup": _OP7, "op1_decontaminate": _OP1, "op4_url_filter": _OP4, "op8_sharding": _OP8, "op10_quality_rules": _OP10}
+ORACLES = {"op11_resample": _OP11, "op12_conversation_repair": _OP12, "op13_chat_format": _OP13, "op9_ngram_jaccard_join": _OP9, "op7_substring_dedup": _OP7, "op1_decontaminate": _OP1, "op4_url_filter": _OP4, "op8_sharding": _OP8, "op10_quality_rules": _OP10}

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatformat, decontaminate, packing, pii, pyplm, quality, setjoin, sharding, substring, toxicity, turnrepair, urlfilter
+from . import chatformat, decontaminate, packing, pii, pyplm, quality, resample, setjoin, sharding, substring, toxicity, turnrepair, urlfilter
 
 # The path rules of op4.
 URL_RULES = (
@@ -103,6 +103,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("fail_bits").bitwiseAND(base) != 0).alias("base_failed"), "kept", "fail_bits")
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample.resample(docs, table(spark, sf_dir, "benchmark").select("text"))
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """op12's input: rows of conversations damaged by a hash of their place; dropped ones stay as rows that are not alive."""
     text = F.coalesce("text", F.lit(" "))
@@ -152,6 +157,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
+    "op11_resample": op11_resample,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_chat_format": op13_chat_format,
 }
