@@ -179,3 +179,67 @@ def running_intersection_order(relations) -> list[int] | None:
     except JunctionTreeError:
         return None
     return [forest.cliques[k] for k in forest.pre_order()]
+
+
+# Triangulation ------------------------------------------------------------------------
+
+def elimination_order(scopes, cells, keep: int = 0) -> list[int]:
+    """Variables of the scopes (masks) that are not kept, in the order in which to sum them out.
+
+    The next one is that which makes the smallest table (``cells`` of a mask), then the fewest new neighbours, then the
+    first by place.
+    """
+    g = primal_graph(scopes)
+    order, left = [], set(g) - set(bits(keep))
+    while left:
+        def cost(v: int):
+            near = g[v]
+            fill = sum(1 for a, b in combinations(sorted(near), 2) if b not in g[a])
+            return cells(1 << v | sum(1 << u for u in near)), fill, v
+
+        order.append(_eliminate(g, min(left, key=cost)))
+        left.discard(order[-1])
+    return order
+
+
+def _eliminate(g: Graph, v: int) -> int:
+    """Takes v out of the graph; its neighbours become neighbours of each other."""
+    near = g.pop(v)
+    for u in near:
+        g[u].discard(v)
+        g[u] |= near - {u}
+    return v
+
+
+def triangulated(relations, cells) -> tuple[int, ...]:
+    """Maximal cliques of a chordal graph that holds all relations: fewest new edges first (min-fill), then smallest tables."""
+    g, cliques = primal_graph(relations), []
+    while g:
+        def cost(v: int):
+            near = g[v]
+            fill = sum(1 for a, b in combinations(sorted(near), 2) if b not in g[a])
+            return fill, cells(1 << v | sum(1 << u for u in near)), v
+
+        v = min(g, key=cost)
+        cliques.append(1 << v | sum(1 << u for u in g[v]))
+        _eliminate(g, v)
+    kept = [c for k, c in enumerate(cliques) if not any(is_subset(c, d) and (c != d or j < k) for j, d in enumerate(cliques) if j != k)]
+    return tuple(sorted(kept, key=bits))
+
+
+def clique_tree(relations, cells) -> JunctionForest:
+    """Junction forest of the triangulated relations; any relations will do."""
+    return junction_forest(triangulated(relations, cells))
+
+
+def blocks(forest: JunctionForest, relations) -> list[list[int]]:
+    """Cliques by block: neighbours are in one block unless some relation holds their separator.
+
+    A separator inside a relation cuts a hierarchical model into parts that can be fitted each by itself.
+    """
+    of = list(range(len(forest.cliques)))
+    for k, (p, s) in enumerate(zip(forest.parent, forest.separators)):
+        if p >= 0 and s and not any(is_subset(s, r) for r in relations):
+            old, new = of[k], of[p]
+            of = [new if x == old else x for x in of]
+    return [[k for k in range(len(of)) if of[k] == b] for b in dict.fromkeys(of)]

@@ -25,6 +25,7 @@ from ..functions import special
 from ..graph import junction_forest
 from ..schema import PROB_MIN, Schema
 from . import fit as fitting
+from . import inference
 from . import table as tables
 from .table import VALUE
 
@@ -280,8 +281,9 @@ class Analyzer:
             q, _ = fitting.dense_ipf(self.dense(), m.relations)
             h, how = dense_entropy(q), "ipf"
         else:
-            q, _ = fitting.frame_ipf(self.probabilities, m)
-            h, how = tables.entropy(q), "ipf"
+            fitted = inference.fit_cliques(self.probabilities, m)
+            h, how = fitted.entropy(), "clique_ipf"
+            fitted.release()
         self.profile.record("ipf", time.perf_counter() - began)
         return h, how
 
@@ -371,7 +373,7 @@ class Analyzer:
             at = np.argwhere(q > PROB_MIN)
             rows = [(*map(int, c), float(q[tuple(c)])) for c in at]
             return self.spark.createDataFrame(rows, ", ".join(f"{c} int" for c in self.schema.columns) + f", {VALUE} double")
-        return fitting.frame_ipf(self.probabilities, m)[0]
+        return inference.fit_cliques(self.probabilities, m).joint()
 
     def residuals(self, m: Model | str) -> DataFrame:
         return tables.residuals(self.probabilities, self.fit_table(m), self.schema)

@@ -27,6 +27,8 @@ MAX_DENSE = 1 << 22
 MAX_BROADCAST = 100_000
 #: States that a DataFrame fit may enumerate unless told otherwise.
 MAX_STATES = 1 << 28
+#: Steps of a DataFrame fit in one plan.
+STEPS = 3
 
 
 @dataclass(frozen=True)
@@ -125,7 +127,7 @@ class Calibrated:
 
 
 def calibrate(p: DataFrame, model: Model, config: CalibrationConfig = CalibrationConfig()) -> Calibrated:
-    """Data margins are calibrated already, so no message passing is needed."""
+    """Margins of the data agree between cliques already, so nothing is passed; ``inference.calibrate`` takes any potentials."""
     if config.check and p.where(F.isnan(VALUE) | (F.col(VALUE) < 0) | (F.col(VALUE) == float("inf")) | F.isnull(VALUE)).limit(1).count():
         raise ComputationError("the table holds values that are no finite, non-negative numbers")
     if config.normalize:
@@ -178,13 +180,13 @@ def scale_by_margin(q: DataFrame, margin: DataFrame, names: list[str], small: bo
 
 
 def _sweep(q: DataFrame, margins, schema: Schema) -> DataFrame:
-    """One step per margin, each written, as a step reads what it starts from twice; ``q`` is given up."""
+    """One step per margin, written after every third, as a step reads what it starts from twice; ``q`` is given up."""
     small = schema.cells() <= MAX_BROADCAST
-    for names, m in margins:
-        new = scale_by_margin(q, m, names, schema.cells(sum(1 << schema.columns.index(c) for c in names)) <= MAX_BROADCAST)
-        new = materialise(new.coalesce(1) if small else new)
-        drop(q)
-        q = new
+    for k, (names, m) in enumerate(margins, 1):
+        q, before = scale_by_margin(q, m, names, schema.cells(sum(1 << schema.columns.index(c) for c in names)) <= MAX_BROADCAST), q if k % STEPS == 1 else before
+        if k % STEPS == 0 or k == len(margins):
+            q = materialise(q.coalesce(1) if small else q)
+            drop(before)
     return q
 
 
@@ -216,16 +218,9 @@ def margin_error(q: DataFrame, margins) -> float:
     return float(gaps.agg(F.max("gap").alias("m")).first()["m"] or 0.0)
 
 
-def fixed_sweeps(p: DataFrame, model: Model, sweeps: int, dense_cells: int = MAX_BROADCAST) -> DataFrame:
-    """A fixed number of IPF sweeps; on the driver where the variables have at most ``dense_cells`` states."""
+def fixed_sweeps(p: DataFrame, model: Model, sweeps: int) -> DataFrame:
+    """A fixed number of IPF sweeps as DataFrames."""
     schema = model.schema
-    if schema.cells() <= dense_cells:
-        q = np.zeros([v.cardinality for v in schema])
-        for r in p.select(*schema.columns, VALUE).collect():
-            q[tuple(r[c] for c in schema.columns)] = r[VALUE]
-        q, _ = dense_ipf(q, model.relations, IPFConfig(sweeps, -1.0))
-        rows = [(*map(int, c), float(q[tuple(c)])) for c in np.argwhere(q > 0)]
-        return p.sparkSession.createDataFrame(rows, ", ".join(f"{c} int" for c in schema.columns) + f", {VALUE} double")
     q = start_table(p, model)
     margins = [(schema.names(r), materialise(project(p, schema, r))) for r in model.relations]
     for _ in range(sweeps):
