@@ -1,7 +1,7 @@
 """The analyzer of one data set: entropies, model statistics, fits.
 
 Entropies of margins are the only data a decomposable model needs.  They are
-cached by variable mask and computed for many masks in one GROUPING SETS job,
+cached by variable mask; many are computed together, each margin from the smallest at hand (``rollup``),
 or, where the data set has at most ``LOCAL_STATES`` observed states, in numpy on
 the driver (the size is counted before anything is brought over).
 """
@@ -25,7 +25,7 @@ from ..functions import special
 from ..graph import junction_forest
 from ..schema import PROB_MIN, Schema
 from . import fit as fitting
-from . import inference
+from . import inference, rollup
 from . import table as tables
 from .table import VALUE
 
@@ -188,7 +188,9 @@ class Analyzer:
             if self.is_local:
                 self._h |= {m: self._local_entropy(m) for m in new}
             else:
-                self._h |= {r["mask"]: r["entropy"] for r in tables.entropies(self.table, self.schema, new).collect()}
+                margins = rollup.Rollup(self.table, self.schema, new, self.states)
+                self._h |= {r["mask"]: r["entropy"] for r in margins.entropies().collect()}  # one number per margin
+                margins.release()
             self.profile.record("entropies", time.perf_counter() - began)
         return {m: self._h[m] for m in masks}
 

@@ -21,10 +21,13 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: short lineage, safe against lost executors."""
+def materialise(df: DataFrame, by: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read back: short lineage, safe against lost executors.
+
+    by: a column of few values, by which files are kept apart, so that a filter on it reads only its own.
+    """
     path = f"{shared_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

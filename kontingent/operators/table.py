@@ -93,15 +93,19 @@ def entropies(t: DataFrame, schema: Schema, masks) -> DataFrame:
     masks = list(dict.fromkeys(masks))
     out = None
     for at in range(0, len(masks), SETS_PER_JOB):
-        p = project_many(t, schema, masks[at: at + SETS_PER_JOB]).where(F.col(VALUE) > 0)
-        e = p.groupBy("mask").agg((F.log2(F.sum(VALUE)) - F.sum(F.col(VALUE) * F.log2(VALUE)) / F.sum(VALUE)).alias("entropy"),
-                                  F.sum(VALUE).alias("n"), F.count("*").alias("states"))
+        e = entropies_of(project_many(t, schema, masks[at: at + SETS_PER_JOB]))
         out = e if out is None else out.union(e)
     if out is None:
         raise ValidationError("no projection given")
     return out
 
 
+def entropies_of(margins: DataFrame) -> DataFrame:
+    """(mask, entropy in bits, n, states) of the margins that a table with a column ``mask`` holds."""
+    return margins.where(F.col(VALUE) > 0).groupBy("mask").agg(
+        (F.log2(F.sum(VALUE)) - F.sum(F.col(VALUE) * F.log2(VALUE)) / F.sum(VALUE)).alias("entropy"), F.sum(VALUE).alias("n"), F.count("*").alias("states"))
+
+
 def entropy(t: DataFrame, kind: TableKind = TableKind.INFORMATION_THEORETIC) -> float:
     """Entropy in bits of a table of counts or probabilities."""
     if kind is not TableKind.INFORMATION_THEORETIC:

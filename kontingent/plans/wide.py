@@ -1,15 +1,17 @@
-"""Queries over twelve variables of lineitem, orders and part, whose states are far too many to list, and their SQL twins.
+"""Queries over twelve and more variables of lineitem, orders and part, whose states are far too many to list, and their SQL twins.
 
 The joint domain of A to L has 1.6e9 states; no query makes more than tables of a few variables.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import algebra
-from ..operators import fit, inference
+from ..operators import fit, inference, rollup
 from ..operators import table as tables
 from ..operators.analyzer import Analyzer
 from ..operators.storage import materialise
@@ -33,28 +35,40 @@ VARIABLES = (
     ("K", "ship_year", 7, "year(l_shipdate) - 1995"),
     ("L", "brand", 25, "cast(substr(p_brand, 7) as int) - 1"),
 )
-CARD = {a: n for a, _, n, _ in VARIABLES}
+#: Eight more, for what twenty columns take.
+MORE = (
+    ("M", "ship_month", 12, "month(l_shipdate) - 1"),
+    ("N", "order_month", 12, "month(o_orderdate) - 1"),
+    ("O", "order_quarter", 4, "floor((month(o_orderdate) - 1) / 3)"),
+    ("P", "price", 4, "least(floor(l_extendedprice / 20000), 3)"),
+    ("Q", "retail_price", 5, "least(floor(p_retailprice / 400), 4)"),
+    ("R", "supplier_group", 10, "l_suppkey % 10"),
+    ("S", "customer_group", 7, "o_custkey % 7"),
+    ("T", "part_group", 6, "l_partkey % 6"),
+)
+TWELVE, TWENTY = "ABCDEFGHIJKL", "ABCDEFGHIJKLMNOPQRST"
+CARD = {a: n for a, _, n, _ in VARIABLES + MORE}
 CHAIN = "AB:BC:CD:DE:EF:FG:GH"
 #: A loop of four and a triangle that share a variable, with trees on them.
 LOOPS = "AC:CG:GH:AH:HI:IJ:HJ:AB:CD:DE:EF:JK:KL"
 
 
-def wide_schema(names: str = "ABCDEFGHIJKL") -> Schema:
-    return Schema(tuple(Variable(name, a, n) for a, name, n, _ in VARIABLES if a in names))
+def wide_schema(names: str = TWELVE) -> Schema:
+    return Schema(tuple(Variable(name, a, n) for a, name, n, _ in VARIABLES + MORE if a in names))
 
 
-def wide_table(spark: SparkSession, sf: str, names: str = "ABCDEFGHIJKL") -> DataFrame:
+def wide_table(spark: SparkSession, sf: str, names: str = TWELVE) -> DataFrame:
     """Counts of the variables' states; the small dimension's join is left to the optimiser's sizes."""
-    own = [(a, e) for a, _, _, e in VARIABLES if a in names]
+    own = [(a, e) for a, _, _, e in VARIABLES + MORE if a in names]
     rows = read(spark, sf, "lineitem")
-    if set(names) & set("GH"):
-        rows = rows.join(read(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
-    if set(names) & set("IJL"):
-        rows = rows.join(read(spark, sf, "part").select("p_partkey", "p_size", "p_type", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    if set(names) & set("GHNOS"):
+        rows = rows.join(read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
+    if set(names) & set("IJLQ"):
+        rows = rows.join(read(spark, sf, "part").select("p_partkey", "p_size", "p_type", "p_brand", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
     return tables.aggregate(rows.select(*[F.expr(e).cast("int").alias(a) for a, e in own], F.lit(1.0).alias(VALUE)), wide_schema(names))
 
 
-def wide_probabilities(spark: SparkSession, sf: str, names: str = "ABCDEFGHIJKL") -> tuple[DataFrame, Schema]:
+def wide_probabilities(spark: SparkSession, sf: str, names: str = TWELVE) -> tuple[DataFrame, Schema]:
     t = materialise(wide_table(spark, sf, names))
     return tables.normalize(t), wide_schema(names)
 
@@ -116,15 +130,24 @@ def clique_fit_statistics(spark, sf):
     return spark.createDataFrame([row], "model string, h double, df long, lr double")
 
 
-QUERIES = {"bp_evidence": bp_evidence, "bp_potentials": bp_potentials, "chain_ends": chain_ends, "clique_fit": clique_fit, "clique_fit_statistics": clique_fit_statistics}
+def rollup_pairs(spark, sf):
+    """Entropies of all singles and pairs of twenty columns, from a few larger margins."""
+    t, s = materialise(wide_table(spark, sf, TWENTY)), wide_schema(TWENTY)
+    masks = [1 << i for i in range(20)] + [1 << i | 1 << j for i, j in combinations(range(20), 2)]
+    e = rollup.Rollup(t, s, masks, t.count(), worth=1 << 16).entropies()
+    name = F.create_map(*[x for m in masks for x in (F.lit(m).cast("long"), F.lit("".join(s.names(m))))])
+    return rounded(e.select(F.element_at(name, F.col("mask")).alias("relation"), "entropy", "n", "states"), 8)
+
+
+QUERIES = {"rollup_pairs": rollup_pairs, "bp_evidence": bp_evidence, "bp_potentials": bp_potentials, "chain_ends": chain_ends, "clique_fit": clique_fit, "clique_fit_statistics": clique_fit_statistics}
 
 
 # SQL twins ------------------------------------------------------------------------------------
 
-def _wide_cte(names: str = "ABCDEFGHIJKL") -> str:
+def _wide_cte(names: str = TWELVE) -> str:
     """t: counts; p: probabilities."""
-    cols = ", ".join(f"cast({e} as int) as {a}" for a, _, _, e in VARIABLES if a in names)
-    source = "lineitem" + (" join orders on l_orderkey = o_orderkey" if set(names) & set("GH") else "") + (" join part on l_partkey = p_partkey" if set(names) & set("IJL") else "")
+    cols = ", ".join(f"cast({e} as int) as {a}" for a, _, _, e in VARIABLES + MORE if a in names)
+    source = "lineitem" + (" join orders on l_orderkey = o_orderkey" if set(names) & set("GHNOS") else "") + (" join part on l_partkey = p_partkey" if set(names) & set("IJLQ") else "")
     return f"""t as materialized (select {cols}, cast(count(*) as double) as value from {source} group by all),
 p as materialized (select * replace (value / (select sum(value) from t) as value) from t)"""
 
@@ -168,13 +191,16 @@ _TREE_EDGES = [("AB", "A"), ("CD", "C"), ("DE", "D"), ("EF", "E"), ("JK", "J"),
 
 
 def _loops_df() -> int:
-    """Free parameters: singles, and (cardinality - 1) squared for each pair."""
+    """Free parameters: singles, and (cardinality - 1) multiplied for each pair."""
     pairs = LOOPS.split(":")
-    return sum(n - 1 for n in CARD.values()) + sum((CARD[a] - 1) * (CARD[b] - 1) for a, b in pairs)
+    return sum(CARD[c] - 1 for c in TWELVE) + sum((CARD[a] - 1) * (CARD[b] - 1) for a, b in pairs)
 
 
 _EIGHT = "ABCDEFGH"
+_SINGLES_AND_PAIRS = [*TWENTY, *map("".join, combinations(TWENTY, 2))]
 ORACLES = {
+    "rollup_pairs": f"with {_wide_cte(TWENTY)} " + " union all ".join(
+        f"select '{c}' as relation, round(log2(sum(v)) - sum(v * log2(v)) / sum(v), 8) as entropy, sum(v) as n, count(*) as states from {_m(c, 't')}" for c in _SINGLES_AND_PAIRS),
     "bp_evidence": f"with {_wide_cte(_EIGHT)}, {_chain_cte()}, g as materialized (select * from j where F = 3 and B = 1), n as (select sum(value) as n from g) "
         + " union all ".join(f"select '{c}' as variable, {c} as code, round(sum(value) / any_value(n), 9) as value, round(any_value(n), 9) as evidence from g, n group by {c}" for c in _EIGHT),
     "bp_potentials": f"""with {_wide_cte('ACG')}, g as (select x.A, x.C, y.G, x.v * sqrt(y.v) / z.v / (y.G + 1) as value from {_m('AC', 't')} x join {_m('CG', 't')} y on x.C = y.C join {_m('AG', 't')} z on x.A = z.A and y.G = z.G)

@@ -96,3 +96,54 @@ def save_records(path: str, records: list[dict]) -> None:
 def load_records(path: str) -> list[dict]:
     with open(path) as f:
         return json.load(f)["records"]
+
+
+# What Spark did, by tag -------------------------------------------------------------------
+
+# The figures of a stage that a profile adds up, and those of which it keeps the largest.
+STAGE_SUMS = {"shuffle_write_bytes": "shuffleWriteBytes", "shuffle_write_rows": "shuffleWriteRecords", "shuffle_read_rows": "shuffleReadRecords", "input_rows": "inputRecords",
+              "spilled_bytes": "diskBytesSpilled", "task_ms": "executorRunTime", "tasks": "numTasks"}
+STAGE_PEAKS = {"peak_memory_bytes": "peakExecutionMemory"}
+
+
+@contextmanager
+def tagged(spark, *tags: str):
+    """Jobs that this thread starts meanwhile carry the tags."""
+    sc = spark.sparkContext
+    own = [t for t in tags if t and t not in sc.getJobTags()]
+    for t in own:
+        sc.addJobTag(t)
+    try:
+        yield
+    finally:
+        for t in own:
+            sc.removeJobTag(t)
+
+
+def stage_figures(spark, tag: str) -> dict:
+    """Sums and peaks over the finished stages of all jobs with the tag, from Spark's own status store.
+
+    The store keeps the last ``spark.ui.retainedStages`` stages, so read it while they are fresh.
+    """
+    sc = spark.sparkContext
+    jsc, jvm = sc._jsc.sc(), sc._jvm
+    jsc.listenerBus().waitUntilEmpty()
+    store = jsc.statusStore()
+    jobs = store.jobsList(None)
+    stages, n_jobs = set(), 0
+    for k in range(jobs.size()):
+        job = jobs.apply(k)
+        if job.jobTags().contains(tag):
+            n_jobs += 1
+            stages |= {job.stageIds().apply(i) for i in range(job.stageIds().size())}
+    out = {"jobs": n_jobs, "stages": 0} | dict.fromkeys([*STAGE_SUMS, *STAGE_PEAKS], 0)
+    found = store.stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    for k in range(found.size()):
+        stage = found.apply(k)
+        if stage.stageId() in stages and stage.status().toString() in ("COMPLETE", "FAILED"):
+            out["stages"] += 1
+            for name, getter in STAGE_SUMS.items():
+                out[name] += getattr(stage, getter)()
+            for name, getter in STAGE_PEAKS.items():
+                out[name] = max(out[name], getattr(stage, getter)())
+    return out

@@ -121,8 +121,9 @@ def test_frame_fit_follows_the_dense_one(spark):
     for r in got.collect():
         assert r["value"] == pytest.approx(dense[r["A"], r["B"], r["C"]], abs=1e-9)
     assert how.iterations == info.iterations and how.converged
-    planes = [{(r["A"], r["B"], r["C"]): round(r["value"], 12) for r in fitting.fixed_sweeps(p, m, 2, cells).where("value > 0").collect()} for cells in (100, 0)]
-    assert planes[0] == pytest.approx(planes[1])
+    dense, _ = fitting.dense_ipf(q, m.relations, fitting.IPFConfig(2, -1.0))
+    swept = {(r["A"], r["B"], r["C"]): r["value"] for r in fitting.fixed_sweeps(p, m, 2).collect()}
+    assert swept == pytest.approx({tuple(map(int, at)): float(dense[tuple(at)]) for at in np.ndindex(dense.shape)}, abs=1e-12)
 
 
 def test_matching_joins_by_what_both_have(spark):
