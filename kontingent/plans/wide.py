@@ -5,9 +5,11 @@ The joint domain of A to L has 1.6e9 states; no query makes more than tables of
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import algebra
@@ -16,7 +18,9 @@ from ..operators import table as tables
 from ..operators.analyzer import Analyzer
 from ..operators.storage import materialise
 from ..schema import Schema, Variable
-from .catalogue import VALUE, read, rounded
+from . import levels, search
+from .catalogue import ORACLES as LINE_ORACLES
+from .catalogue import VALUE, _gamma_p, line_schema, line_table, read, rounded
 
 # The first words of part types, sorted.
 TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
@@ -139,7 +143,44 @@ def rollup_pairs(spark, sf):
     return rounded(e.select(F.element_at(name, F.col("mask")).alias("relation"), "entropy", "n", "states"), 8)
 
 
-QUERIES = {"rollup_pairs": rollup_pairs, "bp_evidence": bp_evidence, "bp_potentials": bp_potentials, "chain_ends": chain_ends, "clique_fit": clique_fit, "clique_fit_statistics": clique_fit_statistics}
+def partition_level(spark, sf):
+    """All 11,880 partitions of eleven variables into eight groups: three steps up from independence, with their statistics
+    and the p-value of what they gain on it.  Models, margins and figures are tables throughout."""
+    names = TWELVE[:11]
+    s = wide_schema(names)
+    level = levels.Levels(wide_table(spark, sf, names), s)
+    first = algebra.independence(s)
+    models = levels.model_frame(spark, [first])
+    for _ in range(3):
+        models = materialise(levels.neighbours(models, s, "disjoint"))
+    out = level.evaluate(models, against=first)
+    return out.select("model", "df", F.round("lr", 2).alias("lr"), F.round("bic", 2).alias("bic"), F.round("alpha", 6).alias("alpha"))
+
+
+def loop_level(spark, sf):
+    """One step up from AB:BC:D with its loops, all fitted side by side in one table."""
+    level = levels.Levels(line_table(spark, sf), line_schema(), fit.IPFConfig(1000, 1e-9))
+    models = levels.neighbours(levels.model_frame(spark, [algebra.parse_model(line_schema(), "AB:BC:D")]), line_schema(), "full")
+    return rounded(level.evaluate(models).select("model", "lr", "df", "bic"), 2)
+
+
+def table_search(spark, sf):
+    """The search of full_search with levels as tables."""
+    level = levels.Levels(line_table(spark, sf), line_schema(), fit.IPFConfig(1000, 1e-9))
+    found = level.search(algebra.independence(line_schema()), "full", "up", "bic", 2, 2)
+    rank = F.row_number().over(W.orderBy("bic", "model"))  # at most 1 + width x levels rows
+    return rounded(found.select(rank.alias("rank"), "model", F.col("bic").alias("statistic"), F.col("step").alias("level"), "has_loops"), 4)
+
+
+def far_search(spark, sf):
+    """The search of beam_search where nothing may be evaluated on the driver."""
+    a = Analyzer(line_table(spark, sf), line_schema(), local_states=0)
+    out = rounded(search.search(a, "loopless", "up", "bic", 3, 3).frame(a), 5)
+    a.release()
+    return out
+
+
+QUERIES = {"partition_level": partition_level, "loop_level": loop_level, "table_search": table_search, "far_search": far_search, "rollup_pairs": rollup_pairs, "bp_evidence": bp_evidence, "bp_potentials": bp_potentials, "chain_ends": chain_ends, "clique_fit": clique_fit, "clique_fit_statistics": clique_fit_statistics}
 
 
 # SQL twins ------------------------------------------------------------------------------------
@@ -196,9 +237,43 @@ def _loops_df() -> int:
     return sum(CARD[c] - 1 for c in TWELVE) + sum((CARD[a] - 1) * (CARD[b] - 1) for a, b in pairs)
 
 
+def _partition_level_sql(names: str = TWELVE[:11], groups: int = 8) -> str:
+    """Partitions as strings of group numbers (each at most one more than those before), their entropies from keys of states."""
+    n, step = len(names), 5  # five bits a variable
+    key = " + ".join(f"({c}::bigint << {step * k})" for k, c in enumerate(names))
+    small = n - groups + 1  # variables of the largest group
+    cards = "[" + ", ".join(str(CARD[c]) for c in names) + "]"
+    letters = "[" + ", ".join(f"'{c}'" for c in names) + "]"
+    tail = f"case when z >= 0 then {gamma_q('0.5', '(z * z / 2)')} / 2 else 1 - {gamma_q('0.5', '(z * z / 2)')} / 2 end"
+    return f"""with recursive {_wide_cte(names)},
+k as materialized (select {key} as key, value from t),
+masks as materialized (select m, list_sum(list_transform(range({n}), lambda i: case when (m >> i) & 1 = 1 then 31::bigint << ({step} * i) else 0 end))::bigint as f from (select unnest(range(1, {1 << n})) as m) q where bit_count(m) <= {small}),
+h as materialized (select m, log2(sum(v)) - sum(v * log2(v)) / sum(v) as h from (select m, key & f as x, sum(value) as v from k, masks group by m, key & f) q group by m),
+grow(i, top, a) as (select 1, 0, [0] union all select i + 1, greatest(top, g), list_append(a, g) from (select i, top, a, unnest(range(0, top + 2)) as g from grow where i < {n}) q
+  where greatest(top, g) + 1 + {n} - i - 1 >= {groups} and greatest(top, g) < {groups}),
+part as materialized (select row_number() over () as r, a from grow where i = {n} and top = {groups - 1}),
+grp as materialized (select r, g, list_sum(list_transform(range({n}), lambda i: case when a[i + 1] = g then 1::bigint << i else 0 end))::bigint as m,
+  list_aggregate(list_transform(range({n}), lambda i: case when a[i + 1] = g then {letters}[i + 1] else '' end), 'string_agg', '') as name,
+  list_product(list_transform(range({n}), lambda i: case when a[i + 1] = g then {cards}[i + 1] else 1 end))::bigint - 1 as df from part, (select unnest(range({groups})) as g) u),
+mo as (select string_agg(name, ':' order by g) as model, sum(h) as h, sum(df)::bigint as df from grp join h using (m) group by r),
+c as (select {_h(names)} as hd, (select sum(value) from t) as n, (select sum(h) from h where bit_count(m) = 1) as h0, {sum(CARD[c] - 1 for c in names)} as df0),
+s as (select model, df, 2 * n * ln(2) * (h - hd) as lr, 2 * n * ln(2) * (h0 - h) as x, (df - df0)::double as d, n from mo, c),
+w as (select *, (pow(x / d, 1.0::double / 3) - (1 - 2 / (9 * d))) / sqrt(2 / (9 * d)) as z from s)
+select model, df, round(lr, 2) as lr, round(lr - ({math.prod(CARD[c] for c in names) - 1} - df) * ln(n), 2) as bic,
+  round(case when x <= 0 then 1 when d >= 100 then {tail} else {gamma_q('(d / 2)', '(x / 2)')} end, 6) + 0.0 as alpha from w"""
+
+
+def gamma_q(a: str, y: str) -> str:
+    return f"(1 - {_gamma_p(a, y)})"
+
+
 _EIGHT = "ABCDEFGH"
 _SINGLES_AND_PAIRS = [*TWENTY, *map("".join, combinations(TWENTY, 2))]
 ORACLES = {
+    "partition_level": _partition_level_sql(),
+    "loop_level": LINE_ORACLES["full_up_level2"],
+    "table_search": LINE_ORACLES["full_search"],
+    "far_search": LINE_ORACLES["beam_search"],
     "rollup_pairs": f"with {_wide_cte(TWENTY)} " + " union all ".join(
         f"select '{c}' as relation, round(log2(sum(v)) - sum(v * log2(v)) / sum(v), 8) as entropy, sum(v) as n, count(*) as states from {_m(c, 't')}" for c in _SINGLES_AND_PAIRS),
     "bp_evidence": f"with {_wide_cte(_EIGHT)}, {_chain_cte()}, g as materialized (select * from j where F = 3 and B = 1), n as (select sum(value) as n from g) "

@@ -72,7 +72,7 @@ def test_a_chain_is_eliminated_over_three_variables():
     assert sorted(elimination_order(pairs, s.cells, 0b10000001)) == list(range(1, 7))
 
 
-@pytest.mark.parametrize("name", ["AB:BC:CD:AD:DE", "AB:BC:AC:CD:DE:EF:DF", "AB:BC:CD:DE:AE:F", "ABC:CD:E"])
+@pytest.mark.parametrize("name", ["AB:BC:CD:AD:DE", "AB:BC:AC:CD:DE:EF:DF", "ABC:CD:E"])
 def test_fits_equal_the_dense_ones(data, name):
     s, p, df = data
     m = parse_model(s, name)
@@ -92,7 +92,7 @@ def test_fits_equal_the_dense_ones(data, name):
 
 def test_fits_of_random_models(spark):
     rng = np.random.default_rng(9)
-    for trial in range(4):
+    for trial in range(2):
         cards = [int(x) for x in rng.integers(2, 4, 5)]
         s, p = schema_of(cards), rng.random(cards)
         p /= p.sum()
