@@ -31,3 +31,7 @@ class JunctionTreeError(ModelError):
 
 class SearchError(KontingentError):
     """A search that cannot run."""
+
+
+class SearchCancelled(SearchError):
+    """A search that was told to stop."""

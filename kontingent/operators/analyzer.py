@@ -23,6 +23,7 @@ from ..algebra import Model, bits, size
 from ..errors import ComputationError, ValidationError
 from ..functions import special
 from ..graph import junction_forest
+from ..progress import Event
 from ..schema import PROB_MIN, Schema
 from . import fit as fitting
 from . import inference, rollup
@@ -119,6 +120,8 @@ class Analyzer:
         self.compat, self.local_states = compat, local_states
         self._h: dict[int, float] = {0: 0.0}
         self.cache, self.profile = CacheStats(), Profile()
+        #: Gets events of batches and fits; what it raises ends the work.
+        self.tell = lambda event: None
         self._fits: dict[tuple[int, ...], tuple[float, str]] = {}
 
     @classmethod
@@ -132,6 +135,12 @@ class Analyzer:
         """Let go of the cached table; statistics computed so far stay."""
         self.table.unpersist()
 
+    def __enter__(self) -> "Analyzer":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
+
     @cached_property
     def summary(self) -> tuple[float, int]:
         """Sum of counts and number of observed states, of the aggregated table (cached for the jobs to come)."""
@@ -186,12 +195,14 @@ class Analyzer:
         if new:
             began = time.perf_counter()
             if self.is_local:
-                self._h |= {m: self._local_entropy(m) for m in new}
+                for m in new:
+                    self._h[m] = self._local_entropy(m)
             else:
                 margins = rollup.Rollup(self.table, self.schema, new, self.states)
                 self._h |= {r["mask"]: r["entropy"] for r in margins.entropies().collect()}  # one number per margin
                 margins.release()
             self.profile.record("entropies", time.perf_counter() - began)
+            self.tell(Event("model_batch", {"margins": len(new), "known": len(self._h)}))
         return {m: self._h[m] for m in masks}
 
     def _local_entropy(self, mask: int) -> float:
@@ -258,6 +269,7 @@ class Analyzer:
             self._fits[models[r["place"]].relations] = r["h"], "ipf"
         shared.unpersist()
         self.profile.record("ipf", time.perf_counter() - began)
+        self.tell(Event("ipf", {"models": len(models), "seconds": time.perf_counter() - began}))
 
     def h(self, m: Model | str) -> float:
         """Entropy of the fitted model, in bits."""
@@ -279,14 +291,16 @@ class Analyzer:
 
     def _loop_entropy(self, m: Model) -> tuple[float, str]:
         began = time.perf_counter()
+        sweep = lambda k, error: self.tell(Event("ipf_sweep", {"model": m.name, "iteration": k, "error": error}))
         if self.is_local and self.schema.cells() <= fitting.MAX_DENSE:
-            q, _ = fitting.dense_ipf(self.dense(), m.relations)
+            q, info = fitting.dense_ipf(self.dense(), m.relations, on_sweep=sweep)
             h, how = dense_entropy(q), "ipf"
         else:
-            fitted = inference.fit_cliques(self.probabilities, m)
-            h, how = fitted.entropy(), "clique_ipf"
+            fitted = inference.fit_cliques(self.probabilities, m, on_sweep=sweep)
+            h, how, info = fitted.entropy(), "clique_ipf", fitted.info
             fitted.release()
         self.profile.record("ipf", time.perf_counter() - began)
+        self.tell(Event("ipf", {"model": m.name, "iterations": info.iterations, "error": info.error, "converged": info.converged, "seconds": time.perf_counter() - began}))
         return h, how
 
     def df(self, m: Model | str) -> int:

@@ -139,8 +139,11 @@ def calibrate(p: DataFrame, model: Model, config: CalibrationConfig = Calibratio
 
 # Iterative proportional fitting -------------------------------------------------
 
-def dense_ipf(p: np.ndarray, relations, config: IPFConfig = IPFConfig()) -> tuple[np.ndarray, FitInfo]:
-    """Fit on a dense array whose axes are the variables; variables in no relation end up uniform."""
+def dense_ipf(p: np.ndarray, relations, config: IPFConfig = IPFConfig(), on_sweep=None) -> tuple[np.ndarray, FitInfo]:
+    """Fit on a dense array whose axes are the variables; variables in no relation end up uniform.
+
+    on_sweep: called with the number of each sweep and its error; what it raises ends the fit.
+    """
     axes = [tuple(k for k in range(p.ndim) if not r >> k & 1) for r in relations]
     margins = [p.sum(axis=a, keepdims=True) for a in axes]
     q = np.full(p.shape, p.sum() / p.size)
@@ -151,6 +154,8 @@ def dense_ipf(p: np.ndarray, relations, config: IPFConfig = IPFConfig()) -> tupl
             have = q.sum(axis=a, keepdims=True)
             q = q * np.divide(m, have, out=np.zeros_like(m), where=have > 0)
         info.error = max(float(np.abs(q.sum(axis=a, keepdims=True) - m).max()) for a, m in zip(axes, margins))
+        if on_sweep:
+            on_sweep(info.iterations, info.error)
         if info.error < config.tolerance or abs(before - info.error) < config.tolerance * 0.1:
             info.converged = True
             break

@@ -342,11 +342,11 @@ def support_of(margins: dict[int, DataFrame], mask: int, schema: Schema) -> Data
     return margins[whole].where(F.col(VALUE) > 0).select(*schema.names(mask)).distinct().withColumn(VALUE, F.lit(1.0))
 
 
-def fit_cliques(p: DataFrame, model: Model, config: fitting.IPFConfig = fitting.IPFConfig()) -> CliqueTree:
+def fit_cliques(p: DataFrame, model: Model, config: fitting.IPFConfig = fitting.IPFConfig(), on_sweep=None) -> CliqueTree:
     """The fit of any model to a probability table, as clique tables; variables in no relation are uniform.
 
     ``config.max_iterations`` sweeps at most in each block; the gap of a sweep is the largest miss of a margin when it was
-    about to be scaled.
+    about to be scaled.  on_sweep: called with the number of each sweep and its gap; what it raises ends the fit.
     """
     schema = model.schema
     relations = list(model.relations)
@@ -371,6 +371,8 @@ def fit_cliques(p: DataFrame, model: Model, config: fitting.IPFConfig = fitting.
         for sweeps in range(1, config.max_iterations + 1):
             block.sweep()
             gap = block.gap()
+            if on_sweep:
+                on_sweep(sweeps, gap)
             converged = gap < config.tolerance or abs(before - gap) < config.tolerance * 0.1
             before = gap
             if converged:

@@ -126,9 +126,9 @@ def marginal_entropies(spark, sf):
 
 
 def mutual_information(spark, sf):
-    a = analyzer(spark, sf)
-    rows = [("".join(a.schema.names(1 << i | 1 << j)), round(x, 8) + 0.0) for i, j, x in a.all_mutual_information()]
-    return spark.createDataFrame(rows, "pair string, mi double")
+    with analyzer(spark, sf) as a:
+        rows = [("".join(a.schema.names(1 << i | 1 << j)), round(x, 8) + 0.0) for i, j, x in a.all_mutual_information()]
+        return spark.createDataFrame(rows, "pair string, mi double")
 
 
 def kl_divergence(spark, sf):
@@ -144,23 +144,24 @@ def max_entropy(spark, sf):
 
 def _model_row(name):
     def run(spark, sf):
-        a = analyzer(spark, sf)
-        n = a.model(name)
-        row = (name, round(a.h(n), 8), round(a.t(n), 8) + 0.0, a.df(n), a.ddf(n), round(a.lr(n), 5) + 0.0, round(a.aic(n), 5), round(a.bic(n), 5))
-        return spark.createDataFrame([row], "model string, h double, t double, df long, ddf long, lr double, aic double, bic double")
+        with analyzer(spark, sf) as a:
+            n = a.model(name)
+            row = (name, round(a.h(n), 8), round(a.t(n), 8) + 0.0, a.df(n), a.ddf(n), round(a.lr(n), 5) + 0.0, round(a.aic(n), 5), round(a.bic(n), 5))
+            return spark.createDataFrame([row], "model string, h double, t double, df long, ddf long, lr double, aic double, bic double")
 
     return run
 
 
 def model_fit_table(spark, sf):
     """All statistics of a model with a loop."""
-    return rounded(analyzer(spark, sf).fit_frame("AB:BC:AC:D"), 4)
+    with analyzer(spark, sf) as a:
+        return rounded(a.fit_frame("AB:BC:AC:D"), 4)
 
 
 def relation_metrics(spark, sf):
-    a = analyzer(spark, sf)
-    rows = [tuple(round(x, 5) + 0.0 if isinstance(x, float) else x for x in a.relation_metrics(m).values()) for m in (0b0011, 0b0110, 0b1100)]
-    return spark.createDataFrame(rows, "relation string, h double, t double, df long, lr double, p2 double")
+    with analyzer(spark, sf) as a:
+        rows = [tuple(round(x, 5) + 0.0 if isinstance(x, float) else x for x in a.relation_metrics(m).values()) for m in (0b0011, 0b0110, 0b1100)]
+        return spark.createDataFrame(rows, "relation string, h double, t double, df long, lr double, p2 double")
 
 
 def _fit(name):
@@ -221,9 +222,9 @@ def calibrated_cliques(spark, sf):
 
 
 def cond_entropy(spark, sf):
-    a = analyzer(spark, sf, "A")
-    rows = [(m, round(a.cond_h(m), 8), round(a.cond_dh(m), 8) + 0.0) for m in ("A:BCD", "AB:CD", "ABCD")]
-    return spark.createDataFrame(rows, "model string, cond_h double, cond_dh double")
+    with analyzer(spark, sf, "A") as a:
+        rows = [(m, round(a.cond_h(m), 8), round(a.cond_dh(m), 8) + 0.0) for m in ("A:BCD", "AB:CD", "ABCD")]
+        return spark.createDataFrame(rows, "model string, cond_h double, cond_dh double")
 
 
 def _conditional(spark, sf):
@@ -259,24 +260,24 @@ def accuracy(spark, sf):
 
 def incremental_alpha(spark, sf):
     """LR and p-value of the step from independence to AB (two degrees of freedom: a closed form)."""
-    a = analyzer(spark, sf)
-    lr = abs(a.lr("AB:C:D") - a.lr("A:B:C:D"))
-    return spark.createDataFrame([(round(lr, 5), round(a.incremental_alpha("AB:C:D", "A:B:C:D"), 6))], "lr double, alpha double")
+    with analyzer(spark, sf) as a:
+        lr = abs(a.lr("AB:C:D") - a.lr("A:B:C:D"))
+        return spark.createDataFrame([(round(lr, 5), round(a.incremental_alpha("AB:C:D", "A:B:C:D"), 6))], "lr double, alpha double")
 
 
 def _level(filter, direction="up", start=None, dependent="", digits=5):
     def run(spark, sf):
-        a = analyzer(spark, sf, dependent)
-        first = algebra.reference_model(a.schema, start)
-        rows = [(r["model"], round(r["lr"], digits) + 0.0, int(r["df"]), round(r["bic"], digits)) for r in a.evaluate(neighbours.rule(filter, direction)(first), ("lr", "df", "bic"))]
-        return spark.createDataFrame(rows, "model string, lr double, df long, bic double")
+        with analyzer(spark, sf, dependent) as a:
+            first = algebra.reference_model(a.schema, start)
+            rows = [(r["model"], round(r["lr"], digits) + 0.0, int(r["df"]), round(r["bic"], digits)) for r in a.evaluate(neighbours.rule(filter, direction)(first), ("lr", "df", "bic"))]
+            return spark.createDataFrame(rows, "model string, lr double, df long, bic double")
 
     return run
 
 
 def all_chains(spark, sf):
-    a = analyzer(spark, sf)
-    return spark.createDataFrame([(r["model"], round(r["h"], 8)) for r in a.evaluate(neighbours.all_chains(a.schema), ("h",))], "model string, h double")
+    with analyzer(spark, sf) as a:
+        return spark.createDataFrame([(r["model"], round(r["h"], 8)) for r in a.evaluate(neighbours.all_chains(a.schema), ("h",))], "model string, h double")
 
 
 def lattice_partitions(spark, sf):
@@ -290,24 +291,24 @@ def directed_lattice(spark, sf):
 
 
 def beam_search(spark, sf):
-    a = analyzer(spark, sf)
-    return rounded(search.search(a, "loopless", "up", "bic", 3, 3).frame(a), 5)
+    with analyzer(spark, sf) as a:
+        return rounded(search.search(a, "loopless", "up", "bic", 3, 3).frame(a), 5)
 
 
 def full_search(spark, sf):
-    a = analyzer(spark, sf)
-    return rounded(search.search(a, "full", "up", "bic", 2, 2).frame(a), 4)
+    with analyzer(spark, sf) as a:
+        return rounded(search.search(a, "full", "up", "bic", 2, 2).frame(a), 4)
 
 
 def search_down(spark, sf):
-    a = analyzer(spark, sf)
-    return rounded(search.search(a, "loopless", "down", "bic", 3, 2).frame(a), 5)
+    with analyzer(spark, sf) as a:
+        return rounded(search.search(a, "loopless", "down", "bic", 3, 2).frame(a), 5)
 
 
 def chow_liu(spark, sf):
     """The tree of greatest mutual information over lineitem's variables."""
-    a = analyzer(spark, sf)
-    return spark.createDataFrame([("".join(a.schema.names(1 << i | 1 << j)), round(x, 10)) for i, j, x in search.chow_liu(a)], "edge string, mi double")
+    with analyzer(spark, sf) as a:
+        return spark.createDataFrame([("".join(a.schema.names(1 << i | 1 << j)), round(x, 10)) for i, j, x in search.chow_liu(a)], "edge string, mi double")
 
 
 def search_estimate(spark, sf):
@@ -346,7 +347,8 @@ def missing_values(spark, sf):
 
 def ipf_converged(spark, sf):
     """The fit of AB:BC:AC:D, until it converges, by the analyzer's dispatcher."""
-    return rounded(analyzer(spark, sf).fit_table("AB:BC:AC:D"), 6)
+    with analyzer(spark, sf) as a:
+        return rounded(a.fit_table("AB:BC:AC:D"), 6)
 
 
 def frame_ipf_converged(spark, sf):
@@ -602,8 +604,12 @@ select model, round(2 * n * ln(2) * (h - hd), {digits}) as lr, df, round(2 * n *
 
 
 def _df_of(m: algebra.Model) -> int:
+    return _df_sets(tuple("".join(m.schema.names(r)) for r in m.relations))
+
+
+def _df_sets(relations: tuple[str, ...]) -> int:
     """Free parameters: (cardinality - 1) multiplied over each set of variables that some relation holds."""
-    held = {frozenset(c) for r in m.relations for k in range(1, len(m.schema.names(r)) + 1) for c in combinations(m.schema.names(r), k)}
+    held = {frozenset(c) for r in relations for k in range(1, len(r) + 1) for c in combinations(r, k)}
     out = 0
     for part in held:
         n = 1
@@ -613,21 +619,78 @@ def _df_of(m: algebra.Model) -> int:
     return out
 
 
-def _beam_sql(filter: str, direction: str, start: str, width: int, levels: int, digits: int) -> str:
-    """A beam search by BIC: statistics of all models in reach and the steps between them; the choice is made here."""
-    step, first = neighbours.rule(filter, direction), algebra.reference_model(line_schema(), start)
+# Searches by themselves: a model is a sorted tuple of sorted strings, and nothing of the library's rules or graph tests is used.
+
+def _tidy(relations) -> tuple[str, ...]:
+    """Without relations that lie inside another."""
+    own = {"".join(sorted(r)) for r in relations}
+    return tuple(sorted(r for r in own if not any(r != q and set(r) <= set(q) for q in own)))
+
+
+def _ears(m: tuple[str, ...]) -> list[tuple[str, str]] | None:
+    """(relation, what it shares with the rest), taken off one after the other; None where a loop leaves none to take."""
+    left, out = list(m), []
+    while left:
+        for r in left:
+            rest = [q for q in left if q != r]
+            shared = set(r) & set("".join(rest))
+            if not rest or any(shared <= set(q) for q in rest):
+                out.append((r, "".join(sorted(shared))))
+                left.remove(r)
+                break
+        else:
+            return None
+    return out
+
+
+def _merges(m: tuple[str, ...]):
+    """A pair of variables that no relation holds brings the last relations with one of them together."""
+    for a, b in combinations("ABCD", 2):
+        x, y = [r for r in m if a in r], [r for r in m if b in r]
+        if x and y and not set(x) & set(y):
+            yield _tidy([r for r in m if r not in (x[-1], y[-1])] + [x[-1] + "".join(c for c in y[-1] if c not in x[-1])])
+
+
+def _splits(m: tuple[str, ...]):
+    """A pair of variables that one relation alone holds, and not by itself, is taken apart."""
+    for a, b in combinations("ABCD", 2):
+        own = [r for r in m if a in r and b in r]
+        if len(own) == 1 and len(own[0]) > 2:
+            yield _tidy([r for r in m if r != own[0]] + [own[0].replace(a, ""), own[0].replace(b, "")])
+
+
+def _steps(m: tuple[str, ...], kind: str) -> list[tuple[str, ...]]:
+    if kind == "full up":
+        pairs = (_tidy([*m, a + b]) for a, b in combinations("ABCD", 2) if not any(a in r and b in r for r in m))
+        return list(dict.fromkeys([*_merges(m), *pairs]))
+    found = _merges(m) if kind == "loopless up" else _splits(m)
+    return [x for x in dict.fromkeys(found) if _ears(x) is not None]
+
+
+def _beam_sql(kind: str, start: str, width: int, levels: int, digits: int) -> str:
+    """A beam search by BIC: statistics of all models in reach and the steps between them; SQL makes the choice."""
+    first = _tidy(start.split(":"))
     edges, reach, now = [], [first], [first]
     for _ in range(levels):
-        steps = [(m, x) for m in now for x in step(m)]
+        steps = [(m, x) for m in now for x in _steps(m, kind)]
         edges += steps
         now = [x for x in dict.fromkeys(x for _, x in steps) if x not in reach]
         reach += now
     ctes: list[str] = []
-    rows = [f"select '{m.name}' as model, {_entropy_sql(m, ctes)} as h, {_df_of(m)} as df, {str(m.has_loops).lower()} as has_loops" for m in reach]
+
+    def h(m: tuple[str, ...]) -> str:
+        ears = _ears(m)
+        if ears is not None:
+            return " + ".join(_h(r) for r, _ in ears) + "".join(f" - {_h(s)}" for _, s in ears if s)
+        parts, last = _fit_ctes(m, "ABCD", 12, f"f{len(ctes)}_")
+        ctes.extend(parts)
+        return f"(select -sum(value * log2(value)) from {last} where value > 0)"
+
+    rows = [f"select '{':'.join(m)}' as model, {h(m)} as h, {_df_sets(m)} as df, {str(_ears(m) is None).lower()} as has_loops" for m in reach]
     parts = [_T, *ctes, f"m as materialized ({' union all '.join(rows)})", f"s as (select {_h('ABCD')} as hd, {_N} as n)",
              "stats as materialized (select model, 2 * n * ln(2) * (h - hd) - (209 - df) * ln(n) as stat, has_loops from m, s)",
-             "steps as (select * from (values " + ", ".join(f"('{a.name}', '{b.name}')" for a, b in dict.fromkeys(edges)) + ") v(parent, child))",
-             f"k0 as (select '{first.name}' as model)"]
+             "steps as (select * from (values " + ", ".join(f"('{':'.join(a)}', '{':'.join(b)}')" for a, b in dict.fromkeys(edges)) + ") v(parent, child))",
+             f"k0 as (select '{':'.join(first)}' as model)"]
     for k in range(1, levels + 1):
         parts.append(f"k{k} as materialized (select model from stats where model in (select child from steps where parent in (select model from k{k - 1})) order by stat, model limit {width})")
     every = " union all ".join(f"select model, {k} as level from k{k}" for k in range(levels + 1))
@@ -768,7 +831,7 @@ from orders join v on v.k = o_orderkey % {len(MISSING_PROBES)} group by text""",
     "scale_step": f"with {_T} select m.A, m.B, c.C, round(m.v / 5, 10) as value from {_m('AB')} m, (select unnest(range(5))::int as C) c",
     "synthetic_chain": _chain_sample_sql(),
     "model_triangle_fit": _TRIANGLE_FIT,
-    "beam_search": _beam_sql("loopless", "up", "bottom", 3, 3, 5), "full_search": _beam_sql("full", "up", "bottom", 2, 2, 4), "search_down": _beam_sql("loopless", "down", "top", 3, 2, 5),
+    "beam_search": _beam_sql("loopless up", "A:B:C:D", 3, 3, 5), "full_search": _beam_sql("full up", "A:B:C:D", 2, 2, 4), "search_down": _beam_sql("loopless down", "ABCD", 3, 2, 5),
     "loopless_up_directed": _level_sql(_simple(["AB:CD", "AC:BD", "AD:BC"])),
     "loopless_down_directed": _models_sql([_line_model(x) for x in ("ABC", "ABD", "ACD")]),
     "full_up_directed": _models_sql([_line_model(x) for x in ("ABC:D", "ABD:C")]),

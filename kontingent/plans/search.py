@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import time
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from ..algebra import Model, bits, reference_model, size
 from ..errors import SearchError
 from ..operators.analyzer import Analyzer
-from ..progress import Event
+from ..progress import Event, LevelProfile, RuntimeEstimator, SearchProfile, driver_peak, stage_figures, tagged
 from ..schema import Schema
 from .neighbours import all_chains, rule
 
@@ -72,11 +73,48 @@ def usable(m: Model) -> bool:
 
 
 def search(analyzer: Analyzer, filter="loopless", direction="up", statistic: str = "ddf", width: int = 3, levels: int = 7, start: Model | str | None = None,
-           progress=None) -> SearchResult:
+           progress=None, tag: str | None = None) -> SearchResult:
     """Start model and the best ``width`` models of each level, sorted by the statistic.
 
-    filter: a neighbour rule's name, "chain" (all chains), or a callable Model -> models.
+    filter: a neighbour rule's name, "chain" (all chains), or a callable Model -> models.  progress: gets all events, those
+    of the analyzer's fits too; what it raises ends the search.  tag: the job tag of the search; jobs of level k carry
+    ``level_tag(tag, k)`` as well.
     """
+    before, analyzer.tell = analyzer.tell, progress or analyzer.tell
+    try:
+        with tagged(analyzer.spark, *([tag] if tag else [])):
+            return _search(analyzer, filter, direction, statistic, width, levels, start, progress, tag)
+    finally:
+        analyzer.tell = before
+
+
+def level_tag(tag: str, level: int) -> str:
+    return f"{tag}-level-{level}"
+
+
+def profiled(analyzer: Analyzer, *args, name: str = "search", **how) -> tuple[SearchResult, SearchProfile]:
+    """``search`` and its profile: shuffled bytes, spill, memory and task time by level, from the jobs' tags."""
+    tag = how.pop("tag", None) or f"kontingent-{uuid.uuid4().hex}"
+    peaks: dict[int, int] = {}
+    inner = how.pop("progress", None)
+
+    def tell(event: Event) -> None:
+        if event.kind == "level_complete":
+            peaks[event.data["level"]] = driver_peak()
+        if inner:
+            inner(event)
+
+    was, analyzer.profile.enabled = analyzer.profile.enabled, True
+    try:
+        found = search(analyzer, *args, progress=tell, tag=tag, **how)
+    finally:
+        analyzer.profile.enabled = was
+    levels = [LevelProfile(x.level, x.generated, x.evaluated, x.with_loops, x.seconds, peaks.get(x.level, 0), stage_figures(analyzer.spark, level_tag(tag, x.level))) for x in found.levels]
+    cache = {"hits": analyzer.cache.hits, "misses": analyzer.cache.misses, "hit_rate": analyzer.cache.hit_rate}
+    return found, SearchProfile(name, found.seconds, sum(x.evaluated for x in found.levels), levels, analyzer.profile.to_dict(), cache)
+
+
+def _search(analyzer: Analyzer, filter, direction, statistic, width: int, levels: int, start, progress, tag: str | None) -> SearchResult:
     if width < 1 or levels < 0:
         raise SearchError("width must be positive and levels not negative")
     statistic, direction = getattr(statistic, "value", statistic), getattr(direction, "value", direction)
@@ -91,31 +129,33 @@ def search(analyzer: Analyzer, filter="loopless", direction="up", statistic: str
     first = start if isinstance(start, Model) else reference_model(analyzer.schema, start or default)
     kept: dict[Model, Candidate] = {first: Candidate(first, analyzer.statistic(first, statistic), 0)}
     beam, stats = [first], []
-    tell(Event("search_started", {"start": first.name, "levels": levels, "width": width}))
+    tell(Event("search_started", {"start": first.name, "levels": levels, "width": width, "statistic": statistic}))
+    clock, so_far = RuntimeEstimator(levels), 0
     for level in range(1, levels + 1):
         t = time.perf_counter()
+        tell(Event("level_started", {"level": level, "seeds": len(beam)}))
         generated = [x for m in beam for x in step(m)]
         distinct = list(dict.fromkeys(generated))
         fresh = [m for m in distinct if usable(m)]
         if not fresh:
             break
-        analyzer.prefetch(fresh)
-        scored = sorted((Candidate(m, analyzer.statistic(m, statistic), level) for m in fresh), key=sort_key(statistic))
+        with tagged(analyzer.spark, *([level_tag(tag, level)] if tag else [])):
+            analyzer.prefetch(fresh)
+            scored = sorted((Candidate(m, analyzer.statistic(m, statistic), level) for m in fresh), key=sort_key(statistic))
         best = scored[:width]
         for c in best:
             kept.setdefault(c.model, c)
         beam = [c.model for c in best]
         stats.append(LevelStats(level, len(generated), len(fresh), len(best), sum(m.has_loops for m in fresh), time.perf_counter() - t, len(distinct) - len(fresh)))
-        tell(Event("level_complete", {"level": level, "evaluated": len(fresh), "best": best[0].name, "value": best[0].value}))
+        so_far += len(fresh)
+        clock.step(stats[-1].seconds)
+        tell(Event("level_complete", {"level": level, "evaluated": len(fresh), "total_evaluated": so_far, "with_loops": stats[-1].with_loops, "left_out": stats[-1].left_out,
+                                      "best": best[0].name, "value": best[0].value, "seconds": stats[-1].seconds, "percent": clock.percent, "seconds_left": clock.remaining}))
     out = SearchResult(sorted(kept.values(), key=sort_key(statistic)), stats, time.perf_counter() - began)
-    tell(Event("search_complete", {"models": len(out.candidates), "best": out.best.name}))
+    tell(Event("search_complete", {"models": len(out.candidates), "evaluated": so_far, "best": out.best.name, "value": out.best.value, "seconds": out.seconds}))
     return out
 
 
-def top_k(candidates, k: int, statistic: str) -> list[Candidate]:
-    return sorted(candidates, key=sort_key(statistic))[:k]
-
-
 # Estimate of a search's cost ------------------------------------------------------
 
 # Fixed values of the cost model: pull of a statistic towards loops, cap of the chance of a loop, milliseconds per model

@@ -264,7 +264,7 @@ select model, df, round(lr, 2) as lr, round(lr - ({math.prod(CARD[c] for c in na
 
 
 def gamma_q(a: str, y: str) -> str:
-    return f"(1 - {_gamma_p(a, y)})"
+    return f"(1 - {_gamma_p(a, y, 1500)})"
 
 
 _EIGHT = "ABCDEFGH"

@@ -13,7 +13,11 @@ from dataclasses import asdict, dataclass, field
 
 @dataclass
 class Event:
-    """kind: search_started, level_complete, search_complete, model_batch, ipf, complete."""
+    """kind: search_started, level_started, model_batch, ipf_sweep, ipf, level_complete, search_complete, search_cancelled, error.
+
+    level_complete tells models evaluated in the level and so far, those with loops, the best one, seconds, and the percentage
+    and seconds left by the mean of the levels before.
+    """
 
     kind: str
     data: dict = field(default_factory=dict)
@@ -147,3 +151,47 @@ def stage_figures(spark, tag: str) -> dict:
             for name, getter in STAGE_PEAKS.items():
                 out[name] = max(out[name], getattr(stage, getter)())
     return out
+
+
+@dataclass
+class LevelProfile:
+    """One level of a search: its models, the time it took, what Spark did for it, and the driver's largest memory so far."""
+
+    level: int
+    generated: int = 0
+    evaluated: int = 0
+    with_loops: int = 0
+    seconds: float = 0.0
+    driver_peak_bytes: int = 0
+    spark: dict = field(default_factory=dict)
+
+
+@dataclass
+class SearchProfile:
+    """What a search took, level by level, and by operation."""
+
+    name: str
+    seconds: float = 0.0
+    models: int = 0
+    levels: list[LevelProfile] = field(default_factory=list)
+    operations: dict = field(default_factory=dict)
+    cache: dict = field(default_factory=dict)
+
+    def to_dict(self) -> dict:
+        return asdict(self)
+
+    def save(self, path: str) -> None:
+        """A JSON file that ``load_records`` reads as one record, and ``load_profile`` as a profile."""
+        save_records(path, [self.to_dict()])
+
+
+def load_profile(path: str) -> SearchProfile:
+    record = load_records(path)[0]
+    return SearchProfile(**record | {"levels": [LevelProfile(**x) for x in record["levels"]]})
+
+
+def driver_peak() -> int:
+    """Bytes of the Python driver's largest resident set."""
+    import resource
+
+    return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024

@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import json
+import threading
+import uuid
 from dataclasses import asdict
 
 import numpy as np
+from pyspark import InheritableThread
 from pyspark.sql import SparkSession
 
 from . import algebra
-from .errors import KontingentError, ValidationError
+from .errors import KontingentError, SearchCancelled, ValidationError
 from .operators import binning
 from .operators import fit as fitting
 from .operators import table as tables
 from .operators.analyzer import Analyzer, dense_entropy
 from .plans import search as searching
-from .progress import Event
+from .progress import Event, tagged
 from .sources import formats
 
 # Defaults of a search request.
@@ -23,13 +26,56 @@ DEFAULTS = {"direction": "up", "filter": "loopless", "width": 3, "levels": 7, "s
 
 # Names of binning strategies in requests.
 STRATEGY_NAMES = {"none": "none", "width": "equalWidth", "quantile": "equalFrequency", "breaks": "customBreaks", "top": "topN", "threshold": "frequencyThreshold"}
-#: The job group of a search conversation, which search_cancel ends.
-SEARCH_GROUP = "kontingent-search"
+
+
+class RunningSearch:
+    """A search on a thread of its own.  Its jobs carry its tag; ``cancel`` interrupts them, and no other search's."""
+
+    def __init__(self, service: "Service", request_id: str, payload: dict, send):
+        self.id, self.tag = request_id, f"kontingent-search-{uuid.uuid4().hex}"
+        self._service, self._payload, self._send = service, payload, send
+        self._stop = threading.Event()
+        self.thread = InheritableThread(target=self._run)
+        self.thread.start()
+
+    @property
+    def is_running(self) -> bool:
+        return self.thread.is_alive()
+
+    def cancel(self) -> None:
+        self._stop.set()
+        self._service.spark.sparkContext.cancelJobsWithTag(self.tag)
+
+    def join(self, seconds: float | None = None) -> None:
+        self.thread.join(seconds)
+
+    def _say(self, kind: str, payload: dict) -> None:
+        self._send({"type": kind, "requestId": self.id, "payload": payload})
+
+    def _tell(self, event: Event) -> None:
+        if self._stop.is_set():
+            raise SearchCancelled("the search was cancelled")
+        self._say("progress", {"kind": event.kind} | event.data)
+
+    def _run(self) -> None:
+        try:
+            result = self._service.search(self._payload, self._tell, self.tag)
+            if self._stop.is_set():
+                raise SearchCancelled("the search was cancelled")
+            self._say("result", result)
+        except Exception as e:  # whatever ends a search is told to whoever waits for it
+            if self._stop.is_set():
+                self._say("cancelled", {})
+            else:
+                self._say("error", {"message": str(e)})
+        finally:
+            self._service.running.pop(self.id, None)
 
 
 class Service:
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        self.running: dict[str, RunningSearch] = {}
 
     def _data(self, request: dict) -> formats.DataSet:
         data = request.get("data")
@@ -57,13 +103,23 @@ class Service:
             out["residuals"] = [r.asDict() for r in (rows.limit(int(request["limit"])) if "limit" in request else rows).collect()]
         return out
 
-    def search(self, request: dict, progress=None) -> dict:
-        """Honours the direction, reference model and sort of the request; filter may also be full, disjoint or chain."""
+    def search(self, request: dict, progress=None, tag: str | None = None) -> dict:
+        """Honours the direction, reference model and sort of the request; filter may also be full, disjoint or chain.
+
+        ``profile`` in the request adds a profile by level.
+        """
         r = DEFAULTS | request
-        a = self._analyzer(r)
-        found = searching.search(a, r["filter"], r["direction"], r["sortBy"], int(r["width"]), int(r["levels"]), r.get("referenceModel"), progress)
-        rows = [{"rank": k + 1, "level": c.level} | a.evaluate([c.model])[0] for k, c in enumerate(found.candidates)]
-        return {"results": rows, "levels": [asdict(x) for x in found.levels], "seconds": found.seconds}
+        with tagged(self.spark, *([tag] if tag else [])):
+            a = self._analyzer(r)
+            args = a, r["filter"], r["direction"], r["sortBy"], int(r["width"]), int(r["levels"]), r.get("referenceModel") or None
+            profile = None
+            if r.get("profile"):
+                found, profile = searching.profiled(*args, progress=progress, tag=tag)
+            else:
+                found = searching.search(*args, progress, tag)
+            rows = [{"rank": k + 1, "level": c.level} | a.evaluate([c.model])[0] for k, c in enumerate(found.candidates)]
+            a.release()
+        return {"results": rows, "levels": [asdict(x) for x in found.levels], "seconds": found.seconds} | ({"profile": profile.to_dict()} if profile else {})
 
     def estimate(self, request: dict) -> dict:
         r = DEFAULTS | request
@@ -151,19 +207,29 @@ class Service:
         except (KontingentError, KeyError, ValueError, TypeError) as e:
             return {"success": False, "error": str(e)}
 
-    def stream(self, message: dict, send) -> None:
-        """One message of a search conversation; events and the result go to ``send``."""
-        if message.get("type") == "search_start":
-            self.spark.sparkContext.setJobGroup(SEARCH_GROUP, "search", interruptOnCancel=True)
-            try:
-                send({"type": "result", "payload": self.search(message.get("payload", {}), lambda e: send({"type": "progress", "payload": {"kind": e.kind} | e.data}))})
-            except (KontingentError, KeyError, ValueError) as e:
-                send({"type": "error", "payload": {"message": str(e)}})
-        elif message.get("type") == "search_cancel":
-            self.spark.sparkContext.cancelJobGroup(SEARCH_GROUP)
-            send({"type": "cancelled", "payload": {}})
-        else:
-            send({"type": "error", "payload": {"message": f"unknown message {message.get('type')!r}"}})
+    def stream(self, message: dict, send) -> RunningSearch | None:
+        """One message of a search conversation; events, and a result, error or cancellation, go to ``send`` from the search's thread.
+
+        A search goes by its message's ``requestId``; ``search_cancel`` with that id ends it and no other.  Returns the search
+        that was started or cancelled.
+        """
+        request_id = str(message.get("requestId", ""))
+        kind = message.get("type")
+        fail = lambda text: send({"type": "error", "requestId": request_id, "payload": {"message": text}})
+        if kind == "search_start":
+            if request_id in self.running:
+                return fail(f"a search {request_id!r} is running")
+            self.running[request_id] = search = RunningSearch(self, request_id, message.get("payload", {}), send)
+            if not search.is_running:  # it may have ended before it was listed
+                self.running.pop(request_id, None)
+            return search
+        if kind == "search_cancel":
+            search = self.running.get(request_id)
+            if search is None:
+                return fail(f"no search {request_id!r} is running")
+            search.cancel()
+            return search
+        return fail(f"unknown message {kind!r}")
 
 
 class JsonRpc:

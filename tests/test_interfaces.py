@@ -91,7 +91,7 @@ def test_service_and_rpc(spark):
     assert svc.fit_model({"data": DATA, "model": "AB:AC"})["df"] == 5
     assert svc.search({"data": DATA, "levels": 2})["results"] and svc.estimate({"data": DATA})["models"] > 0
     said = []
-    svc.stream({"type": "search_start", "payload": {"data": DATA, "levels": 1}}, said.append)
+    svc.stream({"type": "search_start", "payload": {"data": DATA, "levels": 1}}, said.append).join()
     assert said[-1]["type"] == "result" and said[0]["type"] == "progress"
     rpc = service.JsonRpc(svc)
     assert "error" in json.loads(rpc.handle("{")) and rpc.handle('{"jsonrpc":"2.0","method":"x"}') is None

@@ -1,6 +1,8 @@
 """Chain messages, table sampling, quantiles, lattice steps, level fits, sinks, estimates, storage."""
 
 import json
+import threading
+import time
 
 import numpy as np
 import pytest
@@ -10,10 +12,12 @@ from kontingent import algebra, service
 from kontingent.errors import ModelError, ValidationError
 from kontingent.functions import sequences
 from kontingent.operators import binning, chain, storage
+from kontingent.operators import analyzer as analyzer_module
 from kontingent.operators import fit as fitting
 from kontingent.operators import table as tables
 from kontingent.operators.analyzer import Analyzer
 from kontingent.plans import neighbours, search
+from kontingent.progress import load_profile, load_records
 from kontingent.schema import Schema, Variable
 from kontingent.sources import formats, synthetic
 
@@ -180,10 +184,69 @@ def test_estimates():
     assert search.estimate(s, "loopless", rows=5000)["seconds"] > search.estimate(s, "loopless")["seconds"]
 
 
-def test_cancel_message(spark):
-    sent = []
-    service.Service(spark).stream({"type": "search_cancel"}, sent.append)
-    assert sent == [{"type": "cancelled", "payload": {}}]
+DATA = {"name": "d", "variables": [{"name": n, "abbrev": n, "cardinality": 2, "isDependent": False} for n in "ABCDE"],
+        "data": [[str(k >> j & 1) for j in range(5)] for k in range(32)], "counts": [float(1 + (7 * k) % 13) for k in range(32)]}
+
+
+def test_a_search_is_cancelled_and_another_goes_on(spark, monkeypatch):
+    """Both are held in a Spark job of their first level; one is cancelled there."""
+    svc, sent = service.Service(spark), {"a": [], "b": []}
+    reached, go = {k: threading.Event() for k in "ab"}, threading.Event()
+    waits = analyzer_module.Analyzer.prefetch
+
+    def held(self, models):
+        name = "a" if not reached["a"].is_set() else "b"
+        reached[name].set()
+        if name == "a":  # a job that would take minutes
+            spark.range(64).repartition(64).rdd.map(lambda _: __import__("time").sleep(5)).count()
+        else:
+            assert go.wait(60)
+        return waits(self, models)
+
+    monkeypatch.setattr(analyzer_module.Analyzer, "prefetch", held)
+    message = lambda k, kind: {"type": kind, "requestId": k, "payload": {"data": DATA, "levels": 2}}
+    a = svc.stream(message("a", "search_start"), sent["a"].append)
+    assert reached["a"].wait(60)
+    b = svc.stream(message("b", "search_start"), sent["b"].append)
+    assert reached["b"].wait(60) and svc.stream(message("b", "search_start"), sent["b"].append) is None
+    began = time.perf_counter()
+    assert svc.stream(message("a", "search_cancel"), sent["a"].append) is a
+    a.join(30)
+    assert not a.is_running and time.perf_counter() - began < 30 and sent["a"][-1]["type"] == "cancelled"
+    assert b.is_running
+    go.set()
+    b.join(120)
+    assert sent["b"][-1]["type"] == "result" and sent["b"][-1]["payload"]["results"] and not svc.running
+    assert svc.stream(message("a", "search_cancel"), sent["a"].append) is None and sent["a"][-1]["type"] == "error"
+    assert svc.stream({"type": "?"}, sent["a"].append) is None
+    assert not spark.sparkContext.getJobTags()
+    # nothing is left behind: the next search runs
+    monkeypatch.setattr(analyzer_module.Analyzer, "prefetch", waits)
+    svc.stream(message("a", "search_start"), sent["a"].append).join(120)
+    assert sent["a"][-1]["type"] == "result"
+
+
+def test_profile_by_level_and_all_events(spark, tmp_path):
+    s = Schema(tuple(Variable(c, c, 2) for c in "ABCD"))
+    t, _ = a_table(spark, 4, s)
+    events = []
+    found, profile = search.profiled(Analyzer(t.withColumn("value", F.col("value") * 1000), s, local_states=0), "full", "up", "bic", 2, 2, progress=events.append, name="full search")
+    kinds = {e.kind for e in events}
+    assert {"search_started", "level_started", "model_batch", "level_complete", "search_complete"} <= kinds
+    done = [e.data for e in events if e.kind == "level_complete"]
+    assert [d["level"] for d in done] == [1, 2] and done[-1]["total_evaluated"] == profile.models and done[-1]["seconds_left"] == 0 and done[-1]["percent"] == 100
+    assert [x.level for x in profile.levels] == [1, 2] and all(x.driver_peak_bytes > 0 for x in profile.levels)
+    assert profile.levels[0].spark["jobs"] > 0 and profile.levels[0].spark["shuffle_write_bytes"] > 0 and profile.levels[0].spark["peak_memory_bytes"] > 0
+    assert profile.operations["entropies"]["count"] >= 2 and profile.cache["misses"] > 0
+    at = str(tmp_path / "profile.json")
+    profile.save(at)
+    assert load_profile(at) == profile and load_records(at)[0]["name"] == "full search"
+    again = []
+    a = Analyzer(t, s)
+    a.tell = again.append
+    a.h("AB:BC:AC:D")
+    assert [e.kind for e in again if e.kind != "model_batch"][-1] == "ipf" and "ipf_sweep" in {e.kind for e in again}
+    a.release()
 
 
 def test_written_tables_can_be_dropped(spark):
