@@ -42,18 +42,27 @@ class Tokenizer:
     """Byte-level BPE ids as little-endian uint32 bytes.
 
     A pre-token never reaches over a space that a visible character follows, so
-    a text is cut there and frequent words are encoded only once.
+    a text is cut there and frequent words are encoded only once.  Where a text
+    holds an added token (text -> id), that is its id, and the parts beside it are
+    texts of their own.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, added: dict[str, int] | None = None):
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.enc = tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
+        self.added = {t: np.array([i], "<u4").tobytes() for t, i in (added or {}).items()}
+        self.marks = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
 
     def encode(self, text: str) -> bytes:
+        if self.marks is None or not any(t in text for t in self.added):
+            return self._plain(text)
+        return b"".join(self.added.get(part) or self._plain(part) for part in self.marks.split(text))
+
+    def _plain(self, text: str) -> bytes:
         known, out = self.known, []
         first, *rest = _GAP.split(text)
         if first:
@@ -73,13 +82,14 @@ class Tokenizer:
         return np.array(self.enc.encode_ordinary(text), "<u4").tobytes()
 
 
-_TOKENIZERS: dict[tuple[str, str], Tokenizer] = {}
+_TOKENIZERS: dict[tuple, Tokenizer] = {}
 
 
-def tokenizer(path: str, pattern: str) -> Tokenizer:
-    if (path, pattern) not in _TOKENIZERS:
-        _TOKENIZERS[path, pattern] = Tokenizer(path, pattern)
-    return _TOKENIZERS[path, pattern]
+def tokenizer(path: str, pattern: str, added: dict[str, int] | None = None) -> Tokenizer:
+    key = path, pattern, tuple(sorted((added or {}).items()))
+    if key not in _TOKENIZERS:
+        _TOKENIZERS[key] = Tokenizer(path, pattern, added)
+    return _TOKENIZERS[key]
 
 
 def best_fit(sizes, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,7 +133,7 @@ def dissolved(sizes, bins, offs, fills, room: int):
 _PIECES = "doc_id {}, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long"
 
 
-def local_pieces(docs: DataFrame, path: str, pattern: str, room: int = 1024, end_id: int = 2, doc_id: str = "doc_id",
+def local_pieces(docs: DataFrame, path: str, pattern: str, added: dict[str, int] | None = None, room: int = 1024, end_id: int = 2, doc_id: str = "doc_id",
                  text: str = "text") -> DataFrame:
     """Pieces of all documents, packed within each task: bin, offset in it, and the bin's fill."""
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -132,7 +142,7 @@ def local_pieces(docs: DataFrame, path: str, pattern: str, room: int = 1024, end
     def run(batches):
         from pyspark import TaskContext
 
-        tok = tokenizer(path, pattern)
+        tok = tokenizer(path, pattern, added)
         base = TaskContext.get().partitionId() << 36
         ids, piece, start, length, crc = [], [], [], [], []
         id_type = pa.int64()
@@ -183,10 +193,13 @@ def merge_round(items: DataFrame, nodes: int, room: int, last: bool) -> DataFram
     return dealt.groupBy("node").applyInArrow(node, "bin long, fill long, members array<long>, offsets array<long>")
 
 
-def pack(docs: DataFrame, path: str, pattern: str, room: int = 1024, end_id: int = 2, near_full: float = 0.99, doc_id: str = "doc_id",
+def pack(docs: DataFrame, path: str, pattern: str, added: dict[str, int] | None = None, room: int = 1024, end_id: int = 2, near_full: float = 0.99, doc_id: str = "doc_id",
          text: str = "text", node_items: int = NODE_ITEMS) -> DataFrame:
-    """Pieces with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = materialise(local_pieces(docs, path, pattern, room, end_id, doc_id, text))
+    """Pieces with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    path, pattern: rank file and split pattern of the vocabulary; added: its added tokens, text -> id.
+    """
+    pieces = materialise(local_pieces(docs, path, pattern, added, room, end_id, doc_id, text))
     full = int(room * near_full)
     items = pieces.where((F.col("offset") == 0) & (F.col("fill") < full)).select(
         "bin", "fill", F.array("bin").alias("members"), F.array(F.lit(0).cast("long")).alias("offsets"))

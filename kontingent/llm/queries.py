@@ -3,6 +3,8 @@ parameters, to the whole table and derives the contract's columns."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,11 +39,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_files() -> tuple[str, str]:
-    """Rank file and split pattern of the public byte-level BPE of 50k ids."""
+def tokenizer_files() -> tuple[str, str, dict[str, int]]:
+    """Rank file, split pattern and added tokens of the public byte-level BPE of 50k ids."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        listed = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in listed):
+        raise ValueError("added tokens that take more than their own text are not supported")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {t["content"]: t["id"] for t in listed}
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

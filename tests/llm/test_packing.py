@@ -14,7 +14,6 @@ def reference_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [e.ids + [2] for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -89,3 +88,12 @@ def test_tree_of_many_nodes_is_nearly_as_full_as_one(spark):
         used.append(got.select("sequence_id").distinct().count())
         least = -(-got.groupBy().sum("length").first()[0] // 1024)
     assert used[0] <= 1.03 * least and used[1] <= 1.01 * used[0], (used, least)
+
+
+def test_added_token_anywhere(spark):
+    """The vocabulary's added token at the start, the middle, the end, repeated, beside spaces, and cut short."""
+    mark = "<|endoftext|>"
+    texts = [mark, mark * 3, f"{mark} hi", f"hi{mark}", f"hi {mark}", f"a {mark} b", f"a{mark}\n b", f"  {mark}  ", "<|endoftext|", "<|endoftext |>", f"<{mark}>", f"x {mark}{mark} y" * 300, f"<|endof{mark}text|>", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check([tuple(r) for r in packing.pack(docs, *queries.tokenizer_files()).collect()], dict(enumerate(texts)))
+    assert packing.tokenizer(*queries.tokenizer_files()).encode(f"{mark} hi") == np.array([50256, 23105], "<u4").tobytes()
