@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -228,22 +229,45 @@ def model(precision: float = PRECISION) -> tuple[Boosted, tuple[float, ...]]:
     return trees, tuple(calibrated_threshold(score[kinds[held] == k], y[held][kinds[held] == k], precision) for k in range(len(KINDS)))
 
 
+class Taken:
+    """Places of a text that spans hold, as separate stretches in order, so that a look-up is a bisection."""
+
+    def __init__(self, spans):
+        self.starts, self.ends = [], []
+        for a, b in sorted((a, b) for _, a, b in spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a), self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b)
+        return k > 0 and self.ends[k - 1] > a
+
+    def add(self, a: int, b: int) -> None:
+        """A stretch that meets none."""
+        k = bisect_left(self.starts, a)
+        self.starts.insert(k, a), self.ends.insert(k, b)
+
+
 def all_spans(texts: list[str], trees: Boosted, thresholds) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of each text; proposals of all texts are scored together."""
-    found, rows, where = [], [], []
+    found, taken, rows, where = [], [], [], []
     for k, text in enumerate(texts):
         base = base_spans(text)
         found.append((base, list(base)))
+        taken.append(Taken(base))
         for span in proposals(text):
-            if not any(a < span[2] and span[1] < b for _, a, b in base):
+            if not taken[k].meets(*span[1:]):
                 rows.append(features(text, span)), where.append((k, span))
     if rows:
         score = trees.predict(np.array(rows))
         size = np.array([b - a for _, (_, a, b) in where])
         for i in np.lexsort((-size, -score)).tolist():  # the longer one of equals
             k, span = where[i]
-            if score[i] >= thresholds[KINDS.index(span[0])] and not any(a < span[2] and span[1] < b for _, a, b in found[k][1]):
+            if score[i] >= thresholds[KINDS.index(span[0])] and not taken[k].meets(*span[1:]):
                 found[k][1].append(span)
+                taken[k].add(*span[1:])
     return [(base, sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))) for base, spans in found]
 
 

@@ -1,6 +1,7 @@
 """op1, op3, op4, op5, op8, op10 on small and odd inputs, against brute force where there is one."""
 
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -92,6 +93,37 @@ def test_pii_model_is_precise():
     assert [s[0] for s in found[0][1]] == ["phone"] and not found[1][1]
 
 
+def test_pii_spans_against_plain_loops():
+    """Proposals, scores and the greedy choice: every span is compared with every other."""
+    trees, cuts = pii.model()
+    rng = np.random.default_rng(12)
+    bits = ["a.b@c.de", "x (at) y (dot) org", "1.2.3.4", "4111 1111 1111 1111", "4539 1488 0343 646", "+1 (988) 555-2485", "tel 030 555 0192", "card", "call", "12-34", "word", "2020-11-05", "@", "+", ". "]
+    texts = [" ".join(rng.choice(bits, rng.integers(0, 40))) for _ in range(60)] + ["", "a@b.c@d.e"]
+    for text, (base, spans) in zip(texts, pii.all_spans(texts, trees, cuts)):
+        want = pii.base_spans(text)
+        assert base == want
+        free = [s for s in pii.proposals(text) if not any(a < s[2] and s[1] < b for _, a, b in want)]
+        score = trees.predict(np.array([pii.features(text, s) for s in free])) if free else []
+        chosen = list(want)
+        for k in sorted(range(len(free)), key=lambda k: (-score[k], free[k][1] - free[k][2])):
+            kind, a, b = free[k]
+            if score[k] >= cuts[pii.KINDS.index(kind)] and all(b <= c or d <= a for _, c, d in chosen):
+                chosen.append(free[k])
+        assert set(spans) == set(chosen) and len(spans) == len(chosen)
+
+
+def test_pii_time_follows_the_text():
+    """Ten times the spans take about ten times as long, not a hundred."""
+    model = pii.model()
+    took = []
+    for n in (400, 4000):
+        text = " ".join(f"u{k}@example.org call 030 555 {k:04d}" for k in range(n))
+        began = time.process_time()
+        assert len(pii.all_spans([text], *model)[0][0]) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 25 * took[0] + 0.5
+
+
 WITH_DATA = ["Please call me on 030 555 0192 after six.", "My mobile is 0171-555-0134, thanks", "Fax: (212) 555-0147 or by post", "reach Anna at 415.555.0162 tomorrow", "Tel 020 7946 0958 ask for Kim",
              "his card 4539 1488 0343 646 was charged", "Amex 378282246310005 expires in May", "pay with 30569309025904 today", "the diners card 3056 9309 0259 04 is lost",
              "write to jane.roe (at) example (dot) org", "mail: bob [at] mail.example [dot] com", "kontakt anna_b(at)beispiel.de bitte",
