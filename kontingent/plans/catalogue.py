@@ -138,8 +138,11 @@ def kl_divergence(spark, sf):
 
 
 def max_entropy(spark, sf):
-    s = line_schema()
-    return spark.createDataFrame([("".join(s.names(m)), round(tables.max_entropy(s, m), 10)) for m in (0b1, 0b11, 0b111, 0b1111)], "relation string, h_max double")
+    """The largest entropy that each margin could have, and the one it has."""
+    with analyzer(spark, sf) as a:
+        s, masks = a.schema, (0b1, 0b11, 0b111, 0b1111)
+        h = a.entropies(masks)
+        return spark.createDataFrame([("".join(s.names(m)), round(tables.max_entropy(s, m), 10), round(h[m], 8)) for m in masks], "relation string, h_max double, h double")
 
 
 def _model_row(name):
@@ -281,13 +284,19 @@ def all_chains(spark, sf):
 
 
 def lattice_partitions(spark, sf):
-    s = line_schema()
-    return spark.createDataFrame([(m.name, loops, level) for m, loops, level in neighbours.lattice(s)], "model string, has_loops boolean, level int")
+    """All models of the lattice, with what lineitem says of each."""
+    with analyzer(spark, sf) as a:
+        found = neighbours.lattice(a.schema)
+        a.prefetch([m for m, _, _ in found])
+        return spark.createDataFrame([(m.name, loops, level, round(a.h(m), 8), round(a.bic(m), 4)) for m, loops, level in found], "model string, has_loops boolean, level int, h double, bic double")
 
 
 def directed_lattice(spark, sf):
-    s = line_schema("A")
-    return spark.createDataFrame([(m.name, level) for m, _, level in neighbours.lattice(s)], "model string, level int")
+    """All models that predict A, with the entropy of A that each leaves."""
+    with analyzer(spark, sf, "A") as a:
+        found = neighbours.lattice(a.schema)
+        a.prefetch([m for m, _, _ in found])
+        return spark.createDataFrame([(m.name, level, round(a.h(m), 8), round(a.cond_h(m), 8)) for m, _, level in found], "model string, level int, h double, cond_h double")
 
 
 def beam_search(spark, sf):
@@ -312,10 +321,10 @@ def chow_liu(spark, sf):
 
 
 def search_estimate(spark, sf):
-    """Cost of searches in both directions: a row per level, and level 0 for the whole."""
-    rows = []
+    """Cost of searches over lineitem's states in both directions: a row per level, and level 0 for the whole."""
+    rows, states = [], line_table(spark, sf).count()
     for filter, direction in (("full", "up"), ("full", "down"), ("loopless", "up")):
-        e = search.estimate(line_schema(), filter, "bic", 3, 5, 200, direction, 8)
+        e = search.estimate(line_schema(), filter, "bic", 3, 5, states, direction, 8)
         kind = f"{filter} {direction}"
         rows += [(kind, r["level"], r["models"], round(r["loop_probability"], 10), round(r["seconds"], 8)) for r in e["levels"]]
         rows.append((kind, 0, e["models"], round(e["seconds_low"], 8), round(e["seconds_high"], 8)))
@@ -323,8 +332,13 @@ def search_estimate(spark, sf):
 
 
 def power_table(spark, sf):
-    rows = [(df, x, round(special.chi2_sf(x, df), 9), round(special.power(df, x), 7)) for df in (1, 2, 5) for x in (1.0, 4.0, 10.0)]
-    return spark.createDataFrame(rows, "df int, x double, alpha double, power double")
+    """Each pair of variables: the likelihood ratio of its dependence, its p-value, and the power to find one as large."""
+    with analyzer(spark, sf) as a:
+        rows = []
+        for i, j, mi in a.all_mutual_information():
+            df, x = (a.schema[i].cardinality - 1) * (a.schema[j].cardinality - 1), 2 * a.n * special.LN2 * mi
+            rows.append(("".join(a.schema.names(1 << i | 1 << j)), df, round(x, 5), round(special.chi2_sf(x, df), 7), round(special.power(df, x), 6)))
+        return spark.createDataFrame(rows, "pair string, df int, lr double, alpha double, power double")
 
 
 def chain_messages(spark, sf):
@@ -368,7 +382,9 @@ def scale_step(spark, sf):
 
 
 def state_enumeration(spark, sf):
-    return tables.domain(spark, line_schema())
+    """Every state of A to D, the first running fastest, and how often it occurs."""
+    counted = tables.domain(spark, line_schema()).join(line_table(spark, sf), line_schema().columns, "left")
+    return counted.select("state", *line_schema().columns, F.coalesce(VALUE, F.lit(0.0)).alias(VALUE))
 
 
 def _binned(spec, table="lineitem", column="l_extendedprice"):
@@ -422,31 +438,42 @@ def preprocess_auto_bin(spark, sf):
     return formats.preprocess(data, "*", auto_bin=3)[0]
 
 
+def _numbers(spark, sf, table="orders", column="o_orderkey"):
+    """The distinct numbers of a key column."""
+    return read(spark, sf, table).select(F.col(column).cast("long").alias("n")).where("n > 0").distinct()
+
+
 def residues_pairs(spark, sf):
-    """Consecutive naturals, residues of 3 and 5 against the next number's residue of 3."""
+    """The part keys of lineitem in order: residues of 3 and 5 against the next key's residue of 3."""
     c = sequences.parse_columns("R3,R5")
-    return sequences.to_table(sequences.pair_dataset(sequences.naturals(spark, 5000), c, c[0]), c, c[0])[0]
+    return sequences.to_table(sequences.pair_dataset(_numbers(spark, sf, "lineitem", "l_partkey"), c, c[0]), c, c[0])[0]
 
 
 def prime_residues(spark, sf):
-    c = sequences.parse_columns("R3")
-    return sequences.to_table(sequences.pair_dataset(sequences.primes(spark, 1229), c, c[0]), c, c[0])[0]
+    """The prime order keys: each one's residue of 3 against the next one's."""
+    c, keys = sequences.parse_columns("R3"), _numbers(spark, sf)
+    top = keys.agg(F.max("n").alias("n")).first()["n"] or 1
+    return sequences.to_table(sequences.pair_dataset(sequences.primes_below(spark, top).join(keys, "n", "left_semi"), c, c[0]), c, c[0])[0]
 
 
 def digit_sums(spark, sf):
-    return sequences.naturals(spark, 3000).select("n", sequences.digit_sum(F.col("n")).alias("digits"))
+    return _numbers(spark, sf).select("n", sequences.digit_sum(F.col("n")).alias("digits"))
 
 
 def collatz(spark, sf):
-    return sequences.naturals(spark, 300).select("n", sequences.collatz_steps("n").alias("steps"))
+    return _numbers(spark, sf, "part", "p_partkey").select("n", sequences.collatz_steps("n").alias("steps"))
 
 
 def prime_factor_counts(spark, sf):
-    return sequences.naturals(spark, 2000).select("n", sequences.prime_factors("n").alias("factors"))
+    return _numbers(spark, sf, "part", "p_partkey").select("n", sequences.prime_factors("n").alias("factors"))
 
 
 def synthetic_chain(spark, sf):
-    return sample(spark, chain_model(line_schema(), 0.8), 5000, seed=3)
+    """As many samples of a chain as lineitem has rows, beside lineitem's own counts."""
+    own = line_table(spark, sf)
+    made = sample(spark, chain_model(line_schema(), 0.8), int(tables.total(own)), seed=3).withColumnRenamed(VALUE, "sampled")
+    both = made.join(own.withColumnRenamed(VALUE, "observed"), line_schema().columns, "full")
+    return both.select(*line_schema().columns, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("sampled", "observed")])
 
 
 def events_markov(spark, sf):
@@ -735,7 +762,7 @@ def _uniform_sql(number: str, stream: str) -> str:
 
 def _chain_sample_sql() -> str:
     """The chain model of synthetic_chain by itself: each variable keeps the one before with strength 0.8, else it is uniform."""
-    cols, inner = ["i"], "select i from range(5000) r(i)"
+    cols, inner = ["i"], "select unnest(range((select count(*) from lineitem))) as i"
     for k, c in enumerate("ABCD"):
         card, u = _CARD[c], _uniform_sql("i", f"3:{k}")
         if not k:
@@ -747,7 +774,8 @@ def _chain_sample_sql() -> str:
               when {u} < ({before} + 1) * 0.2 / {card} + 0.8 then {before} else least({before} + 1 + floor(({u} - ({before} + 1) * 0.2 / {card} - 0.8) * {card} / 0.2), {card - 1}) end)::int"""
         inner = f"select *, {code} as {c} from ({inner})"
         cols.append(c)
-    return f"select A, B, C, D, cast(count(*) as double) as value from ({inner}) group by all"
+    made = f"select A, B, C, D, cast(count(*) as double) as sampled from ({inner}) group by all"
+    return f"with {_T}, made as ({made}) select A, B, C, D, coalesce(sampled, 0) as sampled, coalesce(value, 0) as observed from made full join t using (A, B, C, D)"
 
 
 def _relation_sql(r: str) -> str:
@@ -772,7 +800,7 @@ where (x.A is null or y.A is null or x.A = y.A) and (x.B is null or y.B is null
         for c in ["A", "B", "C", "D", "AB", "AC", "AD", "BC", "BD", "CD"]),
     "mutual_information_matrix": f"with {_T} " + " union all ".join(f"select '{a}{b}' as pair, round(greatest(0, {_h(a)} + {_h(b)} - {_h(a + b)}), 8) as mi" for a, b in combinations("ABCD", 2)),
     "kl_divergence": f"with {_T} select round(sum(p.value * log2(p.value / q.value)), 8) as kl from p join {_INDEP} q using (A, B, C, D)",
-    "max_entropy": "select * from (values ('A', round(log2(3), 10)), ('AB', round(log2(6), 10)), ('ABC', round(log2(30), 10)), ('ABCD', round(log2(210), 10))) v(relation, h_max)",
+    "max_entropy": f"with {_T} " + " union all ".join(f"select '{r}' as relation, round(log2({_cells(r) + 1}), 10) as h_max, round({_h(r)}, 8) as h" for r in ("A", "AB", "ABC", "ABCD")),
     "model_independence": _model_sql("A:B:C:D", list("ABCD"), [], 13),
     "model_chain": _model_sql("AB:BC:CD", ["AB", "BC", "CD"], ["B", "C"], 5 + 9 + 34 - 1 - 4),
     "model_star": _model_sql("AB:AC:AD", ["AB", "AC", "AD"], ["A", "A"], 5 + 14 + 20 - 4),
@@ -806,20 +834,29 @@ round(coalesce((select sum(value) from f where actual = code and predicted = cod
     "disjoint_down_level1": _level_sql(_simple(["A:BCD", "ACD:B", "ABD:C", "ABC:D"])),
     "loopless_down_level1": _level_sql(_simple(list(_SPLITS), _SPLITS)),
     "all_chains": f"with {_T} " + " union all ".join(f"select '{m}' as model, round({' + '.join(map(_h, r))} - {' - '.join(map(_h, s))}, 8) as h" for m, (r, s) in _CHAINS.items()),
-    "lattice_partitions": "select * from (values " + ", ".join(f"('{m}', false, {k}::int)" for m, k in _PARTITIONS) + ") v(model, has_loops, level)",
-    "directed_lattice": "select * from (values ('A:BCD', 0), ('AB:CD', 1), ('AC:BD', 1), ('AD:BC', 1), ('ABC:D', 2), ('ABD:C', 2), ('ACD:B', 2), ('ABCD', 3)) v(model, level)",
+    "lattice_partitions": f"with {_T}, m as (" + " union all ".join(
+        f"select '{m}' as model, {k}::int as level, {' + '.join(map(_h, m.split(':')))} as h, {sum(map(_cells, m.split(':')))} as df" for m, k in _PARTITIONS)
+        + f") select model, false as has_loops, level, round(h, 8) as h, round(2 * {_N} * ln(2) * (h - {_h('ABCD')}) - (209 - df) * ln({_N}), 4) as bic from m",
+    "directed_lattice": f"with {_T}, m as (" + " union all ".join(
+        f"select '{m}' as model, {k}::int as level, {' + '.join(map(_h, m.split(':')))} as h" for m, k in (("A:BCD", 0), ("AB:CD", 1), ("AC:BD", 1), ("AD:BC", 1), ("ABC:D", 2), ("ABD:C", 2), ("ACD:B", 2), ("ABCD", 3)))
+        + f") select model, level, round(h, 8) as h, round(h - {_h('BCD')}, 8) as cond_h from m",
     "chow_liu_edges": f"with {_T}, e as materialized (" + " union all ".join(f"select '{r}' as edge, {_h(r[0])} + {_h(r[1])} - {_h(r)} as mi" for r in _PAIR_NAMES)
         + "), tree as (select names from (" + " union all ".join(f"select '{':'.join(x)}' as names, (select sum(mi) from e where edge in {x!r}) as total" for x in _TREES)
         + ") order by total desc limit 1) select edge, round(mi, 10) as mi from e, tree where contains(names, edge)",
-    "search_estimate": """with k as (select * from (values ('full up', false, true), ('full down', true, true), ('loopless up', false, false)) v(search, down, isfull)),
+    "search_estimate": f"with {_T}," + """ k as (select * from (values ('full up', false, true), ('full down', true, true), ('loopless up', false, false)) v(search, down, isfull)),
 l as (select search, isfull, level, case when level = 1 then case when down then 4 else 6 end else 3 * greatest(4, case when down then 6 - 3 * level else 6 - level end) end as models,
   case when isfull and level > 2 then least(0.95, 1 - exp(-10 * 4.0 * level * level * level * 2 / (3.0 * 16 * 9))) else 0.0 end as p,
-  (1 + 200 / 1000.0 + 4 / 10.0) / (1 + 7 * 0.7) / 1000 as scale from k, range(1, 6) r(level))
+  (1 + (select count(*) from t) / 1000.0 + 4 / 10.0) / (1 + 7 * 0.7) / 1000 as scale from k, range(1, 6) r(level))
 select search, cast(level as int) as level, cast(models as int) as models, round(p::double, 10) as loop_probability, round((models * (1 - p) * 5 + models * p * 500) * scale, 8)::double as seconds from l
 union all select search, 0, cast(sum(models) as int), round(sum((models * (1 - p) * 2.5 + models * p * 150) * scale), 8)::double, round(sum((models * (1 - p) * 20 + models * p * 2000) * scale), 8)::double from l group by search""",
-    "power_table": f"""with d as (select * from (values (1, 3.841458820694124::double), (2, 5.991464547107979), (5, 11.070497693516351)) v(df, crit)), x as (select unnest([1.0::double, 4.0, 10.0]) as x)
-select df, x, round(1 - {_gamma_p('df / 2', 'x / 2')}, 9) as alpha,
-  round(1 - list_sum(list_transform(range(120), lambda k: exp(k * ln(x / 2) - x / 2 - lgamma(k + 1)) * {_gamma_p('(df / 2 + k)', '(crit / 2)', 120)})), 7) as power from d, x""",
+    "power_table": f"with recursive {_T}, m as materialized (" + " union all ".join(
+        f"select '{a}{b}' as pair, {(_CARD[a] - 1) * (_CARD[b] - 1)}::int as df, 2 * {_N} * ln(2) * greatest(0, {_h(a)} + {_h(b)} - {_h(a + b)}) as x" for a, b in combinations("ABCD", 2))
+        + f"""), b(pair, df, lo, hi, k) as (select pair, df, 0.0::double, 100.0::double, 0 from m union all
+  select pair, df, case when below then mid else lo end, case when below then hi else mid end, k + 1 from
+    (select *, (lo + hi) / 2 as mid, {_gamma_p('(df / 2.0)', '((lo + hi) / 4)')} < 0.95 as below from b where k < 60)),
+c as (select m.pair, m.df, x, (lo + hi) / 2 as crit from m join b on m.pair = b.pair where k = 60)
+select pair, df, round(x, 5) as lr, round(1 - {_gamma_p('(df / 2.0)', '(x / 2)')}, 7) as alpha,
+  round(1 - list_sum(list_transform(range(300), lambda k: exp(k * ln(x / 2) - x / 2 - lgamma(k + 1)) * {_gamma_p('(df / 2.0 + k)', '(crit / 2)', 200)})), 6) as power from c""",
     "chain_messages": _messages_sql(),
     "table_samples": f"""with {_T}, c as (select A, B, C, D, sum(value) over (order by A, B, C, D) / {_N} as hi from t), b as (select *, lag(hi, 1, 0) over (order by hi) as lo from c),
 u as (select {_uniform_sql('i', '7')} as u from range(3000) r(i))
@@ -841,7 +878,8 @@ from orders join v on v.k = o_orderkey % {len(MISSING_PROBES)} group by text""",
     "pairs_down_level": _models_sql([_line_model(x) for x in ("A:BC:D", "AC:B:D", "AB:C:D")]),
     "lattice_parents": _models_sql([_line_model(x) for x in ("ABCD",)]),
     "lattice_children": _models_sql([_line_model(x) for x in ("AC:BC:CD", "AB:BC:CD", "AB:AC:CD", "ABC:D")], 2),
-    "state_enumeration": "select cast(i as bigint) as state, cast(i % 3 as int) as A, cast(i // 3 % 2 as int) as B, cast(i // 6 % 5 as int) as C, cast(i // 30 as int) as D from range(210) r(i)",
+    "state_enumeration": f"with {_T}, d as (select cast(i as bigint) as state, cast(i % 3 as int) as A, cast(i // 3 % 2 as int) as B, cast(i // 6 % 5 as int) as C, cast(i // 30 as int) as D from range(210) r(i)) "
+        "select state, A, B, C, D, coalesce(value, 0) as value from d left join t using (A, B, C, D)",
     "bin_equal_width": f"""with x as (select l_extendedprice as x from lineitem), m as (select min(x) as lo, max(x) as hi from x),
 b as (select lo + (hi - lo) / 5 * 1 as b1, lo + (hi - lo) / 5 * 2 as b2, lo + (hi - lo) / 5 * 3 as b3, lo + (hi - lo) / 5 * 4 as b4 from m)
 select cast({_BIN_CASE} as int) as code, count(*) as n from x, b group by 1""",
@@ -868,14 +906,15 @@ from lineitem, b group by all""",
     "infer_values": " union all ".join(f"select '{c}' as \"column\", count(*) as n_rows, count(distinct {c}) as cardinality, (select string_agg(v, '|' order by v) from (select distinct {c} as v from orders)) as labels from orders" for c in ("o_orderstatus", "o_orderpriority")),
     "first_seen_codes": "select n_name as value, row_number() over (order by k) - 1 as code from (select n_name, min(n_nationkey) as k from nation group by n_name)",
     "preprocess_auto_bin": """select cast(case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end as int) as "L", cast(least((l_linenumber - 1) // 3, 2) as int) as "Ll", cast(count(*) as double) as value from lineitem group by 1, 2""",
-    "residues_pairs": "select cast(n % 3 as int) as A, cast(n % 5 as int) as B, cast((n + 1) % 3 as int) as Z, cast(count(*) as double) as value from range(1, 5000) r(n) group by all",
-    "prime_residues": """with n as (select range as n from range(2, 10000)), c as (select distinct p.n * k.k as n from (select range as n from range(2, 101)) p, (select range as k from range(2, 5001)) k where p.n * k.k < 10000 and k.k >= p.n),
-p as (select n.n from n left join c on n.n = c.n where c.n is null), q as (select n, lead(n) over (order by n) as nx from p)
+    "residues_pairs": """select cast(n % 3 as int) as A, cast(n % 5 as int) as B, cast(nx % 3 as int) as Z, cast(count(*) as double) as value
+from (select n, lead(n) over (order by n) as nx from (select distinct l_partkey as n from lineitem where l_partkey > 0)) q where nx is not null group by all""",
+    "prime_residues": """with n as (select distinct o_orderkey as n from orders where o_orderkey > 1), f as (select unnest(range(2, (select cast(ceil(sqrt(max(n))) as bigint) + 1 from n))) as f),
+p as (select n from n where not exists (select 1 from f where f.f < n.n and f.f * f.f <= n.n and n.n % f.f = 0)), q as (select n, lead(n) over (order by n) as nx from p)
 select cast(n % 3 as int) as A, cast(nx % 3 as int) as Z, cast(count(*) as double) as value from q where nx is not null group by all""",
-    "digit_sums": "select n, cast(n % 10 + n // 10 % 10 + n // 100 % 10 + n // 1000 as int) as digits from range(1, 3001) r(n)",
-    "collatz": """with recursive w(n, x, k) as (select range, range, 0 from range(1, 301) union all select n, case when x % 2 = 0 then x // 2 else 3 * x + 1 end, k + 1 from w where x > 1)
+    "digit_sums": "select n, cast(list_sum(list_transform(range(1, length(n::varchar) + 1), lambda i: substr(n::varchar, i, 1)::int)) as int) as digits from (select distinct o_orderkey as n from orders where o_orderkey > 0) q",
+    "collatz": """with recursive w(n, x, k) as (select distinct p_partkey, p_partkey, 0 from part where p_partkey > 0 union all select n, case when x % 2 = 0 then x // 2 else 3 * x + 1 end, k + 1 from w where x > 1)
 select n, max(k)::int as steps from w group by n""",
-    "prime_factors": """with recursive w(n, x, p, k) as (select range, range, cast(2 as bigint), 0 from range(1, 2001)
+    "prime_factors": """with recursive w(n, x, p, k) as (select distinct p_partkey, p_partkey, cast(2 as bigint), 0 from part where p_partkey > 0
 union all select n, case when x % p = 0 then x // p else x end, case when x % p = 0 then p else p + 1 end, case when x % p = 0 then k + 1 else k end from w where p * p <= x)
 select n, cast(max(k + case when x > 1 and p * p > x then 1 else 0 end) as int) as factors from w where p * p > x group by n""",
     "events_markov": "select event_type, following, count(*) as n from (select event_type, lead(event_type) over (partition by user_id order by ts, event_id) as following from events) where following is not null group by all",
