@@ -230,6 +230,17 @@ def cond_entropy(spark, sf):
         return spark.createDataFrame(rows, "model string, cond_h double, cond_dh double")
 
 
+def directed_fit(spark, sf):
+    """What models that predict A take off its entropy, in bits, in percent and as a coefficient."""
+    with analyzer(spark, sf, "A") as a:
+        rows = []
+        for name in ("AB:BCD", "ABC:BCD", "ABCD"):
+            r = a.fit(name, pearson=False)
+            h = a.entropy(a.schema.dependent)
+            rows.append((name, round(r.cond_h, 8), round(r.cond_dh, 8), round(r.percent_dh, 6), round(special.uncertainty_coefficient(h, r.cond_h), 8)))
+        return spark.createDataFrame(rows, "model string, cond_h double, cond_dh double, percent_dh double, uncertainty double")
+
+
 def _conditional(spark, sf):
     t, s = line_table(spark, sf, "A"), line_schema("A")
     return t, s, predict.conditional_dv(t, tables.normalize(t), s)
@@ -500,7 +511,7 @@ QUERIES = {
     "model_triangle_fit": model_fit_table, "relation_metrics": relation_metrics,
     "fit_independence": _fit("A:B:C:D"), "fit_chain_AB_BC": _fit("AB:BC:D"), "fit_jt_ABC_BCD": _fit("ABC:BCD"), "fit_forest_AB_CD": _fit("AB:CD"),
     "ipf_triangle": ipf_triangle, "residuals": residuals, "pearson_p2": pearson_p2, "potential_algebra": potential_algebra, "junction_marginal": junction_marginal, "calibrated_cliques": calibrated_cliques,
-    "cond_entropy": cond_entropy, "conditional_dv": conditional_dv, "predictions_by_rank": predictions_by_rank, "confusion_matrix": confusion_matrix,
+    "cond_entropy": cond_entropy, "directed_fit": directed_fit, "conditional_dv": conditional_dv, "predictions_by_rank": predictions_by_rank, "confusion_matrix": confusion_matrix,
     "class_scores": class_scores, "accuracy": accuracy, "incremental_alpha": incremental_alpha,
     "loopless_up_level1": _level("loopless"), "full_up_level1": _level("full"), "disjoint_up_level1": _level("disjoint"), "disjoint_down_level1": _level("disjoint", "down", "ABCD"),
     "loopless_down_level1": _level("loopless", "down", "ABCD"), "all_chains": all_chains, "lattice_partitions": lattice_partitions, "directed_lattice": directed_lattice,
@@ -821,6 +832,9 @@ select f.A, f.B, f.C, round(coalesce(o.v, 0), 10) as observed, round(f.v, 10) as
     "cond_entropy": f"""with {_T} select 'A:BCD' as model, round({_h('A')}, 8) as cond_h, 0.0::double as cond_dh
 union all select 'AB:CD', round({_h('AB')} + {_h('CD')} - {_h('BCD')}, 8), round({_h('A')} - ({_h('AB')} + {_h('CD')} - {_h('BCD')}), 8)
 union all select 'ABCD', round({_h('ABCD')} - {_h('BCD')}, 8), round({_h('A')} - {_h('ABCD')} + {_h('BCD')}, 8)""",
+    "directed_fit": f"with {_T}, m as (" + " union all ".join(f"select '{m}' as model, {h} - {_h('BCD')} as c" for m, h in (
+        ("AB:BCD", f"{_h('AB')} + {_h('BCD')} - {_h('B')}"), ("ABC:BCD", f"{_h('ABC')} + {_h('BCD')} - {_h('BC')}"), ("ABCD", _h("ABCD"))))
+        + f"), a as (select {_h('A')} as h) select model, round(c, 8) as cond_h, round(h - c, 8) as cond_dh, round(100 * (h - c) / h, 6) as percent_dh, round((h - c) / h, 8) as uncertainty from m, a",
     "conditional_dv": f"with {_T}, {_COND} select B, C, D, round(n0 / total, 8) as p0, round(n1 / total, 8) as p1, round(n2 / total, 8) as p2, prediction, case prediction when 0 then n0 when 1 then n1 else n2 end as correct, total from k",
     "predictions_by_rank": f"with {_T}, {_COND} select B, C, D, prediction, round(case prediction when 0 then n0 when 1 then n1 else n2 end / total, 8) as probability from k",
     "confusion_matrix": f"with {_T}, {_COND} select actual, sum(case when predicted = 0 then value else 0 end) as predicted_0, sum(case when predicted = 1 then value else 0 end) as predicted_1, sum(case when predicted = 2 then value else 0 end) as predicted_2 from f group by actual",
