@@ -32,6 +32,8 @@ from .table import VALUE
 
 #: Data sets with at most so many observed states may be evaluated on the driver.
 LOCAL_STATES = 200_000
+#: Tables of at most so many possible states are fetched without counting them first, and kept as a table of their own.
+SMALL = 10_000
 
 
 #: Models with loops from which on they are fitted side by side on the executors.
@@ -143,7 +145,22 @@ class Analyzer:
 
     @cached_property
     def summary(self) -> tuple[float, int]:
-        """Sum of counts and number of observed states, of the aggregated table (cached for the jobs to come)."""
+        """Sum of counts and number of observed states, of the aggregated table.
+
+        A table that cannot have more than ``SMALL`` states is fetched in one job and takes the source's place for the jobs
+        to come; a larger one is cached.
+        """
+        cells = self.schema.cells()
+        if cells <= min(self.local_states, SMALL):
+            p = self.table.where(F.col(VALUE) > 0).limit(cells + 1).toPandas()
+            if len(p) <= cells:  # more rows: states are listed twice
+                if not len(p):
+                    raise ValidationError("the data set has no counts")
+                codes, counts = p[self.schema.columns].to_numpy(np.int64), p[VALUE].to_numpy(np.float64)
+                self.__dict__["local"] = codes, counts
+                rows = [(*c, v) for c, v in zip(codes.tolist(), counts.tolist())]
+                self.table = self.spark.createDataFrame(rows, ", ".join(f"{c} int" for c in self.schema.columns) + f", {VALUE} double")
+                return float(counts.sum()), len(p)
         self.table = self.table.cache()
         row = self.table.where(F.col(VALUE) > 0).agg(F.sum(VALUE).alias("n"), F.count("*").alias("s")).first()
         n = float(row["n"] or 0.0)
