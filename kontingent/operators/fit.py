@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..algebra import Model, bits
@@ -27,8 +28,6 @@ MAX_DENSE = 1 << 22
 MAX_BROADCAST = 100_000
 #: States that a DataFrame fit may enumerate unless told otherwise.
 MAX_STATES = 1 << 28
-#: Steps of a DataFrame fit in one plan.
-STEPS = 3
 
 
 @dataclass(frozen=True)
@@ -184,20 +183,36 @@ def scale_by_margin(q: DataFrame, margin: DataFrame, names: list[str], small: bo
     return q.join(F.broadcast(factor) if small else factor, names).withColumn(VALUE, F.col(VALUE) * F.col("_f")).drop("_f")
 
 
+def _scale_in_window(q: DataFrame, margin: DataFrame, names: list[str]) -> DataFrame:
+    """``scale_by_margin`` in a window: it reads q once, so steps follow each other in one plan, but shuffles all of it."""
+    own = q.withColumn("_have", F.sum(VALUE).over(W.partitionBy(*names))).join(F.broadcast(margin.withColumnRenamed(VALUE, "_want")), names, "left")
+    factor = F.when(F.col("_have") > 0, F.coalesce("_want", F.lit(0.0)) / F.col("_have")).otherwise(F.lit(0.0))
+    return own.select(*[c for c in q.columns if c != VALUE], (F.col(VALUE) * factor).alias(VALUE))
+
+
 def _sweep(q: DataFrame, margins, schema: Schema) -> DataFrame:
-    """One step per margin, written after every third, as a step reads what it starts from twice; ``q`` is given up."""
-    small = schema.cells() <= MAX_BROADCAST
-    for k, (names, m) in enumerate(margins, 1):
-        q, before = scale_by_margin(q, m, names, schema.cells(sum(1 << schema.columns.index(c) for c in names)) <= MAX_BROADCAST), q if k % STEPS == 1 else before
-        if k % STEPS == 0 or k == len(margins):
-            q = materialise(q.coalesce(1) if small else q)
-            drop(before)
+    """One step per margin; ``q`` is given up.
+
+    A table of few states takes all steps in one plan and is written once.  A larger one is not shuffled where a margin's
+    factors can be broadcast, but read twice a step, and so written after each.
+    """
+    if schema.cells() <= MAX_BROADCAST:
+        new = q
+        for names, m in margins:
+            new = _scale_in_window(new, m, names)
+        new = materialise(new.coalesce(1))
+        drop(q)
+        return new
+    for names, m in margins:
+        new = materialise(scale_by_margin(q, m, names, schema.cells(sum(1 << schema.columns.index(c) for c in names)) <= MAX_BROADCAST))
+        drop(q)
+        q = new
     return q
 
 
 def frame_ipf(p: DataFrame, model: Model, config: IPFConfig = IPFConfig(), max_states: int = MAX_STATES) -> tuple[DataFrame, FitInfo]:
     """IPF as DataFrame sweeps; each sweep is written to the shared folder, so plans stay short and survive lost executors."""
-    schema = model.schema
+    schema, p = model.schema, materialise(p)  # its source is read once
     q = start_table(p, model, max_states)
     margins = [(schema.names(r), materialise(project(p, schema, r))) for r in model.relations]
     info, before = FitInfo("ipf", converged=False), float("inf")
@@ -208,6 +223,7 @@ def frame_ipf(p: DataFrame, model: Model, config: IPFConfig = IPFConfig(), max_s
             info.converged = True
             break
         before = info.error
+    drop(p, *[m for _, m in margins])
     if not info.converged and config.raise_on_failure:
         raise ConvergenceError("the fit did not converge", info.iterations, info.error)
     return q.where(F.col(VALUE) > PROB_MIN), info
@@ -225,9 +241,11 @@ def margin_error(q: DataFrame, margins) -> float:
 
 def fixed_sweeps(p: DataFrame, model: Model, sweeps: int) -> DataFrame:
     """A fixed number of IPF sweeps as DataFrames."""
-    schema = model.schema
+    schema, p = model.schema, materialise(p)  # its source is read once
     q = start_table(p, model)
     margins = [(schema.names(r), materialise(project(p, schema, r))) for r in model.relations]
     for _ in range(sweeps):
         q = _sweep(q, margins, schema)
+    if sweeps > 0:  # else the start is still to be read from them
+        drop(p, *[m for _, m in margins])
     return q.select(*schema.columns, VALUE)
