@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus operators and the queries that apply them.
+"""Training-data operators: thirteen corpus operators and the queries that apply them.
 
 Nothing else in the library imports this subpackage.  Each operator module has
 a general interface (tables in, tables out, parameters as keyword arguments);
