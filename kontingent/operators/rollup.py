@@ -4,7 +4,11 @@ GROUPING SETS copies every row once per margin: all pairs of 30 variables copy a
 are written first and the rest are summed from them.  Which ones is decided on the lattice of variable sets: margins that are
 summed from the table are put together two by two, those whose union makes the smallest table first, as long as that saves
 copying rows, a row of the union counting ``SHUFFLED`` times; a union that does not save ``WORTH`` rows is left out again.
-Sizes are bounds: a margin has no more rows than states, and no more than what it is summed from.
+Sizes are bounds: a margin has no more rows than states, and no more than what it is summed from.  Steps of a ``Rollup`` have
+at most ``STEP_CELLS`` states however large the table is: every task sums its part of the table to at most that many rows
+before it shuffles them, so the shuffle does not grow to the table's size.
+
+States that fit into a long (``packing``) are summed as such, others by grouping sets.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 from ..schema import Schema
+from .packing import Packing
 from .storage import drop, materialise
 from .table import SETS_PER_JOB, VALUE, entropies_of, project_many
 
@@ -24,6 +29,22 @@ from .table import SETS_PER_JOB, VALUE, entropies_of, project_many
 WORTH = 1 << 20
 #: Copied rows that cost as much as one row of a step: it is shuffled, written and read.
 SHUFFLED = 8
+#: States of a step, at most, unless it is asked for itself.
+STEP_CELLS = 1 << 16
+
+
+def cover(masks, cells, most: int) -> list[int]:
+    """Masks that contain all given ones, put together largest first where their union has at most ``most`` states and grows least."""
+    steps: list[int] = []
+    for m in sorted(set(masks), key=lambda m: (-cells(m), m)):
+        if any(m & ~s == 0 for s in steps):
+            continue
+        fits = [(cells(s | m), k) for k, s in enumerate(steps) if cells(s | m) <= most]
+        if fits:
+            steps[min(fits)[1]] |= m
+        else:
+            steps.append(m)
+    return steps
 
 
 @dataclass(frozen=True)
@@ -35,15 +56,15 @@ class Node:
     wanted: bool
 
 
-def plan(masks, rows: int, cells, full: int, worth: int = WORTH) -> list[Node]:
+def plan(masks, rows: int, cells, full: int, worth: int = WORTH, most: int | None = None) -> list[Node]:
     """Margins in an order in which each comes after what it is summed from.
 
-    rows: of the table; cells: states of a mask; full: the mask of all variables.
+    rows: of the table; cells: states of a mask; full: the mask of all variables; most: states of a union, None for any number.
     """
     wanted = list(dict.fromkeys(masks))
     asked = set(wanted)
     size = lambda m: min(rows, cells(m)) if m else rows
-    pays = lambda m: (2 + SHUFFLED) * size(m) < rows  # noqa: E731  two margins summed from it cost less than from the table
+    pays = lambda m: (most is None or cells(m) <= most) and (2 + SHUFFLED) * size(m) < rows  # noqa: E731  two margins summed from it cost less than from the table
     parent = dict.fromkeys(wanted, 0)
     tops = set(wanted)
     heap = [(size(a | b), a | b) for a in tops for b in tops if a < b and a | b != full and pays(a | b)]
@@ -90,11 +111,15 @@ class Rollup:
 
     def __init__(self, t: DataFrame, schema: Schema, masks, rows: int, worth: int = WORTH):
         self.schema, self.table = schema, t
-        self.nodes = plan(masks, rows, schema.cells, schema.full, worth)
+        try:
+            self.packing = Packing(schema)
+        except ValidationError:  # too wide for a long
+            self.packing = None
+        self.nodes = plan(masks, rows, schema.cells, schema.full, worth, STEP_CELLS)
         if not self.nodes:
             raise ValidationError("no projection given")
         self.written: list[DataFrame] = []
-        self._sources: dict[int, DataFrame] = {0: t}
+        self._sources: dict[int, DataFrame] = {0: t if self.packing is None else t.select(self.packing.key().alias("key"), VALUE)}
         steps = {n.parent for n in self.nodes} - {0}
         depth = {0: 0}
         for n in self.nodes:
@@ -105,13 +130,18 @@ class Rollup:
                 stored = materialise(self._summed(own), by="mask")
                 self.written.append(stored)
                 for n in own:
-                    self._sources[n.mask] = stored.where(F.col("mask") == n.mask).select(*schema.names(n.mask), VALUE)
+                    names = schema.names(n.mask) if self.packing is None else ["key"]
+                    self._sources[n.mask] = stored.where(F.col("mask") == n.mask).select(*names, VALUE)
 
     def _summed(self, nodes: list[Node]) -> DataFrame:
         out = None
         for p in dict.fromkeys(n.parent for n in nodes):
             own = [n.mask for n in nodes if n.parent == p]
             source = self._sources[p]
+            if self.packing is not None:
+                part = self.packing.sums(source, own)
+                out = part if out is None else out.union(part)
+                continue
             missing = [c for c in self.schema.columns if c not in source.columns]
             small = self.schema.select([c for c in self.schema.columns if c in source.columns])
             place = {c: k for k, c in enumerate(small.columns)}
@@ -125,18 +155,27 @@ class Rollup:
 
     def margins(self) -> DataFrame:
         """All margins asked for: the schema's columns (null where summed out), value and mask."""
+        out = self._asked()
+        return out if self.packing is None else out.select(*self.packing.codes(F.col("key"), F.col("mask")), VALUE, "mask")
+
+    def _asked(self) -> DataFrame:
+        """The same by packed keys, if there are such."""
         ready = [n for n in self.nodes if n.wanted and n.mask in self._sources]
         rest = [n for n in self.nodes if n.wanted and n.mask not in self._sources]
         out = self._summed(rest) if rest else None
         for n in ready:
             source = self._sources[n.mask]
+            if self.packing is not None:
+                part = source.select(F.lit(n.mask).cast("long").alias("mask"), "key", VALUE)
+                out = part if out is None else out.union(part)
+                continue
             part = source.select(*[F.col(c) if c in source.columns else F.lit(None).cast("int").alias(c) for c in self.schema.columns], VALUE, F.lit(n.mask).cast("long").alias("mask"))
             out = part if out is None else out.union(part)
         return out
 
     def entropies(self) -> DataFrame:
         """(mask, entropy in bits, n, states) of each margin asked for."""
-        return entropies_of(self.margins())
+        return entropies_of(self._asked())
 
     def release(self) -> None:
         drop(*self.written)

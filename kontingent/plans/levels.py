@@ -3,12 +3,14 @@
 ``search`` keeps a level's models on the driver, which serves beams of a few hundred.  Here a level is a table: neighbours
 are made from the seeds by tasks, equal ones dropped by name; each model becomes signed terms (cliques, separators, blocks
 with loops); terms are joined with the entropies of margins and of fitted blocks and summed; likelihood ratio, information
-criteria and p-values are column expressions; the beam is the head of an ordered table.  Only numbers of rows and, in
-``search``, the beam come to the driver.
+criteria and p-values are column expressions; the beam is the head of an ordered table.  Only numbers of rows, up to
+``MOST_MASKS`` masks and, in ``search``, the beam come to the driver.
 
 A state of the data is one long: each variable has a field of bits, so a margin's key is the state's long AND the fields of
-the margin's variables.  States are dealt to buckets and the masks copied to each, so every (state, mask) is met by an equi-join
-in the bucket's task and added up there before anything is shuffled.
+the margin's variables.  Where there are more states than ``rollup.STEP_CELLS``, they are first summed to a few margins that
+cover all others (``rollup.cover``) and the others are summed from these, whose size the data's does not change.  Few states
+(and over ``MOST_MASKS`` masks) are dealt to buckets and the masks copied to each, so every (state, mask) is met by an
+equi-join in the bucket's task and added up there before anything is shuffled.
 
 Loops: a model falls apart where a separator lies inside a relation (``graph.blocks``); only blocks with loops are fitted, equal
 blocks of many models once.  All blocks are scaled together, one table keyed by block, a sweep being one job however many
@@ -30,7 +32,8 @@ from ..functions import distributions
 from ..functions.special import LN2
 from ..graph import blocks, clique_tree
 from ..operators import fit as fitting
-from ..operators import inference
+from ..operators import inference, rollup
+from ..operators.packing import Packing
 from ..operators.storage import drop, materialise
 from ..operators.table import VALUE, normalize
 from ..schema import PROB_MIN, Schema
@@ -40,47 +43,12 @@ MODEL = "model string, relations array<long>"
 DESCRIBED = "model string, level int, has_loops boolean, df long, uniform double, masks array<long>, signs array<int>, loops array<string>"
 #: States of a block that are scaled in the common table.
 MAX_BLOCK = 1 << 20
+#: Masks that are planned together on the driver.
+MOST_MASKS = 1 << 14
 #: Domain states that one row makes.
 CHUNK = 1 << 12
 
 
-class Packing:
-    """Where each variable's code lies in a long."""
-
-    def __init__(self, schema: Schema):
-        self.schema, at = schema, 0
-        self.shift: list[int] = []
-        for v in schema:
-            self.shift.append(at)
-            at += max(1, (v.cardinality - 1).bit_length())
-        if at > 62:
-            raise ValidationError(f"states take {at} bits; at most 62 fit into a key")
-        self.field = [((1 << max(1, (v.cardinality - 1).bit_length())) - 1) << s for v, s in zip(schema, self.shift)]
-
-    def key(self) -> Column:
-        out = F.lit(0).cast("long")
-        for v, s in zip(self.schema, self.shift):
-            out = out.bitwiseOR(F.shiftleft(F.col(v.abbrev).cast("long"), s))
-        return out
-
-    def fields(self, mask: Column) -> Column:
-        """The fields of a mask's variables."""
-        out = F.lit(0).cast("long")
-        for k, f in enumerate(self.field):
-            out = out + F.when(mask.bitwiseAND(F.lit(1 << k).cast("long")) != 0, F.lit(f).cast("long")).otherwise(F.lit(0).cast("long"))
-        return out
-
-    def of_index(self, index: Column, mask: Column) -> Column:
-        """The key of a state of a mask's variables by its index, the first variable running fastest."""
-        key, rest = F.lit(0).cast("long"), index
-        for k, v in enumerate(self.schema):
-            has = mask.bitwiseAND(F.lit(1 << k).cast("long")) != 0
-            digit = F.when(has, F.pmod(rest, F.lit(v.cardinality).cast("long"))).otherwise(F.lit(0).cast("long"))
-            key = key.bitwiseOR(F.shiftleft(digit, self.shift[k]))
-            rest = F.when(has, F.floor(rest / F.lit(v.cardinality).cast("long")).cast("long")).otherwise(rest)
-        return key
-
-
 def model_frame(spark: SparkSession, models) -> DataFrame:
     return spark.createDataFrame([(m.name, list(m.relations)) for m in models], MODEL)
 
@@ -142,11 +110,12 @@ def describe(models: DataFrame, schema: Schema, pairwise_df: bool = False) -> Da
 class Levels:
     """Evaluates tables of models over one contingency table.  ``release`` deletes what it has written."""
 
-    def __init__(self, t: DataFrame, schema: Schema, config: fitting.IPFConfig = fitting.IPFConfig(), buckets: int | None = None):
+    def __init__(self, t: DataFrame, schema: Schema, config: fitting.IPFConfig = fitting.IPFConfig(), buckets: int | None = None, step_cells: int = rollup.STEP_CELLS):
         self.schema, self.packing, self.config = schema.require_valid(), Packing(schema), config
         self.spark, self.table = t.sparkSession, t
         self.states = materialise(t.where(F.col(VALUE) > 0).select(self.packing.key().alias("key"), VALUE).groupBy("key").agg(F.sum(VALUE).alias(VALUE)))
-        row = self.states.agg(F.sum(VALUE).alias("n"), F.sum(F.col(VALUE) * F.log2(VALUE)).alias("s")).first()
+        row = self.states.agg(F.sum(VALUE).alias("n"), F.sum(F.col(VALUE) * F.log2(VALUE)).alias("s"), F.count("*").alias("k")).first()
+        self.step_cells, self.n_states = step_cells, row["k"]
         self.n = float(row["n"] or 0.0)
         if self.n <= 0:
             raise ValidationError("the data set has no counts")
@@ -168,12 +137,27 @@ class Levels:
 
     def margins(self, masks: DataFrame) -> DataFrame:
         """(mask, key, value) of the margins of a table of masks: keys are the states' longs without the other fields."""
+        if self.n_states > self.step_cells:
+            some = [r["mask"] for r in masks.select("mask").distinct().limit(MOST_MASKS + 1).collect()]
+            if 0 < len(some) <= MOST_MASKS:
+                return self._from_steps(some)
         # dealt before they are copied: a task of its own for each bucket, however few files the states lie in
         dealt = self.states.withColumn("_b", F.pmod(F.xxhash64("key"), F.lit(self.buckets))).repartition(self.buckets, "_b")
         copies = masks.select("mask", self.packing.fields(F.col("mask")).alias("_f"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.buckets - 1).cast("long"))).alias("_b"))
         met = dealt.join(copies, "_b").select("mask", F.col("key").bitwiseAND(F.col("_f")).alias("key"), VALUE)
         return met.groupBy("mask", "key").agg(F.sum(VALUE).alias(VALUE))
 
+    def _from_steps(self, masks: list[int]) -> DataFrame:
+        """Each margin from the smallest step that covers it; the steps are written."""
+        cells = self.schema.cells
+        steps = rollup.cover(masks, cells, self.step_cells)
+        above = [(min((s for s in steps if m & ~s == 0), key=lambda s: (cells(s), s)), m, self.packing.fields_of(m)) for m in masks]
+        stored = self._keep(self.packing.sums(self.states, steps))
+        own = self.spark.createDataFrame(above, "_s long, mask long, _f long")
+        dealt = stored.withColumnRenamed("mask", "_s").repartition(self.buckets, "_s", "key")
+        met = dealt.join(F.broadcast(own), "_s").select("mask", F.col("key").bitwiseAND(F.col("_f")).alias("key"), VALUE)
+        return met.groupBy("mask", "key").agg(F.sum(VALUE).alias(VALUE))
+
     def entropies(self, masks: DataFrame) -> DataFrame:
         """(mask, h) of at least these masks; those that are not known yet are computed together and kept."""
         new = masks.select("mask").distinct()

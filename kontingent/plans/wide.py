@@ -61,15 +61,20 @@ def wide_schema(names: str = TWELVE) -> Schema:
     return Schema(tuple(Variable(name, a, n) for a, name, n, _ in VARIABLES + MORE if a in names))
 
 
-def wide_table(spark: SparkSession, sf: str, names: str = TWELVE) -> DataFrame:
-    """Counts of the variables' states; the small dimension's join is left to the optimiser's sizes."""
+def wide_rows(spark: SparkSession, sf: str, names: str = TWELVE) -> DataFrame:
+    """A state and the value 1 for each line, equal ones not merged; the small dimension's join is left to the optimiser's sizes."""
     own = [(a, e) for a, _, _, e in VARIABLES + MORE if a in names]
     rows = read(spark, sf, "lineitem")
     if set(names) & set("GHNOS"):
         rows = rows.join(read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
     if set(names) & set("IJLQ"):
         rows = rows.join(read(spark, sf, "part").select("p_partkey", "p_size", "p_type", "p_brand", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
-    return tables.aggregate(rows.select(*[F.expr(e).cast("int").alias(a) for a, e in own], F.lit(1.0).alias(VALUE)), wide_schema(names))
+    return rows.select(*[F.expr(e).cast("int").alias(a) for a, e in own], F.lit(1.0).alias(VALUE))
+
+
+def wide_table(spark: SparkSession, sf: str, names: str = TWELVE) -> DataFrame:
+    """Counts of the variables' states."""
+    return tables.aggregate(wide_rows(spark, sf, names), wide_schema(names))
 
 
 def wide_probabilities(spark: SparkSession, sf: str, names: str = TWELVE) -> tuple[DataFrame, Schema]:
@@ -148,7 +153,7 @@ def partition_level(spark, sf):
     and the p-value of what they gain on it.  Models, margins and figures are tables throughout."""
     names = TWELVE[:11]
     s = wide_schema(names)
-    level = levels.Levels(wide_table(spark, sf, names), s)
+    level = levels.Levels(wide_rows(spark, sf, names), s)
     first = algebra.independence(s)
     models = levels.model_frame(spark, [first])
     for _ in range(3):

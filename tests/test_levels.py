@@ -107,3 +107,16 @@ def test_search_equals_the_drivers(spark, table):
     assert level.evaluate(levels.model_frame(spark, [algebra.independence(SCHEMA)]).limit(0)).count() == 0
     near.release()
     level.release()
+
+
+def test_margins_from_steps(spark, table):
+    """With more states than a step may have, margins come from a few steps and are the same."""
+    masks = spark.createDataFrame([(m,) for m in range(1, SCHEMA.full + 1)], "mask long")
+    near, far = levels.Levels(table, SCHEMA), levels.Levels(table, SCHEMA, buckets=3, step_cells=12)
+    assert far.n_states > 12
+    read = lambda d: {(r["mask"], r["key"]): r["value"] for r in d.collect()}
+    assert read(far.margins(masks)) == read(near.margins(masks))
+    h = {r["mask"]: r["h"] for r in near.entropies(masks).collect()}
+    assert {r["mask"]: r["h"] for r in far.entropies(masks).collect()} == pytest.approx(h, abs=1e-12)
+    near.release()
+    far.release()

@@ -66,3 +66,38 @@ def test_equal_to_grouping_sets(spark):
     far, near = Analyzer(t, s, local_states=0), Analyzer(t, s)
     assert far.entropies(masks) == pytest.approx(near.entropies(masks), abs=1e-9)
     near.release()
+
+
+def test_steps_do_not_grow_with_the_table():
+    """A step that nobody asked for stays small however many rows there are, and a few steps cover many margins."""
+    cells, full = counts([3, 2, 5, 7, 11, 9, 3, 5, 5, 6, 7, 25, 12, 12, 4, 4, 5, 10, 7, 6]), (1 << 20) - 1
+    nodes = rollup.plan(pairs(20), 10**9, cells, full, most=rollup.STEP_CELLS)
+    assert max(cells(x.mask) for x in nodes if not x.wanted) <= rollup.STEP_CELLS
+    steps = rollup.cover(pairs(20), cells, rollup.STEP_CELLS)
+    assert len(steps) < 30 and all(cells(s) <= rollup.STEP_CELLS for s in steps)
+    assert all(any(m & ~s == 0 for s in steps) for m in pairs(20))
+    assert rollup.cover([0b111], cells, 2) == [0b111]  # what is asked for is a step, whatever its size
+
+
+def test_packed_sums(spark, monkeypatch):
+    """Arrays in tasks and copies of rows give the same margins, with states whose values cancel."""
+    from pyspark.errors import PythonException
+
+    from kontingent.operators import packing
+
+    s = Schema(tuple(Variable(c, c, n) for c, n in zip("ABC", (3, 4, 2))))
+    rows = [(k % 3, k % 4, k % 2, float(k % 5 - 2)) for k in range(500)] + [(1, 1, 1, 2.0), (1, 1, 1, -2.0)]
+    t = spark.createDataFrame(rows, "A int, B int, C int, value double").repartition(5)
+    p = packing.Packing(s)
+    keyed = t.select(p.key().alias("key"), "value")
+    masks = [0b1, 0b11, 0b101, 0b111]
+    read = lambda d: {tuple(r) for r in d.select("mask", *p.codes(F.col("key"), F.col("mask")), F.round("value", 9)).collect()}
+    want = {tuple(r) for r in tables.project_many(t, s, masks).select("mask", "A", "B", "C", F.round("value", 9)).collect()}
+    assert read(p.sums(keyed, masks)) == want
+    for cells in (0, 7, 24):
+        monkeypatch.setattr(packing, "ARRAY_CELLS", cells)
+        assert read(p.sums(keyed, masks)) == want
+    monkeypatch.undo()
+    assert p.sums(keyed.limit(0), masks).count() == 0
+    with pytest.raises(PythonException, match="cardinality"):
+        p.sums(spark.createDataFrame([(3, 0, 0, 1.0)], "A int, B int, C int, value double").select(p.key().alias("key"), "value"), [0b1]).collect()
