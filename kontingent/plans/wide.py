@@ -141,7 +141,7 @@ def clique_fit_statistics(spark, sf):
 
 def rollup_pairs(spark, sf):
     """Entropies of all singles and pairs of twenty columns, from a few larger margins."""
-    t, s = materialise(wide_table(spark, sf, TWENTY)), wide_schema(TWENTY)
+    t, s = materialise(wide_rows(spark, sf, TWENTY)), wide_schema(TWENTY)  # nearly every line is a state of its own
     masks = [1 << i for i in range(20)] + [1 << i | 1 << j for i, j in combinations(range(20), 2)]
     e = rollup.Rollup(t, s, masks, t.count(), worth=1 << 16).entropies()
     name = F.create_map(*[x for m in masks for x in (F.lit(m).cast("long"), F.lit("".join(s.names(m))))])
