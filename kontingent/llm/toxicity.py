@@ -10,9 +10,13 @@ on the same rows a threshold per language is calibrated for precision.
 Labels, language, source and id are never inputs of the score; the language
 only picks the threshold of ``rejected``.
 
-Training takes at most ``MAX_ROWS`` labelled rows (the least by a hash of their
-id; of documents of one id the least text) of at most ``MAX_WORDS`` words each;
-they are hashed on the executors and reach the driver as bucket numbers.  Scoring reads every text whole: a batch's
+Training takes every labelled row and its whole text (of documents of one id
+the least text).  Four fifths of the rows are dealt to shards of about
+``SHARD_ROWS`` by a hash of their id; in a round a task trains on its shard from
+the weights so far, then the shards' weights are averaged, an embedding over
+the shards that changed it.  The other fifth calibrates: the logistic fit is
+Newton steps on sums that Spark makes, the thresholds come from counts.  Only
+weights, sums and counts reach the driver.  Scoring reads every text whole: a batch's
 distinct words are convolved by table lookups, one per filter position.
 
 Edge cases: a null or empty text scores like a text of padding only; texts are
@@ -34,10 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import drop, materialise, slices
 
-#: Bound of the training sample, in rows and in words of a row.
-MAX_ROWS, MAX_WORDS = 6000, 4000
+#: Rows and bytes of text of a shard, about; rounds if there are several.
+SHARD_ROWS, SHARD_BYTES, ROUNDS = 6000, 32 << 20, 2
+#: Labels that are sent to every executor; more are joined by a shuffle.
+MOST_SENT = 4_000_000
+#: Embeddings of a part that is averaged by itself.
+PART = 1 << 10
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 12, (1, 2, 3), 8
 BATCH, RATE, START = 64, 0.02, 0.01
 #: Rows seen in training, all epochs together, and bounds of the epochs.
@@ -119,6 +127,11 @@ class Net:
     def score(self, texts: list[str]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
+        a, b = self.scale
+        return 1 / (1 + np.exp(-np.clip(a * self.raw(texts) + b, -30, 30)))
+
+    def raw(self, texts: list[str]) -> np.ndarray:
+        """Logits of texts, before the calibration."""
         out, lo = [], 0
         while lo < len(texts):  # pieces of bounded size, texts whole
             hi, size = lo, 0
@@ -127,46 +140,47 @@ class Net:
                 hi += 1
             out.append(self.logits(*word_numbers(texts[lo:hi])))
             lo = hi
-        z = np.concatenate(out) if out else np.zeros(0)
-        a, b = self.scale
-        return 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+        return np.concatenate(out) if out else np.zeros(0)
 
 
-def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (kept positive) and shift of the logistic fit of y on z, by damped Newton steps."""
-    a, b = 1.0, 0.0
-    t = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        w = np.maximum(p * (1 - p), 1e-9)
-        g = np.array([((p - t) * z).sum() + 1e-3 * (a - 1), (p - t).sum()])
-        h = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-6]])
-        step = np.linalg.solve(h + 1e-6 * np.eye(2), g)
-        step *= min(1.0, 2.0 / (np.abs(step).max() + 1e-12))
-        a, b = max(1e-3, a - step[0]), b - step[1]
-    return float(a), float(b)
-
-
-def train(rows: list[tuple[np.ndarray, int, str]], seed: int = 11, precision: float = PRECISION) -> Net:
-    """rows: (n x 3 buckets of a text's words, label, language)."""
-    net = Net.fresh(seed)
-    y = np.array([r[1] for r in rows], np.float64)
-    if not len(rows) or y.min() == y.max():
-        net.constant = float(y.mean()) if len(rows) else 0.0
-        return net
-    rng = np.random.default_rng(seed)
-    pad = np.zeros((max(WIDTHS) - 1, 3), np.int32)
-    texts = [np.concatenate([r[0] if len(r[0]) else pad[:1], pad]) for r in rows]
-    order = rng.permutation(len(rows))
-    held, fit = order[: len(rows) // 5], order[len(rows) // 5:]
-    n_pos = max(1.0, y[fit].sum())
-    weight = np.where(y > 0, min(20.0, (len(fit) - y[fit].sum()) / n_pos), 1.0)
-    dense = [*net.filters, net.bias, net.out, np.zeros(1, np.float32)]
-    moment, square = [np.zeros_like(p) for p in dense], [np.zeros_like(p) for p in dense]
-    emb_sq = np.full(BUCKETS, 1e-6, np.float32)
-    step = 0
-    for _ in range(int(np.clip(SEEN / len(fit), *EPOCHS))):
-        mixed = rng.permutation(fit)
+@dataclass
+class Progress:
+    """A net in training: what the steps remember of the gradients before."""
+
+    net: Net
+    moment: list[np.ndarray]
+    square: list[np.ndarray]
+    emb_sq: np.ndarray
+    step: int = 0
+
+    @classmethod
+    def fresh(cls, seed: int) -> "Progress":
+        net = Net.fresh(seed)
+        zeros = lambda: [np.zeros_like(p) for p in (*net.filters, net.bias, net.out, np.zeros(1, np.float32))]
+        return cls(net, zeros(), zeros(), np.full(BUCKETS, 1e-6, np.float32))
+
+    def dense(self) -> list[np.ndarray]:
+        return [*self.net.filters, self.net.bias, self.net.out, np.array([self.net.out_bias], np.float32)]
+
+    def flat(self) -> np.ndarray:
+        """All but the embeddings as one vector."""
+        return np.concatenate([p.ravel() for p in (*self.dense(), *self.moment, *self.square, np.array([self.step]))]).astype(np.float64)
+
+    def set_flat(self, v: np.ndarray) -> None:
+        for p in (*self.net.filters, self.net.bias, self.net.out):
+            p[...], v = v[: p.size].reshape(p.shape), v[p.size:]
+        self.net.out_bias, v = float(v[0]), v[1:]
+        for p in (*self.moment, *self.square):
+            p[...], v = v[: p.size].reshape(p.shape), v[p.size:]
+        self.step = max(1, round(float(v[0])))
+
+
+def train(opt: Progress, texts: list[np.ndarray], y: np.ndarray, positive: float, epochs: int, rng) -> None:
+    """Epochs of steps on some texts (n x 3 buckets of a text's words); positive: weight of a row of label 1."""
+    net, dense = opt.net, opt.dense()
+    weight = np.where(y > 0, positive, 1.0)
+    for _ in range(epochs):
+        mixed = rng.permutation(len(texts))
         for lo in range(0, len(mixed), BATCH):
             pick = mixed[lo: lo + BATCH]
             feats = np.concatenate([texts[k] for k in pick])
@@ -202,12 +216,12 @@ def train(rows: list[tuple[np.ndarray, int, str]], seed: int = 11, precision: fl
                     emb_at.append(at.ravel())
                     emb_g.append((g[:, :, None] * f[j].T[None]).reshape(-1, DIM))
                 g_filters.append(gf)
-            step += 1
+            opt.step += 1
             grads = [*g_filters, g_act.sum(0), g_out, np.array([g_b], np.float32)]
             for q, (param, grad) in enumerate(zip(dense, grads)):
-                moment[q] = 0.9 * moment[q] + 0.1 * grad
-                square[q] = 0.99 * square[q] + 0.01 * grad**2
-                param -= (RATE / 4 * (moment[q] / (1 - 0.9**step)) / (np.sqrt(square[q] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+                opt.moment[q] = 0.9 * opt.moment[q] + 0.1 * grad
+                opt.square[q] = 0.99 * opt.square[q] + 0.01 * grad**2
+                param -= (RATE / 4 * (opt.moment[q] / (1 - 0.9**opt.step)) / (np.sqrt(opt.square[q] / (1 - 0.99**opt.step)) + 1e-7)).astype(np.float32)
             at, grad = np.concatenate(emb_at), np.concatenate(emb_g)
             live = np.abs(grad).max(1) > 0
             buckets = feats[at[live]].ravel()
@@ -215,54 +229,145 @@ def train(rows: list[tuple[np.ndarray, int, str]], seed: int = 11, precision: fl
             used, where = np.unique(buckets, return_inverse=True)
             total = np.zeros((len(used), DIM), np.float32)
             np.add.at(total, where, grad)
-            emb_sq[used] += (total**2).mean(1)
-            net.emb[used] -= RATE * 2 * total / np.sqrt(emb_sq[used])[:, None]
+            opt.emb_sq[used] += (total**2).mean(1)
+            net.emb[used] -= RATE * 2 * total / np.sqrt(opt.emb_sq[used])[:, None]
             net.emb[0] = 0
             net.out_bias = float(dense[-1][0])
-    z = np.array([float(net.logits(texts[k], np.arange(len(texts[k])), np.array([len(texts[k])]))[0]) for k in held])
-    net.scale = _platt(z, y[held])
-    score = 1 / (1 + np.exp(-np.clip(net.scale[0] * z + net.scale[1], -30, 30)))
-    lang = np.array([rows[k][2] for k in held])
-    for name in ["", *sorted(set(lang.tolist()))]:
-        own = (lang == name) if name else np.ones(len(held), bool)
-        net.thresholds[name] = _threshold(score[own], y[held][own], precision)
-    return net
-
-
-def _threshold(score: np.ndarray, y: np.ndarray, precision: float) -> float:
-    """Lowest cut between 0.35 and 0.8 that reaches the precision on these rows; 0.5 without positives."""
-    if not y.sum():
-        return 0.5
-    cuts = np.linspace(0.35, 0.8, 46)
-    good = [c for c in cuts if (score >= c).any() and y[score >= c].mean() >= precision]
-    return float(good[0]) if good else 0.8
-
-
-def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, lang: str, label: str, max_rows: int, max_words: int):
-    """The bounded sample, hashed on the executors: [(buckets, label, language)]."""
-    lab = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).where("_id is not null and _y is not null").distinct()
-    least = lab.withColumn("_h", F.xxhash64("_id")).orderBy("_h", "_id", "_y").limit(max_rows)
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("")).alias("lang")).join(F.broadcast(least), "_id")
-    # repeated ids stand for one row, the least, so that no more than max_rows are collected
-    rows = rows.groupBy("_id", "_h", "_y").agg(F.min(F.struct("text", "lang")).alias("r")).select("_h", "_y", "r.text", "r.lang")
 
-    def run(batches):
-        for b in slices(batches):
-            at = b.schema.get_field_index
-            cells = []
-            for t in b.column(at("text")).to_pylist():
-                words = [w for w in _SPLIT.split((t or "").lower()) if w]
-                cells.append(np.array([word_features(w) for w in words], np.int32).tobytes() if len(words) <= max_words else None)
-            yield pa.RecordBatch.from_arrays([b.column(at("_h")), b.column(at("_y")), b.column(at("lang")), pa.array(cells, pa.binary())], names=["h", "y", "lang", "cells"])
 
-    got = rows.select("_h", "_y", "lang", "text").mapInArrow(run, "h long, y int, lang string, cells binary").where("cells is not null")
-    table = sorted(got.collect(), key=lambda r: (r["h"], bytes(r["cells"]), r["y"]))[:max_rows]
-    return [(np.frombuffer(bytes(r["cells"]), np.int32).reshape(-1, 3), int(r["y"] > 0), r["lang"]) for r in table]
+def _round(texts: list[str], y: np.ndarray, opt: Progress, shard: int, positive: float, epochs: int, seed: list[int]) -> list[tuple]:
+    """(part, shard, numbers, values) of what training on a shard has changed; part -1: all but the embeddings."""
+    feats, ids, sizes = word_numbers(texts)
+    before, squared = opt.net.emb.copy(), opt.emb_sq.copy()
+    train(opt, [feats[i] for i in np.split(ids, np.cumsum(sizes)[:-1])], y, positive, epochs, np.random.default_rng(seed))
+    out = [(-1, shard, b"", opt.flat().tobytes())]
+    changed = np.flatnonzero(opt.emb_sq != squared)
+    delta = np.concatenate([opt.net.emb - before, (opt.emb_sq - squared)[:, None]], 1)
+    for part in np.unique(changed // PART).tolist():
+        own = changed[changed // PART == part]
+        out.append((part, shard, own.astype("<i4").tobytes(), delta[own].astype("<f4").tobytes()))
+    return out
+
+
+def _trainer(shared, positive: float, epochs: int, seed: list[int]):
+    def run(pdf):
+        import copy
+
+        import pandas as pd
+
+        pdf = pdf.sort_values(["h", "y", "text"])
+        shard = int(pdf["shard"].iloc[0])
+        opt = copy.deepcopy(shared.value)  # the worker's next shard starts from the same weights
+        return pd.DataFrame(_round(pdf["text"].tolist(), pdf["y"].to_numpy(np.float64), opt, shard, positive, epochs, [*seed, shard]), columns=["part", "shard", "at", "value"])
+
+    return run
+
+
+def _averaged(pdf):
+    """A part's changes averaged over the shards that have made one, in the order of the shards."""
+    pdf = pdf.sort_values("shard")
+    part = int(pdf["part"].iloc[0])
+    if part < 0:
+        pdf = pdf.iloc[:1].assign(value=[np.mean([np.frombuffer(v) for v in pdf["value"]], axis=0).tobytes()])
+    else:
+        total, n = np.zeros((PART, DIM + 1)), np.zeros(PART)
+        for at, v in zip(pdf["at"], pdf["value"]):
+            own = np.frombuffer(at, "<i4") - part * PART
+            total[own] += np.frombuffer(v, "<f4").reshape(-1, DIM + 1)
+            n[own] += 1
+        some = np.flatnonzero(n)
+        pdf = pdf.iloc[:1].assign(at=[(some + part * PART).astype("<i4").tobytes()], value=[(total[some] / n[some, None]).astype("<f4").tobytes()])
+    return pdf[["part", "shard", "at", "value"]]
+
+
+def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, lang: str, label: str) -> DataFrame:
+    """(h, y, text, lang, held) of every labelled row; held: kept out of the training."""
+    lab = labels.select(F.col(doc_id).alias("_id"), (F.col(label) > 0).cast("int").alias("y")).where("_id is not null and y is not null").distinct()
+    if lab.limit(MOST_SENT + 1).count() <= MOST_SENT:  # so that only labelled texts are shuffled
+        lab = F.broadcast(lab)
+    rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(lang), F.lit("")).alias("lang")).join(lab, "_id")
+    rows = rows.groupBy("_id", "y").agg(F.min(F.struct("text", "lang")).alias("r"))
+    return rows.select(F.xxhash64("_id").alias("h"), "y", "r.text", "r.lang", (F.pmod(F.xxhash64("_id", F.lit("held")), F.lit(5)) == 0).alias("held"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "toxic",
-        max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, seed: int = 11) -> Net:
-    return train(training_rows(docs, labels, doc_id, text, lang, label, max_rows, max_words), seed)
+        seed: int = 11, precision: float = PRECISION, shard_rows: int = SHARD_ROWS) -> Net:
+    """A net trained and calibrated on all labelled rows."""
+    rows = materialise(labelled(docs, labels, doc_id, text, lang, label))
+    told = {(r["held"], r["y"]): (r["n"], r["b"]) for r in rows.groupBy("held", "y").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()}
+    count = lambda y, *held: sum(told.get((h, y), (0, 0))[0] for h in held)
+    n = [count(y, False, True) for y in (0, 1)]
+    opt = Progress.fresh(seed)
+    if not n[0] or not n[1]:
+        drop(rows)
+        opt.net.constant = float(n[1] > 0)
+        return opt.net
+    # where one part lacks a kind of rows, all rows serve for both
+    apart = all(count(y, h) for y in (0, 1) for h in (False, True))
+    fitted, held = (rows.where("not held"), rows.where("held")) if apart else (rows, rows)
+    none, some = (count(y, False) for y in (0, 1)) if apart else n
+    shards = max(1, -(-(none + some) // shard_rows), -(-sum(b for _, b in told.values()) // SHARD_BYTES))
+    positive = min(20.0, none / max(1, some))
+    rounds = ROUNDS if shards > 1 else 1
+    epochs = -(-int(np.clip(SEEN / (none + some), *EPOCHS)) // rounds)
+    dealt = fitted.select(F.pmod(F.xxhash64("h", F.lit("shard")), F.lit(shards)).cast("int").alias("shard"), "h", "y", "text")
+    schema = "part int, shard int, at binary, value binary"
+    for k in range(rounds):
+        shared = docs.sparkSession.sparkContext.broadcast(opt)
+
+        run = _trainer(shared, positive, epochs, [seed, k])
+        for r in dealt.groupBy("shard").applyInPandas(run, schema).groupBy("part").applyInPandas(_averaged, schema).collect():  # a net's size
+            if r["part"] < 0:
+                opt.set_flat(np.frombuffer(bytes(r["value"])))
+            else:
+                own, delta = np.frombuffer(bytes(r["at"]), "<i4"), np.frombuffer(bytes(r["value"]), "<f4").reshape(-1, DIM + 1)
+                opt.net.emb[own] += delta[:, :DIM]
+                opt.emb_sq[own] += delta[:, DIM]
+        opt.net.emb[0] = 0
+        shared.unpersist()
+    _calibrate(opt.net, held, precision)
+    drop(rows)
+    return opt.net
+
+
+def _calibrate(net: Net, held: DataFrame, precision: float) -> None:
+    """Scale and thresholds of a net from all rows kept out."""
+    shared = held.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches):
+        for b in slices(batches):
+            z = shared.value.raw(b.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(z.astype(np.float64)), b.column(1), b.column(2)], names=["z", "y", "lang"])
+
+    told = materialise(held.select("text", F.col("y").cast("int").alias("y"), "lang").mapInArrow(run, "z double, y int, lang string"))
+    net.scale = _platt(told)
+    a, b = net.scale
+    score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("z") * a + b))))
+    cuts = np.linspace(0.35, 0.8, 46).tolist()
+    each = told.select(score.alias("s"), "y", F.explode(F.array_distinct(F.array(F.lit(""), F.col("lang")))).alias("lang"))
+    counts = [f(F.col("s") >= c).alias(f"{name}{k}") for k, c in enumerate(cuts) for name, f in (("n", F.count_if), ("p", lambda at: F.count_if(at & (F.col("y") > 0))))]
+    for r in each.groupBy("lang").agg(F.sum("y").alias("pos"), *counts).collect():  # a row per language
+        good = [c for k, c in enumerate(cuts) if r[f"n{k}"] and r[f"p{k}"] >= precision * r[f"n{k}"]]
+        # the lowest cut that reaches the precision; 0.5 without positives
+        net.thresholds[r["lang"]] = 0.5 if not r["pos"] else good[0] if good else 0.8
+    drop(told)
+
+
+def _platt(told: DataFrame) -> tuple[float, float]:
+    """Slope (kept positive) and shift of the logistic fit of y on z, by damped Newton steps on sums over all rows."""
+    a, b = 1.0, 0.0
+    n, pos = told.agg(F.count("*"), F.sum("y")).first()
+    t = F.when(F.col("y") > 0, F.lit((pos + 1) / (pos + 2))).otherwise(F.lit(1 / (n - pos + 2)))
+    for _ in range(50):
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("z") * a + b))))
+        some = told.select("z", (p - t).alias("e"), F.greatest(p * (1 - p), F.lit(1e-9)).alias("w"))
+        g1, g0, h11, h10, h00 = some.agg(F.sum(F.col("e") * F.col("z")), F.sum("e"), F.sum(F.col("w") * F.col("z") * F.col("z")), F.sum(F.col("w") * F.col("z")), F.sum("w")).first()
+        step = np.linalg.solve(np.array([[h11 + 1e-3 + 1e-6, h10], [h10, h00 + 2e-6]]), np.array([g1 + 1e-3 * (a - 1), g0]))
+        step *= min(1.0, 2.0 / (np.abs(step).max() + 1e-12))
+        a, b = max(1e-3, a - float(step[0])), b - float(step[1])
+        if np.abs(step).max() < 1e-6:
+            break
+    return a, b
 
 
 def score(docs: DataFrame, net: Net, text: str = "text", lang: str = "lang", keep_text: bool = False) -> DataFrame:

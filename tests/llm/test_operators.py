@@ -327,3 +327,25 @@ def test_pipeline_on_odd_tables(spark, sf_dir, tmp_path):
     extra = some.withColumn("spans", F.lit(1)).withColumn("score", F.lit(1)).withColumn("hit_start", F.lit(1))
     for name, stage in p.STAGES[:4]:
         assert stage(spark, extra, sf_dir).columns == list(p.COLUMNS), name
+
+
+def test_toxicity_learns_from_every_row(spark):
+    """A word that marks the rows of one shard alone, behind 5000 others, is learnt; no row or word is left out."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    plain = [word() for _ in range(300)]
+    rows = []
+    for k in range(600):
+        toxic = k % 3 == 0
+        w = [str(x) for x in rng.choice(plain, 5000 if k % 10 == 0 else 30)] + (["vile"] if toxic else [])
+        rows.append((k, " ".join(w), "en" if k % 2 else "de", int(toxic)))
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    net = toxicity.fit(docs, labels, shard_rows=120)  # several shards
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, net).collect()}
+    assert np.mean([got[r[0]] == r[3] for r in rows]) > 0.95
+    assert set(net.thresholds) == {"", "de", "en"}
+    told = toxicity.labelled(docs, labels, "doc_id", "text", "lang", "toxic")
+    assert told.count() == 600 and told.where("length(text) > 30000").count() == 60
+    again = toxicity.fit(docs.repartition(7), labels, shard_rows=120)
+    assert np.allclose(net.emb, again.emb, atol=1e-5) and net.scale == pytest.approx(again.scale, abs=1e-3)
