@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.storage import drop, materialise, shared_dir
 
-__all__ = ["Words", "arrow_texts", "ascii_lower", "block_rows", "blocks_of", "by_block", "chunks", "drop", "materialise", "mix64", "shared_dir", "slices", "text_bytes"]
+__all__ = ["Words", "arrow_texts", "ascii_lower", "block_rows", "blocks_of", "by_block", "chunks", "drop", "give_back", "materialise", "mix64", "shared_dir", "slices", "text_bytes", "word_hashes"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The characters that separate words, as a Java/RE2 class body.
@@ -63,8 +63,8 @@ def block_rows(docs: list[bytes]) -> list[tuple]:
     return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[2], r[1]))
 
 
-_WS = np.zeros(256, bool)
-_WS[[9, 10, 11, 12, 13, 32]] = True
+_WS = b"\t\n\v\f\r "
+_IN_WORD = bytes(k not in _WS for k in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -77,6 +77,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def word_hashes(raw: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64 bits of each word's bytes; raw: the bytes of all words, size: of each, none empty."""
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    powers = np.cumprod(np.full(int(size.max()), _BASE))
+    at = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(at, size)
+    terms = (raw.astype(np.uint64) + np.uint64(1)) * powers[place]
+    return mix64(np.add.reduceat(terms, at) + size.astype(np.uint64))
+
+
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of many texts, as offsets into one buffer.
 
@@ -88,7 +99,7 @@ class Words:
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         self.raw = b"\n".join(texts)
         self.buf = np.frombuffer(self.raw, np.uint8)
-        word = ~_WS[self.buf]
+        word = np.frombuffer(self.raw.translate(_IN_WORD), bool)
         edge = np.flatnonzero(np.diff(np.concatenate(([False], word, [False])).view(np.int8)))
         self.start, self.end = edge[::2], edge[1::2]
         first = np.concatenate(([0], np.cumsum(lengths + 1)))[: len(texts)]
@@ -97,15 +108,21 @@ class Words:
         self.doc = np.repeat(np.arange(len(texts)), self.n_words)
         self.hash = self._hash(word) if hashed else None
 
+    def bytes_of_words(self) -> np.ndarray:
+        """The bytes of all words, one after the other."""
+        return np.frombuffer(self.raw.translate(None, _WS), np.uint8)
+
     def _hash(self, word: np.ndarray) -> np.ndarray:
-        size = self.end - self.start
-        if not len(size):
-            return np.zeros(0, np.uint64)
-        powers = np.cumprod(np.full(int(size.max()), _BASE))
-        at = np.cumsum(size) - size
-        place = np.arange(int(size.sum())) - np.repeat(at, size)
-        terms = (self.buf[word].astype(np.uint64) + np.uint64(1)) * powers[place]
-        return mix64(np.add.reduceat(terms, at) + size.astype(np.uint64))
+        return word_hashes(self.buf[word], self.end - self.start)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps Python workers for later tasks, beside those at work."""
+    import ctypes
+
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
 
 
 def chunks(texts: list[bytes], limit: int = 1 << 20):

@@ -51,10 +51,10 @@ import gc
 import pickle
 import time
 import zlib
-from collections import defaultdict
-from itertools import count
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import RDD, StorageLevel
 from pyspark.serializers import BatchedSerializer, CPickleSerializer
@@ -63,7 +63,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ComputationError
 from . import seating
-from .common import Words, mix64, shared_dir, text_bytes
+from .common import Words, give_back, mix64, shared_dir, text_bytes, word_hashes
 
 BURN_IN, SAMPLES = 2, 2
 #: Bytes of text in a block, and behind a bucket's pairs.
@@ -119,51 +119,107 @@ def _unpress_ints(x: bytes) -> np.ndarray:
     return _from_ints(_unpress(x))
 
 
-def homes_of(words: list[bytes]) -> np.ndarray:
+def array_of(raw: np.ndarray, sizes: np.ndarray) -> pa.LargeBinaryArray:
+    """An Arrow array of words of these sizes; raw: their bytes, one after the other."""
+    cuts = np.concatenate(([0], np.cumsum(sizes)))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(cuts), pa.py_buffer(raw)])
+
+
+def array_of_lines(x: bytes) -> pa.LargeBinaryArray:
+    """The same of words with a line feed between them."""
+    buf = np.frombuffer(x, np.uint8)
+    cuts = np.flatnonzero(np.concatenate(([10], buf, [10])) == 10)
+    return array_of(buf[buf != 10], np.diff(cuts) - 1)
+
+
+def _buffers(words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all words, where each begins, and the end)."""
+    cuts = np.frombuffer(words.buffers()[1], np.int64)[: len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    return np.frombuffer(words.buffers()[2] or b"", np.uint8)[: cuts[-1]], cuts
+
+
+def lines_of(words: pa.LargeBinaryArray, sizes: list[int]) -> list[bytes]:
+    """Runs of so many words, with a line feed between the words of a run."""
+    raw, cuts = _buffers(words)
+    every = np.insert(raw, cuts[1:], 10).tobytes()
+    first = (cuts + np.arange(len(cuts)))[np.cumsum([0, *sizes])].tolist()
+    return [every[a: b - 1] for a, b in zip(first, first[1:])]
+
+
+def homes_of(words: pa.LargeBinaryArray) -> np.ndarray:
     """64 bits of each word, 0 of the end token and of no other."""
+    raw, cuts = _buffers(words)
+    size = np.diff(cuts)
     out = np.zeros(len(words), np.uint64)
-    some = np.array([bool(w) for w in words])
-    out[some] = np.maximum(Words([w for w in words if w]).hash, np.uint64(1 << 16))
+    out[size > 0] = np.maximum(word_hashes(raw, size[size > 0]), np.uint64(1 << 16))
     return out
 
 
-def in_order(words: list[bytes], homes: np.ndarray) -> np.ndarray:
-    """The order of words by their 64 bits, and by their bytes where these are equal: the same in blocks and buckets."""
-    order = np.argsort(homes, kind="stable")
+def numbered(words: pa.LargeBinaryArray) -> tuple[np.ndarray, pa.LargeBinaryArray, np.ndarray]:
+    """(number of each word, the distinct words, their 64 bits): in order of these bits, and of the bytes where they are equal,
+    so that the order is the same in blocks and buckets."""
+    pool = pa.system_memory_pool()  # whose freed memory can be given back
+    coded = pc.dictionary_encode(words, memory_pool=pool)
+    homes = homes_of(coded.dictionary)
+    order = np.argsort(homes)
     if (np.diff(homes[order]) == 0).any():
-        order = np.array(sorted(range(len(words)), key=lambda k: (int(homes[k]), words[k])), np.int64)
-    return order
+        some = coded.dictionary.to_pylist()
+        order = np.array(sorted(range(len(some)), key=lambda k: (int(homes[k]), some[k])), np.int64)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return rank[coded.indices.to_numpy()], pc.take(coded.dictionary, pa.array(order), memory_pool=pool), homes[order]
+
+
+def hot_numbers(words: pa.LargeBinaryArray, homes: np.ndarray, hot: dict[bytes, int]) -> np.ndarray:
+    """The number of each word that is hot, else -1; words in order, with their 64 bits."""
+    out = np.full(len(words), -1)
+    bits = homes_of(pa.array(list(hot), pa.large_binary()))
+    for (w, k), a, b in zip(hot.items(), np.searchsorted(homes, bits).tolist(), np.searchsorted(homes, bits, "right").tolist()):
+        for at in range(a, b):
+            if words[at].as_py() == w:
+                out[at] = k
+    return out
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct non-negative numbers in order, and the place of each among them; numbers are sorted together with their
+    places where both fit one number, which takes no indirect sort."""
+    bits = len(keys).bit_length()
+    if not len(keys) or int(keys.max()) >> (63 - bits):
+        values, at = np.unique(keys, return_inverse=True)
+        return values, at.ravel()
+    both = np.sort(keys << bits | np.arange(len(keys)))
+    values = both >> bits
+    new = _changes(values)
+    at = np.empty(len(keys), np.int64)
+    at[both & (1 << bits) - 1] = np.cumsum(new) - 1
+    return values[new], at
+
+
+def _changes(x: np.ndarray) -> np.ndarray:
+    """Where a run of equal numbers begins."""
+    out = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=out[1:])
+    return out
 
 
 class Tokens:
     """Tokens of some texts: words lower-cased in A-Z, then an end token.
 
-    words: distinct words, in order; home: 64 bits of each; ids: of each token; pair_word, pair_context: distinct pairs of a
+    words: distinct words (an Arrow array), in order; home: 64 bits of each; ids: of each token; pair_word, pair_context: distinct pairs of a
     word and the context before it, in order; pair: index of each token's pair; starts: first token of each text.
     """
 
     def __init__(self, texts: list[bytes]):
-        known: dict[bytes, int] = defaultdict(count().__next__)  # a new word gets the next number
-        number = known.__getitem__
-        ids: list[int] = []
-        starts = []
-        end = number(END)
-        for t in texts:
-            starts.append(len(ids))
-            ids.extend(map(number, t.lower().split()))
-            ids.append(end)
-        words = list(known)
-        homes = homes_of(words)
-        order = in_order(words, homes)  # the end token is first
-        self.words, self.home = [words[k] for k in order.tolist()], homes[order]
-        rank = np.empty(len(words), np.int64)
-        rank[order] = np.arange(len(words))
-        self.ids = rank[np.array(ids, np.int64)]
-        self.starts = np.array(starts, np.int64)
+        w = Words([t.lower() for t in texts], hashed=False)
+        size = np.insert(w.end - w.start, np.cumsum(w.n_words), 0)  # after the words of each text the end token, which is first in order
+        ids, words, self.home = numbered(array_of(w.bytes_of_words(), size))
+        self.words, self.ids = words, ids
+        self.starts = np.cumsum(w.n_words + 1) - w.n_words - 1
         before = np.empty(len(ids), np.int64)
         before[1:] = self.ids[:-1]
         before[self.starts] = 0  # the start of a text; the end token itself is no context
-        pairs, self.pair = np.unique(self.ids * len(words) + before, return_inverse=True)
+        pairs, self.pair = distinct(self.ids * len(words) + before)
         name = (self.home >> np.uint64(16)).astype(np.int64)  # in the order of the words, too
         self.pair_word, self.pair_context = pairs // len(words), name[pairs % len(words)]
         if ((np.diff(self.pair_context) == 0) & (np.diff(self.pair_word) == 0)).any():  # two words of one name are one context
@@ -177,14 +233,15 @@ class Tokens:
 
 def _by_bucket(tok: Tokens, n: int, hot: dict[bytes, int]):
     """(bucket, indexes of the block's words there, indexes of their pairs), all in order."""
-    spread = np.array([w in hot for w in tok.words], bool)[tok.pair_word]
+    spread = (hot_numbers(tok.words, tok.home, hot) >= 0)[tok.pair_word]
     place = mix64(tok.home + _SALT[0])[tok.pair_word] + np.where(spread, mix64(tok.pair_context.astype(np.uint64) + _SALT[1]), np.uint64(0))
     bucket = (place % np.uint64(n)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.uint16 if n <= 1 << 16 else np.int64), kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1)) if len(order) else []
     for lo, hi in zip(cuts[:-1], cuts[1:]):
         p = order[lo:hi]
-        yield int(bucket[p[0]]), np.unique(tok.pair_word[p]), p
+        word = tok.pair_word[p]
+        yield int(bucket[p[0]]), word[_changes(word)], p
 
 
 def blocks_of_partition(rows, block_bytes: int):
@@ -229,15 +286,19 @@ def _send(part: int, blocks, n: int, hot: dict[bytes, int]):
         train = np.repeat(np.array([r[1] for r in rows], bool), np.diff(np.append(tok.starts, len(tok.ids))))
         seen = np.bincount(tok.pair[train], minlength=len(tok.pair_word))
         block = number << 32 | tok.mark()
-        for bucket, w, p in _by_bucket(tok, n, hot):
-            sizes = np.bincount(np.searchsorted(w, tok.pair_word[p]), minlength=len(w))
-            piece = (block, b"\n".join([tok.words[k] for k in w.tolist()]), _ints(sizes), _planes(tok.pair_context[p]), _ints(seen[p]))
+        dealt = list(_by_bucket(tok, n, hot))
+        lines = lines_of(pc.take(tok.words, pa.array(np.concatenate([w for _, w, _ in dealt])), memory_pool=pa.system_memory_pool()), [len(w) for _, w, _ in dealt])
+        for (bucket, _, p), said in zip(dealt, lines):
+            sizes = np.diff(np.flatnonzero(_changes(tok.pair_word[p])), append=len(p))
+            piece = (block, said, _ints(sizes), _planes(tok.pair_context[p]), _ints(seen[p]))
             held.setdefault(bucket, []).append(piece)
             size += sum(map(len, piece[1:]))
         if size >= HELD:
             yield from ((b, (part, _press(pickle.dumps(x)))) for b, x in held.items())
             held, size = {}, 0
     yield from ((b, (part, _press(pickle.dumps(x)))) for b, x in held.items())
+    tok = train = seen = dealt = lines = held = None
+    give_back()
 
 
 def _gather(rows, hot: dict[bytes, int]) -> list[tuple[int, dict]]:
@@ -248,19 +309,16 @@ def _gather(rows, hot: dict[bytes, int]) -> list[tuple[int, dict]]:
     out = []
     for bucket, some in parts.items():
         some.sort(key=lambda x: x[0])
-        lists = [x[1].split(b"\n") for x in some]
-        words = list(set().union(*lists))
-        words = [words[k] for k in in_order(words, homes_of(words)).tolist()]
-        number = {w: k for k, w in enumerate(words)}
-        word = [np.repeat(np.array([number[w] for w in ws], np.int64), _from_ints(x[2])) for ws, x in zip(lists, some)]
-        contexts, ctx = np.unique(np.concatenate([_from_planes(x[3]) for x in some]), return_inverse=True)
-        pairs, at = np.unique(np.concatenate(word) * len(contexts) + ctx, return_inverse=True)
+        number, words, homes = numbered(array_of_lines(b"\n".join([x[1] for x in some])))
+        word = np.repeat(number, np.concatenate([_from_ints(x[2]) for x in some]))
+        contexts, ctx = distinct(np.concatenate([_from_planes(x[3]) for x in some]))
+        pairs, at = distinct(word * len(contexts) + ctx)
         total = np.bincount(at, np.concatenate([_from_ints(x[4]) for x in some]), len(pairs)).astype(np.int64)
-        where = np.split(at, np.cumsum([len(w) for w in word])[:-1])  # increasing in each block, as both are sorted
+        where = np.split(at, np.cumsum([int(_from_ints(x[2]).sum()) for x in some])[:-1])  # increasing in each block, as both are sorted
         out.append((bucket, {
             "blocks": [x[0] for x in some], "where": [_press_ints(np.diff(x, prepend=0)) for x in where],
             "sizes": _press_ints(np.bincount(pairs // len(contexts), minlength=len(words))), "ctx": _press_ints(pairs % len(contexts)),
-            "counts": _press_ints(total), "contexts": _press(_planes(contexts)), "hot": _press_ints(np.array([hot.get(w, -1) + 1 for w in words]))}))
+            "counts": _press_ints(total), "contexts": _press(_planes(contexts)), "hot": _press_ints(hot_numbers(words, homes, hot) + 1)}))
     return out
 
 
@@ -339,7 +397,12 @@ def sweep(pairs: Pairs, state: State, totals: dict, tables: np.ndarray, rng) ->
 
 def _whole(rdd: RDD) -> RDD:
     """Each partition as one list, in batches of one: such can be zipped without another Python process."""
-    return rdd.mapPartitions(lambda rows: [list(rows)])._reserialize(BatchedSerializer(CPickleSerializer(), 1))
+
+    def run(rows):
+        yield list(rows)
+        give_back()
+
+    return rdd.mapPartitions(run)._reserialize(BatchedSerializer(CPickleSerializer(), 1))
 
 
 def _beside(first: RDD, *others: RDD) -> RDD:
@@ -380,7 +443,7 @@ def _shard(rows) -> list[tuple[int, dict]]:
     out = []
     for shard, some in parts.items():
         names = [_from_planes(_unpress(x)) for _, x in some]
-        every, at = np.unique(np.concatenate(names), return_inverse=True)
+        every, at = distinct(np.concatenate(names))
         cuts = np.cumsum([len(x) for x in names])[:-1]
         out.append((shard, {"size": len(every), "at": {b: _press_ints(np.diff(x, prepend=0)) for (b, _), x in zip(some, np.split(at, cuts))}}))
     return out
@@ -452,6 +515,7 @@ def totals_of(buckets: RDD, state: RDD, last: dict | None, n_hot: int, rng) -> d
             if grids:
                 out[3] += _likelihood_of_tables(pairs.counts, s.tables, grids[0])
                 out[4] += _likelihood_of_tables(top, s.seats[own], grids[1])
+        give_back()
         return out
 
     # a few hundred numbers per partition, added up in a tree
@@ -489,7 +553,8 @@ def _answers(bucket: int, row: dict, customers: np.ndarray, samples: list[tuple]
     out: dict[int, list] = {}
     for (part, block), x in zip(row["blocks"], row["where"]):
         at = np.cumsum(_unpress_ints(x))
-        out.setdefault(part, []).append((block, logp[at].tobytes(), _ints(known[np.unique(pairs.word[at])])))
+        word = pairs.word[at]
+        out.setdefault(part, []).append((block, logp[at].tobytes(), _ints(known[word[_changes(word)]])))
     return [(part, (bucket, _press(pickle.dumps(x)))) for part, x in out.items()]
 
 
@@ -498,16 +563,16 @@ def answers_of(table: RDD, spark, n: int, hot: dict[bytes, int], block_bytes: in
     parts = table.getNumPartitions()
     sent = table.mapPartitionsWithIndex(lambda k, rows: _send(k, blocks_of_partition(rows, block_bytes), n, hot))
     tasks = max(1, n // TOGETHER)
-    buckets = _keep(sent.partitionBy(tasks, int).mapPartitions(lambda rows: _gather(rows, hot)))
+    buckets = _whole(sent.partitionBy(tasks, int).mapPartitions(lambda rows: _gather(rows, hot)))
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     buckets.checkpoint()  # safe against lost executors, and lets go of the blocks' shuffle
-    buckets.count()
-    buckets.unpersist()
+    spark.sparkContext.runJob(buckets, lambda rows: [], [])  # checkpoints follow a job: after one of no partitions they are the first to compute
     buckets = RDD(buckets._jrdd, spark.sparkContext, buckets._jrdd_deserializer)
     del sent
+    gc.collect()
+    time.sleep(2.5)  # references to the JVM's objects are given up by a thread that looks once a second
     for _ in range(2):  # Spark's cleaner lets go of the shuffle once the references held here are known to be gone
-        gc.collect()
         spark._jvm.System.gc()
         time.sleep(0.5)
     shards = max(1, n // 4)
@@ -595,6 +660,8 @@ def _score(blocks, answers, n: int, hot: dict[bytes, int], tokens: int, vocabula
         add = lambda x: np.add.reduceat(x, tok.starts).tolist()
         yield from zip([r[0] for r in rows], [not r[1] for r in rows], np.diff(ends).tolist(), add((known[tok.ids] > 0).astype(np.int64)),
                        [tokens] * len(rows), add(base[tok.ids]), add(logp[tok.pair]))
+    tok = logp = known = base = told = None
+    give_back()
 
 
 def score_documents(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, seed: int = 5) -> DataFrame:

@@ -166,8 +166,10 @@ def draw_tables(counts: np.ndarray, base: np.ndarray, room: np.ndarray, d: float
     """Tables of each dish, drawn anew; base: the parent's probability of the dish; room: strength + d * other tables."""
     counts = np.asarray(counts, np.int64)
     out = np.minimum(counts, 1)
-    order = np.argsort(counts, kind="stable")
-    cuts = np.searchsorted(counts[order], np.arange(2, TABLE + 2))
+    level = np.minimum(counts, TABLE + 1).astype(np.uint8)
+    some = np.flatnonzero(level > 1)
+    order = some[np.argsort(level[some], kind="stable")]
+    cuts = np.searchsorted(level[order], np.arange(2, TABLE + 2))
     table = stirling_table(d)
     for c in range(2, TABLE + 1):
         at = order[cuts[c - 2]: cuts[c - 1]]
@@ -177,6 +179,7 @@ def draw_tables(counts: np.ndarray, base: np.ndarray, room: np.ndarray, d: float
             prob = np.cumsum(np.exp(logits - logits.max(1, keepdims=True)), axis=1)
             out[at] = 1 + (prob < rng.random(len(at))[:, None] * prob[:, -1:]).sum(1).clip(max=c - 1)
     big = order[cuts[-1]:]
+    big = big[np.argsort(counts[big], kind="stable")]
     for lo in range(0, len(big), 4096):
         at = big[lo: lo + 4096]
         c, b, r = counts[at].astype(np.float64), base[at], room[at]
