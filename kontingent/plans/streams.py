@@ -13,6 +13,10 @@ from .catalogue import ORACLES as TABLE_ORACLES
 from .catalogue import read, rounded
 
 
+#: Groups of users that share a state: such a run has events of all users in a batch.
+GROUPS = 4096
+
+
 def _run(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(changes of cells, entropies) of an available-now run over all events; files may hold them in any order."""
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -22,7 +26,7 @@ def _run(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     def cells(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/cells/batch={batch_id}")
 
-    query = transitions.start(events, folder, "60 days", cells)
+    query = transitions.start(events, folder, "60 days", cells, groups=GROUPS)
     query.awaitTermination()
     return spark.read.schema(f"{transitions.CELLS}, batch long").parquet(f"{folder}/cells"), transitions.Totals(spark, f"{folder}/totals").entropies()
 

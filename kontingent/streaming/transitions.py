@@ -1,8 +1,9 @@
 """What follows what, per user, over an unbounded stream: counts and entropies that are maintained, not counted anew.
 
-Two stateful operators.  The first keeps, per user, the events that a late one may still fall between (those after the
+Two stateful operators.  The first keeps, per user (by itself or in a group), the events that a late one may still fall between (those after the
 watermark, and the last one before it).  An event that arrives is put into its place in time; it adds the transitions to
-and from its neighbours and takes away the one that it breaks.  The second keeps a count per cell and says by how much the
+and from its neighbours and takes away the one that it breaks.  A task adds up the changes of its users by cell.  The second
+keeps a count per cell and says by how much the
 cell's c log2 c has changed.  A micro-batch adds a handful of such numbers to the totals, from which the entropies of both
 margins and of the pair follow; no count of any other cell is read.
 
@@ -27,7 +28,9 @@ from pyspark.sql.streaming import StatefulProcessor
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EVENTS = "user_id long, ts timestamp, event_id long, event_type string"
-CHANGES = "event_type string, following string, delta int"
+CHANGES = "event_type string, following string, delta long"
+#: Cells that a task holds before it sends their changes on.
+CELLS_HELD = 1 << 16
 CELLS = "margin string, event_type string, following string, n long, gain double"
 TOTALS = "margin string, n long, s double"
 #: The margins of a pair: what came first, what followed, both.
@@ -40,22 +43,14 @@ def c_log_c(c: int) -> float:
 
 def placed(kept: list[tuple], new: list[tuple]) -> tuple[list[tuple], list[tuple[str, str, int]]]:
     """(events kept, changes) when new events (time, id, type) are put among those kept, in order of time and id."""
-    from bisect import bisect_left
-
-    kept, changes = list(kept), []
-    for event in sorted(new):
-        k = bisect_left(kept, event[:2], key=lambda e: e[:2])
-        if k < len(kept) and kept[k][:2] == event[:2]:
-            continue  # a repeated row
-        before, after = kept[k - 1] if k else None, kept[k] if k < len(kept) else None
-        if before and after:
-            changes.append((before[2], after[2], -1))
-        if before:
-            changes.append((before[2], event[2], 1))
-        if after:
-            changes.append((event[2], after[2], 1))
-        kept.insert(k, event)
-    return kept, changes
+    both, at = {}, {e[:2]: e for e in kept}  # of repeated rows the first stays
+    for e in sorted(new):
+        at.setdefault(e[:2], e)
+    after = sorted(at.values())
+    for events, sign in ((kept, -1), (after, 1)):
+        for x, y in zip(events, events[1:]):
+            both[x[2], y[2]] = both.get((x[2], y[2]), 0) + sign
+    return after, [(a, b, n) for (a, b), n in both.items() if n]
 
 
 def trimmed(kept: list[tuple], watermark_us: int) -> list[tuple]:
@@ -64,6 +59,27 @@ def trimmed(kept: list[tuple], watermark_us: int) -> list[tuple]:
     return kept[max(0, old - 1):]
 
 
+def summed(batches):
+    """Changes of a task's users added up, sent whenever there are ``CELLS_HELD`` cells: the next operator gets rows by task and cell."""
+    import pyarrow as pa
+
+    sums: dict[tuple, int] = {}
+
+    def sent():
+        rows = [(*cell, n) for cell, n in sums.items() if n]
+        columns = list(zip(*rows)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))], names=["event_type", "following", "delta"])
+
+    for b in batches:
+        part = pa.Table.from_batches([b]).group_by(["event_type", "following"]).aggregate([("delta", "sum")])
+        for first, then, n in zip(*[part[c].to_pylist() for c in ("event_type", "following", "delta_sum")]):
+            sums[first, then] = sums.get((first, then), 0) + n
+        if len(sums) >= CELLS_HELD:
+            yield sent()
+            sums.clear()
+    yield sent()
+
+
 def _frame(names: list[str], rows: list[tuple]):
     """A pandas table of plain objects: strings in pandas' own arrays would come to Spark in chunks, which it does not take."""
     import pandas as pd
@@ -72,27 +88,38 @@ def _frame(names: list[str], rows: list[tuple]):
 
 
 class _Order(StatefulProcessor):
-    """Per user: events in their place; changes of transitions."""
+    """Per group of users: each user's events in their place; changes of transitions."""
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.kept = handle.getValueState("kept", "times array<long>, ids array<long>, types array<string>")
+        self.kept = handle.getValueState("kept", "users array<long>, times array<long>, ids array<long>, types array<string>")
 
-    def _load(self) -> list[tuple]:
-        return list(zip(*self.kept.get())) if self.kept.exists() else []
+    def _load(self) -> dict[int, list[tuple]]:
+        out: dict[int, list[tuple]] = {}
+        for user, *event in zip(*(self.kept.get() or ())):
+            out.setdefault(user, []).append(tuple(event))
+        return out
 
-    def _save(self, kept: list[tuple]) -> None:
-        self.kept.update(tuple(map(list, zip(*kept))))
+    def _save(self, kept: dict[int, list[tuple]], watermark_us: int) -> None:
+        rows = [(user, *e) for user, events in kept.items() for e in trimmed(events, watermark_us)]
+        self.kept.update(tuple(map(list, zip(*rows))))
 
     def handleInputRows(self, key, rows, timerValues):
-        new = [(int(t), int(i), str(e)) for b in rows for t, i, e in zip(b["us"], b["event_id"], b["event_type"])]
-        kept, changes = placed(self._load(), new)
-        self._save(trimmed(kept, 1000 * timerValues.getCurrentWatermarkInMs()))
-        self.handle.registerTimer(kept[-1][0] // 1000 + 1)  # when the watermark has passed the newest, one event is enough
-        yield _frame(["event_type", "following", "delta"], changes)
+        kept, new, sums = self._load(), {}, {}
+        for b in rows:
+            for user, *event in zip(*[b[c].tolist() for c in ("user_id", "us", "event_id", "event_type")]):
+                new.setdefault(user, []).append(tuple(event))
+        for user, events in new.items():
+            kept[user], changes = placed(kept.get(user, []), events)
+            for first, then, n in changes:
+                sums[first, then] = sums.get((first, then), 0) + n
+        self._save(kept, 1000 * timerValues.getCurrentWatermarkInMs())
+        newest = max(events[-1][0] for events in kept.values())
+        self.handle.registerTimer(newest // 1000 + 1)  # when the watermark has passed the newest, one event a user is enough
+        yield _frame(["event_type", "following", "delta"], [(*cell, n) for cell, n in sums.items() if n])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self._save(trimmed(self._load(), 1000 * timerValues.getCurrentWatermarkInMs()))
+        self._save(self._load(), 1000 * timerValues.getCurrentWatermarkInMs())
         yield _frame(["event_type", "following", "delta"], [])
 
     def close(self) -> None:
@@ -116,11 +143,16 @@ class _Count(StatefulProcessor):
         pass
 
 
-def cell_changes(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """(CELLS) of a stream of events: by how much the counts of cells and their c log2 c have changed in a batch."""
+def cell_changes(events: DataFrame, delay: str = "1 day", groups: int | None = None) -> DataFrame:
+    """(CELLS) of a stream of events: by how much the counts of cells and their c log2 c have changed in a batch.
+
+    groups: users are kept together in so many groups by a hash.  A batch reads and writes a group's state once, whoever of the
+    group has events in it, so this is for batches that hold events of most users; None: every user alone.
+    """
     rows = events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type").where("user_id is not null and ts is not null and event_id is not null and event_type is not null")
     rows = rows.withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
-    changes = rows.groupBy("user_id").transformWithStateInPandas(_Order(), CHANGES, "Append", "EventTime")
+    rows = rows.withColumn("place", F.pmod(F.xxhash64("user_id"), F.lit(groups)) if groups else F.col("user_id"))
+    changes = rows.groupBy("place").transformWithStateInPandas(_Order(), CHANGES, "Append", "EventTime").mapInArrow(summed, CHANGES)
     cells = F.array(*[F.struct(F.lit(m).alias("margin"), *[(F.col(c) if c in own else F.lit("")).alias(c) for c in ("event_type", "following")]) for m, own in MARGINS.items()])
     spread = changes.select(F.explode(cells).alias("c"), "delta").select("c.*", "delta")
     return spread.groupBy("margin", "event_type", "following").transformWithStateInPandas(_Count(), CELLS, "Append", "None")
@@ -158,10 +190,10 @@ class Totals:
         return self.after(batch).where("n > 0").select("margin", "n", (F.log2(F.col("n")) - F.col("s") / F.col("n")).alias("entropy"))
 
 
-def start(events: DataFrame, folder: str, delay: str = "1 day", cells: Callable[[DataFrame, int], None] | None = None, available_now: bool = True):
+def start(events: DataFrame, folder: str, delay: str = "1 day", cells: Callable[[DataFrame, int], None] | None = None, available_now: bool = True, groups: int | None = None):
     """A running query that maintains ``Totals(spark, folder/totals)``; ``cells`` also gets each batch's changes of cells.
 
-    folder: shared storage for the checkpoint and the totals; the same folder goes on where it stopped.
+    folder: shared storage for the checkpoint and the totals; the same folder goes on where it stopped.  groups: see ``cell_changes``.
     """
     spark = events.sparkSession
     totals = Totals(spark, f"{folder.rstrip('/')}/totals")
@@ -178,7 +210,7 @@ def start(events: DataFrame, folder: str, delay: str = "1 day", cells: Callable[
     before = spark.conf.get(PROVIDER, None)
     spark.conf.set(PROVIDER, ROCKSDB)  # the store that such operators need; a query keeps what it was started with
     try:
-        writer = cell_changes(events, delay).writeStream.foreachBatch(each).outputMode("append").option("checkpointLocation", f"{folder.rstrip('/')}/checkpoint")
+        writer = cell_changes(events, delay, groups).writeStream.foreachBatch(each).outputMode("append").option("checkpointLocation", f"{folder.rstrip('/')}/checkpoint")
         return (writer.trigger(availableNow=True) if available_now else writer).start()
     finally:
         spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)

@@ -84,3 +84,29 @@ def test_stream_equals_the_batch_query(spark, sf_dir, tmp_path):
     for _ in range(2):
         totals.add(again, last)
         assert {r["margin"]: r["n"] for r in totals.after(last).collect()}["pair"] == n + 5
+
+
+def test_changes_of_a_task_are_added_up():
+    import pyarrow as pa
+
+    schema = pa.schema([("event_type", pa.string()), ("following", pa.string()), ("delta", pa.int64())])
+    batches = [pa.RecordBatch.from_pylist([{"event_type": a, "following": b, "delta": d} for a, b, d in rows], schema) for rows in (
+        [("a", "b", 1), ("a", "b", 2), ("b", "a", 5)], [("a", "b", -3), ("b", "b", 1)], [])]
+    got = [tuple(r.values()) for b in tr.summed(iter(batches)) for r in b.to_pylist()]
+    assert sorted(got) == [("b", "a", 5), ("b", "b", 1)]
+    assert sum(b.num_rows for b in tr.summed(iter([]))) == 0
+
+
+def test_users_in_groups(spark, sf_dir, tmp_path):
+    """Users that share a state are counted as by themselves, over two batches that lie beside each other in time."""
+    events = catalogue.read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    net = {}
+
+    def cells(batch, batch_id):
+        for r in batch.where("margin = 'pair'").collect():
+            net[r["event_type"], r["following"]] = net.get((r["event_type"], r["following"]), 0) + r["n"]
+
+    for part in (0, 1):
+        events.where(f"event_id % 2 = {part}").coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+    assert tr.start(stream(spark, tmp_path / "events"), str(tmp_path / "state"), "60 days", cells, groups=3).awaitTermination(240)
+    assert {k: n for k, n in net.items() if n} == {(r["event_type"], r["following"]): r["n"] for r in catalogue.events_markov(spark, sf_dir).collect()}
